@@ -141,7 +141,7 @@ def _hash(*parts: str) -> str:
 
 _ROUND = """
 r{k} AS (
-  SELECT * EXCLUDE (taken_in, gap), taken_in OR one AS taken_in,
+  SELECT * EXCLUDE (taken_in, gap, one), taken_in OR one AS taken_in,
     gap - sum(CASE WHEN one THEN size ELSE 0 END) OVER (PARTITION BY source, block) AS gap
   FROM (SELECT *, NOT taken_in AND size < 2 * gap AND row_number() OVER (
     PARTITION BY source, block, taken_in ORDER BY abs(size - gap), h, doc_id, size) = 1 AS one FROM r{j})
