@@ -81,7 +81,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa
                 cell = cell[keep]
                 block = cell >> BLOCK_BITS
                 begins = np.flatnonzero(np.diff(block, prepend=-1))
-                for x, y in zip(begins.tolist(), np.append(begins[1:], len(cell)).tolist(), strict=True):
+                for x, y in zip(begins.tolist(), np.append(begins, len(cell))[1:].tolist(), strict=True):
                     blocks.append((r << (bits - BLOCK_BITS)) + int(block[x]))
                     packed.append((cell[x:y] & ((1 << BLOCK_BITS) - 1)).astype("<u2").tobytes())
             yield pa.record_batch([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], schema=_SKETCH)
@@ -168,7 +168,7 @@ def _second_pass(batches: Iterator[pa.RecordBatch], n: int, bits: int, held) ->
             for settled, chosen in ((True, np.flatnonzero(again)), (False, np.flatnonzero(one & often))):
                 first, row, anchor, window = (w[k][chosen] for k in ("first", "row", "anchor", "window"))
                 begins = _stretches(first, row) if settled else _stretches(first, row, anchor)
-                ends = np.append(begins[1:], len(first))
+                ends = np.append(begins, len(first))[1:]
                 columns[0] += [settled] * len(begins)
                 columns[1].append(np.zeros(len(begins), np.int64) if settled else anchor[begins].view(np.int64))
                 columns[2].append(row[begins] + a)
