@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tramline.plans import history, network, stats, tables, tables_sql
 
+flagship = network.flagship
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+_PARTS = (network, history, stats, tables)
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+ORACLE_SQL = {name: sql for part in (*_PARTS, tables_sql) for name, sql in part.ORACLE_SQL.items()}
