@@ -204,7 +204,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pair = lambda k: F.struct(F.least(k, mine).alias("b1"), F.greatest(k, mine).alias("b2"))
     pairs = F.when(F.col("n") == 1, F.array(F.struct(F.lit(0).alias("b1"), F.lit(0).alias("b2")))).otherwise(F.transform(others, pair))
     placed = member.join(blocks, "grp").select("node", "grp", F.explode(pairs).alias("p")).select("node", "grp", "p.b1", "p.b2")
-    texts = text.withColumnRenamed("doc_id", "node").where("node is not null").join(placed, "node")
+    # The candidates grow with the corpus, so this is a sort-merge join at any size, never a broadcast.
+    texts = text.withColumnRenamed("doc_id", "node").where("node is not null").join(placed.hint("merge"), "node")
     sorted_pairs = texts.repartition(shuffle_width(spark), "grp", "b1", "b2").sortWithinPartitions("grp", "b1", "b2", "node")
     links = sorted_pairs.select("grp", "b1", "b2", "node", "text").mapInArrow(_verified, "u long, v long")
     found = components(links, "groups")
