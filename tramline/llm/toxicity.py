@@ -28,7 +28,7 @@ from .shared import column_of, importable, spans_of_rows, text_buffer
 
 P, GAPS, LAMBDA = 4, 2, 0.5
 #: Rows and bytes of a row that training may use, landmarks, and rounds of choosing units anew.
-MOST_ROWS, MOST_BYTES, LANDMARKS, ROUNDS = 6_000, 40_000, 256, 3
+MOST_ROWS, MOST_BYTES, LANDMARKS, ROUNDS = 2_400, 12_000, 256, 3
 _CHUNK = 1 << 20
 _SKIP, _SPACE = 255, 0
 
