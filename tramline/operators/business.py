@@ -118,7 +118,7 @@ def audit_invoices(invoices: DataFrame, distance: DataFrame) -> DataFrame:
         ("unexpected_currency", F.col("currency") != "INR"),
     ]
     found = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules]))
-    return d.drop("_n").withColumn("findings", found).withColumn("verdict", F.when(F.size("findings") > 0, "dispute").otherwise("approve"))
+    return d.withColumn("findings", found).withColumn("verdict", F.when(F.size("findings") > 0, "dispute").otherwise("approve")).drop("_n")
 
 
 def verdict_scores(audited: DataFrame, truth: str, kind: str) -> DataFrame:
@@ -150,18 +150,18 @@ def read_orders(mails: DataFrame) -> DataFrame:
     weights = F.array_distinct(F.transform(F.concat(kilos, tonnes), lambda w: F.round(w, 1)))
     unit = r"(?:kgs?|kilos?|kilograms?|tonnes?|tons?)\b"
     vague_weight = low.rlike(rf"{_HEDGE}{_NUMBER}\s*{unit}") | low.rlike(rf"\d\s*(?:-|–|to|and)\s*{_NUMBER}\s*{unit}") | (F.size(weights) > 1)
-    weight = F.when(~vague_weight & (F.size(weights) == 1) & (weights[0] > 0), weights[0])
+    weight = F.when(~vague_weight & (F.size(weights) == 1) & (F.get(weights, 0) > 0), F.get(weights, 0))
     noun = r"(?:pieces?|pcs|cartons?|box(?:es)?|crates?|packages?)"
     counts = F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![\d.,–-])(\d{{1,9}})\s*{noun}\b"), F.lit(1)))
     vague_pieces = low.rlike(rf"{_HEDGE}\d+\s*{noun}") | low.rlike(rf"\d\s*(?:-|–|to)\s*\d+\s*{noun}") | (F.size(counts) > 1)
-    pieces = F.when(~vague_pieces & (F.size(counts) == 1), F.nullif(counts[0].cast("long"), F.lit(0)))
+    pieces = F.when(~vague_pieces & (F.size(counts) == 1), F.nullif(F.get(counts, 0).cast("long"), F.lit(0)))
     ftl, carting = low.rlike(r"\bftl\b|full truck"), low.rlike(r"\bcarting\b|part[ -]load")
     route = F.when(ftl & ~carting, "FTL").when(carting & ~ftl, "Carting")
     codes = F.array_distinct(F.regexp_extract_all(live, F.lit(rf"({_CODE})"), F.lit(1)))
     cue = lambda words: F.nullif(F.regexp_extract(live, rf"(?i)(?:{words})[^.\n]{{0,60}}?({_CODE})", 1), F.lit(""))
     origin, destination = cue("from|origin|pick ?up"), cue(r"\bto\b|destination|deliver\w*")
-    origin = F.coalesce(origin, F.filter(codes, lambda c: F.coalesce(c != destination, F.lit(True)))[0])
-    destination = F.coalesce(F.when(destination != origin, destination), F.filter(codes, lambda c: F.coalesce(c != origin, F.lit(True)))[0])
+    origin = F.coalesce(origin, F.get(F.filter(codes, lambda c: F.coalesce(c != destination, F.lit(True))), 0))
+    destination = F.coalesce(F.when(destination != origin, destination), F.get(F.filter(codes, lambda c: F.coalesce(c != origin, F.lit(True))), 0))
     parts = F.size(F.regexp_extract_all(low, F.lit(r"(?m)^\s*consignment\s*#?(\d+)"), F.lit(1)))
     d = mails.select(
         "mail_id", origin.alias("source_center"), destination.alias("destination_center"), route.alias("route_type"), weight.alias("weight_kg"),
@@ -183,7 +183,8 @@ def order_problems(orders: DataFrame, centres: DataFrame) -> DataFrame:
         ("weight out of bounds", ~F.col("weight_kg").between(0.001, 40_000)),
         ("pieces out of bounds", F.col("pieces") < 1),
     ]
-    return d.drop("_source_center", "_destination_center").withColumn("problems", F.array_compact(F.array(*[F.when(r, F.lit(n)) for n, r in rules])))
+    problems = F.array_compact(F.array(*[F.when(r, F.lit(n)) for n, r in rules]))
+    return d.withColumn("problems", problems).drop("_source_center", "_destination_center")
 
 
 # ---- entities -------------------------------------------------------------------------------------------------------

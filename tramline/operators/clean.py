@@ -91,11 +91,8 @@ def location(name: Column) -> tuple[Column, Column]:
 
 def state_of_code(code: Column) -> Column:
     """State by the PIN digits inside a code like IND282002AAD."""
-    pin = F.try_to_number(F.nullif(F.regexp_extract(code, r"^IND(\d{2})", 1), F.lit("")), F.lit("99")).cast("int")
-    out = F.lit(None).cast("string")
-    for (a, b), state in PIN_STATES.items():
-        out = F.when(pin.between(a, b), state).otherwise(out)
-    return out
+    by_pin = F.create_map(*[F.lit(x) for (a, b), state in PIN_STATES.items() for pin in range(a, b + 1) for x in (str(pin), state)])
+    return F.try_element_at(by_pin, F.nullif(F.regexp_extract(code, r"^IND(\d{2})", 1), F.lit("")))
 
 
 def locate(df: DataFrame) -> DataFrame:

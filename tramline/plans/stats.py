@@ -226,7 +226,7 @@ ORACLE_SQL = {
     "bootstrap_paired": trips("d AS (SELECT leg_id, abs(gap_min) - 40 AS d FROM legs), w AS (SELECT rep, d, " + f"{_D(chr(39) + '13' + chr(39), 'CAST(rep AS VARCHAR)', 'leg_id')} / 4294967296.0::DOUBLE AS u FROM d, range(50) t(rep)), b AS (SELECT rep, sum(k * d) / sum(k) AS mean FROM (SELECT *, " + " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in _CUTS) + f" AS k FROM w) GROUP BY 1) {_SUMMARY} FROM b"),
     "bootstrap_blocks": trips(f"{_BLOCKS} SELECT rep, round(mean, 6) AS mean FROM bb"),
     "bootstrap_blocks_summary": trips(f"{_BLOCKS}, r AS (SELECT rep, round(mean, 6) AS mean FROM bb) {_SUMMARY} FROM r"),
-    "bootstrap_gain": trips(f"""{_FOUR}, u AS (SELECT rep, tp, fp, fn, {_D("'19'", 'CAST(rep AS VARCHAR)', 'CAST(i AS VARCHAR)')} % (tp + fp + fn + tn) AS x FROM four, range(10) t(rep), range(1, (SELECT tp + fp + fn + tn + 1 FROM four)) s(i)),
+    "bootstrap_gain": trips(f"""{_FOUR}, u AS (SELECT rep, tp, fp, fn, {_D("'19'", 'CAST(rep AS VARCHAR)', 'CAST(i AS VARCHAR)')} % (tp + fp + fn + tn) AS x FROM four, range(10) t(rep), range(1, CAST((SELECT tp + fp + fn + tn + 1 FROM four) AS BIGINT)) s(i)),
       g AS (SELECT rep, count_if(x < tp) AS a, count_if(x >= tp AND x < tp + fp) AS b, count_if(x >= tp + fp AND x < tp + fp + fn) AS c, count(*) AS n FROM u GROUP BY 1) SELECT CAST(rep AS INT) AS rep, round(a / (a + b) - (a + c) / n, 6) AS gain FROM g"""),
     "wilcoxon_signed_rank": trips("""r AS (SELECT gap_min, rank() OVER (ORDER BY abs(gap_min)) + (count(*) OVER (PARTITION BY abs(gap_min)) - 1) / 2 AS r, count(*) OVER (PARTITION BY abs(gap_min)) AS k FROM legs WHERE gap_min <> 0),
       t AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN gap_min > 0 THEN r ELSE 0 END) AS w, sum(k * k - 1) AS t FROM r) SELECT n, w AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48), 6) AS z FROM t"""),
@@ -248,7 +248,7 @@ ORACLE_SQL = {
     "proportions_better": legs(f"{_PROP} SELECT x.source_center AS better, y.source_center AS worse FROM pr x JOIN pr y ON x.low > y.high"),
     "stability_parts": legs(f"""dy AS (SELECT day, ntile(3) OVER (ORDER BY day) AS part FROM (SELECT DISTINCT CAST(trip_creation_time AS DATE) AS day FROM legs)),
       c AS (SELECT part, corridor_id, count(*) AS n, avg(log_gap_ratio) AS m FROM legs JOIN dy ON CAST(trip_creation_time AS DATE) = day GROUP BY 1, 2 HAVING count(*) >= 3), f AS (SELECT part, corridor_id, m > 0.9 AS slow FROM c),
-      t AS (SELECT CAST(x.part AS INT) AS a, CAST(y.part AS INT) AS b, count(*) AS common, count_if(x.slow) AS slow_a, count_if(y.slow) AS slow_b, count_if(x.slow AND y.slow) AS both FROM f x JOIN f y ON x.corridor_id = y.corridor_id AND x.part < y.part GROUP BY 1, 2)
-      SELECT a, b, common, slow_a, slow_b, both, round(both / nullif(slow_a + slow_b - both, 0), 6) AS jaccard, round(slow_a * slow_b / common, 6) AS expected, {_WILSON} FROM (SELECT *, slow_a AS n, both / slow_a AS p FROM t)"""),
+      t AS (SELECT CAST(x.part AS INT) AS a, CAST(y.part AS INT) AS b, count(*) AS common, count_if(x.slow) AS slow_a, count_if(y.slow) AS slow_b, count_if(x.slow AND y.slow) AS "both" FROM f x JOIN f y ON x.corridor_id = y.corridor_id AND x.part < y.part GROUP BY 1, 2)
+      SELECT a, b, common, slow_a, slow_b, "both", round("both" / nullif(slow_a + slow_b - "both", 0), 6) AS jaccard, round(slow_a * slow_b / common, 6) AS expected, {_WILSON} FROM (SELECT *, slow_a AS n, "both" / slow_a AS p FROM t)"""),
     "hash_draws": legs(f"SELECT leg_id, {_D(chr(39) + '5' + chr(39), chr(39) + '0' + chr(39), 'leg_id')} AS u FROM legs"),
 }

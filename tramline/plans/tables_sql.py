@@ -12,7 +12,7 @@ _N = "('', 'nan', 'NaN', 'NAN', 'null', 'NULL', 'None', 'NA', 'N/A', '-')"
 _RAW = """raw AS (SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT)) AS source_row_index,
   CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(l_orderkey AS VARCHAR) END AS trip_uuid,
   'IND' || (l_suppkey % 90 + 10) || '0001AAA' AS source_center, 'IND' || (l_partkey % 90 + 10) || '0001AAA' AS destination_center,
-  CASE WHEN l_partkey % 7 = 2 THEN 'Town' || (l_suppkey % 9) || '_Hub_D (Goa)' END AS source_name, o_orderdate AS od_start_time,
+  CASE WHEN l_partkey % 7 = 2 THEN 'Town' || (l_suppkey % 9) || '_Hub_D (Goa)' END AS source_name, NULL::VARCHAR AS destination_name, o_orderdate AS od_start_time,
   CASE WHEN l_partkey % 7 = 3 THEN NULL ELSE date_trunc('second', l_shipdate) END AS od_end_time, l_quantity AS osrm_time, l_extendedprice / 1000 - 2 AS actual_time,
   l_extendedprice / 1000 - 10 AS segment_actual_time, CASE WHEN l_partkey % 7 = 4 THEN 0.0 ELSE l_quantity END AS segment_osrm_time, l_partkey % 7 AS k
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -86,10 +86,10 @@ ORACLE_SQL = {
     "clean_null_texts": """SELECT * FROM (SELECT 'trip_uuid' AS "column", count_if(l_partkey % 7 = 0) AS n FROM lineitem UNION ALL SELECT 'source_name', count_if(l_partkey % 7 <> 2) FROM lineitem UNION ALL SELECT 'destination_name', count(*) FROM lineitem) WHERE n > 0""",
     "clean_parse_failures": "SELECT CAST(0 AS BIGINT) AS od_start_time, count_if(l_partkey % 7 = 3) AS od_end_time FROM lineitem",
     "clean_drop_counts": f"WITH {_RAW} SELECT " + ", ".join(f"count_if({r}) AS {n}" for n, r in _BAD.items()) + f", count_if({_KEEP}) AS kept FROM raw",
-    "clean_segments": f"""WITH {_RAW}, {_VOTES}, r AS (SELECT raw.* REPLACE (coalesce(source_name, best_name) AS source_name) FROM raw LEFT JOIN votes ON source_center = centre_code WHERE {_KEEP}),
+    "clean_segments": f"""WITH {_RAW}, {_VOTES}, r AS (SELECT raw.* REPLACE (coalesce(source_name, v.best_name) AS source_name, w.best_name AS destination_name) FROM raw LEFT JOIN votes v ON source_center = v.centre_code LEFT JOIN votes w ON destination_center = w.centre_code WHERE {_KEEP}),
       d AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY trip_uuid, source_center, destination_center, source_name, od_start_time, od_end_time, osrm_time, actual_time, segment_actual_time, segment_osrm_time ORDER BY source_row_index) = 1)
       SELECT source_row_index, source_center || '>' || destination_center AS corridor_id, source_name, nullif(regexp_extract(source_name, '^([^_]+)_', 1), '') AS source_city, coalesce(nullif(regexp_extract(source_name, '\\(([^)]+)\\)\\s*$', 1), ''), {_state('source_center')}) AS source_state,
-      {_state('destination_center')} AS dest_state, (source_name IS NULL AND {_state('source_center')} IS NOT NULL) OR {_state('destination_center')} IS NOT NULL AS state_from_pin, segment_actual_time <= 0 OR segment_osrm_time = 0 AS is_suspect,
+      coalesce(nullif(regexp_extract(destination_name, '\\(([^)]+)\\)\\s*$', 1), ''), {_state('destination_center')}) AS dest_state, (source_name IS NULL AND {_state('source_center')} IS NOT NULL) OR (destination_name IS NULL AND {_state('destination_center')} IS NOT NULL) AS state_from_pin, segment_actual_time <= 0 OR segment_osrm_time = 0 AS is_suspect,
       round(CASE WHEN segment_osrm_time > 0 THEN segment_actual_time / segment_osrm_time END, 6) AS segment_factor, round((epoch_us(od_end_time) - epoch_us(od_start_time)) / 60e6, 6) AS od_duration_min FROM d""",
     "clean_name_votes": f"WITH {_RAW}, {_VOTES} SELECT * FROM votes",
     "clean_report": legs("SELECT count(*) AS rows, count(DISTINCT corridor_id) AS corridor_id_distinct, count(DISTINCT trip_uuid) AS trip_uuid_distinct, min(planned_min) AS planned_min_min, max(planned_min) AS planned_min_max, count_if(planned_min IS NULL) AS planned_min_nulls, round(min(gap_min), 6) AS gap_min_min, round(max(gap_min), 6) AS gap_min_max, count_if(gap_min IS NULL) AS gap_min_nulls FROM legs"),
