@@ -23,7 +23,7 @@ from .words import mix
 BUCKET_BITS, GRAMS = 17, (2, 3, 4)
 #: Rows of each language and bytes of a row that training may use; words of a chain; rounds over the sample.
 MOST_ROWS, MOST_BYTES, CHAIN, EPOCHS = 400, 8_000, 64, 3
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 _SHARP = 4.0
 
 # 0: no letter, dropped.  32: word boundary.  Other bytes: ASCII letters in lower case and all bytes beyond ASCII.

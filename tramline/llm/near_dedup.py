@@ -28,7 +28,7 @@ SHINGLE, BANDS, ROWS = 5, 40, 5
 T = BANDS * ROWS
 #: A block of a candidate group has about so many documents and bytes of text at most.
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
