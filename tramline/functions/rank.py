@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.sources.shared import written
+
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Add row_number over ``order``: a range exchange, counts per range (one row each), then local numbers plus offsets.
 
-    The order must end in a key that tells rows apart.
+    The order must end in a key that tells rows apart.  The dealt rows are written once: ranges come from a sample, so two
+    evaluations of the exchange could differ.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    dealt = written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     local = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -24,7 +27,7 @@ def average_rank(df: DataFrame, value: str, name: str = "avg_rank", partitions:
     """Add the average rank of ``value``, ties sharing theirs; distinct values are ranked, so ties cost nothing."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(value).agg(F.count("*").alias("_ties"))
-    dealt = counts.repartitionByRange(n, value).withColumn("_range", F.spark_partition_id())
+    dealt = written(counts.repartitionByRange(n, value).withColumn("_range", F.spark_partition_id()), "ranges")
     local = dealt.withColumn("_upto", F.sum("_ties").over(Window.partitionBy("_range").orderBy(value)))
     totals = dealt.groupBy("_range").agg(F.sum("_ties").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,8 +10,20 @@ from tramline.sources.adapters import legs_from_events, legs_from_orders, table
 from .sql import legs, trips
 
 
+#: Added before rounding to six digits, here and in SQL, so that means of short decimals aren't ties, which engines round differently.
+OFF_EDGE = "1.3e-8"
+
+
+def six(column):
+    return F.round(F.col(column) + float(OFF_EDGE), 6)
+
+
+def off_edge(sql: str) -> str:
+    return sql.replace(", 6)", f" + {OFF_EDGE}, 6)")
+
+
 def _rounded(df, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(six(c) if digits == 6 else F.round(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def history_corridor(spark, sf_dir):
@@ -97,7 +109,7 @@ def backoff_shrunken(spark, sf_dir):
 
 def backoff_choose_k(spark, sf_dir):
     trips_ = legs_from_events(spark, sf_dir)
-    return H.choose_k(H.shrunken_backoff(H.level_medians(trips_, _CUTS), [1.0, 5.0, 20.0, 80.0]), trips_).select("k", F.round("mae", 6).alias("mae"))
+    return H.choose_k(H.shrunken_backoff(H.level_medians(trips_, _CUTS), [1.0, 5.0, 20.0, 80.0]), trips_).select("k", six("mae").alias("mae"))
 
 
 def history_network_prefix(spark, sf_dir):
@@ -144,7 +156,7 @@ def _dwell(hub: str, p: str) -> str:
 
 _BASE = f"""SELECT leg_id, corridor_id, route_type, planned_min, planned_km, round(gap_min, 6) AS gap_min, round(log_gap_ratio, 6) AS log_gap_ratio, is_delayed,
   CAST(hour(trip_creation_time) AS INT) AS created_hour, CAST(dayofweek(trip_creation_time) + 1 AS INT) AS created_weekday,
-  dayofweek(trip_creation_time) IN (0, 6) AS created_weekend, {_PART} AS created_part FROM legs"""
+  dayofweek(trip_creation_time) IN (6, 0) AS created_weekend, {_PART} AS created_part FROM legs"""
 _KEYS = (("corr", "corridor_id"), ("src", "source_center"), ("dst", "destination_center"))
 _LEVELS = f"""lv AS (SELECT *, CASE WHEN planned_km < {_CUTS[0]} THEN 'short' WHEN planned_km < {_CUTS[1]} THEN 'medium' ELSE 'long' END AS band FROM legs),
 keyed AS (SELECT leg_id, gap_min, od_end_time, trip_creation_time, unnest([

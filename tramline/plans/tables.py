@@ -12,10 +12,11 @@ from tramline.operators import history as H
 from tramline.operators import models as M
 from tramline.operators import quality as Q
 from tramline.sources.adapters import legs_from_events, legs_from_orders, table
+from tramline.sources.shared import shared_dir
 from tramline.streaming import events as E
 from tramline.streaming import job as J
 
-from .history import _rounded
+from .history import _rounded, six
 
 
 # ---- cleaning -------------------------------------------------------------------------------------------------------
@@ -402,29 +403,18 @@ def stream_finish(spark, sf_dir):
 
 def stream_history(spark, sf_dir):
     """The stateful job over the events written as files: half is drained, then the rest on the same checkpoint."""
-    base = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     e = E.build_events(legs_from_events(spark, sf_dir))
     J.write_replay(e, f"{base}/in", 4)
     rows = J.histories(J.read_files(spark, f"{base}/in", 2))
     for _ in range(2):
         J.drain(rows, f"{base}/checkpoint", lambda d, i: J.write_batch(d, i, f"{base}/out"))
     return J.assembled(spark.read.parquet(f"{base}/out")).select(
-        "leg_id", "corr_n_prior", "src_n_prior", "dst_n_prior", F.round("corr_mean_gap_min", 6).alias("corr_mean_gap_min"), F.round("corr_median_gap_min", 6).alias("corr_median_gap_min"),
-        F.round("src_dwell_by_hour_min", 6).alias("src_dwell_by_hour_min"),
+        "leg_id", "corr_n_prior", "src_n_prior", "dst_n_prior", six("corr_mean_gap_min").alias("corr_mean_gap_min"), six("corr_median_gap_min").alias("corr_median_gap_min"),
+        six("src_dwell_by_hour_min").alias("src_dwell_by_hour_min"),
     )
 
 
-def _shared(spark) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = f"/tmp/tramline-{spark.sparkContext.applicationId}"
-    return named.rstrip("/")
-
-
-
-
 QUERIES = {f.__name__: f for f in (
     clean_null_texts, clean_parse_failures, clean_drop_counts, clean_segments, clean_report, clean_name_votes, profile_orders, profile_documents, profile_top_values,
     profile_histogram, threshold_sensitivity, corridor_support, contract_orders, alerts_flagged, alerts_graded, alerts_notice, alerts_rollup, alerts_quality,

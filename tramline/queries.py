@@ -8,4 +8,4 @@ flagship = network.flagship
 
 _PARTS = (network, history, stats, tables)
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
-ORACLE_SQL = {name: sql for part in (*_PARTS, tables_sql) for name, sql in part.ORACLE_SQL.items()}
+ORACLE_SQL = {name: history.off_edge(sql) for part in (*_PARTS, tables_sql) for name, sql in part.ORACLE_SQL.items()}
