@@ -7,10 +7,15 @@ of legs with legs takes place.
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.columns import day_part, micros
+from tramline.session import importable
 
 LEVELS = ["corridor", "origin_hub", "destination_hub", "route_distance_band", "network"]
 
@@ -49,20 +54,52 @@ def as_of(legs: DataFrame, key: Column | str, prefix: str, fact_time: str = "od_
     )
 
 
+def running_quantiles(rows: DataFrame, value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of a key's facts known at each of its queries: k, leg_id, n, and one column per quantile.
+
+    Rows are dealt by key and sorted; each key keeps one sorted list of its values (8 bytes a fact), so a query costs a
+    look-up, where a percentile over a running frame would sort the frame anew.  Batches of a key go on with its list.
+    """
+    importable(rows.sparkSession)
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = rows.select("k", "t", "kind", "leg_id", F.col(value).alias("v")).repartition(n_parts, "k").sortWithinPartitions("k", "t", "kind", "leg_id")
+    names, qs = list(quantiles), list(quantiles.values())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, seen = None, []
+        for b in batches:
+            out = []
+            for k, kind, leg, v in zip(b["k"], b["kind"], b["leg_id"], b["v"], strict=True):
+                if k != key:
+                    key, seen = k, []
+                if kind == 0:
+                    if v == v and v is not None:
+                        insort(seen, v)
+                    continue
+                n = len(seen)
+                row = [k, leg, n]
+                for q in qs:
+                    at = q * (n - 1)
+                    low = int(at)
+                    row.append(None if not n else seen[low] + (seen[min(low + 1, n - 1)] - seen[low]) * (at - low))
+                out.append(row)
+            yield pd.DataFrame(out, columns=["k", "leg_id", "n", *names]).astype({"n": "int64", **{c: "float64" for c in names}})
+
+    return d.mapInPandas(run, "k string, leg_id string, n long, " + ", ".join(f"{c} double" for c in names))
+
+
 def dispersion(legs: DataFrame, key: str = "corridor_id", days: int = 7) -> DataFrame:
     """Per leg: exact median, p90, inter-quartile range and sample deviation of earlier gaps, and mean and number of those of
     the last ``days`` days (to the microsecond)."""
     rows = timeline(legs, F.col(key), g=F.col("gap_min"))
-    w = _upto()
     trailing = Window.partitionBy("k").orderBy("t").rangeBetween(-days * 86_400_000_000, 0)
-    at = lambda q: F.expr(f"percentile(g, {q})").over(w)
     seen = rows.select(
-        "leg_id", "kind", F.count("g").over(w).alias("n"), at(0.5).alias("median"), at(0.9).alias("p90"),
-        (at(0.75) - at(0.25)).alias("iqr"), F.stddev_samp("g").over(w).alias("std"),
+        "leg_id", "kind", F.count("g").over(_upto()).alias("n"), F.stddev_samp("g").over(_upto()).alias("std"),
         F.avg("g").over(trailing).alias("mean_7d"), F.count("g").over(trailing).alias("n_7d"),
     ).where("kind = 1")
-    return seen.select(
-        "leg_id", F.col("median").alias("corr_median_gap_min"), F.col("p90").alias("corr_p90_gap_min"), F.col("iqr").alias("corr_iqr_gap_min"),
+    q = running_quantiles(rows, "g", {"median": 0.5, "p90": 0.9, "p75": 0.75, "p25": 0.25}).drop("k", "n")
+    return seen.join(q, "leg_id").select(
+        "leg_id", F.col("median").alias("corr_median_gap_min"), F.col("p90").alias("corr_p90_gap_min"), (F.col("p75") - F.col("p25")).alias("corr_iqr_gap_min"),
         F.when(F.col("n") > 1, F.col("std")).alias("corr_std_gap_min"), F.col("mean_7d").alias("corr_mean_gap_7d"),
         F.col("n_7d").cast("int").alias("corr_n_prior_7d"),
     )
@@ -200,18 +237,18 @@ def with_bands(legs: DataFrame, cuts: tuple[float, float]) -> DataFrame:
 
 
 def level_medians(legs: DataFrame, cuts: tuple[float, float]) -> DataFrame:
-    """Per leg and level: number and exact median of the gaps known at creation; five levels in one window pass.
+    """Per leg and level: number and exact median of the gaps known at creation; five levels in one pass.
 
-    The network level is one key; ``network_prefix`` is the way to its counts and sums at scale.
+    The network level is one key, whose exact median one task keeps; ``network_prefix`` gives its counts and means without that.
     """
     keys = F.array(*[
         F.struct(F.lit(n).alias("level"), c.cast("string").alias("key"))
         for n, c in zip(LEVELS, (F.col("corridor_id"), F.col("source_center"), F.col("destination_center"), F.col("band_key"), F.lit("all")), strict=True)
     ])
     keyed = with_bands(legs, cuts).withColumn("of", F.explode(keys))
-    rows = timeline(keyed.withColumn("leg_id", F.struct("leg_id", "of.level")), F.concat_ws("|", "of.level", "of.key"), g=F.col("gap_min"))
-    w = _upto()
-    return rows.select("leg_id.*", "kind", F.count("g").over(w).alias("n"), F.expr("percentile(g, 0.5)").over(w).alias("median")).where("kind = 1").drop("kind")
+    rows = timeline(keyed, F.concat_ws("|", "of.level", "of.key"), g=F.col("gap_min"))
+    found = running_quantiles(rows, "g", {"median": 0.5})
+    return found.select("leg_id", F.element_at(F.split("k", r"\|"), 1).alias("level"), "n", "median")
 
 
 def hard_backoff(levels: DataFrame) -> DataFrame:
