@@ -59,11 +59,20 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
     best = F.struct(F.col("chars"), F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("minus"), (-F.col("row")).alias("first"))
     groups = rows.groupBy("recipe").agg(F.max(best).alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select(
-        "recipe", "group_size", (-F.col("best.minus")).alias("keep_id"), (-F.col("best.first")).alias("keep_row")
+    # Only groups of two rows or more are joined back; written first, so that Spark can split the copies of a hot one.
+    groups = written(
+        groups.where("group_size > 1").select(
+            "recipe", "group_size", (-F.col("best.minus")).alias("keep_id"), (-F.col("best.first")).alias("keep_row")
+        ),
+        "groups",
     )
-    return rows.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"
+    alone = F.col("group_size").isNull()
+    return rows.join(groups, "recipe", "left").select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
+        "text_sha256",
     )
 
 
