@@ -8,7 +8,7 @@ equal anchors, and neighbouring windows share one: a document has about 14 times
    have the window.
 2. Second pass: windows that repeat inside a batch are settled there; one of each kind and the others go on to be grouped
    exactly if their anchor is estimated in two documents or more.  Windows estimated once can't repeat elsewhere.
-3. Exact grouping by anchor and window hash, 128 bits together; the repeated ones go back to their documents.
+3. Exact grouping by dealing key and window hash, 128 bits together; the repeated ones go back to their documents.
 4. Documents meet their repeated windows; words covered by one are removed.
 
 The broadcast cells take DEPTH * 2**BITS / 8 bytes whatever the input.  With more text more anchors collide and more
@@ -36,13 +36,20 @@ _CHUNK = 8 << 20
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, n: int) -> dict[str, np.ndarray]:
-    """Anchors, hashes, first words and rows of all windows of a span of rows, and the rows' digests."""
+    """Anchors, dealing keys, hashes, first words and rows of all windows of a span of rows, and the rows' digests.
+
+    The dealing key is the anchor with the largest hash among the window's runs: equal for equal windows, but other for
+    most windows that only share a common line, so that such a line doesn't meet in one task.
+    """
     starts, lens, before = W.split(data, offsets)
     h = W.hashes(data, starts, lens, 3)
     at, row = W.whole_rows(before, n)
-    anchor = W.sliding_min(W.grams(h, min(GRAM, n)), n - min(GRAM, n) + 1)[at] if len(at) else h[:0]
+    gram = W.grams(h, min(GRAM, n))
+    width = n - min(GRAM, n) + 1
+    anchor = W.sliding_min(gram, width)[at] if len(at) else h[:0]
+    deal = W.joined(anchor, ~W.sliding_min(~gram, width)[at]) if len(at) else h[:0]
     window = W.grams(W.hashes(data, starts, lens, 4), n)[at] if len(at) else h[:0]
-    return {"anchor": anchor, "window": window, "first": at - before[:-1][row], "row": row, "digest": digests(h, before)}
+    return {"anchor": anchor, "deal": deal, "window": window, "first": at - before[:-1][row], "row": row, "digest": digests(h, before)}
 
 
 def _cells(anchor: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -123,9 +130,9 @@ def repeated_cells(text: DataFrame, n: int, bits: int) -> bytes:
 
 
 _PASS = pa.schema(
-    [("settled", pa.bool_()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("first", pa.int32()), ("windows", pa.binary())]
+    [("settled", pa.bool_()), ("deal", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("first", pa.int32()), ("windows", pa.binary())]
 )
-_PASS_DDL = "settled boolean, anchor long, doc_id long, digest long, first int, windows binary"
+_PASS_DDL = "settled boolean, deal long, doc_id long, digest long, first int, windows binary"
 
 
 def _stretches(first: np.ndarray, row: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -141,7 +148,7 @@ def _second_pass(batches: Iterator[pa.RecordBatch], n: int, bits: int, held) ->
     """Repeats inside a span of rows are settled; candidates for repeats elsewhere are sent, one of each kind.
 
     settled rows: consecutive repeated windows from ``first`` on, as many as ``windows`` has bytes.  Other rows: hashes of
-    consecutive windows with one anchor.
+    consecutive windows with one dealing key.
     """
     flags = np.frombuffer(held.value, np.uint8)
     for batch in batches:
@@ -151,8 +158,8 @@ def _second_pass(batches: Iterator[pa.RecordBatch], n: int, bits: int, held) ->
             w = _windows(data[off[a] : off[b]], off[a : b + 1] - off[a], n)
             if not len(w["anchor"]):
                 continue
-            order = np.lexsort((w["anchor"], w["window"]))
-            wa, ww = w["anchor"][order], w["window"][order]
+            order = np.lexsort((w["deal"], w["window"]))
+            wa, ww = w["deal"][order], w["window"][order]
             new = np.ones(len(order), bool)
             new[1:] = (wa[1:] != wa[:-1]) | (ww[1:] != ww[:-1])
             group = np.cumsum(new) - 1
@@ -166,11 +173,11 @@ def _second_pass(batches: Iterator[pa.RecordBatch], n: int, bits: int, held) ->
                 often &= (flags[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
             columns: list[list] = [[], [], [], [], [], []]
             for settled, chosen in ((True, np.flatnonzero(again)), (False, np.flatnonzero(one & often))):
-                first, row, anchor, window = (w[k][chosen] for k in ("first", "row", "anchor", "window"))
-                begins = _stretches(first, row) if settled else _stretches(first, row, anchor)
+                first, row, deal, window = (w[k][chosen] for k in ("first", "row", "deal", "window"))
+                begins = _stretches(first, row) if settled else _stretches(first, row, deal)
                 ends = np.append(begins, len(first))[1:]
                 columns[0] += [settled] * len(begins)
-                columns[1].append(np.zeros(len(begins), np.int64) if settled else anchor[begins].view(np.int64))
+                columns[1].append(np.zeros(len(begins), np.int64) if settled else deal[begins].view(np.int64))
                 columns[2].append(row[begins] + a)
                 columns[3].append(w["digest"][row[begins]].view(np.int64))
                 columns[4].append(first[begins].astype(np.int32))
@@ -189,18 +196,18 @@ _FOUND_DDL = "doc_id long, digest long, first int, n int"
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor: windows with an equal one among the rows of their anchor, as stretches."""
-    for table in tables_by_key(batches, ["anchor"], 20_000):
+    """Rows come sorted by dealing key: windows with an equal one among the rows of their key, as stretches."""
+    for table in tables_by_key(batches, ["deal"], 20_000):
         blobs = table.column("windows").combine_chunks()
         lens = np.diff(np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]) // 8
         window = np.frombuffer(b"".join(blobs.to_pylist()), "<u8")
         row = np.repeat(np.arange(len(lens)), lens)
-        anchor = table.column("anchor").to_numpy()[row]
+        deal = table.column("deal").to_numpy()[row]
         first = table.column("first").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens)
-        order = np.lexsort((window, anchor))
-        wa, ww = anchor[order], window[order]
+        order = np.lexsort((window, deal))
+        wd, ww = deal[order], window[order]
         new = np.ones(len(order), bool)
-        new[1:] = (wa[1:] != wa[:-1]) | (ww[1:] != ww[:-1])
+        new[1:] = (wd[1:] != wd[:-1]) | (ww[1:] != ww[:-1])
         group = np.cumsum(new) - 1
         hit = np.sort(order[np.bincount(group, minlength=1)[group] > 1]) if len(order) else order
         row, first = row[hit], first[hit]
@@ -218,8 +225,8 @@ def repeated_windows(docs: DataFrame, n: int = 35, bits: int = BITS) -> DataFram
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     held = spark.sparkContext.broadcast(repeated_cells(text, n, bits))
     passed = written(text.mapInArrow(lambda b: _second_pass(b, n, bits, held), _PASS_DDL), "windows", "settled")
-    sent = passed.where("not settled").select("anchor", "doc_id", "digest", "first", "windows")
-    dealt = sent.repartition(shuffle_width(spark), "anchor").sortWithinPartitions("anchor")
+    sent = passed.where("not settled").select("deal", "doc_id", "digest", "first", "windows")
+    dealt = sent.repartition(shuffle_width(spark), "deal").sortWithinPartitions("deal")
     found = dealt.mapInArrow(_grouped, _FOUND_DDL)
     settled = passed.where("settled").select("doc_id", "digest", "first", F.octet_length("windows").cast("int").alias("n"))
     return settled.unionByName(found)
