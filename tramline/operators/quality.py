@@ -131,25 +131,32 @@ def sections(docs: DataFrame, least: int = 200) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.aggregate(parts, start, add, close)).alias("section", "text"))
 
 
+#: Queries that are broadcast at a time (2 MB of 64-dimensional vectors).
+QUERY_BLOCK = 4_096
+
+
 def nearest(base: DataFrame, queries: DataFrame, k: int, least: float | None = None, same: str | None = None) -> DataFrame:
     """The k most similar base vectors of every query by cosine, from (vec_id, embedding [, same]).
 
-    A stated query set runs against all rows in blocks: queries are grouped into arrays of 64, so a base partition is read
-    once per block, and each block keeps k rows per query before they meet.  ``same`` restricts to equal values; ``least``
-    refuses answers below a similarity.
+    A stated query set runs against all rows in blocks of about QUERY_BLOCK queries; each block is one scan of the base and
+    keeps k rows per query before they meet.  ``same`` restricts to equal values; ``least`` refuses answers below a similarity.
     """
     unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y)))
     extra = [same] if same else []
-    q = queries.select("vec_id", unit(F.col("embedding")).alias("u"), *extra).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    blocks = q.groupBy("block").agg(F.collect_list(F.struct("vec_id", "u", *extra)).alias("qs"))
+    q = queries.select("vec_id", unit(F.col("embedding")).alias("u"), *[F.col(c).alias(f"q_{c}") for c in extra])
     b = base.select(F.col("vec_id").alias("b_id"), unit(F.col("embedding")).alias("w"), *[F.col(c).alias(f"b_{c}") for c in extra])
-    pairs = b.join(F.broadcast(blocks)).select("b_id", "w", *[f"b_{c}" for c in extra], F.explode("qs").alias("q"))
-    cos = F.aggregate(F.zip_with("w", "q.u", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    d = pairs.where(F.col("b_id") != F.col("q.vec_id"))
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    cos = F.aggregate(F.zip_with("w", "u", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    on = F.col("b_id") != F.col("vec_id")
     if same:
-        d = d.where(F.col(f"b_{same}") == F.col(f"q.{same}"))
-    d = d.select(F.col("q.vec_id").alias("vec_id"), "b_id", F.round(cos, 9).alias("similarity"))
-    if least is not None:
-        d = d.where(F.col("similarity") >= least)
+        on = on & (F.col(f"b_{same}") == F.col(f"q_{same}"))
     w = Window.partitionBy("vec_id").orderBy(F.col("similarity").desc(), "b_id")
-    return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    out = None
+    for block in range(n_blocks):
+        part = q.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == block)
+        d = b.join(F.broadcast(part), on).select("vec_id", "b_id", F.round(cos, 9).alias("similarity"))
+        if least is not None:
+            d = d.where(F.col("similarity") >= least)
+        d = d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+        out = d if out is None else out.unionByName(d)
+    return out

@@ -137,6 +137,7 @@ ORACLE_SQL = {
       SELECT f AS field, r AS "right", wrong, missed, CAST(0 AS BIGINT) AS invented, round(r / (r + wrong), 6) AS precision, round(r / (r + wrong + missed), 6) AS recall, round(2 * r / (2 * r + wrong + wrong + missed), 6) AS f1 FROM s, (SELECT unnest(['status', 'priority']) AS f)""",
     "path_coverage": """WITH r AS (SELECT path, count(*) AS n FROM (SELECT conv_id, string_agg(role, '>' ORDER BY turn, role) AS path FROM conversations GROUP BY 1) GROUP BY 1), e AS (SELECT 'user>' || repeat('assistant>user>', r_regionkey) || 'assistant' AS path FROM region)
       SELECT coalesce(r.path, e.path) AS path, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'never taken' WHEN e.path IS NULL THEN 'not expected' ELSE 'covered' END AS state FROM r FULL JOIN e ON r.path = e.path""",
+    "unsupported_numbers": "SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 1 THEN 0 ELSE 1 END AS n FROM orders",
     "sample_spread": "SELECT event_id, ts FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS p, count(*) OVER () AS n FROM events) WHERE floor(p * 100 / n) > floor((p - 1) * 100 / n)",
     "sample_strata": "SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY CAST('0x' || substr(md5('1|' || event_id), 1, 8) AS BIGINT), event_id) <= 20",
     "sample_round_robin": "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY CAST('0x' || substr(md5('1|' || event_id), 1, 8) AS BIGINT), event_id) AS n FROM events) ORDER BY n, event_type LIMIT 33",

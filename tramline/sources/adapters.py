@@ -76,10 +76,10 @@ def segments_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as segments of one leg per order; actual_time and osrm_time are running totals in row order."""
     from pyspark.sql import Window
 
-    line = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "leg")
+    order = Window.partitionBy("leg").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return line.select(
-        F.col("l_orderkey").alias("leg"), F.row_number().over(order).alias("row_index"),
+        "leg", F.row_number().over(order).alias("row_index"),
         F.col("l_returnflag").alias("route_type"), (F.col("l_extendedprice") / 1000).alias("segment_actual_time"),
         F.col("l_quantity").alias("segment_osrm_time"),
         F.sum(F.col("l_extendedprice") / 1000).over(order).alias("actual_time"),
