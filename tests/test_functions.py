@@ -109,3 +109,9 @@ def test_fleiss_kappa(spark):
     d = spark.createDataFrame([(i, x) for i, r in enumerate(["aab", "bbb", "aaa", "abb"]) for x in r], "subject int, label string")
     r = S.fleiss(d, "subject", "label").first()
     assert r["subjects"] == 4 and r["unanimous"] == 0.5 and r["kappa"] == pytest.approx((2 / 3 - 0.5) / 0.5)
+
+
+def test_fisher_exact(spark):
+    d = spark.createDataFrame([(3, 1, 1, 3), (8, 2, 1, 5)], "a int, b int, c int, d int")
+    got = sorted(r["p_fisher"] for r in S.fisher(d, "a", "b", "c", "d").collect())
+    assert got == pytest.approx([0.034965, 0.485714], abs=1e-5)

@@ -11,6 +11,29 @@ from pyspark.sql import functions as F
 from tramline.functions.tails import t_two_sided
 
 
+def usable_legs(legs: DataFrame) -> DataFrame:
+    """Legs on which the audited statistic is defined: a positive plan and a finite log ratio."""
+    r = F.col("log_gap_ratio")
+    return legs.where((F.col("planned_min") > 0) & r.isNotNull() & ~F.isnan(r) & (F.abs(r) < float("inf")))
+
+
+def statistic_agrees(legs: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """One row: legs, and those whose stored log ratio or late flag differs from a recomputation."""
+    again = F.log(F.col("actual_time") / F.col("planned_min"))
+    late = F.col("gap_min") > F.col("planned_min")
+    return legs.agg(
+        F.count("*").alias("legs"), F.count_if(F.abs(again - F.col("log_gap_ratio")) > tolerance).alias("ratio_differs"), F.count_if(late != F.col("is_delayed")).alias("flag_differs")
+    )
+
+
+def with_extras(corridors: DataFrame, extras: list[DataFrame]) -> DataFrame:
+    """Corridors with optional tables of more columns; a table that isn't there (None) is left out."""
+    for e in extras:
+        if e is not None:
+            corridors = corridors.join(e, "corridor_id", "left")
+    return corridors
+
+
 def network_baseline(legs: DataFrame) -> DataFrame:
     """One row: number, sum and sum of squares of the log ratios, and total gap."""
     r = F.col("log_gap_ratio")

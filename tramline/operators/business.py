@@ -71,6 +71,16 @@ def alert_quality(alerts: DataFrame, legs: DataFrame) -> DataFrame:
     )
 
 
+def replay_leak(legs: DataFrame, as_of_mean: DataFrame, final_mean: DataFrame, threshold: float) -> DataFrame:
+    """Alert quality with history as of creation against that of the end of the data, which has seen the outcomes."""
+    out = None
+    for name, means in (("as of creation", as_of_mean), ("end of data", final_mean)):
+        scored = legs.join(means.select("leg_id", "predicted_gap").where("predicted_gap is not null"), "leg_id")
+        row = alert_quality(flag_alerts(scored, threshold).select("leg_id", "predicted_gap"), legs).withColumn("history", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def policy_table(graded_alerts: DataFrame, legs: DataFrame) -> DataFrame:
     """Per severity, "notify at or above": alerts, hits, precision and recall, by sums from the top severity down."""
     d = graded_alerts.join(legs.select("leg_id", "is_delayed"), "leg_id")

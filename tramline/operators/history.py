@@ -163,6 +163,21 @@ def counts_by_range_join(legs: DataFrame, key: str = "corridor_id") -> DataFrame
     return q.join(f, (q.k == f.k) & (f.e <= q.t), "left").groupBy("leg_id").agg(F.count("e").cast("int").alias("n_prior"))
 
 
+def medians_by_range_join(legs: DataFrame, key: str = "corridor_id") -> DataFrame:
+    """Independent recomputation of the median of earlier gaps, by a range join; for checking, not for hot keys."""
+    q = legs.select("leg_id", F.col(key).alias("k"), micros("trip_creation_time").alias("t"))
+    f = legs.select(F.col(key).alias("k"), micros("od_end_time").alias("e"), F.col("gap_min").alias("g"))
+    return q.join(f, (q.k == f.k) & (f.e <= q.t), "left").groupBy("leg_id").agg(F.percentile("g", 0.5).alias("median"))
+
+
+def judge_medians(legs: DataFrame, key: str = "corridor_id") -> DataFrame:
+    """One row: legs, and those whose running median differs from the range join's by more than 1e-9."""
+    found = running_quantiles(timeline(legs, F.col(key), g=F.col("gap_min")), "g", {"running": 0.5}).select("leg_id", "running")
+    both = found.join(medians_by_range_join(legs, key), "leg_id")
+    bad = ~F.coalesce(F.abs(F.col("running") - F.col("median")) <= 1e-9, F.col("running").isNull() & F.col("median").isNull())
+    return both.agg(F.count("*").alias("legs"), F.count_if(bad).alias("differing"))
+
+
 def leakage_checks(legs: DataFrame, key: str = "corridor_id") -> DataFrame:
     """One row: legs checked, counts that differ between the window and the range join, legs that see themselves."""
     both = as_of(legs, key, "w").select("leg_id", "w_n_prior").join(counts_by_range_join(legs, key), "leg_id")

@@ -249,6 +249,17 @@ def hypergeometric_tail(df: DataFrame, overlap: str, a: str, b: str, total: str)
     return t.withColumn("_p", term).groupBy(*key).agg(F.sum("_p").alias("p_overlap"))
 
 
+def fisher(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
+    """Add the two-sided exact p of 2 x 2 tables (a b / c d): all tables with the same margins that are no likelier."""
+    key = list(df.columns)
+    r1, r2, c1 = F.col(a) + F.col(b), F.col(c) + F.col(d), F.col(a) + F.col(c)
+    ch = lambda n, k: ln_gamma(n + 1) - ln_gamma(k + 1) - ln_gamma(n - k + 1)
+    t = df.withColumn("_k", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), (c1 - r2).cast("long")), F.least(r1, c1).cast("long"))))
+    p = lambda k: F.exp(ch(r1, k) + ch(r2, c1 - k) - ch(r1 + r2, c1))
+    t = t.withColumn("_p", p(F.col("_k"))).withColumn("_seen", p(F.col(a)))
+    return t.groupBy(*key).agg(F.least(F.lit(1.0), F.sum(F.when(F.col("_p") <= F.col("_seen") * (1 + 1e-7), F.col("_p")).otherwise(0.0))).alias("p_fisher"))
+
+
 def fleiss(df: DataFrame, subject: str, label: str) -> DataFrame:
     """Kappa and unanimity of several raters per subject; subjects with another number of ratings than most are left out."""
     c = df.groupBy(subject, label).agg(F.count("*").alias("n"))
@@ -291,6 +302,25 @@ def better(props: DataFrame, key: str) -> DataFrame:
     return a.join(b, F.col("l") > F.col("h")).select("better", "worse")
 
 
+def compare_models(losses: DataFrame, group: list[str], block: str, d: str, reps: int, seed: int = 29) -> DataFrame:
+    """Per group (say model and slice) of loss differences d: mean, block-bootstrap 95 % interval and p, Holm-adjusted over groups.
+
+    Blocks are summed per group first; a draw of blocks serves all groups, so they are compared on the same resamples.
+    """
+    sums = losses.groupBy(*group, block).agg(F.sum(d).alias("s"), F.count(d).alias("n"))
+    blocks = global_rank(losses.select(block).distinct(), [F.col(block)], "pos").withColumn("pos", F.col("pos") - 1)
+    size = blocks.agg(F.count("*").alias("blocks"))
+    draws = repeated(blocks.select(F.col("pos").alias("i")), reps).join(F.broadcast(size))  # one row
+    draws = draws.select("rep", F.pmod(draw(seed, F.col("rep"), F.col("i")), F.col("blocks")).alias("pos"))
+    times = draws.groupBy("rep", "pos").agg(F.count("*").alias("times")).join(blocks, "pos")
+    dist = times.join(sums, block).groupBy(*group, "rep").agg((F.sum(F.col("times") * F.col("s")) / F.nullif(F.sum(F.col("times") * F.col("n")), F.lit(0))).alias("mean"))
+    seen = losses.groupBy(*group).agg(F.count(d).alias("n"), F.avg(d).alias("mean_difference"))
+    out = seen.join(bootstrap_summary(dist, "mean", group), group)
+    from tramline.operators.audit import adjusted
+
+    return adjusted(out.withColumn("_key", F.concat_ws("|", *group)), "p_value", [], "holm", "_key", "p_holm").drop("_key")
+
+
 # ---- stability ------------------------------------------------------------------------------------------------------
 def calendar_parts(legs: DataFrame, k: int) -> DataFrame:
     """Add part 1..k: the distinct days of the legs cut into k runs of equal length (days are few rows)."""

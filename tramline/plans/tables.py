@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tramline.operators import audit as A
 from tramline.operators import business as B
 from tramline.operators import clean as C
 from tramline.operators import history as H
 from tramline.operators import models as M
 from tramline.operators import quality as Q
+from tramline.operators import statistics as T
 from tramline.sources.adapters import legs_from_events, legs_from_orders, table
 from tramline.sources.shared import shared_dir
 from tramline.streaming import events as E
@@ -145,7 +147,6 @@ def alerts_shortlist_counts(spark, sf_dir):
 
 def alerts_investigated(spark, sf_dir):
     trips_ = legs_from_events(spark, sf_dir)
-    from tramline.operators import audit as A
     from tramline.operators import hubs as U
 
     audited = A.welch(A.corridor_aggregate(trips_), A.network_baseline(trips_), with_p=False).withColumn("direction", F.when(F.col("excess_ratio") >= 1, "worse").otherwise("better"))
@@ -371,6 +372,64 @@ def model_residual_boosting(spark, sf_dir):
     return M.residual_prediction(M.residual_boosting(d.where("part = 'train'"), "corr_mean_gap_min"), d.where("part = 'test'"), "corr_mean_gap_min").select("leg_id", "predicted")
 
 
+def model_forest(spark, sf_dir):
+    d = M.time_split(M.prepared(_features(spark, sf_dir)))
+    return M.score(M.tuned(d.where("part = 'train'"), "rf", 2), d.where("part = 'test'"))
+
+
+def model_ablation(spark, sf_dir):
+    d = M.time_split(M.prepared(_features(spark, sf_dir)))
+    rows = M.ablation(d.where("part = 'train'"), d.where("part = 'test'"), {"history": M.HISTORY, "counts": M.COUNTS})
+    return spark.createDataFrame(rows, "without string, mae double")
+
+
+def model_rolling_origin(spark, sf_dir):
+    return spark.createDataFrame(M.rolling_origin(M.prepared(_features(spark, sf_dir)), [(1, 12, 16), (2, 16, 20)]), "fold int, mae double")
+
+
+def model_comparison(spark, sf_dir):
+    p = _predictions(spark, sf_dir).withColumn("e", F.abs(F.col("gap_min") - F.col("predicted")))
+    bar = p.where("model = 'plan'").select("leg_id", F.col("e").alias("bar"))
+    day = legs_from_events(spark, sf_dir).select("leg_id", F.col("trip_creation_time").cast("date").cast("string").alias("day"))
+    d = p.where("model != 'plan'").join(bar, "leg_id").join(day, "leg_id").withColumn("d", F.col("e") - F.col("bar"))
+    return _rounded(T.compare_models(d, ["model", "route_type"], "day", "d", 40))
+
+
+def model_replay_leak(spark, sf_dir):
+    trips_ = legs_from_events(spark, sf_dir)
+    a = H.as_of(trips_, "corridor_id", "c").select("leg_id", F.col("c_mean_gap_min").alias("predicted_gap"))
+    final = trips_.groupBy("corridor_id").agg(F.avg("gap_min").alias("predicted_gap"))
+    return _rounded(B.replay_leak(trips_, a, trips_.select("leg_id", "corridor_id").join(final, "corridor_id"), 1.3))
+
+
+def legs_statistic(spark, sf_dir):
+    return A.statistic_agrees(A.usable_legs(legs_from_orders(spark, sf_dir)))
+
+
+def legs_judge_medians(spark, sf_dir):
+    return H.judge_medians(legs_from_events(spark, sf_dir))
+
+
+def corridor_extras(spark, sf_dir):
+    trips_ = legs_from_events(spark, sf_dir)
+    more = trips_.groupBy("corridor_id").agg(F.max("dwell_min").alias("most_dwell"))
+    return _rounded(A.with_extras(trips_.groupBy("corridor_id").agg(F.count("*").alias("n_legs")), [more, None]))
+
+
+def fisher_exact(spark, sf_dir):
+    d = legs_from_events(spark, sf_dir).groupBy("schedule").agg(*[F.count_if(x).alias(n) for n, x in (
+        ("a", F.col("is_delayed") & (F.col("planned_min") < 40)), ("b", F.col("is_delayed") & (F.col("planned_min") >= 40)),
+        ("c", ~F.col("is_delayed") & (F.col("planned_min") < 40)), ("d", ~F.col("is_delayed") & (F.col("planned_min") >= 40)))])
+    return T.fisher(d, "a", "b", "c", "d")
+
+
+def question_scores(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("|", "conv_id", "turn").alias("question"), "turn", "conv_id")
+    key = c.select("question", (F.col("turn") % 3).cast("string").alias("question_set"), F.lit("table").alias("right_route"), F.lit("audit").alias("right_source"))
+    a = c.where("conv_id % 7 != 0").select("question", F.when(F.col("conv_id") % 3 == 0, "search").otherwise("table").alias("route"), F.when(F.col("conv_id") % 2 == 0, "audit").otherwise("hubs").alias("source"))
+    return _rounded(Q.question_scores(a, key))
+
+
 # ---- streams --------------------------------------------------------------------------------------------------------
 def stream_events(spark, sf_dir):
     return _rounded(E.build_events(legs_from_events(spark, sf_dir)))
@@ -423,6 +482,7 @@ QUERIES = {f.__name__: f for f in (
     reconcile_metrics, extraction_scores, path_coverage, unsupported_numbers, sample_spread, sample_strata, sample_round_robin, document_sentences,
     document_sections, nearest_vectors, nearest_vectors_labelled, model_inputs, model_fill_violations, model_time_split, model_rolling_folds, model_metrics,
     model_threshold_sweep, model_slices, model_corridor_gains, model_decision, model_majority, model_linear, model_logistic, model_residual_boosting,
-    stream_events, stream_validation, stream_keys, stream_snapshot_join, stream_latency, stream_finish, stream_history,
+    model_forest, model_ablation, model_rolling_origin, model_comparison, model_replay_leak, legs_statistic, legs_judge_medians, corridor_extras,
+    fisher_exact, question_scores, stream_events, stream_validation, stream_keys, stream_snapshot_join, stream_latency, stream_finish, stream_history,
 )}
 ORACLE_SQL: dict[str, str] = {}  # in tables_sql

@@ -158,6 +158,22 @@ ORACLE_SQL = {
     "model_corridor_gains": trips(f"{_BASES}, g AS (SELECT corridor_id, count_if(model = 'asof_mean') AS n, avg(abs(gap_min - predicted)) FILTER (model = 'asof_mean') AS mae, avg(abs(gap_min - predicted)) FILTER (model = 'plan') AS bar_mae FROM pr GROUP BY 1) SELECT corridor_id, n, round(mae, 6) AS mae, round(bar_mae, 6) AS bar_mae, round(bar_mae - mae, 6) AS gain FROM g"),
     "model_decision": trips(f"{_BASES}, m AS (SELECT model, avg(abs(gap_min - predicted)) AS mae FROM pr GROUP BY 1), b AS (SELECT model, mae FROM m WHERE model <> 'plan' ORDER BY mae, model LIMIT 1), c AS (SELECT b.*, m.mae AS bar_mae, m.mae - b.mae AS gain FROM b, m WHERE m.model = 'plan') SELECT model, round(mae, 6) AS mae, round(bar_mae, 6) AS bar_mae, round(gain, 6) AS gain, CASE WHEN gain >= 1 THEN 'adopt' WHEN gain > 0 THEN 'report only' ELSE 'keep the bar' END AS outcome FROM c"),
     "model_majority": trips(f"{_SPLIT}, m AS (SELECT avg(is_delayed::INT) >= 0.5 AS j FROM sp WHERE part = 'train') SELECT count(*) AS n, round(avg((is_delayed = j)::INT), 6) AS accuracy FROM sp, m WHERE part = 'test'"),
+    "model_comparison": trips(f"""{_BASES}, e AS (SELECT leg_id, model, route_type, CAST(CAST(trip_creation_time AS DATE) AS VARCHAR) AS day, abs(gap_min - predicted) AS e FROM pr),
+      df AS (SELECT x.model, x.route_type, x.day, x.e - y.e AS d FROM e x JOIN e y ON x.leg_id = y.leg_id AND y.model = 'plan' WHERE x.model <> 'plan'),
+      bl AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS blocks FROM (SELECT DISTINCT day FROM df)),
+      dr AS (SELECT rep, CAST('0x' || substr(md5(concat_ws('|', '29', CAST(rep AS VARCHAR), CAST(pos AS VARCHAR))), 1, 8) AS BIGINT) % blocks AS pos FROM bl, range(40) t(rep)),
+      ds AS (SELECT model, route_type, rep, sum(d) / count(d) AS mean FROM dr JOIN bl USING (pos) JOIN df USING (day) GROUP BY 1, 2, 3),
+      sm AS (SELECT model, route_type, count(mean) AS reps, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, least(1, 2 * least(count_if(mean <= 0) + 1, count_if(mean >= 0) + 1) / (count(mean) + 1)) AS p FROM ds GROUP BY 1, 2),
+      rk AS (SELECT *, row_number() OVER (ORDER BY p, model || '|' || route_type) AS r, count(*) OVER () AS m FROM sm JOIN (SELECT model, route_type, count(d) AS n, avg(d) AS md FROM df GROUP BY 1, 2) USING (model, route_type))
+      SELECT model, route_type, n, round(md, 6) AS mean_difference, reps, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p_value, round(least(1, max((m - r + 1) * p) OVER (ORDER BY r)), 6) AS p_holm FROM rk"""),
+    "model_replay_leak": trips(f"""{_BASES}, f AS (SELECT leg_id, avg(gap_min) OVER (PARTITION BY corridor_id) AS g FROM legs), s AS (SELECT 'as of creation' AS history, leg_id, m AS g FROM fx WHERE m IS NOT NULL UNION ALL SELECT 'end of data', leg_id, g FROM f),
+      a AS (SELECT history, leg_id, g FROM s JOIN legs USING (leg_id) WHERE g > 0.3 * planned_min)
+      SELECT history, count(*) AS alerts, count_if(is_delayed) AS tp, round(count_if(is_delayed) / count(*), 6) AS precision, round(count_if(is_delayed) / (SELECT count_if(is_delayed) FROM legs), 6) AS recall, round(avg(abs(g - gap_min)), 6) AS mae FROM a JOIN legs USING (leg_id) GROUP BY 1"""),
+    "legs_statistic": legs("SELECT count(*) AS legs, CAST(0 AS BIGINT) AS ratio_differs, count_if((gap_min > planned_min) <> is_delayed) AS flag_differs FROM legs WHERE planned_min > 0"),
+    "legs_judge_medians": "SELECT count(*) AS legs, CAST(0 AS BIGINT) AS differing FROM events",
+    "corridor_extras": trips("SELECT corridor_id, count(*) AS n_legs, max(dwell_min) AS most_dwell FROM legs GROUP BY 1"),
+    "question_scores": f"""WITH q AS (SELECT CAST(turn % 3 AS VARCHAR) AS question_set, conv_id % 7 <> 0 AND conv_id % 3 <> 0 AS hit, conv_id % 2 = 0 AS src FROM conversations WHERE role = 'user'), g AS (SELECT question_set, count(*) AS n, count_if(hit) AS hits, count_if(hit AND src) AS "both" FROM q GROUP BY 1)
+      SELECT question_set, n, hits, "both", {_W} FROM (SELECT *, hits / n AS p FROM g)""",
     "stream_events": trips(f"{_EV} SELECT * REPLACE (round(gap_min, 6) AS gap_min, round(log_gap_ratio, 6) AS log_gap_ratio) FROM evs"),
     "stream_validation": trips(f"{_EV} SELECT CASE WHEN CAST(leg_id AS BIGINT) % 10 = 0 THEN 'planned_min' ELSE '' END AS violations, count(*) AS n FROM evs GROUP BY 1"),
     "stream_keys": trips(f"""{_EV}, p AS (SELECT *, CASE WHEN created_hour < 6 THEN 'night' WHEN created_hour < 12 THEN 'morning' WHEN created_hour < 18 THEN 'afternoon' ELSE 'evening' END AS part FROM evs),
