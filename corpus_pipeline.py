@@ -17,7 +17,7 @@ _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; without a letter, or with no language on half of the words, they go."""
+    """Documents in one of the learned languages; without a letter, or with no language on four tenths of the words, they go."""
     return language_id.accepted(docs).select(_COLUMNS)
 
 

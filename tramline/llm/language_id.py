@@ -285,7 +285,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", out, "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` with a language, all columns: not ``und``, and at least ``least`` of the words' probability on it."""
     judged = identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc_id")
     return docs.join(judged, "doc_id", "left_semi")

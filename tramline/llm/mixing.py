@@ -132,7 +132,7 @@ def mix(
     """One row per document of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, draws.
 
     draws lists the shards that the document goes to, one entry per copy (none: it isn't taken).  taken = size * copies:
-    whole documents are repeated and none is cut; a source misses its target by less than half a document.  size: words
+    whole documents are repeated and none is cut; a source misses its target by less than one document.  size: words
     of the text (null: 0).  Null is a source of its own, last in order.  Reruns agree, since every choice is a hash of
     seed and doc_id; rows that repeat a doc_id fall into one block.  An empty table gives no rows.  The text is scanned once.
     """
