@@ -205,6 +205,8 @@ for _k in range(8):
     _CUTS.append(_t)
     _p /= _k + 1
 
+_CH = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma(greatest(0, {n} - ({k})) + 1))"
+
 ORACLE_SQL = {
     "icc_schedule": legs(_icc("", 7)),
     "icc_by_corridor": trips(_icc("corridor_id", 5)),
@@ -250,5 +252,10 @@ ORACLE_SQL = {
       c AS (SELECT part, corridor_id, count(*) AS n, avg(log_gap_ratio) AS m FROM legs JOIN dy ON CAST(trip_creation_time AS DATE) = day GROUP BY 1, 2 HAVING count(*) >= 3), f AS (SELECT part, corridor_id, m > 0.9 AS slow FROM c),
       t AS (SELECT CAST(x.part AS INT) AS a, CAST(y.part AS INT) AS b, count(*) AS common, count_if(x.slow) AS slow_a, count_if(y.slow) AS slow_b, count_if(x.slow AND y.slow) AS "both" FROM f x JOIN f y ON x.corridor_id = y.corridor_id AND x.part < y.part GROUP BY 1, 2)
       SELECT a, b, common, slow_a, slow_b, "both", round("both" / nullif(slow_a + slow_b - "both", 0), 6) AS jaccard, round(slow_a * slow_b / common, 6) AS expected, {_WILSON} FROM (SELECT *, slow_a AS n, "both" / slow_a AS p FROM t)"""),
+    "stability_chance": legs(f"""dy AS (SELECT day, ntile(3) OVER (ORDER BY day) AS part FROM (SELECT DISTINCT CAST(trip_creation_time AS DATE) AS day FROM legs)),
+      c AS (SELECT part, corridor_id, count(*) AS n, avg(log_gap_ratio) AS m FROM legs JOIN dy ON CAST(trip_creation_time AS DATE) = day GROUP BY 1, 2 HAVING count(*) >= 3), f AS (SELECT part, corridor_id, m > 0.9 AS slow FROM c),
+      t AS (SELECT CAST(x.part AS INT) AS a, CAST(y.part AS INT) AS b, count(*) AS common, count_if(x.slow) AS slow_a, count_if(y.slow) AS slow_b, count_if(x.slow AND y.slow) AS "both" FROM f x JOIN f y ON x.corridor_id = y.corridor_id AND x.part < y.part GROUP BY 1, 2)
+      SELECT a, b, "both", slow_a, slow_b, common, round(sum(CASE WHEN slow_b - k <= common - slow_a THEN exp({_CH('slow_a', 'k')} + {_CH('common - slow_a', 'slow_b - k')} - {_CH('common', 'slow_b')}) ELSE 0 END), 6) AS p_overlap
+      FROM (SELECT *, unnest(range(CAST("both" AS BIGINT), CAST(least(slow_a, slow_b) + 1 AS BIGINT))) AS k FROM t) GROUP BY a, b, "both", slow_a, slow_b, common"""),
     "hash_draws": legs(f"SELECT leg_id, {_D(chr(39) + '5' + chr(39), chr(39) + '0' + chr(39), 'leg_id')} AS u FROM legs"),
 }

@@ -420,7 +420,7 @@ def fisher_exact(spark, sf_dir):
     d = legs_from_events(spark, sf_dir).groupBy("schedule").agg(*[F.count_if(x).alias(n) for n, x in (
         ("a", F.col("is_delayed") & (F.col("planned_min") < 40)), ("b", F.col("is_delayed") & (F.col("planned_min") >= 40)),
         ("c", ~F.col("is_delayed") & (F.col("planned_min") < 40)), ("d", ~F.col("is_delayed") & (F.col("planned_min") >= 40)))])
-    return T.fisher(d, "a", "b", "c", "d")
+    return _rounded(T.fisher(d, "a", "b", "c", "d"))
 
 
 def question_scores(spark, sf_dir):

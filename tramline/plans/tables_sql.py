@@ -7,6 +7,7 @@ from tramline.operators.clean import PIN_STATES
 from .history import _KEYS, _PART, _asof
 from .network import _HUB, _welch
 from .sql import legs, trips
+from .stats import _CH
 
 _N = "('', 'nan', 'NaN', 'NAN', 'null', 'NULL', 'None', 'NA', 'N/A', '-')"
 _RAW = """raw AS (SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT)) AS source_row_index,
@@ -172,6 +173,10 @@ ORACLE_SQL = {
     "legs_statistic": legs("SELECT count(*) AS legs, CAST(0 AS BIGINT) AS ratio_differs, count_if((gap_min > planned_min) <> is_delayed) AS flag_differs FROM legs WHERE planned_min > 0"),
     "legs_judge_medians": "SELECT count(*) AS legs, CAST(0 AS BIGINT) AS differing FROM events",
     "corridor_extras": trips("SELECT corridor_id, count(*) AS n_legs, max(dwell_min) AS most_dwell FROM legs GROUP BY 1"),
+    "fisher_exact": trips(f"""t AS (SELECT schedule, count_if(is_delayed AND planned_min < 40) AS a, count_if(is_delayed AND planned_min >= 40) AS b, count_if(NOT is_delayed AND planned_min < 40) AS c, count_if(NOT is_delayed AND planned_min >= 40) AS d FROM legs GROUP BY 1),
+      u AS (SELECT *, unnest(range(CAST(greatest(0, a + c - (c + d)) AS BIGINT), CAST(least(a + b, a + c) + 1 AS BIGINT))) AS k FROM t), p AS (SELECT *, exp({_CH('a + b', 'k')} + {_CH('c + d', 'a + c - k')} - {_CH('a + b + c + d', 'a + c')}) AS p, exp({_CH('a + b', 'a')} + {_CH('c + d', 'c')} - {_CH('a + b + c + d', 'a + c')}) AS seen FROM u)
+      SELECT schedule, a, b, c, d, round(least(1, sum(CASE WHEN p <= seen * (1 + 1e-7) THEN p ELSE 0 END)), 6) AS p_fisher FROM p GROUP BY schedule, a, b, c, d"""),
+    "alerts_notice": trips(f"""{_GRADED} SELECT leg_id, 'Leg ' || leg_id || ' on ' || corridor_id || ' is expected ' || CAST(round((predicted_total_min - planned_min) / 60, 1) AS VARCHAR) || ' h late against a plan of ' || CAST(round(planned_min / 60, 1) AS VARCHAR) || ' h (' || severity || ').' AS notice FROM gr"""),
     "question_scores": f"""WITH q AS (SELECT CAST(turn % 3 AS VARCHAR) AS question_set, conv_id % 7 <> 0 AND conv_id % 3 <> 0 AS hit, conv_id % 2 = 0 AS src FROM conversations WHERE role = 'user'), g AS (SELECT question_set, count(*) AS n, count_if(hit) AS hits, count_if(hit AND src) AS "both" FROM q GROUP BY 1)
       SELECT question_set, n, hits, "both", {_W} FROM (SELECT *, hits / n AS p FROM g)""",
     "stream_events": trips(f"{_EV} SELECT * REPLACE (round(gap_min, 6) AS gap_min, round(log_gap_ratio, 6) AS log_gap_ratio) FROM evs"),
