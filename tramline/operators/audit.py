@@ -47,17 +47,19 @@ def corridor_aggregate(legs: DataFrame) -> DataFrame:
     """
     r = F.col("log_gap_ratio")
     p = lambda c, q: F.expr(f"percentile({c}, {q})")
-    return legs.groupBy("corridor_id").agg(
+    stats = legs.groupBy("corridor_id").agg(
         F.min("source_center").alias("source_center"), F.min("destination_center").alias("destination_center"),
         F.count(r).alias("n_legs"), F.sum(r).alias("sum_log"), F.sum(r * r).alias("sumsq_log"),
         F.avg("gap_min").alias("mean_gap_min"), p("gap_min", 0.5).alias("median_gap_min"), p("gap_min", 0.9).alias("p90_gap_min"),
         F.sum("gap_min").alias("sum_gap_min"), F.avg("gap_ratio").alias("mean_gap_ratio"), p("gap_ratio", 0.5).alias("median_gap_ratio"),
         F.avg("planned_min").alias("mean_planned_min"), F.avg("planned_km").alias("mean_km"), F.avg("actual_time").alias("mean_actual_min"),
         F.avg("dwell_min").alias("mean_dwell_min"), F.avg(F.col("is_delayed").cast("double")).alias("delayed_share"),
-        F.count_distinct("trip_uuid").alias("n_trips"), F.count_distinct("schedule").alias("n_schedules"),
         F.avg((F.col("route_type") == "FTL").cast("double")).alias("ftl_share"),
         F.min("od_end_time").alias("first_end"), F.max("od_end_time").alias("last_end"),
     )
+    # Distinct counts go apart: beside percentiles, every distinct pair would carry percentile buffers of its own.
+    distinct = legs.groupBy("corridor_id").agg(F.count_distinct("trip_uuid").alias("n_trips"), F.count_distinct("schedule").alias("n_schedules"))
+    return stats.join(distinct, "corridor_id", "left")  # goes away where the counts are not used
 
 
 def welch(corridors: DataFrame, baseline: DataFrame, with_p: bool = True) -> DataFrame:
