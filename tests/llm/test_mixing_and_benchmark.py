@@ -122,3 +122,15 @@ def test_contamination_edges(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs_of(["a b"]), none).first()["n_hit"] == 0
     assert decontaminate.decontaminate(docs_of(["a"]).where("false"), none).count() == 0
+
+
+@pytest.mark.parametrize("block", [400_000, 15])
+def test_contamination_of_rows_without_own_id(spark, docs_of, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    item, other = (" ".join(f"{c}{i}" for i in range(20)) for c in "qr")
+    clean, hit, both = " ".join(f"c{i}" for i in range(20)), item, " ".join([*item.split()[:13], *["c"] * 7])
+    texts = [(None, clean), (None, hit), (None, other), (7, clean), (7, hit), (7, both), (7, hit), (None, None), (None, "")]
+    items = [(1, item), (1, item), (2, other), (3, "a b c")]
+    got = decontaminate.decontaminate(docs_of(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = [(d, *r[1:]) for (d, _), r in zip(texts, contaminated_brute([t for _, t in texts], items), strict=True)]
+    assert Counter(map(str, want)) == Counter(str((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"])) for r in got)

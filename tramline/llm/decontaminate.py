@@ -7,14 +7,17 @@ too, in one scan of the text; match positions are then mapped to words, and word
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .shared import column_of, importable, text_buffer
+from .shared import column_of, importable, text_buffer, written
 
 WINDOW = 13
 #: One automaton holds items of at most so many words; a larger benchmark is scanned for in several blocks of items.
@@ -97,29 +100,31 @@ def original_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int
     return [(int(head[starts[a]]), int(head[ends[b - 1]])) for a, b in ranges]
 
 
-_OUT = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("ranges", pa.list_(pa.list_(pa.int64()))),
-     ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))]
-)
-_DDL = "doc_id long, n_words long, ranges array<array<long>>, spans array<array<long>>, items array<string>"
+_LISTS = pa.list_(pa.list_(pa.int64()))
+_FOUND = {"n_words": pa.int64(), "ranges": _LISTS, "spans": _LISTS, "items": pa.list_(pa.string())}
+_DDL = "n_words long, ranges array<array<long>>, spans array<array<long>>, items array<string>"
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """The items as (id as text, text), in blocks of bounded size; a null item_id is read as \\N."""
+def item_blocks(benchmark: DataFrame) -> tuple[int, Callable[[int], list[tuple[str, str]]]]:
+    """Number of blocks of bounded size, and what reads one: its items as (id as text, text); a null item_id is read as \\N."""
     size = F.length(F.coalesce("text", F.lit(""))) / 2 + 1
     total = benchmark.agg(F.sum(size)).first()[0] or 0
     n = int(total // BLOCK_WORDS) + 1
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("\\N")).alias("id"), "text")
-    if n == 1:
-        return [sorted((r["id"], r["text"] or "") for r in rows.collect())]
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
-    return [sorted((r["id"], r["text"] or "") for r in dealt.where(F.col("block") == k).collect()) for k in range(n)]
+    if n > 1:
+        rows = written(rows.distinct().withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")), "items", "block")
+
+    def block(k: int) -> list[tuple[str, str]]:
+        own = rows.where(F.col("block") == k) if n > 1 else rows
+        return sorted((r["id"], r["text"] or "") for r in own.select("id", "text").collect())
+
+    return n, block
 
 
-def scan(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
-    """Per document: n_words, hit word ranges, their spans in the original text, and the items found.  One scan, no exchange."""
+def scan(docs: DataFrame, held: Broadcast, keep: list[str]) -> DataFrame:
+    """Per row of ``docs``: the columns ``keep``, n_words, hit word ranges, their spans in the original text, and the items
+    found.  One scan, no exchange."""
     importable(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(items)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto, ids = _automaton(held.value), [i for i, _ in held.value]
@@ -133,35 +138,33 @@ def scan(docs: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
                 ranges.append(own)
                 spans.append(original_spans(text, own))
                 found.append(sorted({ids[k] for k in ks}))
-            columns = [column_of(batch, "doc_id"), n_words, ranges, spans, found]
-            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
+            made = [pa.array(c, t) for c, t in zip([n_words, ranges, spans, found], _FOUND.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[column_of(batch, c) for c in keep], *made], [*keep, *_FOUND])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(find, _DDL)
+    return docs.mapInArrow(find, StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(_DDL).fields]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_words, n_hit, n_items, items, spans, contaminated.
-
-    Words are runs of digits, ASCII letters (lower-cased) and characters beyond ASCII.  A word is hit if it lies in an
-    occurrence of a benchmark window of 13 words; contaminated: at least one hit, and 20 * n_hit >= n_words.  spans: hit
-    ranges as code-point offsets in the original text.  Null and empty texts have no words and are clean; an empty
-    benchmark hits nothing; items that repeat an id count once.  Other columns are ignored.  A benchmark over BLOCK_WORDS is
-    scanned for block by block, and the hits of a document are united.
-    """
-    blocks = item_blocks(benchmark)
-    if len(blocks) == 1:
-        found = scan(docs, blocks[0])
+def judged(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs``, and beside them n_words, n_hit, n_items, items, spans, contaminated."""
+    spark = docs.sparkSession
+    n, block = item_blocks(benchmark)
+    docs = docs.select(*dict.fromkeys([*keep, "text"]))
+    if n == 1:
+        found = scan(docs, spark.sparkContext.broadcast(block(0)), keep)
     else:
-        keyed = docs.select("doc_id", "text")
-        parts = [scan(keyed, b) for b in blocks]
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        key = ["doc_id", "n_words"]
-        found = found.groupBy(*key).agg(
-            F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("spans")).alias("spans"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+        parts = []
+        for k in range(n):
+            held = spark.sparkContext.broadcast(block(k))
+            own = scan(keyed.select("_row", "text"), held, ["_row"])
+            # All rows come from the first block's scan; of the others only those with hits are needed.
+            parts.append(written(own.where(F.size("ranges") > 0) if k else own, "hits"))
+            held.destroy()
+        found = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(
+            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"),
+            F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         )
+        found = keyed.select("_row", *keep).join(found, "_row")
     # Ranges of one scan are disjoint; those of several may overlap, so words are counted as a running union.
     start = F.expr("struct(cast(0 as bigint) as n, cast(0 as bigint) as upto)")
     add = lambda acc, r: F.struct(
@@ -169,6 +172,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     n_hit = F.aggregate(F.sort_array("ranges"), start, add)["n"]
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        *keep, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sort_array("items").alias("items"), F.sort_array("spans").alias("spans"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, n_items, items, spans, contaminated.
+
+    Words are runs of digits, ASCII letters (lower-cased) and characters beyond ASCII.  A word is hit if it lies in an
+    occurrence of a benchmark window of 13 words; contaminated: at least one hit, and 20 * n_hit >= n_words.  spans: hit
+    ranges as code-point offsets in the original text.  Null and empty texts have no words and are clean; an empty
+    benchmark hits nothing; items that repeat an id count once.  Rows with a null or repeated doc_id are judged each.
+    Other columns are ignored.  A benchmark over BLOCK_WORDS is scanned for block by block, one in memory at a time, and
+    the hits of a row are united by a key of its own, written once.
+    """
+    return judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ["doc_id"])
