@@ -1,6 +1,7 @@
 """A training corpus in five stages; each stage's rows are written as Parquet and reread by the next one.
 
-Part of subpackage ``tramline.llm``.  run(spark, sf_dir) applies the stages to ``documents``.
+Part of subpackage ``tramline.llm``.  run(spark, sf_dir) applies the stages to ``documents``.  Every stage judges rows, not
+doc_ids: a null or repeated doc_id neither drops a row nor brings one back, and is passed on as it is.
 """
 
 from __future__ import annotations
@@ -18,18 +19,17 @@ _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; without a letter, or with no language on four tenths of the words, they go."""
-    return language_id.accepted(docs).select(_COLUMNS)
+    return language_id.accepted(docs.select(_COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id."""
+    """One row of each near-duplicate group, the one with the smallest doc_id (null last)."""
     return near_dedup.one_of_each_group(docs).select(_COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
-    clean = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select("doc_id")
-    return docs.join(clean, "doc_id", "left_semi").select(_COLUMNS)
+    return decontaminate.clean(docs.select(_COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,3 +188,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the hits of a row are united by a key of its own, written once.
     """
     return judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ["doc_id"])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, all columns.  Each is judged by itself, whatever its doc_id; no column
+    may be named like one of the results."""
+    return judged(docs, benchmark, docs.columns).where("not contaminated").select(*docs.columns)

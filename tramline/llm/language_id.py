@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import column_of, importable, spans_of_rows, text_buffer
 from .words import mix
@@ -240,11 +241,8 @@ def training_sample(docs: DataFrame, most: int = MOST_ROWS) -> tuple[list[bytes]
     return [t.encode() for _, t, _ in got], [lang for _, _, lang in got]
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text of ``docs``.  One scan, no exchange."""
+def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs``, and lang_pred and score of its whole text.  One scan, no exchange."""
     importable(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.names, model.tables, model.moves))
 
@@ -267,10 +265,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     else:
                         names.append("und")
                         scores.append(0.0)
-            yield pa.record_batch([column_of(batch, "doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=_OUT)
+            made = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*[column_of(batch, c) for c in keep], *made], [*keep, "lang_pred", "score"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return text.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    out = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, out)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -282,10 +281,14 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     model = fit(*training_sample(docs))
     out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2).alias("held_out")
-    return predict(docs, model).select("doc_id", out, "lang_pred", "score")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return predict(own, model, ["doc_id"]).select("doc_id", out, "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` with a language, all columns: not ``und``, and at least ``least`` of the words' probability on it."""
-    judged = identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc_id")
-    return docs.join(judged, "doc_id", "left_semi")
+    """The rows of ``docs`` with a language, all columns: not ``und``, and at least ``least`` of the words' probability on it.
+
+    Each row is judged by its own text, whether its doc_id is null, repeated or its own; no column may be named lang_pred or score.
+    """
+    judged = predict(docs, fit(*training_sample(docs)), docs.columns)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)

@@ -126,18 +126,12 @@ def _beside(dimension: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(dimension) if rows <= MOST_SOURCES else dimension
 
 
-def mix(
-    docs: DataFrame, weights: list[int], share: float = 1.5, cap: float = 2.0, seed: int = 17, shards: int = 16
+def _drawn(
+    docs: DataFrame, keep: list[str], weights: list[int], share: float = 1.5, cap: float = 2.0, seed: int = 17, shards: int = 16
 ) -> DataFrame:
-    """One row per document of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, draws.
-
-    draws lists the shards that the document goes to, one entry per copy (none: it isn't taken).  taken = size * copies:
-    whole documents are repeated and none is cut; a source misses its target by less than one document.  size: words
-    of the text (null: 0).  Null is a source of its own, last in order.  Reruns agree, since every choice is a hash of
-    seed and doc_id; rows that repeat a doc_id fall into one block.  An empty table gives no rows.  The text is scanned once.
-    """
+    """See mix; the columns ``keep`` stand in place of doc_id."""
     sized = written(
-        docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), hashed(seed, "doc", F.col("doc_id")).alias("h")), "sizes"
+        docs.select(*dict.fromkeys(["doc_id", *keep, "source"]), words_in(F.col("text")).alias("size"), hashed(seed, "doc", F.col("doc_id")).alias("h")), "sizes"
     )
     n_sources = sized.select("source").distinct().count()
     everything = Window.partitionBy(F.lit(0))
@@ -178,14 +172,14 @@ def mix(
     rows = placed.join(drawn, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
 
     # In a cut block, documents are taken in order while they fit, then up to three that come nearest to the gap that is left.
-    inside = Window.partitionBy("source", "block").orderBy("h", "doc_id", "size")
+    inside = Window.partitionBy("source", "block").orderBy("h", "doc_id", "size", *keep)
     whole = Window.partitionBy("source", "block")
     fits = F.col("upto") <= F.col("left")
     cut = rows.where("cut").withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     cut = cut.withColumn("gap", F.col("left") - F.coalesce(F.max(F.when(fits, F.col("upto"))).over(whole), F.lit(0)))
     cut = cut.withColumn("in", fits)
     for _ in range(3):
-        nearest = Window.partitionBy("source", "block", "in").orderBy(F.abs(F.col("size") - F.col("gap")), "h", "doc_id", "size")
+        nearest = Window.partitionBy("source", "block", "in").orderBy(F.abs(F.col("size") - F.col("gap")), "h", "doc_id", "size", *keep)
         cut = cut.withColumn("one", ~F.col("in") & (F.row_number().over(nearest) == 1) & (F.col("size") < 2 * F.col("gap")))
         cut = cut.withColumn("gap", F.col("gap") - F.sum(F.when(F.col("one"), F.col("size")).otherwise(0)).over(whole))
         cut = cut.withColumn("in", F.col("in") | F.col("one"))
@@ -193,14 +187,30 @@ def mix(
     rows = rows.where("not cut").withColumn("more", F.col("full").cast("int")).unionByName(cut)
     copies = (F.col("passes") + F.col("more")).cast("int")
     return rows.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.slice("shards", F.lit(1), copies).alias("draws")
+        *keep, "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.slice("shards", F.lit(1), copies).alias("draws")
     )
 
 
+def mix(
+    docs: DataFrame, weights: list[int], share: float = 1.5, cap: float = 2.0, seed: int = 17, shards: int = 16
+) -> DataFrame:
+    """One row per document of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, draws.
+
+    draws lists the shards that the document goes to, one entry per copy (none: it isn't taken).  taken = size * copies:
+    whole documents are repeated and none is cut; a source misses its target by less than one document.  size: words
+    of the text (null: 0).  Null is a source of its own, last in order.  Reruns agree, since every choice is a hash of
+    seed and doc_id; rows that repeat a doc_id fall into one block.  An empty table gives no rows.  The text is scanned once.
+    """
+    return _drawn(docs, ["doc_id"], weights, share, cap, seed, shards)
+
+
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, all columns, once per draw, with shard and a local order inside it.
 
-    doc_id must identify a row.  Only (doc_id, draws) meets the documents again; sort by (shard, place) to read a shard.
+    Rows are told apart by a key of their own, written once, so each has its own draws, also where doc_ids are null or
+    repeated.  Only (key, draws) meets the documents again; sort by (shard, place) to read a shard.
     """
-    draws = mix(docs, **how).where(F.size("draws") > 0).select("doc_id", F.posexplode("draws").alias("copy", "shard"))
-    return docs.join(draws, "doc_id").withColumn("place", hashed("place", F.col("shard"), F.col("doc_id"), F.col("copy"))).drop("copy")
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    draws = _drawn(keyed, ["_row"], **how).where(F.size("draws") > 0).select("_row", F.posexplode("draws").alias("copy", "shard"))
+    out = keyed.join(draws, "_row").withColumn("place", hashed("place", F.col("shard"), F.col("doc_id"), F.col("copy")))
+    return out.drop("_row", "copy")

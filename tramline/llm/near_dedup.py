@@ -219,6 +219,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: one document of every near-duplicate group; doc_id must identify a row."""
-    stay = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi")
+    """The rows of ``docs`` that stay, all columns: one row of every near-duplicate group, the one with the smallest doc_id.
+
+    Rows are told apart by a key of their own, written once.  A null doc_id links like any other and comes last; of rows
+    with the same doc_id in a group one stays; rows without words all stay.
+    """
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))["_row"]
+    stay = keyed.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(first.alias("_row")).select("_row")
+    return keyed.join(stay, "_row", "left_semi").select(*docs.columns)
