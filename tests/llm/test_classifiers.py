@@ -92,6 +92,51 @@ def test_language_edges_and_switching(spark, docs_of):
     assert language_id.identify(docs_of(["a"]).where("false")).count() == 0
 
 
+def test_expected_moves_against_enumeration():
+    rng = np.random.default_rng(6)
+    emit, moves = rng.normal(size=(7, 3)).astype(np.float32), rng.normal(size=(3, 3))
+    want = np.zeros((3, 3))
+    for begin, n in ((0, 4), (4, 3)):
+        own, total = np.zeros((3, 3)), 0.0
+        for code in range(3**n):
+            path = [(code // 3**k) % 3 for k in range(n)]
+            p = np.exp(sum(emit[begin + t, path[t]] for t in range(n)) + sum(moves[path[t], path[t + 1]] for t in range(n - 1)))
+            total += p
+            for t in range(n - 1):
+                own[path[t], path[t + 1]] += p
+        want += own / total
+    got = language_id.marginals(emit, np.array([0, 4]), np.array([4, 3]), moves)[1]
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_every_language_is_learned_from_bounded_rows(spark, docs_of):
+    # 70 languages with words of their own; the rarest have the fewest rows.
+    texts, lang = [], []
+    for k in range(70):
+        for i in range(4 if k >= 60 else 8):
+            texts.append(" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + (i + j) % 5)}{chr(110 + k % 13)}" for j in range(12)))
+            lang.append(f"l{k:02}")
+    docs = docs_of(texts, lang=lang)
+    _, learned = language_id.training_sample(docs, 3)
+    assert len(set(learned)) == 70 and max(learned.count(n) for n in set(learned)) == 3
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}
+    rare = [i for i, n in enumerate(lang) if n >= "l60"]
+    assert np.mean([got[i] == lang[i] for i in rare]) > 0.9
+    # Rows that all repeat one doc_id are bounded too.
+    _, same = language_id.training_sample(docs_of([(1, f"t{i}") for i in range(50)], lang=["en"] * 50), 3)
+    assert len(same) == 3
+
+
+def test_spans_of_switched_text(spark, docs_of):
+    english, french = "the cat and the dog were here", "le chat et le chien sont là"
+    texts = [english] * 20 + [french] * 20 + [f"É! {english}. {french}!", "123 !?", None]
+    got = {r["doc_id"]: r["spans"] for r in language_id.label_spans(docs_of(texts, lang=["en"] * 20 + ["fr"] * 20 + [None] * 3)).collect()}
+    assert [(s["lang"], texts[0][s["begin"] : s["end"]], s["n_words"]) for s in got[0]] == [("en", english, 7)]
+    last = [(s["lang"], texts[40][s["begin"] : s["end"]]) for s in got[40]][-2:]
+    assert last[0][0] == "en" and last[0][1].endswith(english) and last[1] == ("fr", french)
+    assert got[41] == got[42] == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body>
 <nav><ul><li><a href="/">Home</a></ul></nav><header>Top</header><div class="cookie-notice">We use</div><div class="ad">Buy</div>
 <article><h1>Title &amp; more</h1><p>One   two<br>three&nbsp;four<p><b>Five</b> &lt;six&gt; &#233;<div class="share">Share me</div>

@@ -10,11 +10,12 @@ sequences are put together from sentences of different documents, so that transi
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,8 +38,9 @@ _ENDS = np.zeros(256, bool)
 _ENDS[[0x0A, 0x21, 0x2E, 0x3F]] = True
 
 
-def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of all words, each begun by a boundary; where each begins; row of each; whether a sentence ends before it)."""
+def word_units(data: np.ndarray, offsets: np.ndarray, places: bool = False) -> tuple[np.ndarray, ...]:
+    """(bytes of all words, each begun by a boundary; where each begins; row of each; whether a sentence ends before it);
+    with ``places`` also the first byte of each in ``data`` and the one after its last."""
     byte = _BYTE[data]
     after_c3 = np.zeros(len(data), bool)
     after_c3[1:] = data[:-1] == 0xC3
@@ -55,16 +57,20 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     seq, of, stop = np.full(size, 32, np.uint8), np.zeros(size, np.int64), np.zeros(size, np.int64)
     seq[place], of[place], stop[place] = byte[at], row, stops[at]
     of[place[head] - 1], stop[place[head] - 1] = row[head], stops[at[head]]
+    source = np.zeros(size, np.int64)
+    source[place] = at
     edge = seq == 32
     keep = np.ones(size, bool)
     if size:
         keep[:-1] = ~(edge[:-1] & edge[1:])
         keep[-1] = not edge[-1]
-    seq, of, stop = seq[keep], of[keep], stop[keep]
+    seq, of, stop, source = seq[keep], of[keep], stop[keep], source[keep]
     begin = np.flatnonzero(seq == 32)
     of, stop = of[begin], stop[begin]
     new = np.ones(len(begin), bool)
     new[1:] = (of[1:] != of[:-1]) | (stop[1:] != stop[:-1])
+    if places:
+        return seq, begin, of, new, source[begin + 1], source[np.append(begin, len(seq))[1:] - 1] + 1
     return seq, begin, of, new
 
 
@@ -134,6 +140,11 @@ def chains(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def forward_backward(emit: np.ndarray, first: np.ndarray, length: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Probabilities of every word's language, all chains side by side (scaled, longest chains first)."""
+    return marginals(emit, first, length, moves)[0]
+
+
+def marginals(emit: np.ndarray, first: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of every word's language, and expected number of moves between the languages of neighbouring words."""
     p = np.exp(emit - emit.max(1, keepdims=True)).astype(np.float32) + np.float32(1e-20)
     a = np.exp(moves - moves.max()).astype(np.float32)
     order = np.argsort(-length, kind="stable")
@@ -146,14 +157,20 @@ def forward_backward(emit: np.ndarray, first: np.ndarray, length: np.ndarray, mo
         now = now / now.sum(1, keepdims=True)
         ahead[first[:n] + t] = now
     back = np.ones((len(first), p.shape[1]), np.float32)
+    moved = np.zeros(a.shape)
     for t in range(len(live) - 1, -1, -1):
         n = live[t]
         at = first[:n] + t
+        if t:
+            # The word before still has its forward probabilities; a pair's are before * move * (own score * backward).
+            before, after = ahead[at - 1], p[at] * back[:n]
+            total = ((before @ a) * after).sum(1, keepdims=True)
+            moved += a * (before.T @ (after / np.maximum(total, np.float32(1e-30))))
         both = ahead[at] * back[:n]
         ahead[at] = both / both.sum(1, keepdims=True)
         back[:n] = (back[:n] * p[at]) @ a.T
         back[:n] /= back[:n].sum(1, keepdims=True)
-    return ahead
+    return ahead, moved
 
 
 class Model:
@@ -200,7 +217,7 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 11) -> Model:
             joint[0] = True
             first, length = chains(joint)
             buckets = _buckets(seq, begin)
-            word_p = forward_backward(emissions(seq, begin, tables), first, length, moves)
+            word_p, moved = marginals(emissions(seq, begin, tables), first, length, moves)
             error = word_p.copy()
             error[np.arange(len(gold)), gold] -= 1
             for f, (bucket, word) in enumerate(buckets):
@@ -214,11 +231,7 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 11) -> Model:
             inner[first] = False
             after = np.flatnonzero(inner)
             seen = np.bincount(gold[after - 1] * k + gold[after], minlength=k * k).reshape(k, k)
-            # Expected moves under the words' probabilities, with neighbours taken as independent.
-            a = np.exp(moves - moves.max())
-            pair = word_p[after - 1][:, :, None] * word_p[after][:, None, :] * a
-            pair /= pair.sum((1, 2), keepdims=True)
-            g = (pair.sum(0) - seen) / max(1, len(after)) + 1e-4 * moves
+            g = (moved - seen) / max(1, len(after)) + 1e-4 * moves
             square_moves += g * g
             moves -= 0.5 * g / np.sqrt(square_moves)
     return Model(names, tables, moves)
@@ -226,21 +239,34 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 11) -> Model:
 
 def training_sample(docs: DataFrame, most: int = MOST_ROWS) -> tuple[list[bytes], list[str]]:
     """Whole texts and languages of at most ``most`` rows of each language outside the held-out fold, chosen by a hash of
-    doc_id; rows over MOST_BYTES aren't used for training.  Languages are found by an aggregate, so their number is known."""
+    doc_id; rows over MOST_BYTES aren't used for training.  Every language is learned, however many there are."""
+    spark = docs.sparkSession
     rows = docs.where("lang is not null and text is not null and doc_id is not null").where(
         (F.octet_length("text") <= MOST_BYTES) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    )
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    ids: list[int] = []
-    keys = rows.select("doc_id", "lang")
-    for n in names:
-        ids += [r["doc_id"] for r in keys.where(F.col("lang") == n).orderBy(*order).limit(most).select("doc_id").collect()]
-    few = docs.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], "doc_id long")
-    got = sorted((r["doc_id"], r["text"], r["lang"]) for r in rows.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").collect())
+    ).select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
+    count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not count:
+        return [], []
+    # The hashes below a bound that twice as many rows as wanted should pass; a language where too few did is sorted alone.
+    bounds = spark.createDataFrame([(n, (2 * most + 64) / c) for n, c in count.items()], "lang string, bound double")
+    near = rows.join(F.broadcast(bounds), "lang").where(F.col("h") / 2.0**64 + 0.5 <= F.col("bound"))
+    order = "h", "doc_id", "text"
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= most)
+    got = ranked.select("doc_id", "text", "lang").collect()
+    found = Counter(r["lang"] for r in got)
+    few = {n for n, c in count.items() if found[n] < min(most, c)}
+    got = [r for r in got if r["lang"] not in few]
+    for n in sorted(few):
+        got += rows.where(F.col("lang") == n).orderBy(*order).limit(most).select("doc_id", "text", "lang").collect()
+    got = sorted((r["doc_id"], r["text"], r["lang"]) for r in got)
     return [t.encode() for _, t, _ in got], [lang for _, _, lang in got]
 
 
+_SPANS = pa.list_(
+    pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("score", pa.float64())])
+)
+
+
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row of ``docs``, and lang_pred and score of its whole text.  One scan, no exchange."""
     importable(docs.sparkSession)
@@ -292,3 +318,38 @@ def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """
     judged = predict(docs, fit(*training_sample(docs)), docs.columns)
     return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+
+
+def label_spans(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, lang for training): doc_id, and spans of its text by language, in order.
+
+    A span (begin, end, lang, n_words, score) is a run of words with the same most probable language; begin and end are
+    code-point offsets, score the mean probability.  A text without letters, or where nothing is learned, has no spans.
+    """
+    importable(docs.sparkSession)
+    model = fit(*training_sample(docs))
+    held = docs.sparkSession.sparkContext.broadcast((model.names, model.tables, model.moves))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*held.value)
+        for batch in batches:
+            data, off = text_buffer(column_of(batch, "text"))
+            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for a, b in spans_of_rows(off, _CHUNK) if own.names else ():
+                part, cut = data[off[a] : off[b]], off[a : b + 1] - off[a]
+                seq, begin, row, new, start, end = word_units(part, cut, places=True)
+                if not len(begin):
+                    continue
+                p = forward_backward(emissions(seq, begin, own.tables), *chains(new), own.moves)
+                best = p.argmax(1)
+                head = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+                at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (best[1:] != best[:-1])))
+                upto = np.append(at[1:], len(row))
+                score = np.add.reduceat(p[np.arange(len(best)), best].astype(np.float64), at) / (upto - at)
+                base = head[cut[row[at]]]
+                for r, x, y, k, n, q in zip(row[at], head[start[at]] - base, head[end[upto - 1]] - base, best[at], upto - at, score, strict=True):
+                    spans[a + int(r)].append({"begin": int(x), "end": int(y), "lang": own.names[k], "n_words": int(n), "score": min(1.0, float(q))})
+            yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(spans, _SPANS)], ["doc_id", "spans"])
+
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return text.mapInArrow(run, "doc_id long, spans array<struct<begin:long,end:long,lang:string,n_words:long,score:double>>")
