@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import column_of, importable, text_buffer, written
+from .shared import arrow_map, column_of, kept, text_buffer, written
 
 WINDOW = 13
 #: One automaton holds items of at most so many words; a larger benchmark is scanned for in several blocks of items.
@@ -27,7 +27,6 @@ BLOCK_WORDS = 400_000
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
-_BUILT: dict[str, tuple] = {}
 
 
 def words(text: bytes) -> list[bytes]:
@@ -43,8 +42,8 @@ def windows(item: list[bytes]) -> set[bytes]:
 
 def _automaton(items: list[tuple[str, str]]):
     """Automaton over the windows, and for each window its length in words and the items that have it; one per worker."""
-    key = hashlib.sha256(repr(items).encode()).hexdigest()
-    if key not in _BUILT:
+
+    def build():
         import ahocorasick
 
         having: dict[bytes, list[int]] = {}
@@ -57,9 +56,9 @@ def _automaton(items: list[tuple[str, str]]):
             auto.add_word(spaced, (len(spaced), w.count(b" ") + 1, ks))
         if having:
             auto.make_automaton()
-        _BUILT.clear()
-        _BUILT[key] = auto if having else None
-    return _BUILT[key]
+        return auto if having else None
+
+    return kept(hashlib.sha256(repr(items).encode()).hexdigest(), build)
 
 
 def hit_words(text: bytes, auto) -> tuple[int, list[tuple[int, int]], set[int]]:
@@ -124,7 +123,6 @@ def item_blocks(benchmark: DataFrame) -> tuple[int, Callable[[int], list[tuple[s
 def scan(docs: DataFrame, held: Broadcast, keep: list[str]) -> DataFrame:
     """Per row of ``docs``: the columns ``keep``, n_words, hit word ranges, their spans in the original text, and the items
     found.  One scan, no exchange."""
-    importable(docs.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto, ids = _automaton(held.value), [i for i, _ in held.value]
@@ -141,7 +139,7 @@ def scan(docs: DataFrame, held: Broadcast, keep: list[str]) -> DataFrame:
             made = [pa.array(c, t) for c, t in zip([n_words, ranges, spans, found], _FOUND.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[column_of(batch, c) for c in keep], *made], [*keep, *_FOUND])
 
-    return docs.mapInArrow(find, StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(_DDL).fields]))
+    return arrow_map(docs, find, StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL(_DDL).fields]))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import column_of, importable, spans_of_rows, text_buffer
+from .shared import arrow_map, column_of, spans_of_rows, text_buffer
 from .words import mix
 
 BUCKET_BITS, GRAMS = 17, (2, 3, 4)
-#: Rows of each language and bytes of a row that training may use; words of a chain; rounds over the sample.
+#: Rows of each language and bytes of a row that training may use; words of a piece of a chain; rounds over the sample.
 MOST_ROWS, MOST_BYTES, CHAIN, EPOCHS = 400, 8_000, 64, 3
 _CHUNK = 1 << 20
 _SHARP = 4.0
@@ -128,51 +128,103 @@ def emissions(seq: np.ndarray, begin: np.ndarray, tables: np.ndarray) -> np.ndar
     return _SHARP * total[which]
 
 
-def chains(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of every chain: sentences, cut after CHAIN words."""
+def chains(new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word and length of every piece of a chain, and whether a piece goes on from the one before it.
+
+    Chains are sentences of any length; pieces have at most CHAIN words, so that long chains are worked on side by side too.
+    """
     begin = np.flatnonzero(new)
     length = np.diff(np.append(begin, len(new)))
     parts = -(-length // CHAIN)
     which = np.repeat(np.arange(len(begin)), parts)
-    step = (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)) * CHAIN
-    return begin[which] + step, np.minimum(CHAIN, length[which] - step)
+    number = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return begin[which] + number * CHAIN, np.minimum(CHAIN, length[which] - number * CHAIN), number > 0
+
+
+def forward_backward(emit: np.ndarray, first: np.ndarray, length: np.ndarray, follows: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Probabilities of every word's language."""
+    return marginals(emit, first, length, follows, moves)[0]
+
+
+def _live(length: np.ndarray) -> list[int]:
+    """For every step, how many of the pieces (longest first) still have a word."""
+    return [int(np.searchsorted(-length, -t, side="left")) for t in range(int(length[0]) if len(length) else 0)]
 
 
-def forward_backward(emit: np.ndarray, first: np.ndarray, length: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Probabilities of every word's language, all chains side by side (scaled, longest chains first)."""
-    return marginals(emit, first, length, moves)[0]
+def _norm(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
 
 
-def marginals(emit: np.ndarray, first: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of every word's language, and expected number of moves between the languages of neighbouring words."""
+def _messages(p: np.ndarray, a: np.ndarray, first: np.ndarray, length: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What every piece gets from the words before it (a factor of its first word) and after it (a factor of its last word).
+
+    A piece's words together are one matrix; the messages run along a chain over these matrices, all chains side by side.
+    """
+    ahead, behind = np.ones((len(first), p.shape[1]), np.float32), np.ones((len(first), p.shape[1]), np.float32)
+    joined = follows | np.append(follows[1:], False)
+    if not joined.any():
+        return ahead, behind
+    mine = np.flatnonzero(joined)
+    order = mine[np.argsort(-length[mine], kind="stable")]
+    whole = np.zeros((len(order), len(a), len(a)), np.float32)
+    whole[:, np.arange(len(a)), np.arange(len(a))] = p[first[order]]
+    for t, n in enumerate(_live(length[order])):
+        if t:
+            whole[:n] = (whole[:n] @ a) * p[first[order[:n]] + t][:, None, :]
+        whole[:n] /= whole[:n].sum(axis=(1, 2), keepdims=True)
+    at = np.zeros(len(first), np.int64)
+    at[order] = np.arange(len(order))
+    number = np.arange(len(first)) - np.maximum.accumulate(np.where(follows, 0, np.arange(len(first))))
+    by = np.argsort(number, kind="stable")
+    steps = np.split(by, np.searchsorted(number[by], np.arange(1, int(number.max()) + 1)))[1:]
+    for k in steps:
+        ahead[k] = _norm(np.einsum("ni,nij->nj", ahead[k - 1], whole[at[k - 1]]) @ a)
+    for k in reversed(steps):
+        behind[k - 1] = _norm(np.einsum("nij,nj->ni", whole[at[k]], behind[k]) @ a.T)
+    return ahead, behind
+
+
+def marginals(
+    emit: np.ndarray, first: np.ndarray, length: np.ndarray, follows: np.ndarray, moves: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of every word's language, and expected number of moves between the languages of neighbouring words:
+    forward-backward over all pieces side by side (scaled, longest first), with messages between the pieces of a chain."""
     p = np.exp(emit - emit.max(1, keepdims=True)).astype(np.float32) + np.float32(1e-20)
     a = np.exp(moves - moves.max()).astype(np.float32)
+    enter, leave = _messages(p, a, first, length, follows)
     order = np.argsort(-length, kind="stable")
-    first, length = first[order], length[order]
-    live = [int(np.searchsorted(-length, -t, side="left")) for t in range(int(length[0]) if len(length) else 0)]
+    first, length, follows = first[order], length[order], follows[order]
+    live = _live(length)
     ahead = np.empty_like(p)
     now = None
     for t, n in enumerate(live):
-        now = p[first[:n]] if t == 0 else (now[:n] @ a) * p[first[:n] + t]
-        now = now / now.sum(1, keepdims=True)
+        now = _norm((enter[order] if t == 0 else now[:n] @ a) * p[first[:n] + t])
         ahead[first[:n] + t] = now
-    back = np.ones((len(first), p.shape[1]), np.float32)
+    ends = first + length - 1
+    last = ahead[ends]
+    back = leave[order]
     moved = np.zeros(a.shape)
     for t in range(len(live) - 1, -1, -1):
         n = live[t]
         at = first[:n] + t
-        if t:
-            # The word before still has its forward probabilities; a pair's are before * move * (own score * backward).
-            before, after = ahead[at - 1], p[at] * back[:n]
+        # The word before still has its forward probabilities; a pair's are before * move * (own score * backward).
+        some = np.arange(n) if t else np.flatnonzero(follows)
+        if len(some):
+            before = ahead[at[some] - 1] if t else last[_place(ends, at[some] - 1)]
+            after = p[at[some]] * back[some]
             total = ((before @ a) * after).sum(1, keepdims=True)
             moved += a * (before.T @ (after / np.maximum(total, np.float32(1e-30))))
-        both = ahead[at] * back[:n]
-        ahead[at] = both / both.sum(1, keepdims=True)
-        back[:n] = (back[:n] * p[at]) @ a.T
-        back[:n] /= back[:n].sum(1, keepdims=True)
+        ahead[at] = _norm(ahead[at] * back[:n])
+        back[:n] = _norm((back[:n] * p[at]) @ a.T)
     return ahead, moved
 
 
+def _place(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands in distinct unsorted values that have it."""
+    order = np.argsort(values)
+    return order[np.searchsorted(values, wanted, sorter=order)]
+
+
 class Model:
     def __init__(self, names: list[str], tables: np.ndarray, moves: np.ndarray):
         self.names, self.tables, self.moves = names, tables, moves
@@ -215,9 +267,9 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 11) -> Model:
             # Two or three sentences of any documents make one chain, so that switches occur.
             joint = new & (draw.random(len(new)) < 0.5)
             joint[0] = True
-            first, length = chains(joint)
+            first, length, follows = chains(joint)
             buckets = _buckets(seq, begin)
-            word_p, moved = marginals(emissions(seq, begin, tables), first, length, moves)
+            word_p, moved = marginals(emissions(seq, begin, tables), first, length, follows, moves)
             error = word_p.copy()
             error[np.arange(len(gold)), gold] -= 1
             for f, (bucket, word) in enumerate(buckets):
@@ -228,7 +280,7 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 11) -> Model:
                     square[f, :, j] += g * g
                     tables[f, :, j] -= (0.5 * g / np.sqrt(square[f, :, j])).astype(np.float32)
             inner = np.ones(len(gold), bool)
-            inner[first] = False
+            inner[first[~follows]] = False
             after = np.flatnonzero(inner)
             seen = np.bincount(gold[after - 1] * k + gold[after], minlength=k * k).reshape(k, k)
             g = (moved - seen) / max(1, len(after)) + 1e-4 * moves
@@ -269,7 +321,6 @@ _SPANS = pa.list_(
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row of ``docs``, and lang_pred and score of its whole text.  One scan, no exchange."""
-    importable(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.names, model.tables, model.moves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +346,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[column_of(batch, c) for c in keep], *made], [*keep, "lang_pred", "score"])
 
     out = StructType([*docs.select(*keep).schema.fields, *StructType.fromDDL("lang_pred string, score double").fields])
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, out)
+    return arrow_map(docs.select(*dict.fromkeys([*keep, "text"])), run, out)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -326,7 +377,6 @@ def label_spans(docs: DataFrame) -> DataFrame:
     A span (begin, end, lang, n_words, score) is a run of words with the same most probable language; begin and end are
     code-point offsets, score the mean probability.  A text without letters, or where nothing is learned, has no spans.
     """
-    importable(docs.sparkSession)
     model = fit(*training_sample(docs))
     held = docs.sparkSession.sparkContext.broadcast((model.names, model.tables, model.moves))
 
@@ -352,4 +402,4 @@ def label_spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(spans, _SPANS)], ["doc_id", "spans"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return text.mapInArrow(run, "doc_id long, spans array<struct<begin:long,end:long,lang:string,n_words:long,score:double>>")
+    return arrow_map(text, run, "doc_id long, spans array<struct<begin:long,end:long,lang:string,n_words:long,score:double>>")

@@ -7,8 +7,11 @@
 3. Banding: BANDS bands of ROWS coordinates.  A pair at similarity 0.75 shares no band with probability
    (1 - 0.75**5)**40 = 2e-5, one at 0.8 with 1.2e-7.
 4. Members of a bucket are joined in a star, so no pairs are listed; the stars' components are candidate groups.
-5. Within a candidate group all pairs are compared on full shingle sets (in blocks of bounded size, each block pair in
-   its own task), and a spanning forest of the confirmed links is kept.  Its components are the result.
+5. Every candidate is compared once, on full shingle sets, with the least hub of its stars; that settles most of a group of
+   near copies as one cluster.  In a group that is one cluster nothing is left to do.
+6. In the others, each document outside the group's largest cluster meets every document of the group (in blocks of bounded
+   size, each block pair in its own task), so no link between clusters is lost, and a text of the largest cluster is copied
+   only once for each block of the rest.  The components of all confirmed links are the result.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import column_of, importable, key_changes, shuffle_width, spans_of_rows, tables_by_key, text_buffer, written
+from .shared import arrow_map, column_of, key_changes, shuffle_width, spans_of_rows, tables_by_key, text_buffer, written
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 T = BANDS * ROWS
@@ -167,19 +170,50 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_LINK)
 
 
+def links_in_blocks(members: DataFrame, texts: DataFrame, hub: Column) -> DataFrame:
+    """Confirmed links (u, v) in every group of ``members`` (node, grp, n_bytes) between a ``hub`` document and any other one.
+
+    Both kinds are cut into blocks by a hash.  A block pair of hubs with hubs or of hubs with others is one piece of work, so
+    another document's text is copied once for each block of hubs, and a hub's once for every block.
+    """
+    marked = members.withColumn("hub", hub)
+    width = lambda is_hub: F.greatest(
+        F.ceil(F.count(F.when(F.col("hub") == is_hub, 1)) / BLOCK_DOCS),
+        F.ceil(F.coalesce(F.sum(F.when(F.col("hub") == is_hub, F.col("n_bytes"))), F.lit(0)) / BLOCK_BYTES),
+    ).cast("int")
+    blocks = marked.groupBy("grp").agg(width(True).alias("hubs"), width(False).alias("others"))
+    mine = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.when(F.col("hub"), F.col("hubs")).otherwise(F.col("others")))).cast("int")
+    placed = written(marked.join(blocks, "grp").withColumn("mine", mine), "placed")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    pair = lambda a, b: F.struct(a.alias("b1"), b.alias("b2"))
+    # Block numbers of others come behind those of the hubs.
+    with_hubs = F.transform(upto(F.col("hubs")), lambda k: pair(F.least(k, F.col("mine")), F.greatest(k, F.col("mine"))))
+    with_others = F.transform(upto(F.col("others")), lambda k: pair(F.col("mine"), F.col("hubs") + k))
+    as_other = F.transform(upto(F.col("hubs")), lambda k: pair(k, F.col("hubs") + F.col("mine")))
+    pairs = F.when(F.col("hub"), F.concat(F.when(F.col("hubs") > 1, with_hubs).otherwise(F.expr("cast(array() as array<struct<b1:int,b2:int>>)")), with_others)).otherwise(as_other)
+    # One block of hubs without others is a piece of its own; with others it is part of every piece.
+    alone = (F.col("hubs") == 1) & (F.col("others") == 0)
+    pairs = F.when(alone, F.array(pair(F.lit(0), F.lit(0)))).otherwise(pairs)
+    spread = placed.select("node", "grp", F.explode(pairs).alias("p")).select("node", "grp", "p.b1", "p.b2")
+    # The candidates grow with the corpus, so this is a sort-merge join at any size, never a broadcast.
+    work = texts.join(spread.hint("merge"), "node").repartition(shuffle_width(members.sparkSession), "grp", "b1", "b2")
+    work = work.sortWithinPartitions("grp", "b1", "b2", "node").select("grp", "b1", "b2", "node", "text")
+    return written(arrow_map(work, _verified, "u long, v long"), "links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are runs of bytes outside space and 0x09-0x0D, A-Z lower-cased.  A document's set: its distinct 5-word shingles; with
     fewer words the whole sequence; null, empty and blank texts have none and link with nothing.  Documents with
     100 * intersection >= 75 * union are linked; component_id is the smallest doc_id that can be reached, kept marks that
-    row.  Rows must have a doc_id (a null one is dropped from linking and is its own component, null).  Rows that repeat
-    a doc_id share its component.  An empty table gives no rows; other columns are ignored.
+    row (each of them, where rows repeat it).  A row with a null doc_id makes no link; it has the component of a row with the
+    same words, null if there is none.  Rows that repeat a doc_id share its component.  An empty table gives no rows; other
+    columns are ignored.
     """
     spark = docs.sparkSession
-    importable(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(text.mapInArrow(_signed, _SIGNED_DDL), "signed")
+    signed = written(arrow_map(text, _signed, _SIGNED_DDL), "signed")
 
     # One node for all rows with the same words: the smallest doc_id.
     same = ["d1", "d2"]
@@ -193,22 +227,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spokes = dealt.join(stars.select("bucket", "hub"), "bucket").where("doc_id > hub")
     candidates = components(spokes.select(F.col("doc_id").alias("u"), F.col("hub").alias("v")), "candidates")
 
-    # Texts of candidates only, once for each block pair of their group.
-    member = written(candidates.join(nodes, "node").select("node", F.col("component").alias("grp"), "n_bytes"), "member")
-    blocks = member.groupBy("grp").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("n")
-    )
-    last = F.col("n") - 1
-    mine = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), last), lambda k: k != mine)
-    pair = lambda k: F.struct(F.least(k, mine).alias("b1"), F.greatest(k, mine).alias("b2"))
-    pairs = F.when(F.col("n") == 1, F.array(F.struct(F.lit(0).alias("b1"), F.lit(0).alias("b2")))).otherwise(F.transform(others, pair))
-    placed = member.join(blocks, "grp").select("node", "grp", F.explode(pairs).alias("p")).select("node", "grp", "p.b1", "p.b2")
-    # The candidates grow with the corpus, so this is a sort-merge join at any size, never a broadcast.
-    texts = text.withColumnRenamed("doc_id", "node").where("node is not null").join(placed.hint("merge"), "node")
-    sorted_pairs = texts.repartition(shuffle_width(spark), "grp", "b1", "b2").sortWithinPartitions("grp", "b1", "b2", "node")
-    links = sorted_pairs.select("grp", "b1", "b2", "node", "text").mapInArrow(_verified, "u long, v long")
-    found = components(links, "groups")
+    # First links: each candidate with its least hub, whose few texts are joined to those of the spokes.
+    node_text = text.withColumnRenamed("doc_id", "node").where("node is not null")
+    ray = written(spokes.groupBy(F.col("doc_id").alias("node")).agg(F.min("hub").alias("grp")), "rays")
+    hubs = ray.select(F.col("grp").alias("node"), "grp").distinct()
+    ends = ray.unionByName(hubs)
+    # A hub's spokes are dealt in blocks, and the hub's text goes to every block.
+    sized = written(ends.join(nodes.select("node", "n_bytes"), "node"), "ends")
+    first = links_in_blocks(sized, node_text, hub=F.col("node") == F.col("grp"))
+    clusters = components(first, "clusters")
+
+    # Then what may still be linked across clusters of one candidate group.
+    member = candidates.join(nodes, "node").join(clusters.withColumnRenamed("component", "cluster"), "node", "left").select(
+        "node", F.col("component").alias("grp"), "n_bytes", F.coalesce("cluster", "node").alias("cluster")
+    )
+    member = written(member, "member")
+    share = member.groupBy("grp", "cluster").agg(F.count("*").alias("n"))
+    largest = share.groupBy("grp").agg(F.max(F.struct("n", "cluster"))["cluster"].alias("most"), F.count("*").alias("clusters"))
+    mixed = member.join(largest.where("clusters > 1").drop("clusters"), "grp")
+    rest = links_in_blocks(mixed.select("node", "grp", "n_bytes", (F.col("cluster") != F.col("most")).alias("minor")), node_text, hub=F.col("minor"))
+    found = components(first.unionByName(rest), "groups")
 
     groups = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     joined = signed.join(groups, same, "left").select(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -15,6 +16,15 @@ from pyspark.sql import functions as F
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of an Arrow batch that Spark sends to a Python worker, unless the session names a bound of its own.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What a Python worker keeps between tasks: the tables of one operator at a time.
+_KEPT: dict[Hashable, object] = {}
+#: Folders written by ``written``, by application.
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers import this package wherever the driver was started."""
     env = spark.sparkContext.environment
@@ -23,6 +33,34 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
+def kept(key: Hashable, build: Callable[[], object]) -> object:
+    """What ``build`` gives, once per worker until another operator needs the room."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with batches of bounded bytes; at its end a task hands the memory it has freed back to the system, as
+    workers outlive tasks and sit beside the executor's heap."""
+    spark = df.sparkSession
+    importable(spark)
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(lean, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, as a cluster names it; one for this application only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,11 +85,23 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = df.write.mode("overwrite")
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the folders that ``written`` made for this application; only when every result that reads them is written."""
+    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .near_dedup import digests
-from .shared import column_of, importable, key_changes, shuffle_width, spans_of_rows, tables_by_key, text_buffer, written
+from .shared import arrow_map, column_of, key_changes, shuffle_width, spans_of_rows, tables_by_key, text_buffer, written
 
 GRAM = 8
 BITS, DEPTH, BLOCK_BITS = 26, 2, 16
@@ -119,9 +119,9 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_cells(text: DataFrame, n: int, bits: int) -> bytes:
     """The merged sketch: DEPTH * 2**bits bits, set where the estimate is two documents or more."""
     spark = text.sparkSession
-    rows = text.select("text").mapInArrow(lambda b: _sketch(b, n, bits), "block int, cells binary")
+    rows = arrow_map(text.select("text"), lambda b: _sketch(b, n, bits), "block int, cells binary")
     rows = rows.repartition(min(shuffle_width(spark), DEPTH << (bits - BLOCK_BITS)), "block").sortWithinPartitions("block")
-    merged = rows.mapInArrow(_merged, "block int, cells binary")
+    merged = arrow_map(rows, _merged, "block int, cells binary")
     size = (1 << BLOCK_BITS) // 8
     out = bytearray(DEPTH * (1 << bits) // 8)
     for r in merged.toLocalIterator(prefetchPartitions=True):
@@ -221,13 +221,12 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame, n: int = 35, bits: int = BITS) -> DataFrame:
     """(doc_id, digest of the row's words, first, n): stretches of n windows from word ``first`` on that occur elsewhere too."""
     spark = docs.sparkSession
-    importable(spark)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     held = spark.sparkContext.broadcast(repeated_cells(text, n, bits))
-    passed = written(text.mapInArrow(lambda b: _second_pass(b, n, bits, held), _PASS_DDL), "windows", "settled")
+    passed = written(arrow_map(text, lambda b: _second_pass(b, n, bits, held), _PASS_DDL), "windows", "settled")
     sent = passed.where("not settled").select("deal", "doc_id", "digest", "first", "windows")
     dealt = sent.repartition(shuffle_width(spark), "deal").sortWithinPartitions("deal")
-    found = dealt.mapInArrow(_grouped, _FOUND_DDL)
+    found = arrow_map(dealt, _grouped, _FOUND_DDL)
     settled = passed.where("settled").select("doc_id", "digest", "first", F.octet_length("windows").cast("int").alias("n"))
     return settled.unionByName(found)
 
@@ -289,9 +288,8 @@ def remove_repeats(docs: DataFrame, n: int = 35, bits: int = BITS, texts: bool =
     mine = found.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("first", "n")).alias("found"))
     mine = mine.withColumnsRenamed({"doc_id": "f_doc", "digest": "f_digest"})
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = text.mapInArrow(_with_digest, "doc_id long, digest long, text string")
+    keyed = arrow_map(text, _with_digest, "doc_id long, digest long, text string")
     on = F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("digest") == F.col("f_digest"))
     joined = keyed.join(mine, on, "left").select("doc_id", "text", "found")
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    importable(spark)
-    return joined.mapInArrow(lambda b: _removed(b, n, texts), ddl)
+    return arrow_map(joined, lambda b: _removed(b, n, texts), ddl)

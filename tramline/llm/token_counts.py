@@ -8,20 +8,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import column_of, importable
+from .shared import arrow_map, column_of
 from .tokenizing import byte_pair_lengths
 
 
 def encoded_lengths(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """(source, n_tokens) of every whole text; null text: 0 tokens.  Scan only, no exchange."""
-    importable(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = byte_pair_lengths(ranks, pattern, column_of(b, "text"))
             yield pa.record_batch([column_of(b, "source"), pa.array(n, pa.int64())], names=["source", "n_tokens"])
 
-    return docs.select("source", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "source string, n_tokens long")
+    return arrow_map(docs.select("source", F.coalesce("text", F.lit("")).alias("text")), count, "source string, n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

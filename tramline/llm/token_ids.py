@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import column_of, importable, key_changes, new_path, shuffle_width, tables_by_key
+from .shared import arrow_map, column_of, key_changes, new_path, shuffle_width, tables_by_key
 from .tokenizing import encoded_chunks
 
 BLOCK_IDS = 1 << 16
@@ -106,14 +106,13 @@ def write_token_ids(
     One range exchange of the text; a shard is one range.
     """
     spark = docs.sparkSession
-    importable(spark)
     width = id_width(vocabulary)
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .repartitionByRange(shards or shuffle_width(spark), "doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", "text")
     )
-    blocks = ordered.mapInArrow(lambda batches: _blocks(batches, tokenizer, end_id, width), BLOCK_DDL)
+    blocks = arrow_map(ordered, lambda batches: _blocks(batches, tokenizer, end_id, width), BLOCK_DDL)
     blocks.write.mode("overwrite").parquet(path)
 
 
@@ -173,11 +172,10 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a file set: doc_id, start, n_tokens, ids_crc32, shard, all taken from the blocks."""
-    importable(spark)
     blocks = read_blocks(spark, path)
-    pieces = blocks.mapInArrow(_pieces, _READ_DDL)
+    pieces = arrow_map(blocks, _pieces, _READ_DDL)
     dealt = pieces.repartition(shuffle_width(spark), "shard", "doc_start").sortWithinPartitions("shard", "doc_start", "at")
-    docs = dealt.mapInArrow(_checksums, "shard int, doc_start long, doc_id long, n_tokens long, ids_crc32 long")
+    docs = arrow_map(dealt, _checksums, "shard int, doc_start long, doc_id long, n_tokens long, ids_crc32 long")
     bases = shard_bases(blocks)
     return docs.join(F.broadcast(bases), "shard").select(
         "doc_id", (F.col("base") + F.col("doc_start")).alias("start"), "n_tokens", "ids_crc32", "shard"

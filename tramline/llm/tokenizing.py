@@ -7,11 +7,10 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .shared import spans_of_rows, text_buffer
+from .shared import kept, spans_of_rows, text_buffer
 
 #: Words that a worker keeps encoded (about 150 bytes each), and bytes of text encoded at a time.
 CACHE_WORDS, CHUNK_BYTES = 600_000, 1 << 20
-_OPEN: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
@@ -100,7 +99,7 @@ class WordEncoder:
             words += own
         get = self.place.get
         found = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        kept = self.rows, self.used
+        before = self.rows, self.used
         missing = np.flatnonzero(found < 0)
         if len(missing):
             fresh = self._learn(list({words[i]: 0 for i in missing}))
@@ -112,20 +111,18 @@ class WordEncoder:
         ids, _ = self._gather(found)
         out = np.insert(ids, np.cumsum(lengths), end_id)
         if len(missing):
-            if kept[0] + len(fresh) <= CACHE_WORDS:
+            if before[0] + len(fresh) <= CACHE_WORDS:
                 self.place |= fresh
-            elif len(missing) > 0.3 * len(words) and kept[0]:
+            elif len(missing) > 0.3 * len(words) and before[0]:
                 self.clear()  # the text has changed; what is kept no longer helps
             else:
-                self.rows, self.used = kept
+                self.rows, self.used = before
         return out, lengths + 1
 
 
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process; it outlives a task."""
-    if path not in _OPEN:
-        _OPEN[path] = WordEncoder(path)
-    return _OPEN[path]
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 def encoded_chunks(path: str, texts: pa.Array, end_id: int):
@@ -139,13 +136,15 @@ def encoded_chunks(path: str, texts: pa.Array, end_id: int):
 
 def byte_pair_lengths(path: str, pattern: str, texts: pa.Array) -> np.ndarray:
     """Number of ids of each whole text under a byte-level BPE rank file."""
-    if path not in _OPEN:
+
+    def opened():
         import base64
 
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _OPEN[path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    enc = _OPEN[path]
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    enc = kept(("bytes", path, pattern), opened)
     return np.fromiter((len(enc.encode_ordinary(t)) if t else 0 for t in texts.to_pylist()), np.int64, len(texts))

@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column_of, importable, spans_of_rows, text_buffer
+from .shared import arrow_map, column_of, spans_of_rows, text_buffer
 
 P, GAPS, LAMBDA = 4, 2, 0.5
 #: Rows and bytes of a row that training may use, landmarks, and rounds of choosing units anew.
 MOST_ROWS, MOST_BYTES, LANDMARKS, ROUNDS = 2_400, 12_000, 256, 3
+#: Toxic units of LONG letters or more, and as many clean ones, are also trained with one letter more, less or other inside;
+#: about MISSPELT examples in all, one of each kind at least.
+SPELLINGS, LONG, MISSPELT = ("more", "less", "other"), 5, 600
 _CHUNK = 1 << 20
 _SKIP, _SPACE = 255, 0
 
@@ -139,6 +142,13 @@ def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 60, seed:
     return w
 
 
+def misspelt(unit: np.ndarray, kind: str, draw: np.random.Generator) -> np.ndarray:
+    """The unit with one letter more, less, or other inside, drawn at random; its first and last letter stay."""
+    at = int(draw.integers(2, len(unit) - 1))
+    letter = np.array([draw.integers(1, 27)], np.uint8)
+    return np.concatenate([unit[:at], unit[:0] if kind == "less" else letter, unit[at if kind == "more" else at + 1 :]])
+
+
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float, float]:
     """(table, slope, offset) from whole labelled texts; a sample without both labels gives a table of zeros."""
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -184,7 +194,16 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarr
         good = {s for s, toxic in names if not toxic}
         chosen = np.array([k for (s, toxic), k in names.items() if not (toxic and s in good)])
         strings = [seq[begin[k] : begin[k] + length[k]] for k in chosen]
-        label = np.where(y[row[chosen]], 1.0, -1.0)
+        toxic = y[row[chosen]].tolist()
+        # Misspelt: toxic units that lead their documents, the fewer they are the more of each, and as many clean units.
+        leading = {seq[begin[k] : begin[k] + length[k]].tobytes() for k in best[y[row[best]]]}
+        sure = [u for u, bad in zip(strings, toxic, strict=True) if bad and len(u) > LONG and u.tobytes() in leading]
+        plain = [u for u, bad in zip(strings, toxic, strict=True) if not bad and len(u) > LONG]
+        each = min(12, max(1, MISSPELT // (len(SPELLINGS) * max(1, len(sure)))))
+        more = [misspelt(u, kind, draw) for u in sure for kind in SPELLINGS for _ in range(each)]
+        less = [misspelt(plain[k], SPELLINGS[i % len(SPELLINGS)], draw) for i, k in enumerate(draw.permutation(len(plain))[: len(more)])]
+        strings, toxic = strings + more + less, toxic + [True] * len(more) + [False] * len(less)
+        label = np.where(toxic, 1.0, -1.0)
         sub = np.concatenate(strings)
         cut = np.concatenate([[0], np.cumsum([len(s) for s in strings])[:-1]])
         unit, code, weight = features(sub, cut)
@@ -269,7 +288,6 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
     """(doc_id, score) of every whole text of ``docs``; null and empty texts get the lowest score, 0.  One scan, no exchange."""
-    importable(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +303,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
                     out[a:b] = np.where(np.isfinite(best), 1 / (1 + np.exp(-np.clip(slope * best + offset, -60, 60))), 0.0)
             yield pa.record_batch([column_of(batch, "doc_id"), pa.array(out)], schema=_OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
