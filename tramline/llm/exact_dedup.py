@@ -1,9 +1,9 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame operations only.
 
-A normalised text is cut where its own content says so, so equal stretches give equal chunks.  Each chunk has a 64-bit
-identifier; a text is the ordered list of its chunks' identifiers (its recipe).  One exchange moves the chunks, equal ones
-merged before it, and verifies that no identifier stands for two contents; where one does, chunks are named by SHA-256 instead.
-From then on only recipes are compared and moved, about 3 % of the text.
+A normalised text is cut where its own bytes say so, in any script, so equal stretches give equal chunks.  Each chunk has a
+64-bit identifier and a check of 60 bits of its SHA-256; a text is the ordered list of its chunks' identifiers (its recipe).
+The text is cut once.  One exchange merges equal chunks and verifies that every identifier has one check; those that stand
+for two contents are named by their checks as well.  Only identifiers are compared and moved, never a document.
 """
 
 from __future__ import annotations
@@ -13,28 +13,57 @@ from pyspark.sql import functions as F
 
 from .shared import written
 
-#: A chunk ends after MIN characters at the next anchor, after MAX at the latest.
+#: A chunk ends after MIN bytes at the next anchor; a stretch of MAX bytes without one (a run of one sign, say) ends there.
 MIN_CHUNK, MAX_CHUNK = 256, 4096
-_ANCHOR = "(?:e[nrt]|[aio]n|qu)"
-_CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?{_ANCHOR}|.{{1,{MAX_CHUNK}}}"
+#: More colliding identifiers than this are not looked up one by one: then every chunk is named by its check too.
+MOST_COLLIDING = 100_000
 _SPACES = r"[\x20\x09-\x0D]+"
 
 
+def _bytes_like(*residues: int) -> str:
+    """A character class of all bytes with these remainders modulo 8."""
+    return "[" + "".join(f"\\x{b:02X}" for b in range(256) if b % 8 in residues) + "]"
+
+
+#: About one position in twenty in letters, digits and the UTF-8 bytes of other scripts alike.
+_ANCHOR = _bytes_like(5) + _bytes_like(0, 1)
+_CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?{_ANCHOR}|.{{1,{MAX_CHUNK}}}"
+
+
 def normalised(text: Column) -> Column:
     """The text without space and 0x09-0x0D; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), _SPACES, "")
 
 
 def chunks(norm: Column) -> Column:
-    """The text cut into content-defined chunks, in order; together they are the whole text."""
-    return F.regexp_extract_all(norm, F.lit(_CHUNK), F.lit(0))
+    """The text's UTF-8 bytes, as characters 0 to 255, cut into content-defined chunks, in order; together they are the whole."""
+    return F.regexp_extract_all(F.decode(F.encode(norm, "UTF-8"), "ISO-8859-1"), F.lit(_CHUNK), F.lit(0))
+
+
+def named(chunk: Column) -> Column:
+    """Identifier and check of a chunk."""
+    return F.struct(F.xxhash64(chunk).alias("id"), F.conv(F.substring(F.sha2(chunk, 256), 1, 15), 16, 10).cast("long").alias("check"))
+
+
+def colliding(rows: DataFrame) -> list[int] | None:
+    """Identifiers in ``rows`` (parts) that stand for several contents; None if there are more than MOST_COLLIDING.
+
+    Chunks are merged before they move, so a chunk that many texts have costs a row for each task.
+    """
+    merged = rows.select(F.explode("parts").alias("p")).groupBy("p.id").agg(F.min("p.check").alias("a"), F.max("p.check").alias("b"))
+    found = merged.where("a != b").select("id").limit(MOST_COLLIDING + 1).collect()
+    return [r["id"] for r in found] if len(found) <= MOST_COLLIDING else None
 
 
-def identifiers_hold(texts: DataFrame) -> bool:
-    """Whether every chunk identifier stands for one content over all of ``texts`` (norm)."""
-    distinct = texts.select(F.explode(chunks(F.col("norm"))).alias("chunk")).groupBy("chunk").agg(F.lit(1).alias("one"))
-    shared = distinct.groupBy(F.xxhash64("chunk").alias("id")).agg(F.count("one").alias("n")).where("n > 1")
-    return shared.isEmpty()
+def recipe(parts: Column, unsure: list[int] | None) -> Column:
+    """The identifiers of a text's chunks, and behind them the checks of those that could stand for another content too."""
+    ids, checks = F.transform(parts, lambda p: p["id"]), lambda some: F.transform(some, lambda p: p["check"])
+    if unsure is None:
+        return F.concat(ids, checks(parts))
+    if not unsure:
+        return ids
+    doubted = F.array(*[F.lit(i).cast("long") for i in unsure])
+    return F.concat(ids, checks(F.filter(parts, lambda p: F.array_contains(doubted, p["id"]))))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -45,18 +74,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     one row of them is kept (the others carry kept = false).  An empty table gives no rows; other columns are ignored.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("norm", normalised(F.col("text")))
-    hold = identifiers_hold(texts)
-    name = (lambda c: F.xxhash64(c)) if hold else (lambda c: F.sha2(c, 256))
-    rows = written(
+    cut = written(
         texts.select(
             "doc_id",
             F.length("text").alias("chars"),
             F.sha2("norm", 256).alias("text_sha256"),
-            F.transform(chunks(F.col("norm")), name).alias("recipe"),
+            F.transform(chunks(F.col("norm")), named).alias("parts"),
             F.monotonically_increasing_id().alias("row"),
         ),
         "recipes",
     )
+    rows = cut.withColumn("recipe", recipe(F.col("parts"), colliding(cut))).drop("parts")
     best = F.struct(F.col("chars"), F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("minus"), (-F.col("row")).alias("first"))
     groups = rows.groupBy("recipe").agg(F.max(best).alias("best"), F.count("*").alias("group_size"))
     # Only groups of two rows or more are joined back; written first, so that Spark can split the copies of a hot one.
