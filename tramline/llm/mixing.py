@@ -6,8 +6,8 @@
    drawn words meet the target.  The block at the end of the prefix is cut between two documents.
 4. A splitting tree deals the sources' block quotas to output shards: at every node the left half gets a multivariate
    hypergeometric share of the quotas, drawn by inversion from a hash of (seed, node, source).
-5. A source's draws go to the shards in permuted order by these exact quotas, so shards are disjoint; inside a shard
-   the documents are ordered by hash.
+5. A source's draws go to the shards in permuted order by these exact quotas, so shards are disjoint.  A document is taken as
+   often as shards drew it, and inside a shard the documents are shuffled by the order of a hash.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import shuffle_width, written
 
 _WORD = r"[^\x20\x09-\x0D]+"
 #: A source's blocks have about this many words, and all sources together at most about MOST_BLOCKS blocks.
@@ -167,7 +167,7 @@ def _drawn(
     shard_of = lambda d: F.filter("ranges", lambda r: r["to"] >= d)[0]["shard"]
     drawn = blocks.join(_beside(ranges, n_sources), F.col("source").eqNullSafe(F.col("r_source"))).select(
         F.col("source").alias("b_source"), F.col("block").alias("b_block"), "full", "cut", "left",
-        F.coalesce(F.transform(numbers, shard_of), F.expr("cast(array() as array<int>)")).alias("shards"),
+        F.coalesce(F.filter(F.transform(numbers, shard_of), F.isnotnull), F.expr("cast(array() as array<int>)")).alias("shards"),
     )
     rows = placed.join(drawn, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
 
@@ -185,10 +185,9 @@ def _drawn(
         cut = cut.withColumn("in", F.col("in") | F.col("one"))
     cut = cut.withColumn("more", F.col("in").cast("int")).drop("upto", "gap", "in", "one")
     rows = rows.where("not cut").withColumn("more", F.col("full").cast("int")).unionByName(cut)
-    copies = (F.col("passes") + F.col("more")).cast("int")
-    return rows.select(
-        *keep, "size", "source_size", "target", (F.col("size") * copies).alias("taken"), F.slice("shards", F.lit(1), copies).alias("draws")
-    )
+    # A document is taken as often as the tree's shards drew it.
+    draws = F.slice("shards", F.lit(1), (F.col("passes") + F.col("more")).cast("int"))
+    return rows.select(*keep, "size", "source_size", "target", draws.alias("draws")).withColumn("taken", F.col("size") * F.size("draws"))
 
 
 def mix(
@@ -204,13 +203,21 @@ def mix(
     return _drawn(docs, ["doc_id"], weights, share, cap, seed, shards)
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the rows of ``docs``, all columns, once per draw, with shard and a local order inside it.
+def mixed_documents(docs: DataFrame, parts: int | None = None, **how) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, once per draw, with shard and place, in shard order and shuffled
+    inside each shard.
 
     Rows are told apart by a key of their own, written once, so each has its own draws, also where doc_ids are null or
-    repeated.  Only (key, draws) meets the documents again; sort by (shard, place) to read a shard.
+    repeated.  Only (key, draws) meets the documents again.  place is a hash of the shard, doc_id and copy; the rows are
+    dealt to ``parts`` ranges of (shard, place) and sorted inside, so a shard of any size is shuffled by many tasks, and
+    the files of ``docs.write`` read one after another are the shards one after another.
     """
     keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     draws = _drawn(keyed, ["_row"], **how).where(F.size("draws") > 0).select("_row", F.posexplode("draws").alias("copy", "shard"))
-    out = keyed.join(draws, "_row").withColumn("place", hashed("place", F.col("shard"), F.col("doc_id"), F.col("copy")))
-    return out.drop("_row", "copy")
+    ids = keyed.select("_row", "doc_id").withColumnRenamed("_row", "_id")
+    place = hashed("place", F.col("shard"), F.col("doc_id"), F.col("copy"))
+    draws = written(draws.join(ids, F.col("_row") == F.col("_id")).select("_row", "shard", place.alias("place")), "draws")
+    out = keyed.join(draws, "_row")
+    # The key comes last in the order, so that equal places fall the same way in every run of a stage.
+    out = out.repartitionByRange(parts or shuffle_width(docs.sparkSession), "shard", "place", "_row").sortWithinPartitions("shard", "place", "_row")
+    return out.drop("_row")

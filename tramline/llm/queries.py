@@ -13,7 +13,7 @@ from . import decontaminate, exact_dedup, html_extract, language_id, mixing, nea
 #: Parameters of the queries.
 WORD_BPE, WORD_BPE_IDS = "word_bpe_49k.json", 49_408
 BYTE_BPE = "byte_bpe_50k.tiktoken"
-WEIGHTS, SHARE, CAP, SEED = [3, 1, 2], 1.5, 2.0, 17
+WEIGHTS, SHARE, CAP, SEED, SHARDS = [3, 1, 2], 1.5, 2.0, 17, 16
 REPEAT_WORDS = 35
 
 
@@ -41,8 +41,9 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, SHARE, CAP, SEED)
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    out = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, SHARE, CAP, SEED, SHARDS)
+    draws = F.array_join(F.col("draws").cast("array<string>"), ",").alias("draws")
+    return out.select("doc_id", "size", "source_size", "target", "taken", draws)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,8 +148,46 @@ r{k} AS (
     PARTITION BY source, block, taken_in ORDER BY abs(size - gap), h, doc_id, size) = 1 AS one FROM r{j})
 )"""
 
+#: One level of the splitting tree: the sources of a node take their share of its left half one after another.
+_LEVEL = """
+n{t} AS (
+  SELECT low, m, source, quota, {u} AS u, row_number() OVER (PARTITION BY low ORDER BY source NULLS LAST) AS k,
+    CAST(sum(quota) OVER (PARTITION BY low) AS BIGINT) AS total FROM q{t}
+),
+d{t}(low, m, k, source, quota, total, want, x) AS (
+  SELECT low, m, k, source, quota, total, total * (m // 2) // m, {first} FROM n{t} WHERE k = 1
+  UNION ALL
+  SELECT n.low, n.m, n.k, n.source, n.quota, p.total - p.quota, p.want - p.x, {next}
+  FROM d{t} p JOIN n{t} n ON n.low = p.low AND n.k = p.k + 1
+),
+q{j} AS (
+  SELECT low, m // 2 AS m, source, x AS quota FROM d{t} UNION ALL SELECT low + m // 2, m - m // 2, source, quota - x FROM d{t}
+)"""
+
+
+def _share(good: str, total: str, want: str, u: str) -> str:
+    """The hypergeometric quantile at u, as DuckDB adds it up."""
+    low = f"greatest(0, {want} + {good} - {total})"
+    ways = lambda *n: " + ".join(f"lgamma(({x}) + 1.0)" for x in n)
+    above = ways(good, f"{total} - {good}", want, f"{total} - {want}")
+    p = f"exp({above} - ({ways(total, 'y', f'{good} - y', f'{want} - y', f'{total} - {good} - {want} + y')}))"
+    return (
+        f"list_reduce(list_transform(range({low}, least({good}, {want}) + 1), lambda y: {{'s': {p}, 'x': y}}), "
+        f"lambda a, b: {{'s': a.s + b.s, 'x': CASE WHEN a.s < {u} THEN b.x ELSE a.x END}}, {{'s': CAST(0 AS DOUBLE), 'x': {low}}}).x"
+    )
+
+
+def _tree(shards: int) -> str:
+    out = []
+    for t in range((shards - 1).bit_length()):
+        u = f"({_hash(f"'{SEED}'", f"'{t}'", 'CAST(low AS VARCHAR)', r"coalesce(source, '\N')")} + 0.5) / 4294967296.0"
+        first = _share("quota", "total", "(total * (m // 2) // m)", "u")
+        out.append(_LEVEL.format(t=t, j=t + 1, u=u, first=first, next=_share("n.quota", "(p.total - p.quota)", "(p.want - p.x)", "n.u")))
+    return ",".join(out)
+
+
 _OP5 = rf"""
-WITH s AS (
+WITH RECURSIVE s AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_SPLIT})) AS BIGINT) AS size,
     {_hash(f"'{SEED}'", "'doc'", "CAST(doc_id AS VARCHAR)")} AS h FROM documents
 ),
@@ -172,13 +211,23 @@ placed AS (
   FROM s JOIN v ON s.source IS NOT DISTINCT FROM v.source
 ),
 blocks AS (
-  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY {_hash(f"'{SEED}'", "'block'", r"coalesce(source, '\N')", "CAST(block AS VARCHAR)")}, block) AS upto
-  FROM (SELECT source, block, rest, sum(size) AS words FROM placed GROUP BY ALL)
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY block_h, block) AS upto FROM (
+    SELECT source, block, passes, rest, sum(size) AS words, any_value({_hash(f"'{SEED}'", "'block'", r"coalesce(source, '\N')", "CAST(block AS VARCHAR)")}) AS block_h
+    FROM placed GROUP BY source, block, passes, rest
+  )
+),
+line AS (
+  SELECT source AS bs, block AS bb, words, rest - upto + words AS rest_left, passes + CAST(rest - upto + words > 0 AS INT) AS draws,
+    row_number() OVER (PARTITION BY source ORDER BY block_h, block) AS place, count(*) OVER (PARTITION BY source) AS line_length FROM blocks
+),
+q0 AS (SELECT 0 AS low, {SHARDS} AS m, bs AS source, CAST(sum(draws) AS BIGINT) AS quota FROM line GROUP BY bs),{_tree(SHARDS)},
+ranges AS (
+  SELECT source AS r_source, list({{'upto': upto, 'shard': low}} ORDER BY upto, low) AS ranges
+  FROM (SELECT source, low, sum(quota) OVER (PARTITION BY source ORDER BY low) AS upto FROM q{(SHARDS - 1).bit_length()}) GROUP BY source
 ),
 rows_in AS (
-  SELECT placed.*, rest_left, rest_left >= words AS full_block, rest_left > 0 AND rest_left < words AS cut
-  FROM placed JOIN (SELECT source AS bs, block AS bb, words, rest - upto + words AS rest_left FROM blocks)
-  ON source IS NOT DISTINCT FROM bs AND block = bb
+  SELECT placed.*, rest_left, rest_left >= words AS full_block, rest_left > 0 AND rest_left < words AS cut, place, line_length
+  FROM placed JOIN line ON source IS NOT DISTINCT FROM bs AND block = bb
 ),
 ordered AS (
   SELECT *, sum(size) OVER (PARTITION BY source, block ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM rows_in WHERE cut
@@ -188,10 +237,14 @@ r0 AS (
     rest_left - coalesce(max(CASE WHEN upto <= rest_left THEN upto END) OVER (PARTITION BY source, block), 0) AS gap FROM ordered
 ),{",".join(_ROUND.format(j=k, k=k + 1) for k in range(3))},
 every AS (
-  SELECT doc_id, size, source_size, target, passes, full_block AS more FROM rows_in WHERE NOT cut
-  UNION ALL SELECT doc_id, size, source_size, target, passes, taken_in FROM r3
+  SELECT doc_id, source, size, source_size, target, passes + CAST(full_block AS INT) AS copies, place, line_length FROM rows_in WHERE NOT cut
+  UNION ALL SELECT doc_id, source, size, source_size, target, passes + CAST(taken_in AS INT), place, line_length FROM r3
+),
+drawn AS (
+  SELECT *, list_transform(range(1, copies + 1), lambda p: list_filter(ranges, lambda r: r.upto >= (p - 1) * line_length + place)[1].shard) AS draws
+  FROM every JOIN ranges ON source IS NOT DISTINCT FROM r_source
 )
-SELECT doc_id, size, source_size, target, CAST(size * (passes + CAST(more AS INT)) AS BIGINT) AS taken FROM every
+SELECT doc_id, size, source_size, target, CAST(size * len(draws) AS BIGINT) AS taken, array_to_string(draws, ',') AS draws FROM drawn
 """
 
 _OP7 = r"""
