@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from oracle import SF
@@ -53,6 +55,47 @@ def test_toxicity_tolerates_insertions(spark, docs_of):
     assert [got[i]["predicted"] for i in range(300, 306)] == [1, 1, 1, 0, 0, 0]
 
 
+def kernel_brute(a: str, b: str) -> float:
+    """Subsequences of P characters with at most GAPS characters skipped, each weighing LAMBDA ** skipped, shared by two words."""
+    def found(word):
+        out = Counter()
+        for at in combinations(range(len(word)), toxicity.P):
+            skipped = at[-1] - at[0] + 1 - toxicity.P
+            if skipped <= toxicity.GAPS:
+                out["".join(word[i] for i in at)] += toxicity.LAMBDA**skipped
+        return out
+
+    x, y = found(a), found(b)
+    return sum(x[s] * y[s] for s in x) / np.sqrt(len(a) * len(b))
+
+
+def test_features_are_the_subsequence_kernel():
+    words = ["blorgface", "blorxgface", "faceblorg", "gracefully", "abc", "zzzzzz"]
+    raw = " ".join(words).encode()
+    seq, begin, _ = toxicity.units(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    unit, code, weight = toxicity.features(seq, begin)
+    phi = [Counter() for _ in words]
+    for u, c, w in zip(unit, code, weight, strict=True):
+        phi[u][int(c)] += float(w)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            got = sum(phi[i][c] * phi[j][c] for c in phi[i])
+            assert abs(got - kernel_brute("_" + a, "_" + b)) < 1e-5  # a unit begins with a sign of its own
+
+
+def test_misspelt_insults_are_caught(spark, docs_of):
+    insults, rng = ["blorgface", "zunkhead"], np.random.default_rng(1)
+    plain = lambda: " ".join("".join(rng.choice(list("aeioustnr"), 6)) for _ in range(12))
+    texts = [plain() + (f" {insults[i % 2]} " if i % 3 == 0 else " ") + plain() for i in range(300)]
+    probes = ["blorxgface", "zunkxhead", "blrgface", "b1orgface", "blorrgface", "zunkhed", "zuonkhead", "blorqface", "zunqhead", "blorgfaice"]
+    clean = ["".join(rng.choice(list("aeioustnr"), 9)) for _ in range(40)] + ["blue face", "the forehead", "gorgeous"]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs_of(texts + probes + clean), labels).collect()}
+    caught = [got[300 + k] for k in range(len(probes))]
+    assert np.mean(caught) >= 0.8, caught
+    assert sum(got[300 + len(probes) + k] for k in range(len(clean))) == 0
+
+
 def test_toxicity_edges(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     docs = docs_of([(None, "a"), (1, None), (1, "b")])
@@ -70,7 +113,7 @@ def test_forward_backward_against_enumeration():
         for t in range(5):
             want[t, path[t]] += p
     want /= want.sum(1, keepdims=True)
-    got = language_id.forward_backward(emit, np.array([0]), np.array([5]), moves)
+    got = language_id.forward_backward(emit, np.array([0]), np.array([5]), np.array([False]), moves)
     assert np.allclose(got, want, atol=1e-5)
 
 
@@ -105,7 +148,36 @@ def test_expected_moves_against_enumeration():
             for t in range(n - 1):
                 own[path[t], path[t + 1]] += p
         want += own / total
-    got = language_id.marginals(emit, np.array([0, 4]), np.array([4, 3]), moves)[1]
+    got = language_id.marginals(emit, np.array([0, 4]), np.array([4, 3]), np.array([False, False]), moves)[1]
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_long_sentences_keep_their_transitions(monkeypatch):
+    # A sentence of 10,000 words among short ones: cut into pieces or not, the result is the same.
+    rng = np.random.default_rng(7)
+    new = np.zeros(10_500, bool)
+    new[[0, 3, 10_003, 10_100, 10_229]] = True
+    emit, moves = rng.normal(size=(len(new), 3)).astype(np.float32), rng.normal(size=(3, 3)) * 2
+    got = [language_id.marginals(emit, *language_id.chains(new), moves)]
+    monkeypatch.setattr(language_id, "CHAIN", 1 << 20)
+    got.append(language_id.marginals(emit, *language_id.chains(new), moves))
+    assert np.allclose(got[0][0], got[1][0], atol=1e-4) and np.allclose(got[0][1], got[1][1], rtol=1e-3)
+    assert abs(got[0][1].sum() - (len(new) - 5)) < 1
+
+
+def test_expected_moves_are_the_gradient():
+    rng = np.random.default_rng(8)
+    emit, moves = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
+
+    def log_z(m):
+        alpha = emit[0]
+        for t in range(1, 9):
+            alpha = np.logaddexp.reduce(alpha[:, None] + m, axis=0) + emit[t]
+        return np.logaddexp.reduce(alpha)
+
+    step = 1e-5
+    want = [[(log_z(moves + step * (np.arange(9).reshape(3, 3) == 3 * i + j)) - log_z(moves - step * (np.arange(9).reshape(3, 3) == 3 * i + j))) / (2 * step) for j in range(3)] for i in range(3)]
+    got = language_id.marginals(emit.astype(np.float32), np.array([0]), np.array([9]), np.array([False]), moves)[1]
     assert np.allclose(got, want, atol=1e-4)
 
 
@@ -158,6 +230,49 @@ def test_low_branches_go_and_copies_stay(spark):
     assert got[3] == "Story 3 is new\nAnd 9 too" and got[105] == "Same words on every page\nStory 7 is new\nAnd 49 too"
 
 
+def tree_brute(pages: dict[str, str]) -> dict[str, tuple]:
+    """(pages, content, presentation) of every node of one host, from the definitions."""
+    found = {html_extract.page_features(p)[0]: html_extract.blocks(p) for p in pages.values()}
+    having, texts, below = {}, {}, {}
+    for page, own in found.items():
+        for path, text, *_ in own:
+            texts.setdefault(path, {}).setdefault(text, set()).add(page)
+            for k in range(1, len(path) + 1):
+                having.setdefault(path[:k], set()).add(page)
+                below.setdefault(path[:k], {}).setdefault(page, set()).update(path[k : k + 1])
+    entropy = lambda n, m: 0.0 if m < 2 else np.log(n) / np.log(m)
+    out = {}
+    for node, own in having.items():
+        under = [entropy(len(on), len(having[path])) for path in texts if path[: len(node)] == node for on in texts[path].values()]
+        kinds = Counter(map(frozenset, below[node].values()))
+        m = len(own)
+        shape = 1.0 if m < 2 else -sum(c / m * np.log(c / m) for c in kinds.values()) / np.log(m)
+        out[">".join(node)] = (m, 1 - np.mean(under), abs(shape))
+    return out
+
+
+def test_style_tree_against_definitions(spark):
+    part = lambda i: "<div class=a>same</div>" * (i % 3 == 0) + f"<div class=b><p>own {i}</p><p>pair {i // 2}</p></div>" + "<i>x</i>" * (i % 2)
+    pages = {f"{i}": f"<html><body>{part(i)}<ul><li>one<li>two</ul></body></html>" for i in range(7)}
+    rows = [(int(i), "http://h.com/" + i, p) for i, p in pages.items()] + [(90, "http://h.com/again", pages["3"])]
+    tree = html_extract.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r["path"]: (r["pages"], r["content"], r["presentation"]) for r in tree}
+    want = tree_brute(pages)
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-9) for k in want)
+    assert all(abs(r["importance"] - 0.9 * r["content"] - 0.1 * r["presentation"]) < 1e-9 for r in tree)
+
+
+def test_the_tree_decides_where_it_knows(spark):
+    # Nothing here is named; the template goes, a class of the prior stays where it is prose of its page's own.
+    prose = lambda i: f"A long paragraph number {i} about the matter of {i * 7}, which no other page of this site has word for word."
+    body = lambda i: f"<body><div class=xa>Shop now {i % 2}</div><div class=header-text><p>{prose(i)}</p></div><div class=xb><p>Story {i}</p></div></body>"
+    few = lambda i: f"<body><div class=xa>Shop now</div><div class=header-text><p>{prose(i)}</p></div><p>Story {i}</p></body>"
+    rows = [(i, f"http://site.com/{i}", body(i)) for i in range(20)] + [(100 + i, f"http://few.com/{i}", few(i)) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4] == f"{prose(4)}\nStory 4"
+    assert got[101] == "Shop now\nStory 1"  # three pages are no evidence: the prior alone decides
+
+
 def test_pages_table(spark):
     rows = Q.op9_extract_html(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and all(r["n_chars"] > 0 for r in rows)

@@ -124,10 +124,12 @@ def exact_brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("collide", [False, True])
+@pytest.mark.parametrize("collide", ["no", "some", "too many"])
 def test_exact_duplicates(spark, docs_of, monkeypatch, collide):
-    if collide:  # what happens when an identifier stands for two contents
-        monkeypatch.setattr(exact_dedup, "identifiers_hold", lambda texts: False)
+    if collide != "no":  # what happens when an identifier stands for several contents
+        full = exact_dedup.named
+        monkeypatch.setattr(exact_dedup, "named", lambda c: full(c).withField("id", F.length(c).cast("long")))
+        monkeypatch.setattr(exact_dedup, "MOST_COLLIDING", 100 if collide == "some" else 0)
     long = "lorem ipsum dolor sit amet " * 700
     rows = [(0, "ab c"), (1, "a bc"), (2, "abc "), (3, "a b c"), (4, None), (5, ""), (6, " \n"), (7, long), (8, long.replace(" ", "\n")), (9, long[:-2]), (10, "É"), (11, "e"), (12, "abd")]
     got = sorted(map(tuple, exact_dedup.exact_dedup(docs_of(rows).repartition(4)).collect()), key=str)
@@ -143,10 +145,18 @@ def test_exact_duplicates_edges(spark, docs_of):
 
 
 def test_chunks_are_the_text(spark):
-    texts = ["", "x" * 9000, "the quick brown fox " * 900, "é" * 300]
+    rng = np.random.default_rng(2)
+    random_text = lambda alphabet, n=8000: "".join(rng.choice(alphabet, n))
+    han, digits = [chr(c) for c in range(0x4E00, 0x9FA0)], list("0123456789")
+    cut_anywhere = [random_text(han), random_text(digits), random_text([chr(c) for c in range(0x430, 0x450)]), random_text(list("etaoinshrdlu"))]
+    texts = ["", "x" * 9000, "the quick brown fox " * 900, "é" * 300, *cut_anywhere]
     d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", exact_dedup.chunks(F.col("t")).alias("c"))
     for r in d.collect():
-        assert "".join(r["c"]) == r["t"] and all(len(c) <= exact_dedup.MAX_CHUNK + 2 for c in r["c"])
+        assert "".join(r["c"]).encode("latin-1").decode() == r["t"] and all(len(c) <= exact_dedup.MAX_CHUNK + 2 for c in r["c"])
+        if r["t"] in cut_anywhere:  # the content decides in every script, and a shift is caught up with
+            assert max(map(len, r["c"])) < 1200
+            shifted = spark.createDataFrame([("1" * 7 + r["t"],)], "t string").select(exact_dedup.chunks(F.col("t"))).first()[0]
+            assert len(set(shifted) & set(r["c"])) > 0.5 * len(r["c"])
 
 
 def repeats_brute(texts, n):
