@@ -2,6 +2,8 @@
 
 Part of subpackage ``tramline.llm``.  run(spark, sf_dir) applies the stages to ``documents``.  Every stage judges rows, not
 doc_ids: a null or repeated doc_id neither drops a row nor brings one back, and is passed on as it is.
+
+A stage begins when its predecessor's rows are written, so it first deletes what that one left in the shared folder.
 """
 
 from __future__ import annotations
@@ -12,33 +14,38 @@ from pyspark.sql import functions as F
 
 from tramline.llm import decontaminate, language_id, mixing, near_dedup, token_ids
 from tramline.llm.queries import CAP, SEED, SHARE, WEIGHTS, WORD_BPE, WORD_BPE_IDS, table
-from tramline.llm.shared import new_path
+from tramline.llm.shared import new_path, release
 
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; without a letter, or with no language on four tenths of the words, they go."""
+    release(spark)
     return language_id.accepted(docs.select(_COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group, the one with the smallest doc_id (null last)."""
+    release(spark)
     return near_dedup.one_of_each_group(docs).select(_COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark doesn't contaminate."""
+    release(spark)
     return decontaminate.clean(docs.select(_COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by target weights of their sources; one that the mix repeats has a row for each copy."""
+    release(spark)
     return mixing.mixed_documents(docs, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED).select(_COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids, written and read back: one row per document of the mix."""
+    release(spark)
     return token_ids.token_ids(docs, public_tokenizers.path(WORD_BPE), WORD_BPE_IDS, end_id=1).select(
         "doc_id", "start", "n_tokens", "ids_crc32"
     )
