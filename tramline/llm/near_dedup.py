@@ -195,7 +195,6 @@ def links_in_blocks(members: DataFrame, texts: DataFrame, hub: Column) -> DataFr
     alone = (F.col("hubs") == 1) & (F.col("others") == 0)
     pairs = F.when(alone, F.array(pair(F.lit(0), F.lit(0)))).otherwise(pairs)
     spread = placed.select("node", "grp", F.explode(pairs).alias("p")).select("node", "grp", "p.b1", "p.b2")
-    # The candidates grow with the corpus, so this is a sort-merge join at any size, never a broadcast.
     work = texts.join(spread.hint("merge"), "node").repartition(shuffle_width(members.sparkSession), "grp", "b1", "b2")
     work = work.sortWithinPartitions("grp", "b1", "b2", "node").select("grp", "b1", "b2", "node", "text")
     return written(arrow_map(work, _verified, "u long, v long"), "links")
@@ -227,8 +226,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spokes = dealt.join(stars.select("bucket", "hub"), "bucket").where("doc_id > hub")
     candidates = components(spokes.select(F.col("doc_id").alias("u"), F.col("hub").alias("v")), "candidates")
 
-    # First links: each candidate with its least hub, whose few texts are joined to those of the spokes.
-    node_text = text.withColumnRenamed("doc_id", "node").where("node is not null")
+    # The texts of candidates are met once; they grow with the corpus, so this is a sort-merge join, never a broadcast.
+    every = text.withColumnRenamed("doc_id", "node").where("node is not null")
+    node_text = written(every.join(candidates.select("node").hint("merge"), "node", "left_semi"), "candidate_text")
+
+    # First links: each candidate with its least hub.
     ray = written(spokes.groupBy(F.col("doc_id").alias("node")).agg(F.min("hub").alias("grp")), "rays")
     hubs = ray.select(F.col("grp").alias("node"), "grp").distinct()
     ends = ray.unionByName(hubs)
@@ -245,7 +247,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     share = member.groupBy("grp", "cluster").agg(F.count("*").alias("n"))
     largest = share.groupBy("grp").agg(F.max(F.struct("n", "cluster"))["cluster"].alias("most"), F.count("*").alias("clusters"))
     mixed = member.join(largest.where("clusters > 1").drop("clusters"), "grp")
-    rest = links_in_blocks(mixed.select("node", "grp", "n_bytes", (F.col("cluster") != F.col("most")).alias("minor")), node_text, hub=F.col("minor"))
+    mixed = written(mixed.select("node", "grp", "n_bytes", (F.col("cluster") != F.col("most")).alias("minor")), "mixed")
+    rest = links_in_blocks(mixed, node_text, hub=F.col("minor"))
     found = components(first.unionByName(rest), "groups")
 
     groups = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
