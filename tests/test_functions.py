@@ -115,3 +115,80 @@ def test_fisher_exact(spark):
     d = spark.createDataFrame([(3, 1, 1, 3), (8, 2, 1, 5)], "a int, b int, c int, d int")
     got = sorted(r["p_fisher"] for r in S.fisher(d, "a", "b", "c", "d").collect())
     assert got == pytest.approx([0.034965, 0.485714], abs=1e-5)
+
+
+def test_permutations_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    size = [1, 1, 2, 2, 2, 5, 9, 11, 12, 30]
+    rows = [(f"c{c}", f"s{s}", float(rng.normal() + (2 if c == 0 else 0))) for c in range(6) for s in range(len(size)) for _ in range(size[s])]
+    legs = spark.createDataFrame(rows, "corridor_id string, schedule string, log_gap_ratio double")
+    got = {r["corridor_id"]: r for r in S.permutation_blocks(legs, 2000, 3).collect()}
+    # The same test from its definition, with other draws: two estimates of one probability.
+    cell = {}
+    for c, s, r in rows:
+        cell.setdefault((c, s), []).append(r)
+    keys, m = list(cell), np.array([len(v) for v in cell.values()])
+    mean, owner = np.array([np.mean(v) for v in cell.values()]), np.array([k[0] for k in keys])
+
+    def difference(means, c):
+        own = owner == c
+        return (m * means)[own].sum() / m[own].sum() - (m * means)[~own].sum() / m[~own].sum()
+
+    hits = {f"c{c}": 0 for c in range(6)}
+    for _ in range(2000):
+        means = mean.copy()
+        for low, high in [(k, k) for k in range(1, 9)] + [(9, 11), (12, 15), (16, 22), (23, 1 << 30)]:
+            at = np.flatnonzero((m >= low) & (m <= high))
+            means[at] = mean[rng.permutation(at)]
+        for c in hits:
+            hits[c] += abs(difference(means, c)) >= abs(difference(mean, c)) - 1e-12
+    for c, n in hits.items():
+        assert got[c]["observed"] == pytest.approx(difference(mean, c)) and abs(got[c]["p_value"] - (n + 1) / 2001) < 0.05
+    again = {r["corridor_id"]: r["exceed"] for r in S.permutation_blocks(legs.repartition(5), 2000, 3, block=7).collect()}
+    assert again == {c: r["exceed"] for c, r in got.items()}
+    assert S.permutation_blocks(legs.where("false"), 10).count() == 0
+    monkeypatch.setattr(S, "MOST_CELLS", 3)  # cells that are too many to send are permuted as rows
+    assert {r["corridor_id"]: r["p_value"] for r in S.permutation_blocks(legs, 20, 3).collect()} == {
+        r["corridor_id"]: r["p_value"] for r in S.permutation_test(legs, 20, 3).collect()
+    }
+
+
+def test_placebo_holds_its_size(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"c{c}", f"s{s}", float(rng.normal())) for c in range(20) for s in range(20) for _ in range(1)]
+    legs = spark.createDataFrame(rows, "corridor_id string, schedule string, log_gap_ratio double")
+    r = S.placebo_summary(S.placebo(legs, 40)).first()
+    assert r["datasets"] == 40 and abs(r["rejection_rate"] - 0.05) < 0.03 and r["mean_discoveries"] < 0.5
+    assert r["max_discoveries"] >= r["mean_discoveries"] and r["with_any"] <= 40
+
+
+def test_headline_rule(spark):
+    # By hand: every variant finds two slower ones; both permutation variants find no faster one, and BY is preferred.
+    p = [("a", 1.4, 0.001, 0.001), ("b", 1.2, 0.012, 0.3), ("c", 0.8, 0.001, 0.04), ("d", 1.1, 0.9, 0.0005)]
+    t = A.variants(spark.createDataFrame(p, "corridor_id string, excess_ratio double, p_welch double, p_perm double"))
+    counts = {r["variant"]: (r["slower"], r["faster"]) for r in A.variant_counts(t).collect()}
+    assert counts == {"by_perm": (2, 0), "bh_perm": (2, 0), "by_welch": (2, 1), "bh_welch": (2, 1)}
+    got = {r["corridor_id"]: r for r in A.headline(t).collect()}
+    assert {r["headline_variant"] for r in got.values()} == {"by_perm"}
+    assert {k: r["status"] for k, r in got.items()} == {"a": "robust", "b": "fragile", "c": "fragile", "d": "headline_only"}
+    assert got["c"]["q_by_perm"] == pytest.approx(0.04 * 4 * (1 + 1 / 2 + 1 / 3 + 1 / 4) / 3)
+
+
+def test_severity_steps(spark):
+    d = spark.createDataFrame([(1.2, "worse"), (1.21, "worse"), (1.5, "worse"), (2.5, "worse"), (2.51, "worse"), (0.6, "better"), (0.61, "better"), (0.9, "better"), (0.95, "better")], "e double, d string")
+    got = [r[0] for r in d.select(A.severity(F.col("e"), F.col("d"))).collect()]
+    assert got == ["mildly worse", "clearly worse", "clearly worse", "severe", "extreme", "extreme", "much better", "clearly better", "mildly better"]
+
+
+def test_gain_bootstrap_has_the_multinomial_spread(spark):
+    d = spark.createDataFrame([(300, 100, 200, 400)], "tp long, fp long, fn long, tn long")
+    gain = np.array([r["gain"] for r in S.four_cell_bootstrap(d, 4000).collect()])
+    rng = np.random.default_rng(1).multinomial(1000, [0.3, 0.1, 0.2, 0.4], 4000)
+    want = rng[:, 0] / (rng[:, 0] + rng[:, 1]) - (rng[:, 0] + rng[:, 2]) / 1000
+    assert abs(gain.mean() - want.mean()) < 0.002 and abs(gain.std() / want.std() - 1) < 0.06
+
+
+def test_pair_stability(spark):
+    ranks = [(10, "m", k, i + 1, True) for i, k in enumerate("abcd")] + [(20, "m", k, i + 1, True) for i, k in enumerate("db")]
+    r = S.pair_stability(spark.createDataFrame(ranks, "floor int, ranking string, corridor_id string, pos int, eligible boolean"), 2).first()
+    assert (r["jaccard"], r["common_jaccard"], r["rho"], r["corridors"]) == (1 / 3, 1.0, -1.0, 2)

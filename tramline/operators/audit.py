@@ -67,7 +67,12 @@ def welch(corridors: DataFrame, baseline: DataFrame, with_p: bool = True) -> Dat
 
     Needs n_legs, sum_log, sumsq_log; a corridor of one leg, or the whole network, has nulls.
     """
-    d = corridors.join(F.broadcast(baseline))  # one row
+    out = welch_beside(corridors.join(F.broadcast(baseline)), corridors.columns)  # one row
+    return out.withColumn("p_value", t_two_sided(F.col("t_stat"), F.col("dof"))) if with_p else out
+
+
+def welch_beside(d: DataFrame, keep: list[str]) -> DataFrame:
+    """The comparison where net_n, net_sum and net_sumsq already stand beside each corridor."""
     n, m = F.col("n_legs"), F.col("net_n") - F.col("n_legs")
     none = F.nullif
     mean, rest = F.col("sum_log") / n, (F.col("net_sum") - F.col("sum_log")) / none(m, F.lit(0))
@@ -76,13 +81,12 @@ def welch(corridors: DataFrame, baseline: DataFrame, with_p: bool = True) -> Dat
     var, rest_var = F.when(n > 1, var), F.when(m > 1, rest_var)
     a, b = var / n, rest_var / none(m, F.lit(0))
     pooled = F.sqrt(((n - 1) * var + (m - 1) * rest_var) / none(n + m - 2, F.lit(0)))
-    d = d.select(
-        *corridors.columns, mean.alias("mean_log"), var.alias("var_log"), rest.alias("rest_mean_log"), F.exp(mean - rest).alias("excess_ratio"),
+    return d.select(
+        *keep, mean.alias("mean_log"), var.alias("var_log"), rest.alias("rest_mean_log"), F.exp(mean - rest).alias("excess_ratio"),
         ((mean - rest) / none(F.sqrt(a + b), F.lit(0.0))).alias("t_stat"),
         ((a + b) * (a + b) / none(a * a / none(n - 1, F.lit(0)) + b * b / none(m - 1, F.lit(0)), F.lit(0.0))).alias("dof"),
         ((mean - rest) / none(pooled, F.lit(0.0))).alias("cohens_d"),
     )
-    return d.withColumn("p_value", t_two_sided(F.col("t_stat"), F.col("dof"))) if with_p else d
 
 
 def adjusted(df: DataFrame, p: str, family: list[str], kind: str = "bh", key: str = "corridor_id", name: str = "q_value") -> DataFrame:
@@ -95,7 +99,8 @@ def adjusted(df: DataFrame, p: str, family: list[str], kind: str = "bh", key: st
         upto = up.rowsBetween(Window.unboundedPreceding, 0)
         out = F.least(F.lit(1.0), F.max((F.col("_m") - F.col("_r") + 1) * value).over(upto))
     else:
-        c = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i) if kind == "by" else F.lit(1.0)
+        # Ranks are 1 .. m, so the harmonic number is the family's sum of their inverses: once a family.
+        c = F.sum(1.0 / F.col("_r")).over(whole) if kind == "by" else F.lit(1.0)
         down = Window.partitionBy(*(family or [F.lit(0)])).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
         out = F.least(F.lit(1.0), F.min(value * F.col("_m") * c / F.col("_r")).over(down))
     return d.withColumn(name, out).drop("_r", "_m")
@@ -136,17 +141,44 @@ def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def headline(variants: DataFrame, key: str = "corridor_id") -> DataFrame:
-    """Per corridor over (variant, q_value): the most careful variant (largest q), and robust, fragile or not slow."""
-    hits, all_ = F.count_if(F.col("q_value") <= 0.05), F.count("*")
-    return variants.groupBy(key).agg(
-        F.max(F.struct("q_value", "variant")).alias("w"), hits.alias("significant_in"), all_.alias("variants"),
-        F.when(hits == all_, "robust").when(hits > 0, "fragile").otherwise("not slow").alias("status"),
-    ).select(key, F.col("w.variant").alias("headline_variant"), "significant_in", "variants", "status")
+#: Variants of the audit, and the order in which equals are preferred.
+VARIANTS = ["by_perm", "bh_perm", "by_welch", "bh_welch"]
+
+
+def variants(tested: DataFrame, alpha: float = 0.05, key: str = "corridor_id") -> DataFrame:
+    """Rows of ``tested`` (key, excess_ratio, p_welch, p_perm) with q and significance of the four variants, and direction."""
+    for name in VARIANTS:
+        kind, p = name.split("_")
+        tested = adjusted(tested, f"p_{p}", [], kind, key, f"q_{name}").withColumn(f"sig_{name}", F.col(f"q_{name}") <= alpha)
+    return tested.withColumn("direction", F.when(F.col("excess_ratio") >= 1, "worse").otherwise("better"))
+
+
+def variant_counts(table: DataFrame) -> DataFrame:
+    """(variant, slower, faster): significant corridors of each variant by direction."""
+    side = lambda v, way: F.count_if(F.col(f"sig_{v}") & (F.col("direction") == way))
+    rows = [F.struct(F.lit(v).alias("variant"), F.col(f"_{v}_s").alias("slower"), F.col(f"_{v}_f").alias("faster")) for v in VARIANTS]
+    counts = table.agg(*[side(v, w).alias(f"_{v}_{n}") for v in VARIANTS for n, w in (("s", "worse"), ("f", "better"))])
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def headline(table: DataFrame) -> DataFrame:
+    """The table of ``variants`` with headline_variant and status.
+
+    The headline is the variant with the fewest slower corridors, then the fewest faster ones, then the first of VARIANTS.
+    A corridor is robust if it and bh_welch find it, fragile if only bh_welch does, headline_only if only the headline does.
+    """
+    place = F.array_position(F.array(*[F.lit(v) for v in VARIANTS]), F.col("variant"))
+    head = variant_counts(table).agg(F.min_by("variant", F.struct("slower", "faster", place.alias("place"))).alias("headline_variant"))
+    t = table.join(F.broadcast(head))  # one row
+    by_head = F.element_at(F.create_map(*[x for v in VARIANTS for x in (F.lit(v), F.col(f"sig_{v}"))]), F.col("headline_variant"))
+    first = F.col("sig_bh_welch")
+    status = F.when(by_head & first, "robust").when(first, "fragile").when(by_head, "headline_only").otherwise("not_significant")
+    return t.withColumn("status", status)
 
 
 def severity(excess: Column, direction: Column) -> Column:
-    """Label of an excess ratio by direction: steps at 1.1, 1.25, 1.5 and 2 for worse, at 0.5, 0.7 and 0.9 for better."""
-    worse = F.when(excess <= 1.1, "slight").when(excess <= 1.25, "mild").when(excess <= 1.5, "moderate").when(excess <= 2, "heavy").otherwise("extreme")
-    better = F.when(excess <= 0.5, "far faster").when(excess <= 0.7, "faster").when(excess <= 0.9, "slightly faster").otherwise("par")
+    """Label of an excess ratio by direction; a step holds its upper end."""
+    # The steps and their labels.
+    worse = F.when(excess <= 1.20, "mildly worse").when(excess <= 1.50, "clearly worse").when(excess <= 2.50, "severe").otherwise("extreme")
+    better = F.when(excess <= 0.60, "extreme").when(excess <= 0.75, "much better").when(excess <= 0.90, "clearly better").otherwise("mildly better")
     return F.when(direction == "worse", worse).otherwise(better)

@@ -12,15 +12,33 @@ from pyspark.sql import types as T
 NULL_TEXTS = ["", "nan", "NaN", "NAN", "null", "NULL", "None", "NA", "N/A", "-"]
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
-# States by the first two digits of a PIN code, as ranges of Indian postal circles.
+# State or circle by the first two digits of a PIN code.
 PIN_STATES = {
-    (11, 11): "Delhi", (12, 13): "Haryana", (14, 15): "Punjab", (16, 16): "Chandigarh", (17, 17): "Himachal Pradesh",
-    (18, 19): "Jammu & Kashmir", (20, 28): "Uttar Pradesh", (30, 34): "Rajasthan", (36, 39): "Gujarat", (40, 44): "Maharashtra",
-    (45, 49): "Madhya Pradesh", (50, 50): "Telangana", (51, 53): "Andhra Pradesh", (56, 59): "Karnataka", (60, 64): "Tamil Nadu",
-    (67, 69): "Kerala", (70, 74): "West Bengal", (75, 77): "Orissa", (78, 78): "Assam", (80, 85): "Bihar",
+    "11": "Delhi",
+    "12": "Haryana", "13": "Haryana",
+    "14": "Punjab", "15": "Punjab", "16": "Punjab",
+    "17": "Himachal Pradesh",
+    "18": "Jammu and Kashmir", "19": "Jammu and Kashmir",
+    "20": "Uttar Pradesh", "21": "Uttar Pradesh", "22": "Uttar Pradesh", "23": "Uttar Pradesh", "24": "Uttar Pradesh",
+    "25": "Uttar Pradesh", "26": "Uttar Pradesh", "27": "Uttar Pradesh", "28": "Uttar Pradesh",
+    "30": "Rajasthan", "31": "Rajasthan", "32": "Rajasthan", "33": "Rajasthan", "34": "Rajasthan",
+    "36": "Gujarat", "37": "Gujarat", "38": "Gujarat", "39": "Gujarat",
+    "40": "Maharashtra", "41": "Maharashtra", "42": "Maharashtra", "43": "Maharashtra", "44": "Maharashtra",
+    "45": "Madhya Pradesh", "46": "Madhya Pradesh", "47": "Madhya Pradesh", "48": "Madhya Pradesh",
+    "49": "Chhattisgarh",
+    "50": "Telangana", "51": "Telangana",
+    "52": "Andhra Pradesh", "53": "Andhra Pradesh",
+    "56": "Karnataka", "57": "Karnataka", "58": "Karnataka", "59": "Karnataka",
+    "60": "Tamil Nadu", "61": "Tamil Nadu", "62": "Tamil Nadu", "63": "Tamil Nadu", "64": "Tamil Nadu",
+    "67": "Kerala", "68": "Kerala", "69": "Kerala",
+    "70": "West Bengal", "71": "West Bengal", "72": "West Bengal", "73": "West Bengal", "74": "West Bengal",
+    "75": "Odisha", "76": "Odisha", "77": "Odisha",
+    "78": "Assam",
+    "79": "North Eastern States",
+    "80": "Bihar", "81": "Bihar", "82": "Bihar", "83": "Bihar", "84": "Bihar", "85": "Bihar",
 }
 
-#: Reasons to drop a row; a row may have several.
+# The reasons to drop a row, which are counted apart; a row may have several.
 DROPS = {
     "null_trip_uuid": "trip_uuid is null",
     "null_centre_code": "source_center is null or destination_center is null",
@@ -91,7 +109,7 @@ def location(name: Column) -> tuple[Column, Column]:
 
 def state_of_code(code: Column) -> Column:
     """State by the PIN digits inside a code like IND282002AAD."""
-    by_pin = F.create_map(*[F.lit(x) for (a, b), state in PIN_STATES.items() for pin in range(a, b + 1) for x in (str(pin), state)])
+    by_pin = F.create_map(*[F.lit(x) for pair in PIN_STATES.items() for x in pair])
     return F.try_element_at(by_pin, F.nullif(F.regexp_extract(code, r"^IND(\d{2})", 1), F.lit("")))
 
 

@@ -1,17 +1,27 @@
 """Statistical operators, tables in and tables out.
 
-Random draws are md5 hashes of (seed, repetition, unit), so results don't depend on partitions.  Repetitions are rows; units
-are aggregated before they are repeated.
+Random draws don't depend on partitions: they are md5 hashes of (seed, repetition, unit), or come from a generator seeded by
+(seed, repetition).  Units are aggregated before they are repeated; many repetitions are dealt to tasks, not rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.columns import draw, wilson
 from tramline.functions.rank import average_rank, global_rank
-from tramline.functions.tails import ln_gamma, normal_cdf, normal_two_sided
+from tramline.functions.tails import ln_gamma, normal_cdf, normal_two_sided, t_two_sided
+from tramline.operators import audit
+from tramline.session import importable
+from tramline.sources.shared import written
+
+#: Up to so many cells are sent to every task (under 50 MB); more are permuted as rows.
+MOST_CELLS = 2_000_000
 
 
 def repeated(df: DataFrame, reps: int, name: str = "rep") -> DataFrame:
@@ -40,10 +50,11 @@ def icc(df: DataFrame, value: str, group: str, within: list[str] | None = None)
 
 # ---- permutation ----------------------------------------------------------------------------------------------------
 def cells(legs: DataFrame) -> DataFrame:
-    """Corridor x schedule cells: size m, mean, and a size stratum (1 to 8 exactly, then 9-12, 13-20, 21-40, more)."""
-    c = legs.groupBy("corridor_id", "schedule").agg(F.count("log_gap_ratio").alias("m"), F.avg("log_gap_ratio").alias("ybar"))
+    """Corridor x schedule cells: size m, mean, and squared deviations and a size stratum: 0 to 7 for sizes 1 to 8, then from 9, 12, 16 and 23 on."""
+    r = F.col("log_gap_ratio")
+    c = legs.groupBy("corridor_id", "schedule").agg(F.count(r).alias("m"), F.avg(r).alias("ybar"), F.coalesce(F.var_pop(r) * F.count(r), F.lit(0.0)).alias("ss_dev")).where("m > 0")
     m = F.col("m")
-    stratum = F.when(m <= 8, m).when(m <= 12, 9).when(m <= 20, 10).when(m <= 40, 11).otherwise(12)
+    stratum = F.when(m <= 8, m - 1).when(m < 12, 8).when(m < 16, 9).when(m < 23, 10).otherwise(11)
     return c.withColumn("stratum", stratum.cast("int"))
 
 
@@ -54,7 +65,7 @@ def permuted(cell: DataFrame, reps: int, seed: int, first: int = 0) -> DataFrame
     other = Window.partitionBy("rep", "stratum").orderBy(draw(seed, F.col("rep"), F.col("corridor_id"), F.col("schedule")), "corridor_id", "schedule")
     r = r.withColumn("i", F.row_number().over(own)).withColumn("j", F.row_number().over(other))
     given = r.select("rep", "stratum", F.col("j").alias("i"), F.col("ybar").alias("shuffled"))
-    return r.drop("j").join(given, ["rep", "stratum", "i"]).select("rep", "corridor_id", "schedule", "m", "shuffled")
+    return r.drop("j").join(given, ["rep", "stratum", "i"]).select("rep", "corridor_id", "schedule", "m", "ss_dev", "shuffled")
 
 
 def differences(cell: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -65,6 +76,82 @@ def differences(cell: DataFrame, value: str, by: list[str]) -> DataFrame:
     return c.withColumn("d", F.col("s") / F.col("n") - (F.sum("s").over(w) - F.col("s")) / others).select(*by, "corridor_id", "n", "d")
 
 
+def permutation_blocks(legs: DataFrame, reps: int, seed: int = 7, block: int = 50) -> DataFrame:
+    """Per corridor: difference, exceedances and two-sided p, as permutation_test, for many repetitions.
+
+    The cells (their number is checked) go to every task, repetitions are dealt to tasks in blocks, and a task adds up its
+    exceedances, so nothing grows with cells times repetitions.  Repetition k draws from a generator of (seed, k).  More
+    than MOST_CELLS cells are permuted as rows instead.
+    """
+    spark = legs.sparkSession
+    cell = written(cells(legs), "cells")
+    n_cells = cell.count()
+    if n_cells > MOST_CELLS:
+        return permutation_test(legs, reps, seed)
+    table = cell.orderBy("stratum", "corridor_id", "schedule").select("corridor_id", "stratum", "m", "ybar").toArrow()
+    names, corridor = np.unique(np.array(table["corridor_id"].to_pylist(), object).astype(str), return_inverse=True)
+    m, ybar = table["m"].to_numpy().astype(float), table["ybar"].to_numpy()
+    cuts = np.flatnonzero(np.diff(table["stratum"].to_numpy())) + 1
+    order = np.argsort(corridor, kind="stable")
+    heads = np.searchsorted(corridor[order], np.arange(len(names)))
+    held = spark.sparkContext.broadcast((m, ybar, cuts, order, heads))
+
+    def difference(means: np.ndarray, m: np.ndarray, order: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        n, s = np.add.reduceat(m[order], heads), np.add.reduceat((m * means)[order], heads)
+        others = m.sum() - n
+        return s / n - np.divide(s.sum() - s, others, out=np.full(len(n), np.nan), where=others > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, ybar, cuts, order, heads = held.value
+        seen = np.abs(difference(ybar, m, order, heads)) - 1e-12
+        total = np.zeros(len(seen), np.int64)
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                for rep in range(first * block, min(reps, (first + 1) * block)):
+                    draws = np.random.default_rng([seed, rep])
+                    means = np.concatenate([draws.permutation(part) for part in np.split(ybar, cuts)])
+                    total += np.abs(difference(means, m, order, heads)) >= seen
+        yield pa.record_batch([pa.array(np.arange(len(seen))), pa.array(total)], names=["place", "exceed"])
+
+    seen = differences(cell, "ybar", []).select("corridor_id", "n", F.col("d").alias("observed"))
+    if not n_cells:
+        return seen.select("*", F.lit(0).cast("long").alias("exceed"), F.lit(1.0).alias("p_value"))
+    importable(spark)
+    blocks = -(-reps // block)
+    dealt = spark.range(0, blocks, 1, min(blocks, max(1, spark.sparkContext.defaultParallelism)))
+    total = dealt.mapInArrow(run, "place long, exceed long").groupBy("place").agg(F.sum("exceed").alias("exceed"))
+    total = total.join(spark.createDataFrame(list(enumerate(names.tolist())), "place long, corridor_id string"), "place").drop("place")
+    return seen.join(total, "corridor_id").select("corridor_id", "n", "observed", "exceed", ((F.col("exceed") + 1) / (reps + 1)).alias("p_value"))
+
+
+def placebo(legs: DataFrame, reps: int, seed: int = 23, floor: int = 1, alpha: float = 0.05) -> DataFrame:
+    """Per repetition of cells shuffled within strata: corridors tested, share that Welch rejects, and discoveries after BH.
+
+    Legs keep their deviation from their own cell's mean, so cells stay correlated inside while corridors mean nothing.
+    """
+    cell = written(cells(legs), "cells")
+    p = permuted(cell, reps, seed)
+    m, y = F.col("m"), F.col("shuffled")
+    sums = p.groupBy("rep", "corridor_id").agg(F.sum("m").alias("n_legs"), F.sum(m * y).alias("sum_log"), F.sum(m * y * y + F.col("ss_dev")).alias("sumsq_log"))
+    sums = written(sums, "placebo")
+    net = sums.groupBy("rep").agg(F.sum("n_legs").alias("net_n"), F.sum("sum_log").alias("net_sum"), F.sum("sumsq_log").alias("net_sumsq"))
+    tested = audit.welch_beside(sums.join(net, "rep").where(F.col("n_legs") >= floor), ["rep", "corridor_id", "n_legs"])
+    tested = tested.withColumn("p_value", t_two_sided(F.col("t_stat"), F.col("dof")))
+    q = audit.adjusted(tested, "p_value", ["rep"])
+    return q.groupBy("rep").agg(
+        F.count("*").alias("corridors"), F.avg((F.coalesce("p_value", F.lit(1.0)) < alpha).cast("double")).alias("rejected"),
+        F.count_if(F.col("q_value") <= alpha).alias("discoveries"),
+    )
+
+
+def placebo_summary(by_rep: DataFrame) -> DataFrame:
+    """One row over the repetitions of ``placebo``."""
+    return by_rep.agg(
+        F.count("*").alias("datasets"), F.avg("rejected").alias("rejection_rate"), F.max("rejected").alias("rejection_rate_max"),
+        F.avg("discoveries").alias("mean_discoveries"), F.max("discoveries").alias("max_discoveries"), F.count_if(F.col("discoveries") > 0).alias("with_any"),
+    )
+
+
 def permutation_test(legs: DataFrame, reps: int, seed: int = 7, chunk: int = 200) -> DataFrame:
     """Per corridor: difference, exceedances and two-sided p.  Repetitions go in chunks, whose counts add up."""
     cell = cells(legs)
@@ -123,6 +210,59 @@ def posterior(df: DataFrame, tau2: Column, threshold: float, with_p: bool = True
     return d.withColumn("p_exceed", normal_cdf(F.col("z"))) if with_p else d
 
 
+def floor_rankings(corridors: DataFrame, baseline: DataFrame, floors: list[int], threshold: float, alpha: float = 0.05) -> DataFrame:
+    """(floor, ranking, corridor_id, pos, eligible): four orders of the corridors that reach each floor.
+
+    raw_published: confirmed slower ones first, by excess ratio, and only these eligible; raw_mean: by mean; eb_prob: by the
+    posterior probability to be above the threshold, then by posterior mean; eb_postmean: by posterior mean.  Each floor is
+    a family of tests and has its own between-corridor variance (by moments).
+    """
+    grid = F.filter(F.array(*[F.lit(f) for f in floors]), lambda f: f <= F.col("n_legs"))
+    t = written(audit.ranked(audit.welch(corridors, baseline).withColumn("floor", F.explode(grid)), alpha, ["floor"]), "ranked")
+    t = t.withColumn("y", F.col("mean_log")).withColumn("v", F.col("var_log") / F.col("n_legs")).where("v > 0")
+    w = 1 / F.col("v")
+    k = t.groupBy("floor").agg(F.count("*").alias("k"), F.sum(w).alias("w"), F.sum(w * w).alias("ww"), F.sum(w * F.col("y")).alias("wy"), F.sum(w * F.col("y") * F.col("y")).alias("wyy"))
+    moments = (F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w") - (F.col("k") - 1)) / F.nullif(F.col("w") - F.col("ww") / F.col("w"), F.lit(0.0))
+    t = t.join(k.select("floor", F.greatest(F.lit(0.0), F.coalesce(moments, F.lit(0.0))).alias("tau2")), "floor")
+    u = 1 / (F.col("v") + F.col("tau2"))
+    common = t.groupBy("floor").agg(F.sum(u).alias("u"), (F.sum(u * F.col("y")) / F.sum(u)).alias("mu"))
+    b = F.col("v") * u
+    t = t.join(common, "floor").withColumn("post_mean", (1 - b) * F.col("y") + b * F.col("mu"))
+    t = t.withColumn("z", (F.col("post_mean") - threshold) / F.nullif(F.sqrt((1 - b) * F.col("v") + b * b / F.col("u")), F.lit(0.0)))
+    slow = F.col("is_significant") & (F.col("direction") == "worse")
+    score = lambda name, first, then, may: F.struct(F.lit(name).alias("ranking"), first.alias("first"), then.alias("then"), may.alias("eligible"))
+    none, yes = F.lit(0.0), F.lit(True)
+    ways = F.array(
+        score("raw_published", slow.cast("double"), F.col("excess_ratio"), slow), score("raw_mean", F.col("y"), none, yes),
+        score("eb_prob", F.col("z"), F.col("post_mean"), yes), score("eb_postmean", F.col("post_mean"), none, yes),
+    )
+    long = t.select("floor", "corridor_id", F.explode(ways).alias("s")).select("floor", "corridor_id", "s.*")
+    # Scores to nine digits: where nothing differs between corridors, shrunken means are equal but for the last bits.
+    order = Window.partitionBy("floor", "ranking").orderBy(F.round("first", 9).desc_nulls_last(), F.round("then", 9).desc_nulls_last(), "corridor_id")
+    return long.select("floor", "ranking", "corridor_id", F.row_number().over(order).alias("pos"), "eligible")
+
+
+def pair_stability(ranks: DataFrame, n: int = 20) -> DataFrame:
+    """Per ranking and pair of floors: Jaccard of the first n eligible, the same within the corridors of both, and the rank
+    correlation of positions over these."""
+    ranks = written(ranks, "ranks")
+    a = ranks.select("ranking", "corridor_id", F.col("floor").alias("a"), F.col("pos").alias("pa"), F.col("eligible").alias("ea"))
+    b = ranks.select("ranking", "corridor_id", F.col("floor").alias("b"), F.col("pos").alias("pb"), F.col("eligible").alias("eb"))
+    pairs = a.select("a").distinct().join(b.select("b").distinct(), F.col("a") < F.col("b"))  # a few floors
+    # Floors nest, so a corridor of the higher floor is in both; its place among them is its order at the lower one.
+    both = a.join(F.broadcast(pairs), "a").join(b, ["ranking", "corridor_id", "b"], "left")
+    w = Window.partitionBy("ranking", "a", "b")
+    shared = F.col("pb").isNotNull()
+    both = both.withColumn("ca", F.when(shared, F.count(F.when(shared, 1)).over(w.orderBy("pa").rowsBetween(Window.unboundedPreceding, 0))))
+    both = both.withColumn("top_a", F.col("ea") & (F.col("pa") <= n)).withColumn("top_c", F.coalesce(F.col("ea") & (F.col("ca") <= n), F.lit(False)))
+    both = both.withColumn("top_b", F.coalesce(F.col("eb") & (F.col("pb") <= n), F.lit(False)))
+    alike = lambda x: F.count_if(F.col(x) & F.col("top_b")) / F.nullif(F.count_if(F.col(x) | F.col("top_b")), F.lit(0))
+    return both.groupBy("ranking", "a", "b").agg(
+        alike("top_a").alias("jaccard"), alike("top_c").alias("common_jaccard"),
+        F.corr(F.when(shared, F.col("ca")), "pb").alias("rho"), F.count("pb").alias("corridors"),
+    )
+
+
 def overlaps(ranks: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """Jaccard similarity of the first n keys of every pair of groups, from (group, key, pos)."""
     t = ranks.where(F.col("pos") <= n).select(group, key)
@@ -186,14 +326,23 @@ def bootstrap_summary(dist: DataFrame, value: str = "mean", by: list[str] | None
 
 
 def four_cell_bootstrap(counts: DataFrame, reps: int, seed: int = 19) -> DataFrame:
-    """Gain (precision of alerts less the base rate) per repetition; cells tp, fp, fn, tn of one row, redrawn unit by unit."""
-    n = (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).cast("int")
-    u = repeated(counts.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(1), n))), reps)
-    x = F.pmod(draw(seed, F.col("rep"), F.col("i")), F.col("n"))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    u = u.select("rep", (x < tp).alias("a"), ((x >= tp) & (x < tp + fp)).alias("b"), ((x >= tp + fp) & (x < tp + fp + fn)).alias("c"))
-    g = u.groupBy("rep").agg(F.count_if("a").alias("a"), F.count_if("b").alias("b"), F.count_if("c").alias("c"), F.count("*").alias("n"))
-    return g.select("rep", (F.col("a") / F.nullif(F.col("a") + F.col("b"), F.lit(0)) - (F.col("a") + F.col("c")) / F.col("n")).alias("gain"))
+    """Gain (precision of alerts less the base rate) per repetition; cells tp, fp, fn, tn of one row are redrawn together as
+    one multinomial, whatever the number of units.  Repetition k draws from a generator of (seed, k)."""
+    spark = counts.sparkSession
+    row = counts.select("tp", "fp", "fn", "tn").first()
+    cells = np.array([row["tp"], row["fp"], row["fn"], row["tn"]], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, gain = batch.column(0).to_pylist(), []
+            for k in rep:
+                n = cells.sum()
+                a, b, c, _ = np.random.default_rng([seed, k]).multinomial(n, cells / n) if n else cells
+                gain.append(float(a / (a + b) - (a + c) / n) if a + b else None)
+            yield pa.record_batch([pa.array(rep, pa.int32()), pa.array(gain, pa.float64())], names=["rep", "gain"])
+
+    importable(spark)
+    return spark.range(reps).mapInArrow(run, "rep int, gain double")
 
 
 # ---- tests ----------------------------------------------------------------------------------------------------------

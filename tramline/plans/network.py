@@ -61,9 +61,13 @@ def adjust_holm(spark, sf_dir):
 
 
 def audit_headline(spark, sf_dir):
-    q = _q(spark, sf_dir)
-    parts = [A.adjusted(q, "p_value", ["source_center"], k).select("corridor_id", F.lit(k).alias("variant"), F.round("q_value", 9).alias("q_value")) for k in ("bh", "by", "holm")]
-    return A.headline(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    """Variants, headline and status over p-values that SQL can compute too (audit_variants has the real ones)."""
+    from tramline.functions.columns import draw
+
+    rows = A.corridor_aggregate(legs_from_orders(spark, sf_dir))
+    p = lambda name, power: F.pow(draw(name, F.col("corridor_id")) / 4294967296.0, F.lit(power))
+    tested = rows.select("corridor_id", (0.5 + draw("x", F.col("corridor_id")) / 4294967296.0).alias("excess_ratio"), p("w", 6.0).alias("p_welch"), p("m", 5.0).alias("p_perm"))
+    return _rounded(A.headline(A.variants(tested)))
 
 
 def worst_corridors(spark, sf_dir):
@@ -187,8 +191,20 @@ hub AS (SELECT *, n_legs_out >= 30 AS has_support, n_legs_out + n_legs_in AS n_l
 hubr AS (SELECT * REPLACE (coalesce(n_handoffs, 0) AS n_handoffs, coalesce(n_chain_breaks, 0) AS n_chain_breaks),
   CASE WHEN has_support THEN row_number() OVER (PARTITION BY has_support ORDER BY msx DESC NULLS LAST, centre_code) END AS friction_rank
   FROM hub JOIN (SELECT centre_code, quantile_cont(dwell_share, 0.5) FILTER (side = 'out') AS msx, quantile_cont(dwell_min, 0.5) FILTER (side = 'out') AS mmx, quantile_cont(dwell_share, 0.5) FILTER (side = 'in') AS msi FROM ends GROUP BY 1) USING (centre_code))"""
-_BINS = """CASE WHEN excess_ratio >= 1 THEN CASE WHEN excess_ratio <= 1.1 THEN 'slight' WHEN excess_ratio <= 1.25 THEN 'mild' WHEN excess_ratio <= 1.5 THEN 'moderate' WHEN excess_ratio <= 2 THEN 'heavy' ELSE 'extreme' END
-  ELSE CASE WHEN excess_ratio <= 0.5 THEN 'far faster' WHEN excess_ratio <= 0.7 THEN 'faster' WHEN excess_ratio <= 0.9 THEN 'slightly faster' ELSE 'par' END END"""
+_BINS = """CASE WHEN excess_ratio >= 1 THEN CASE WHEN excess_ratio <= 1.20 THEN 'mildly worse' WHEN excess_ratio <= 1.50 THEN 'clearly worse' WHEN excess_ratio <= 2.50 THEN 'severe' ELSE 'extreme' END
+  ELSE CASE WHEN excess_ratio <= 0.60 THEN 'extreme' WHEN excess_ratio <= 0.75 THEN 'much better' WHEN excess_ratio <= 0.90 THEN 'clearly better' ELSE 'mildly better' END END"""
+
+
+def _unit(name: str) -> str:
+    return f"CAST('0x' || substr(md5('{name}|' || corridor_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+def _variant(p: str) -> str:
+    """BH and BY of one p-value over all corridors."""
+    return f"""r_{p} AS (SELECT corridor_id, p_{p} AS p, row_number() OVER (ORDER BY p_{p}, corridor_id) AS r, count(*) OVER () AS m FROM h),
+      y_{p} AS (SELECT sum(1.0::DOUBLE / r) AS y FROM r_{p}),
+      v_{p} AS (SELECT corridor_id, least(1, min(p * m / r) OVER (ORDER BY r DESC)) AS q_bh_{p}, least(1, min(p * m * y / r) OVER (ORDER BY r DESC)) AS q_by_{p} FROM r_{p}, y_{p})"""
+
 _RECON = """last AS (SELECT leg, arg_max(actual_time, row_index) AS actual_time, arg_max(osrm_time, row_index) AS osrm_time, arg_max(route_type, row_index) AS route_type, count(*) AS n_segments, sum(segment_actual_time) AS sum_actual, sum(segment_osrm_time) AS sum_osrm FROM seg GROUP BY 1)"""
 
 ORACLE_SQL = {
@@ -199,8 +215,18 @@ ORACLE_SQL = {
       round(avg(is_delayed::INT), 6) AS delayed_share, count(DISTINCT trip_uuid) AS n_trips, count(DISTINCT schedule) AS n_schedules, round(avg((route_type = 'FTL')::INT), 6) AS ftl_share, min(od_end_time) AS first_end, max(od_end_time) AS last_end FROM legs GROUP BY 1"""),
     "network_baseline": legs("SELECT count(*) AS net_n, round(sum(log_gap_ratio), 4) AS net_sum, round(sum(log_gap_ratio * log_gap_ratio), 4) AS net_sumsq, round(sum(gap_min), 4) AS net_gap FROM legs"),
     **{f"adjust_{k}": legs(f"{_P} {_adj(k)}") for k in ("bh", "by", "holm")},
-    "audit_headline": legs(f"""{_P}, a AS ({_adj('bh')}), b AS ({_adj('by')}), h AS ({_adj('holm')}), v AS (SELECT corridor_id, 'bh' AS variant, q_value FROM a UNION ALL SELECT corridor_id, 'by', q_value FROM b UNION ALL SELECT corridor_id, 'holm', q_value FROM h)
-      SELECT corridor_id, arg_max(variant, (q_value, variant)) AS headline_variant, count_if(q_value <= 0.05) AS significant_in, count(*) AS variants, CASE WHEN count_if(q_value <= 0.05) = count(*) THEN 'robust' WHEN count_if(q_value <= 0.05) > 0 THEN 'fragile' ELSE 'not slow' END AS status FROM v GROUP BY 1"""),
+    "audit_headline": legs(f"""h AS (SELECT corridor_id, 0.5 + {_unit('x')} AS excess_ratio, ({_unit('w')}) ** 6 AS p_welch, ({_unit('m')}) ** 5 AS p_perm FROM (SELECT DISTINCT corridor_id FROM legs)),
+      {_variant('welch')}, {_variant('perm')},
+      t AS (SELECT h.*, q_by_perm, q_bh_perm, q_by_welch, q_bh_welch, q_by_perm <= 0.05 AS sig_by_perm, q_bh_perm <= 0.05 AS sig_bh_perm, q_by_welch <= 0.05 AS sig_by_welch, q_bh_welch <= 0.05 AS sig_bh_welch,
+        CASE WHEN excess_ratio >= 1 THEN 'worse' ELSE 'better' END AS direction FROM h JOIN v_welch USING (corridor_id) JOIN v_perm USING (corridor_id)),
+      c AS (SELECT 1 AS k, 'by_perm' AS variant, count_if(sig_by_perm AND direction = 'worse') AS s, count_if(sig_by_perm AND direction = 'better') AS f FROM t
+        UNION ALL SELECT 2, 'bh_perm', count_if(sig_bh_perm AND direction = 'worse'), count_if(sig_bh_perm AND direction = 'better') FROM t
+        UNION ALL SELECT 3, 'by_welch', count_if(sig_by_welch AND direction = 'worse'), count_if(sig_by_welch AND direction = 'better') FROM t
+        UNION ALL SELECT 4, 'bh_welch', count_if(sig_bh_welch AND direction = 'worse'), count_if(sig_bh_welch AND direction = 'better') FROM t),
+      hd AS (SELECT variant AS headline_variant FROM c ORDER BY s, f, k LIMIT 1),
+      o AS (SELECT *, CASE headline_variant WHEN 'by_perm' THEN sig_by_perm WHEN 'bh_perm' THEN sig_bh_perm WHEN 'by_welch' THEN sig_by_welch ELSE sig_bh_welch END AS hit FROM t, hd)
+      SELECT corridor_id, round(excess_ratio, 6) AS excess_ratio, round(p_welch, 6) AS p_welch, round(p_perm, 6) AS p_perm, round(q_by_perm, 6) AS q_by_perm, round(q_bh_perm, 6) AS q_bh_perm, round(q_by_welch, 6) AS q_by_welch, round(q_bh_welch, 6) AS q_bh_welch,
+        sig_by_perm, sig_bh_perm, sig_by_welch, sig_bh_welch, direction, headline_variant, CASE WHEN hit AND sig_bh_welch THEN 'robust' WHEN sig_bh_welch THEN 'fragile' WHEN hit THEN 'headline_only' ELSE 'not_significant' END AS status FROM o"""),
     "worst_corridors": legs(f"{_welch(10)}, r AS ({_WELCH_ROWS}) SELECT * FROM r WHERE excess_ratio > 1 ORDER BY excess_ratio DESC, corridor_id LIMIT 20"),
     "best_corridors": legs(f"{_welch(10)}, r AS ({_WELCH_ROWS}) SELECT * FROM r WHERE excess_ratio < 1 ORDER BY excess_ratio, corridor_id LIMIT 20"),
     "corridor_severity": legs(f"{_welch(10)}, r AS ({_WELCH_ROWS}) SELECT corridor_id, CASE WHEN excess_ratio >= 1 THEN 'worse' ELSE 'better' END AS direction, {_BINS} AS severity FROM r"),

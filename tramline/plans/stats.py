@@ -26,15 +26,30 @@ def permutation_cells(spark, sf_dir):
     return _rounded(S.cells(legs_from_orders(spark, sf_dir)))
 
 
+#: Repetitions of permutation tests and bootstraps, and placebo data sets.
+PERMUTATIONS, RESAMPLES, PLACEBOS = 100_000, 10_000, 200
+FLOORS = [10, 20, 30, 50, 100]
+
+
 def permutation_test(spark, sf_dir):
+    return _rounded(S.permutation_blocks(legs_from_events(spark, sf_dir), PERMUTATIONS, 7))
+
+
+def permutation_by_hash(spark, sf_dir):
+    """The same test as rows, with draws that SQL can repeat; 20 repetitions check the arithmetic, not a corridor."""
     return _rounded(S.permutation_test(legs_from_events(spark, sf_dir), 20, 7))
 
 
 def placebo_calibration(spark, sf_dir):
-    """How often a difference beyond twice its spread is found where none exists: permuted cells, by repetition."""
-    d = S.differences(S.permuted(S.cells(legs_from_events(spark, sf_dir)), 20, 23), "shuffled", ["rep"])
-    z = d.join(d.groupBy("rep").agg(F.stddev_samp("d").alias("sd")), "rep")
-    return _rounded(z.groupBy("rep").agg(F.count("*").alias("corridors"), F.avg((F.abs("d") > 2 * F.col("sd")).cast("double")).alias("rejected")))
+    return _rounded(S.placebo(legs_from_events(spark, sf_dir), PLACEBOS))
+
+
+def audit_variants(spark, sf_dir):
+    """The audit by Welch and by permutation, corrected by BH and BY, with the headline variant and each corridor's status."""
+    rows = legs_from_orders(spark, sf_dir)
+    tested = A.welch(A.corridor_aggregate(rows), A.network_baseline(rows)).select("corridor_id", "n_legs", "excess_ratio", F.col("p_value").alias("p_welch"))
+    p = S.permutation_blocks(rows, RESAMPLES, 29).select("corridor_id", F.col("p_value").alias("p_perm"))
+    return _rounded(A.headline(A.variants(tested.join(p, "corridor_id").where("n_legs >= 10"))))
 
 
 def _yv(spark, sf_dir):
@@ -61,14 +76,18 @@ def eb_support_bins(spark, sf_dir):
     return _rounded(S.support_bins(_yv(spark, sf_dir), "n_legs", "y"))
 
 
+def _rankings(spark, sf_dir):
+    rows = legs_from_orders(spark, sf_dir)
+    return S.floor_rankings(A.corridor_aggregate(rows), A.network_baseline(rows), FLOORS, 0.1)
+
+
 def ranking_overlap(spark, sf_dir):
-    from pyspark.sql import Window
+    """Stability over floors of the three rankings that need no p-value."""
+    return _rounded(S.pair_stability(_rankings(spark, sf_dir).where("ranking != 'raw_published'")))
 
-    yv = _yv(spark, sf_dir)
-    ways = {"mean": F.col("y"), "lower": F.col("y") - F.sqrt("v"), "support": F.col("n_legs").cast("double")}
-    long = yv.select("corridor_id", F.explode(F.array(*[F.struct(F.lit(k).alias("ranking"), e.alias("score")) for k, e in ways.items()])).alias("r")).select("corridor_id", "r.*")
-    pos = long.withColumn("pos", F.row_number().over(Window.partitionBy("ranking").orderBy(F.col("score").desc(), "corridor_id")))
-    return _rounded(S.overlaps(pos, "ranking", "corridor_id", 50))
+
+def ranking_stability(spark, sf_dir):
+    return _rounded(S.pair_stability(_rankings(spark, sf_dir)))
 
 
 def spearman_support(spark, sf_dir):
@@ -87,7 +106,7 @@ def bootstrap_paired(spark, sf_dir):
 
 def bootstrap_blocks(spark, sf_dir):
     d = legs_from_events(spark, sf_dir).select(F.col("trip_creation_time").cast("date").cast("string").alias("day"), F.col("gap_min"))
-    return _rounded(S.block_bootstrap(d, "day", "gap_min", 50))
+    return _rounded(S.block_bootstrap(d, "day", "gap_min", RESAMPLES))
 
 
 def bootstrap_blocks_summary(spark, sf_dir):
@@ -100,7 +119,7 @@ def _four(spark, sf_dir):
 
 
 def bootstrap_gain(spark, sf_dir):
-    return _rounded(S.four_cell_bootstrap(_four(spark, sf_dir), 10))
+    return _rounded(S.four_cell_bootstrap(_four(spark, sf_dir), RESAMPLES))
 
 
 def wilcoxon_signed_rank(spark, sf_dir):
@@ -162,8 +181,8 @@ def hash_draws(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    icc_schedule, icc_by_corridor, permutation_cells, permutation_test, placebo_calibration, eb_tau2, eb_posterior, eb_reml, eb_support_bins,
-    ranking_overlap, spearman_support, bootstrap_groups, bootstrap_paired, bootstrap_blocks, bootstrap_blocks_summary, bootstrap_gain,
+    icc_schedule, icc_by_corridor, permutation_cells, permutation_test, permutation_by_hash, placebo_calibration, audit_variants, eb_tau2, eb_posterior, eb_reml, eb_support_bins,
+    ranking_overlap, ranking_stability, spearman_support, bootstrap_groups, bootstrap_paired, bootstrap_blocks, bootstrap_blocks_summary, bootstrap_gain,
     wilcoxon_signed_rank, diebold_mariano, trend_by_weekday, two_proportions, agreement_fleiss, agreement_cohen, score_auc,
     proportions_wilson, proportions_better, stability_parts, stability_chance, hash_draws,
 )}
@@ -179,7 +198,7 @@ def _icc(by: str, digits: int) -> str:
 
 
 _D = lambda *p: "CAST('0x' || substr(md5(concat_ws('|', " + ", ".join(p) + ")), 1, 8) AS BIGINT)"
-_CELLS = """cell AS (SELECT corridor_id, schedule, count(*) AS m, avg(log_gap_ratio) AS ybar, CAST(CASE WHEN count(*) <= 8 THEN count(*) WHEN count(*) <= 12 THEN 9 WHEN count(*) <= 20 THEN 10 WHEN count(*) <= 40 THEN 11 ELSE 12 END AS INT) AS stratum FROM legs GROUP BY 1, 2)"""
+_CELLS = """cell AS (SELECT corridor_id, schedule, count(*) AS m, avg(log_gap_ratio) AS ybar, var_pop(log_gap_ratio) * count(*) AS ss_dev, CAST(CASE WHEN count(*) >= 23 THEN 11 WHEN count(*) >= 16 THEN 10 WHEN count(*) >= 12 THEN 9 WHEN count(*) >= 9 THEN 8 ELSE count(*) - 1 END AS INT) AS stratum FROM legs GROUP BY 1, 2)"""
 
 
 def _perm(reps: int, seed: int) -> str:
@@ -193,7 +212,7 @@ def _perm(reps: int, seed: int) -> str:
 _YV = f"{_AGG}, yv AS (SELECT corridor_id, n_legs, s / n_legs AS y, (ss - s * s / n_legs) / (n_legs - 1) / n_legs AS v FROM agg WHERE n_legs >= 10)"
 _FOUR = "four AS (SELECT count_if(planned_min < 40 AND is_delayed) AS tp, count_if(planned_min < 40 AND NOT is_delayed) AS fp, count_if(planned_min >= 40 AND is_delayed) AS fn, count_if(planned_min >= 40 AND NOT is_delayed) AS tn FROM legs)"
 _BLOCKS = f"""b AS (SELECT CAST(CAST(trip_creation_time AS DATE) AS VARCHAR) AS day, sum(gap_min) AS s, count(*) AS n FROM legs GROUP BY 1), bp AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS pos, count(*) OVER () AS blocks FROM b),
-  dr AS (SELECT rep, {_D("'17'", 'CAST(rep AS VARCHAR)', 'CAST(pos AS VARCHAR)')} % blocks AS pos FROM bp, range(50) t(rep)), bb AS (SELECT CAST(rep AS INT) AS rep, sum(s) / sum(n) AS mean FROM dr JOIN bp USING (pos) GROUP BY 1)"""
+  dr AS (SELECT rep, {_D("'17'", 'CAST(rep AS VARCHAR)', 'CAST(pos AS VARCHAR)')} % blocks AS pos FROM bp, range(10000) t(rep)), bb AS (SELECT CAST(rep AS INT) AS rep, sum(s) / sum(n) AS mean FROM dr JOIN bp USING (pos) GROUP BY 1)"""
 _SUMMARY = "SELECT count(mean) AS reps, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round(least(1, 2 * least(count_if(mean <= 0) + 1, count_if(mean >= 0) + 1) / (count(mean) + 1)), 6) AS p_value"
 _Z = 1.959963984540054
 _WILSON = f"round(greatest(0, (p + {_Z}**2 / (2 * n)) / (1 + {_Z}**2 / n) - {_Z} * sqrt(p * (1 - p) / n + {_Z}**2 / (4.0 * n * n)) / (1 + {_Z}**2 / n)), 6) AS low, round(least(1, (p + {_Z}**2 / (2 * n)) / (1 + {_Z}**2 / n) + {_Z} * sqrt(p * (1 - p) / n + {_Z}**2 / (4.0 * n * n)) / (1 + {_Z}**2 / n)), 6) AS high"
@@ -210,26 +229,32 @@ _CH = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma(greatest(0, {n}
 ORACLE_SQL = {
     "icc_schedule": legs(_icc("", 7)),
     "icc_by_corridor": trips(_icc("corridor_id", 5)),
-    "permutation_cells": legs(f"{_CELLS} SELECT corridor_id, schedule, m, round(ybar, 6) AS ybar, stratum FROM cell"),
-    "permutation_test": trips(f"""{_CELLS}, {_perm(20, 7)}, oc AS (SELECT corridor_id, sum(m) AS n, sum(m * ybar) AS s FROM cell GROUP BY 1),
+    "permutation_cells": legs(f"{_CELLS} SELECT corridor_id, schedule, m, round(ybar, 6) AS ybar, round(ss_dev, 6) AS ss_dev, stratum FROM cell"),
+    "permutation_by_hash": trips(f"""{_CELLS}, {_perm(20, 7)}, oc AS (SELECT corridor_id, sum(m) AS n, sum(m * ybar) AS s FROM cell GROUP BY 1),
       ob AS (SELECT corridor_id, n, s / n - (sum(s) OVER () - s) / (sum(n) OVER () - n) AS observed FROM oc)
       SELECT corridor_id, CAST(n AS BIGINT) AS n, round(observed, 6) AS observed, count_if(abs(d) >= abs(observed) - 1e-12) AS exceed, round((count_if(abs(d) >= abs(observed) - 1e-12) + 1) / 21, 6) AS p_value FROM ob JOIN pd USING (corridor_id) GROUP BY corridor_id, n, observed"""),
-    "placebo_calibration": trips(f"{_CELLS}, {_perm(20, 23)} SELECT CAST(rep AS INT) AS rep, count(*) AS corridors, round(avg((abs(d) > 2 * sd)::INT), 6) AS rejected FROM (SELECT *, stddev_samp(d) OVER (PARTITION BY rep) AS sd FROM pd) GROUP BY 1"),
     "eb_tau2": legs(f"{_YV} SELECT count(*) AS k, round(sum(y / v) / sum(1 / v), 7) AS mu_fixed, round(greatest(0, (sum(y * y / v) - sum(y / v) ** 2 / sum(1 / v) - (count(*) - 1)) / (sum(1 / v) - sum(1 / v ** 2) / sum(1 / v))), 7) AS tau2 FROM yv"),
     "eb_posterior": legs(f"""{_YV}, c AS (SELECT sum(1 / (v + 0.01)) AS w, sum(y / (v + 0.01)) / sum(1 / (v + 0.01)) AS mu FROM yv), p AS (SELECT corridor_id, mu, v / (v + 0.01) AS b, (1 - v / (v + 0.01)) * y + v / (v + 0.01) * mu AS pm, sqrt((1 - v / (v + 0.01)) * v + (v / (v + 0.01)) ** 2 / w) AS sd FROM yv, c)
       SELECT corridor_id, round(mu, 6) AS mu, round(b, 6) AS shrink, round(pm, 6) AS post_mean, round(sd, 6) AS post_sd, round(pm - 1.6448536269514722 * sd, 6) AS lo90, round(pm + 1.6448536269514722 * sd, 6) AS hi90, round((pm - 0.1) / sd, 6) AS z FROM p"""),
     "eb_support_bins": legs(f"{_YV} SELECT CASE WHEN n_legs < 20 THEN '10-19' WHEN n_legs < 40 THEN '20-39' WHEN n_legs < 80 THEN '40-79' ELSE '80+' END AS bin, count(*) AS units, round(quantile_cont(y, 0.5), 6) AS median FROM yv GROUP BY 1"),
-    "ranking_overlap": legs(f"""{_YV}, l AS (SELECT corridor_id, 'mean' AS ranking, y AS score FROM yv UNION ALL SELECT corridor_id, 'lower', y - sqrt(v) FROM yv UNION ALL SELECT corridor_id, 'support', n_legs FROM yv),
-      t AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY ranking ORDER BY score DESC, corridor_id) <= 50), z AS (SELECT ranking, count(*) AS n FROM t GROUP BY 1)
-      SELECT x.ranking AS a, y.ranking AS b, count(*) AS both, round(count(*) / (any_value(zx.n) + any_value(zy.n) - count(*)), 6) AS jaccard FROM t x JOIN t y ON x.corridor_id = y.corridor_id AND x.ranking < y.ranking JOIN z zx ON zx.ranking = x.ranking JOIN z zy ON zy.ranking = y.ranking GROUP BY 1, 2"""),
+    "ranking_overlap": legs(f"""{_AGG}, f AS (SELECT corridor_id, unnest(list_filter([10, 20, 30, 50, 100], lambda x: x <= n_legs)) AS floor, s / n_legs AS y, greatest(0, (ss - s * s / n_legs) / (n_legs - 1)) / n_legs AS v FROM agg),
+      t2 AS (SELECT floor, greatest(0, coalesce((sum(y * y / v) - sum(y / v) ** 2 / sum(1 / v) - (count(*) - 1)) / nullif(sum(1 / v) - sum(1 / v ** 2) / sum(1 / v), 0), 0)) AS tau2 FROM f WHERE v > 0 GROUP BY 1),
+      c AS (SELECT floor, any_value(tau2) AS tau2, sum(1 / (v + tau2)) AS u, sum(y / (v + tau2)) / sum(1 / (v + tau2)) AS mu FROM f JOIN t2 USING (floor) WHERE v > 0 GROUP BY 1),
+      p AS (SELECT floor, corridor_id, y, v / (v + tau2) AS b, v, u, (1 - v / (v + tau2)) * y + v / (v + tau2) * mu AS pm FROM f JOIN c USING (floor) WHERE v > 0),
+      z AS (SELECT *, (pm - 0.1) / nullif(sqrt((1 - b) * v + b * b / u), 0) AS z FROM p),
+      l AS (SELECT floor, corridor_id, 'raw_mean' AS ranking, y AS s1, 0.0 AS s2 FROM z UNION ALL SELECT floor, corridor_id, 'eb_prob', z, pm FROM z UNION ALL SELECT floor, corridor_id, 'eb_postmean', pm, 0.0 FROM z),
+      r AS (SELECT *, row_number() OVER (PARTITION BY floor, ranking ORDER BY round(s1, 9) DESC NULLS LAST, round(s2, 9) DESC, corridor_id) AS pos FROM l),
+      pr AS (SELECT DISTINCT x.floor AS a, y.floor AS b FROM (SELECT DISTINCT floor FROM r) x JOIN (SELECT DISTINCT floor FROM r) y ON x.floor < y.floor),
+      j AS (SELECT x.ranking, pr.a, pr.b, x.corridor_id, x.pos AS pa, y.pos AS pb FROM pr JOIN r x ON x.floor = pr.a LEFT JOIN r y ON y.floor = pr.b AND y.ranking = x.ranking AND y.corridor_id = x.corridor_id),
+      k AS (SELECT *, CASE WHEN pb IS NOT NULL THEN row_number() OVER (PARTITION BY ranking, a, b, pb IS NULL ORDER BY pa) END AS ca FROM j)
+      SELECT ranking, CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(count_if(pa <= 20 AND pb <= 20) / count_if(pa <= 20 OR pb <= 20), 6) AS jaccard, round(count_if(ca <= 20 AND pb <= 20) / count_if(ca <= 20 OR pb <= 20), 6) AS common_jaccard,
+        round(CASE WHEN count(pb) > 1 THEN corr(ca, pb) END, 6) AS rho, count(pb) AS corridors FROM k GROUP BY 1, 2, 3"""),
     "spearman_support": legs(f"{_YV}, r AS (SELECT rank() OVER (ORDER BY n_legs) + (count(*) OVER (PARTITION BY n_legs) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM yv) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r"),
     "bootstrap_groups": trips(f"""p AS (SELECT schedule, gap_min, row_number() OVER (PARTITION BY schedule ORDER BY leg_id) - 1 AS pos, count(*) OVER (PARTITION BY schedule) AS n FROM legs),
       d AS (SELECT schedule, rep, {_D("'11'", 'CAST(rep AS VARCHAR)', 'schedule', 'CAST(pos AS VARCHAR)')} % n AS pos FROM p, range(5) t(rep)) SELECT schedule, CAST(rep AS INT) AS rep, round(avg(gap_min), 6) AS mean FROM d JOIN p USING (schedule, pos) GROUP BY 1, 2"""),
     "bootstrap_paired": trips("d AS (SELECT leg_id, abs(gap_min) - 40 AS d FROM legs), w AS (SELECT rep, d, " + f"{_D(chr(39) + '13' + chr(39), 'CAST(rep AS VARCHAR)', 'leg_id')} / 4294967296.0::DOUBLE AS u FROM d, range(50) t(rep)), b AS (SELECT rep, sum(k * d) / sum(k) AS mean FROM (SELECT *, " + " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in _CUTS) + f" AS k FROM w) GROUP BY 1) {_SUMMARY} FROM b"),
     "bootstrap_blocks": trips(f"{_BLOCKS} SELECT rep, round(mean, 6) AS mean FROM bb"),
     "bootstrap_blocks_summary": trips(f"{_BLOCKS}, r AS (SELECT rep, round(mean, 6) AS mean FROM bb) {_SUMMARY} FROM r"),
-    "bootstrap_gain": trips(f"""{_FOUR}, u AS (SELECT rep, tp, fp, fn, {_D("'19'", 'CAST(rep AS VARCHAR)', 'CAST(i AS VARCHAR)')} % (tp + fp + fn + tn) AS x FROM four, range(10) t(rep), range(1, CAST((SELECT tp + fp + fn + tn + 1 FROM four) AS BIGINT)) s(i)),
-      g AS (SELECT rep, count_if(x < tp) AS a, count_if(x >= tp AND x < tp + fp) AS b, count_if(x >= tp + fp AND x < tp + fp + fn) AS c, count(*) AS n FROM u GROUP BY 1) SELECT CAST(rep AS INT) AS rep, round(a / (a + b) - (a + c) / n, 6) AS gain FROM g"""),
     "wilcoxon_signed_rank": trips("""r AS (SELECT gap_min, rank() OVER (ORDER BY abs(gap_min)) + (count(*) OVER (PARTITION BY abs(gap_min)) - 1) / 2 AS r, count(*) OVER (PARTITION BY abs(gap_min)) AS k FROM legs WHERE gap_min <> 0),
       t AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN gap_min > 0 THEN r ELSE 0 END) AS w, sum(k * k - 1) AS t FROM r) SELECT n, w AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - t / 48), 6) AS z FROM t"""),
     "diebold_mariano": trips("""p AS (SELECT gap_min - avg(gap_min) OVER () AS e, avg(gap_min) OVER () AS mu, count(*) OVER () AS n, row_number() OVER (ORDER BY trip_creation_time, leg_id) AS pos FROM legs),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tramline.operators.clean import PIN_STATES
 
 from .history import _KEYS, _PART, _asof
 from .network import _HUB, _welch
@@ -21,8 +20,31 @@ _VOTES = "votes AS (SELECT source_center AS centre_code, source_name AS best_nam
 
 
 def _state(code: str) -> str:
+    """State by PIN digits, written out here apart from the operator's own table."""
     pin = f"TRY_CAST(substr({code}, 4, 2) AS INT)"
-    return "CASE " + " ".join(f"WHEN {pin} BETWEEN {a} AND {b} THEN '{s}'" for (a, b), s in PIN_STATES.items()) + " END"
+    return f"""CASE {pin}
+      WHEN 11 THEN 'Delhi'
+      WHEN 12 THEN 'Haryana' WHEN 13 THEN 'Haryana'
+      WHEN 14 THEN 'Punjab' WHEN 15 THEN 'Punjab' WHEN 16 THEN 'Punjab'
+      WHEN 17 THEN 'Himachal Pradesh'
+      WHEN 18 THEN 'Jammu and Kashmir' WHEN 19 THEN 'Jammu and Kashmir'
+      WHEN 20 THEN 'Uttar Pradesh' WHEN 21 THEN 'Uttar Pradesh' WHEN 22 THEN 'Uttar Pradesh' WHEN 23 THEN 'Uttar Pradesh' WHEN 24 THEN 'Uttar Pradesh' WHEN 25 THEN 'Uttar Pradesh' WHEN 26 THEN 'Uttar Pradesh' WHEN 27 THEN 'Uttar Pradesh' WHEN 28 THEN 'Uttar Pradesh'
+      WHEN 30 THEN 'Rajasthan' WHEN 31 THEN 'Rajasthan' WHEN 32 THEN 'Rajasthan' WHEN 33 THEN 'Rajasthan' WHEN 34 THEN 'Rajasthan'
+      WHEN 36 THEN 'Gujarat' WHEN 37 THEN 'Gujarat' WHEN 38 THEN 'Gujarat' WHEN 39 THEN 'Gujarat'
+      WHEN 40 THEN 'Maharashtra' WHEN 41 THEN 'Maharashtra' WHEN 42 THEN 'Maharashtra' WHEN 43 THEN 'Maharashtra' WHEN 44 THEN 'Maharashtra'
+      WHEN 45 THEN 'Madhya Pradesh' WHEN 46 THEN 'Madhya Pradesh' WHEN 47 THEN 'Madhya Pradesh' WHEN 48 THEN 'Madhya Pradesh'
+      WHEN 49 THEN 'Chhattisgarh'
+      WHEN 50 THEN 'Telangana' WHEN 51 THEN 'Telangana'
+      WHEN 52 THEN 'Andhra Pradesh' WHEN 53 THEN 'Andhra Pradesh'
+      WHEN 56 THEN 'Karnataka' WHEN 57 THEN 'Karnataka' WHEN 58 THEN 'Karnataka' WHEN 59 THEN 'Karnataka'
+      WHEN 60 THEN 'Tamil Nadu' WHEN 61 THEN 'Tamil Nadu' WHEN 62 THEN 'Tamil Nadu' WHEN 63 THEN 'Tamil Nadu' WHEN 64 THEN 'Tamil Nadu'
+      WHEN 67 THEN 'Kerala' WHEN 68 THEN 'Kerala' WHEN 69 THEN 'Kerala'
+      WHEN 70 THEN 'West Bengal' WHEN 71 THEN 'West Bengal' WHEN 72 THEN 'West Bengal' WHEN 73 THEN 'West Bengal' WHEN 74 THEN 'West Bengal'
+      WHEN 75 THEN 'Odisha' WHEN 76 THEN 'Odisha' WHEN 77 THEN 'Odisha'
+      WHEN 78 THEN 'Assam'
+      WHEN 79 THEN 'North Eastern States'
+      WHEN 80 THEN 'Bihar' WHEN 81 THEN 'Bihar' WHEN 82 THEN 'Bihar' WHEN 83 THEN 'Bihar' WHEN 84 THEN 'Bihar' WHEN 85 THEN 'Bihar'
+      END"""
 
 
 _BAD = {
@@ -184,7 +206,7 @@ ORACLE_SQL = {
     "stream_keys": trips(f"""{_EV}, p AS (SELECT *, CASE WHEN created_hour < 6 THEN 'night' WHEN created_hour < 12 THEN 'morning' WHEN created_hour < 18 THEN 'afternoon' ELSE 'evening' END AS part FROM evs),
       k AS (SELECT kind, unnest([{{'t': 'corridor', 'k': corridor_id}}, {{'t': 'source', 'k': source_center}}, {{'t': 'destination', 'k': destination_center}}, {{'t': 'source_part', 'k': source_center || '|' || part}}, {{'t': 'destination_part', 'k': destination_center || '|' || part}}]) AS o FROM p)
       SELECT o.t AS key_type, kind, count(*) AS n, count(DISTINCT o.k) AS keys FROM k GROUP BY 1, 2"""),
-    "stream_snapshot_join": trips("s AS (SELECT corridor_id, count(*) AS n, avg(gap_min) AS m FROM legs WHERE CAST(leg_id AS BIGINT) < 500 GROUP BY 1) SELECT corridor_id, leg_id, coalesce(n, 0) AS n, round(coalesce(m, 0), 6) AS mean_gap_min FROM legs LEFT JOIN s USING (corridor_id)"),
+    "stream_snapshot_join": trips("s AS (SELECT corridor_id, count(*) AS n, avg(gap_min) AS m FROM legs GROUP BY 1) SELECT corridor_id, leg_id, coalesce(n, 0) AS n, round(coalesce(m, 0), 6) AS mean_gap_min FROM legs LEFT JOIN s USING (corridor_id)"),
     "stream_latency": trips("d AS (SELECT (epoch_us(od_end_time) - epoch_us(od_start_time)) / 1e6 AS s FROM legs) SELECT count(*) AS n, quantile_disc(s, 0.5) AS p50, quantile_disc(s, 0.95) AS p95, max(s) AS most FROM d"),
     "stream_finish": trips("SELECT CAST(leg_id AS BIGINT) % 4 <> 0 AS matched, count(*) AS n, max(CASE WHEN CAST(leg_id AS BIGINT) % 4 <> 0 THEN od_end_time END) AS latest FROM legs GROUP BY 1"),
     "stream_history": trips(", ".join(_mean(k, p) for k, p in (("corridor_id", "corr"), ("source_center", "src"), ("destination_center", "dst"), (f"source_center || '|' || {_PART}", "sp")))
