@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tramline.operators import business as B
 from tramline.operators import clean as C
 from tramline.operators import hubs as U
+from tramline.operators import orders as O
 from tramline.operators import quality as Q
 from tramline.sources import files as S
 
@@ -62,18 +63,47 @@ def test_row_index_fingerprint_and_logs(spark, tmp_path):
     assert got == [3, 1]
 
 
-@pytest.mark.parametrize("body, want", [
-    ("move 12 cartons, weight 1,500 kg, Carting, from IND282002AAD to IND388121AAA", ("file", None, 1500.0, 12)),
-    ("move 12 cartons, about 1500 kg, Carting, from IND282002AAD to IND388121AAA", ("clarify", "weight_kg", None, 12)),
-    ("move 10-12 cartons, 2 tonnes, full truck, from IND282002AAD to IND388121AAA", ("clarify", "pieces", 2000.0, None)),
-    ("12 cartons, 90 kg, not 80 kg, part load, from IND282002AAD to IND388121AAA", ("file", None, 90.0, 12)),
-    ("12 cartons, 90 kg or 80 kg, part load, from IND282002AAD to IND388121AAA", ("clarify", "weight_kg", None, 12)),
-    ("12 cartons, 90 kg, from IND282002AAD to IND388121AAA\n> FTL", ("clarify", "route_type", 90.0, 12)),
-    ("nothing", ("clarify", "source_center", None, None)),
-])
-def test_order_mails(spark, body, want):
-    r = B.read_orders(spark.createDataFrame([(1, "Order", body)], "mail_id int, subject string, body string")).first()
-    assert (r["outcome"], r["ask_for"], r["weight_kg"], r["pieces"]) == want
+_ENDS, _SIGNED = ", from IND282002AAD to IND388121AAA", "\nBest regards,\nMeera\nLogistics"
+
+
+_MAILS = [
+    ("move 12 cartons, weight 1,500 kg, Carting" + _ENDS + _SIGNED, ("file", None, 1500.0, 12)),
+    ("move 12 cartons, about 1500 kg, Carting" + _ENDS + _SIGNED, ("clarify", "weight_kg", None, 12)),
+    ("move 10-12 cartons, 2 tonnes, full truck" + _ENDS + _SIGNED, ("clarify", "pieces", 2000.0, None)),
+    ("12 cartons, 90 kg, not 80 kg, part load" + _ENDS + _SIGNED, ("file", None, 90.0, 12)),
+    ("12 cartons, 90 kg or 80 kg, part load" + _ENDS + _SIGNED, ("clarify", "weight_kg", None, 12)),
+    ("12 cartons, 90 kg" + _ENDS + _SIGNED + "\n> FTL, 70 kg", ("file", None, 90.0, 12)),
+    ("> 70 kg\n12 cartons, 2 t, ftl" + _ENDS + _SIGNED, ("file", None, 2000.0, 12)),
+    ("12 cartons, 90 kg" + _ENDS + _SIGNED, ("clarify", "route_type", 90.0, 12)),
+    ("12 cartons, 90 kg, ftl" + _ENDS, ("clarify", "customer_name", 90.0, 12)),
+    ("twenty-five pallets, 90 kg, ftl" + _ENDS + _SIGNED, ("file", None, 90.0, 25)),
+    ("No. of packages: 7, 90 kg, ftl" + _ENDS + _SIGNED, ("file", None, 90.0, 7)),
+    ("0 bags, 90 kg, ftl" + _ENDS + _SIGNED, ("clarify", "pieces", 90.0, None)),
+    ("two loads of 12 cartons, 90 kg, ftl" + _ENDS + _SIGNED, ("clarify", "consignment", 90.0, 12)),
+    ("1) 12 cartons\n2) 9 cartons, 90 kg, ftl" + _ENDS + _SIGNED, ("clarify", "consignment", 90.0, 12)),
+    ("12 units, somewhere between 2 and 3 tonnes, ftl" + _ENDS + _SIGNED, ("clarify", "weight_kg", None, 12)),
+    ("12 cases, 90 kg, ftl, from IND282002AAD to IND282002AAD" + _SIGNED, ("clarify", "destination_center", 90.0, 12)),
+    ("nothing", ("clarify", "weight_kg", None, None)),
+    (None, ("clarify", "weight_kg", None, None)),
+]
+
+
+def test_order_mails(spark):
+    mails = spark.createDataFrame([(i, "Order", body) for i, (body, _) in enumerate(_MAILS)], "mail_id int, subject string, body string")
+    got = {r["mail_id"]: (r["outcome"], r["ask_for"], r["weight_kg"], r["pieces"]) for r in O.read_orders(mails).collect()}
+    for i, (body, want) in enumerate(_MAILS):
+        assert got[i] == want, body
+
+
+def test_order_ends_and_company(spark):
+    rows = [
+        (1, "Deliver to our depot IND388121AAA please. The pickup is at IND282002AAD.\nRegards,\nLogistics desk, Acme Traders"),
+        (2, "IND282002AAD, IND388121AAA\nThanks\n\nShipper,\nBlue Cargo."),
+        (3, "consignee IND388121AAA" + " x" * 60 + " IND282002AAD\nRegards"),
+    ]
+    got = {r["mail_id"]: (r["source_center"], r["destination_center"], r["customer_name"]) for r in O.read_orders(spark.createDataFrame(rows, "mail_id int, body string").withColumn("subject", F.lit(""))).collect()}
+    ends = ("IND282002AAD", "IND388121AAA")
+    assert got == {1: (*ends, "Acme Traders"), 2: (*ends, "Blue Cargo"), 3: (*ends, None)}
 
 
 def test_invoice_rules(spark):

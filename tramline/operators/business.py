@@ -139,68 +139,6 @@ def verdict_scores(audited: DataFrame, truth: str, kind: str) -> DataFrame:
     return t.withColumn("low", low).withColumn("high", high)
 
 
-# ---- orders ---------------------------------------------------------------------------------------------------------
-_CODE = r"IND\d{6}[A-Z]{3}"
-_HEDGE = r"(?:about|around|roughly|approx\w*|circa|~)\s*"
-_NUMBER = r"(\d[\d,]*(?:\.\d+)?)"
-
-
-def read_orders(mails: DataFrame) -> DataFrame:
-    """Fields of order mails (mail_id, subject, body): weight, pieces, route, codes and consignments, and what is missing.
-
-    A field is unclear if it is given as a range, an estimate or twice with other values; quoted lines ("> ...") don't count.
-    An unclear or missing field is asked for, the first of them by name; otherwise the order is filed.
-    """
-    # Each step names what the next one uses more than once, so no pattern is matched twice.
-    to_number = lambda s: F.regexp_replace(s, ",", "").cast("double")
-    d = mails.withColumn("_live", F.regexp_replace(F.concat_ws("\n", "subject", "body"), r"(?m)^\s*>.*$", "")).withColumn("_low", F.lower("_live"))
-    low, live = F.col("_low"), F.col("_live")
-    unit, noun = r"(?:kgs?|kilos?|kilograms?|tonnes?|tons?)\b", r"(?:pieces?|pcs|cartons?|box(?:es)?|crates?|packages?)"
-    kilos = F.transform(F.regexp_extract_all(low, F.lit(rf"(?<!not )(?<![\d.,]){_NUMBER}\s*(?:kgs?|kilos?|kilograms?)\b"), F.lit(1)), to_number)
-    tonnes = F.transform(F.regexp_extract_all(low, F.lit(rf"(?<!not )(?<![\d.,]){_NUMBER}\s*(?:tonnes?|tons?)\b"), F.lit(1)), lambda s: to_number(s) * 1000)
-    cue = lambda words: F.nullif(F.regexp_extract(live, rf"(?i)(?:{words})[^.\n]{{0,60}}?({_CODE})", 1), F.lit(""))
-    d = d.withColumns({
-        "_weights": F.array_distinct(F.transform(F.concat(kilos, tonnes), lambda w: F.round(w, 1))),
-        "_counts": F.array_distinct(F.regexp_extract_all(low, F.lit(rf"(?<![\d.,–-])(\d{{1,9}})\s*{noun}\b"), F.lit(1))),
-        "_codes": F.array_distinct(F.regexp_extract_all(live, F.lit(rf"({_CODE})"), F.lit(1))),
-        "_ftl": low.rlike(r"\bftl\b|full truck"), "_carting": low.rlike(r"\bcarting\b|part[ -]load"),
-        "_from": cue("from|origin|pick ?up"), "_to": cue(r"\bto\b|destination|deliver\w*"),
-        "_parts": F.size(F.regexp_extract_all(low, F.lit(r"(?m)^\s*consignment\s*#?(\d+)"), F.lit(1))),
-    })
-    weights, counts, codes = F.col("_weights"), F.col("_counts"), F.col("_codes")
-    vague_weight = (F.size(weights) > 1) | low.rlike(rf"{_HEDGE}{_NUMBER}\s*{unit}") | low.rlike(rf"\d\s*(?:-|–|to|and)\s*{_NUMBER}\s*{unit}")
-    vague_pieces = (F.size(counts) > 1) | low.rlike(rf"{_HEDGE}\d+\s*{noun}") | low.rlike(rf"\d\s*(?:-|–|to)\s*\d+\s*{noun}")
-    d = d.withColumns({
-        "weight_kg": F.when((F.size(weights) == 1) & (F.get(weights, 0) > 0) & ~vague_weight, F.get(weights, 0)),
-        "pieces": F.when((F.size(counts) == 1) & ~vague_pieces, F.nullif(F.get(counts, 0).cast("long"), F.lit(0))),
-        "source_center": F.coalesce("_from", F.get(F.filter(codes, lambda c: F.coalesce(c != F.col("_to"), F.lit(True))), 0)),
-    })
-    origin, destination = F.col("source_center"), F.col("_to")
-    d = d.select(
-        "mail_id", origin, F.coalesce(F.when(destination != origin, destination), F.get(F.filter(codes, lambda c: F.coalesce(c != origin, F.lit(True))), 0)).alias("destination_center"),
-        F.when(F.col("_ftl") & ~F.col("_carting"), "FTL").when(F.col("_carting") & ~F.col("_ftl"), "Carting").alias("route_type"),
-        "weight_kg", "pieces", F.greatest(F.lit(1), "_parts").alias("consignments"),
-    )
-    order = ["source_center", "destination_center", "route_type", "weight_kg", "pieces"]
-    ask = F.coalesce(*[F.when(F.col(c).isNull(), F.lit(c)) for c in order])
-    return d.withColumn("ask_for", ask).withColumn("outcome", F.when(ask.isNull(), "file").otherwise("clarify"))
-
-
-def order_problems(orders: DataFrame, centres: DataFrame) -> DataFrame:
-    """Problems of read orders: unknown codes, equal ends, weights and counts out of bounds."""
-    known = lambda c: centres.select(F.col("centre_code").alias(c), F.lit(1).alias(f"_{c}"))
-    d = orders.join(known("source_center"), "source_center", "left").join(known("destination_center"), "destination_center", "left")
-    rules = [
-        ("unknown source", F.col("source_center").isNotNull() & F.col("_source_center").isNull()),
-        ("unknown destination", F.col("destination_center").isNotNull() & F.col("_destination_center").isNull()),
-        ("same ends", F.col("source_center") == F.col("destination_center")),
-        ("weight out of bounds", ~F.col("weight_kg").between(0.001, 40_000)),
-        ("pieces out of bounds", F.col("pieces") < 1),
-    ]
-    problems = F.array_compact(F.array(*[F.when(r, F.lit(n)) for n, r in rules]))
-    return d.withColumn("problems", problems).drop("_source_center", "_destination_center")
-
-
 # ---- entities -------------------------------------------------------------------------------------------------------
 def listing(df: DataFrame, order: str, key: str, limit: int, contains: tuple[str, str] | None = None, **equal: str) -> DataFrame:
     """Rows of an entity that pass the filters, newest first; a filter that isn't given lets all pass."""

@@ -11,6 +11,7 @@ from tramline.operators import business as B
 from tramline.operators import clean as C
 from tramline.operators import history as H
 from tramline.operators import models as M
+from tramline.operators import orders as O
 from tramline.operators import quality as Q
 from tramline.operators import statistics as T
 from tramline.sources.adapters import legs_from_events, legs_from_orders, table
@@ -196,20 +197,36 @@ def _mails(spark, sf_dir):
     k = F.col("o_orderkey") % 6
     weight = F.when(k == 0, F.concat(F.lit("about "), kg, F.lit(" kg"))).when(k == 1, F.concat(F.lit("weight 2.5 tonnes"))).when(k == 2, F.lit("weight to follow")).otherwise(F.concat(F.lit("weight "), kg, F.lit(" kg")))
     route = F.when(k == 3, "full truck please").when(k == 4, "any truck").otherwise("Carting")
-    body = F.concat(F.lit("Please move "), n, F.lit(" cartons, "), weight, F.lit(", "), route, F.lit("\nfrom "), code(F.col("o_custkey")), F.lit(" to "), code(F.col("o_orderkey")), F.lit(".\n> old: 99 kg"))
+    signed = F.when(F.col("o_orderkey") % 11 == 0, "\nBye").otherwise("\nRegards,\nLogistics desk, Acme Traders")
+    extra = F.when(F.col("o_orderkey") % 13 == 0, "\nWe have two shipments.").otherwise("")
+    count = F.when(F.col("o_orderkey") % 17 == 0, F.lit("twenty-five pallets")).when(F.col("o_orderkey") % 17 == 1, F.concat(F.lit("no. of packages: "), n)).otherwise(F.concat(n, F.lit(" cartons")))
+    body = F.concat(F.lit("Please move "), count, F.lit(", "), weight, F.lit(", "), route, F.lit("\nfrom "), code(F.col("o_custkey")), F.lit(" to "), code(F.col("o_orderkey")), extra, signed, F.lit("\n> old: 99 kg"))
     return o.select(F.col("o_orderkey").alias("mail_id"), F.lit("Order").alias("subject"), body.alias("body"))
 
 
 def orders_read(spark, sf_dir):
-    return B.read_orders(_mails(spark, sf_dir))
+    return O.read_orders(_mails(spark, sf_dir))
 
 
 def orders_problems(spark, sf_dir):
-    centres = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("IND"), F.lpad((F.col("o_custkey") % 800000 + 100000).cast("string"), 6, "0"), F.lit("AAB")).alias("centre_code")).distinct()
-    d = B.order_problems(B.read_orders(_mails(spark, sf_dir)), centres)
+    centres = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.concat(F.lit("IND"), F.lpad((F.col("o_custkey") % 800000 + 100000).cast("string"), 6, "0"), F.lit("AAB")).alias("centre_code"))
+    d = O.order_problems(O.read_orders(_mails(spark, sf_dir)), centres)
     return d.select("mail_id", F.array_join("problems", ";").alias("problems"))
 
 
+def orders_scored(spark, sf_dir):
+    """The reading against expectations of which some are wrong: weights by 0 to 2 kg, customers, and mails to file or to clarify."""
+    k = F.col("o_orderkey")
+    to_file = (k % 6).isin(3, 5)
+    truth = table(spark, sf_dir, "orders").select(
+        k.alias("mail_id"), (k % 6).alias("kind"), F.when(to_file, "file").otherwise("clarify").alias("want_outcome"),
+        F.when(~to_file, F.when(k % 6 == 4, "route_type").otherwise("weight_kg")).alias("want_ask"),
+        F.when(to_file, (F.col("o_custkey") % 900 + 1 + k % 3).cast("double")).alias("want_weight_kg"),
+        F.when(to_file, F.when(k % 19 == 0, "Other").otherwise(" acme traders")).alias("want_customer_name"),
+    )
+    return _rounded(O.order_summary(O.score_orders(O.read_orders(_mails(spark, sf_dir)), truth), ["kind"]))
+
+
 def entities_listing(spark, sf_dir):
     return B.listing(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey", 50, ("o_orderpriority", "urgent"), o_orderstatus="O")
 
@@ -478,7 +495,7 @@ QUERIES = {f.__name__: f for f in (
     clean_null_texts, clean_parse_failures, clean_drop_counts, clean_segments, clean_report, clean_name_votes, profile_orders, profile_documents, profile_top_values,
     profile_histogram, threshold_sensitivity, corridor_support, contract_orders, alerts_flagged, alerts_graded, alerts_notice, alerts_rollup, alerts_quality,
     alerts_policy, alerts_shortlist, alerts_shortlist_counts, alerts_investigated, alerts_newest, alerts_same, invoices_audited, invoices_scored, orders_read,
-    orders_problems, entities_listing, entities_lifecycle, entities_references, entities_shipments, places_cities, places_located, reconcile_totals,
+    orders_problems, orders_scored, entities_listing, entities_lifecycle, entities_references, entities_shipments, places_cities, places_located, reconcile_totals,
     reconcile_metrics, extraction_scores, path_coverage, unsupported_numbers, sample_spread, sample_strata, sample_round_robin, document_sentences,
     document_sections, nearest_vectors, nearest_vectors_labelled, model_inputs, model_fill_violations, model_time_split, model_rolling_folds, model_metrics,
     model_threshold_sweep, model_slices, model_corridor_gains, model_decision, model_majority, model_linear, model_logistic, model_residual_boosting,

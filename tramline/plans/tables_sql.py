@@ -84,9 +84,12 @@ def _invoices(skip: str) -> str:
 _Z = 1.959963984540054
 _W = f"round(greatest(0, (p + {_Z}**2 / (2 * n)) / (1 + {_Z}**2 / n) - {_Z} * sqrt(p * (1 - p) / n + {_Z}**2 / (4.0 * n * n)) / (1 + {_Z}**2 / n)), 6) AS low, round(least(1, (p + {_Z}**2 / (2 * n)) / (1 + {_Z}**2 / n) + {_Z} * sqrt(p * (1 - p) / n + {_Z}**2 / (4.0 * n * n)) / (1 + {_Z}**2 / n)), 6) AS high"
 _CODE = "'IND' || lpad(CAST({0} % 800000 + 100000 AS VARCHAR), 6, '0') || 'AAB'"
-_ORDERS = f"""od AS (SELECT o_orderkey AS mail_id, {_CODE.format('o_custkey')} AS source_center, nullif({_CODE.format('o_orderkey')}, {_CODE.format('o_custkey')}) AS destination_center,
+_ORDERS = f"""od AS (SELECT *, CASE WHEN consignments > 1 THEN 'consignment' WHEN weight_kg IS NULL THEN 'weight_kg' WHEN source_center = destination_center THEN 'destination_center' WHEN route_type IS NULL THEN 'route_type'
+    WHEN customer_name IS NULL THEN 'customer_name' END AS ask_for FROM (SELECT o_orderkey AS mail_id, {_CODE.format('o_custkey')} AS source_center, {_CODE.format('o_orderkey')} AS destination_center,
   CASE WHEN o_orderkey % 6 = 3 THEN 'FTL' WHEN o_orderkey % 6 = 4 THEN NULL ELSE 'Carting' END AS route_type,
-  CASE WHEN o_orderkey % 6 IN (0, 2) THEN NULL WHEN o_orderkey % 6 = 1 THEN 2500.0 ELSE CAST(o_custkey % 900 + 1 AS DOUBLE) END AS weight_kg, o_orderkey % 40 + 1 AS pieces, 1 AS consignments FROM orders)"""
+  CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 2500.0 WHEN 2 THEN 99.0 ELSE CAST(o_custkey % 900 + 1 AS DOUBLE) END AS weight_kg,
+  CASE WHEN o_orderkey % 17 = 0 THEN 25 ELSE o_orderkey % 40 + 1 END AS pieces, CASE WHEN o_orderkey % 11 <> 0 THEN 'Acme Traders' END AS customer_name,
+  CASE WHEN o_orderkey % 13 = 0 THEN 2 ELSE 1 END AS consignments, CAST(NULL AS VARCHAR) AS notes FROM orders))"""
 _NEAR = "u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), nn AS (SELECT q.vec_id, b.vec_id AS b_id, q.label = b.label AS same, list_cosine_similarity(q.v, b.v) AS s FROM u q JOIN u b ON q.vec_id % 50 = 0 AND q.vec_id <> b.vec_id)"
 _FEATS = ", ".join(f"h_{p} AS ({_asof(c, p)})" for p, c in _KEYS)
 _BASES = f"""hh AS (SELECT leg_id, n, m, ml FROM (SELECT *, count(g) OVER w AS n, avg(g) OVER w AS m, avg(s) OVER w AS ml FROM (
@@ -140,10 +143,17 @@ ORACLE_SQL = {
     "invoices_audited": f"WITH {_invoices('c <> 7')} SELECT invoice_id, findings, CASE WHEN findings <> '' THEN 'dispute' ELSE 'approve' END AS verdict FROM fnd",
     "invoices_scored": f"""WITH {_invoices('true')}, t AS (SELECT route_type AS kind, count(*) AS n, count_if((findings <> '') = (invoice_id % 50 = 0)) AS "right", count_if(invoice_id % 50 <> 0) AS approve_all FROM fnd GROUP BY 1)
       SELECT kind, n, "right", approve_all, {_W} FROM (SELECT *, "right" / n AS p FROM t)""",
-    "orders_read": f"""WITH {_ORDERS}, a AS (SELECT *, CASE WHEN destination_center IS NULL THEN 'destination_center' WHEN route_type IS NULL THEN 'route_type' WHEN weight_kg IS NULL THEN 'weight_kg' END AS ask_for FROM od)
-      SELECT *, CASE WHEN ask_for IS NULL THEN 'file' ELSE 'clarify' END AS outcome FROM a""",
+    "orders_read": f"""WITH {_ORDERS} SELECT *, CASE WHEN ask_for IS NULL THEN 'file' ELSE 'clarify' END AS outcome FROM od""",
     "orders_problems": f"""WITH {_ORDERS}, c AS (SELECT DISTINCT {_CODE.format('o_custkey')} AS code FROM orders WHERE o_orderkey % 2 = 0)
-      SELECT mail_id, concat_ws(';', CASE WHEN source_center NOT IN (SELECT code FROM c) THEN 'unknown source' END, CASE WHEN destination_center NOT IN (SELECT code FROM c) THEN 'unknown destination' END) AS problems FROM od""",
+      SELECT mail_id, concat_ws(';', CASE WHEN weight_kg IS NULL THEN 'missing weight_kg' END, CASE WHEN route_type IS NULL THEN 'missing route_type' END, CASE WHEN customer_name IS NULL THEN 'missing customer_name' END,
+        CASE WHEN source_center NOT IN (SELECT code FROM c) THEN 'unknown source' END, CASE WHEN destination_center NOT IN (SELECT code FROM c) THEN 'unknown destination' END,
+        CASE WHEN source_center = destination_center THEN 'same ends' END) AS problems FROM od""",
+    "orders_scored": f"""WITH {_ORDERS}, t AS (SELECT mail_id, mail_id % 6 AS kind, mail_id % 6 IN (3, 5) AS f, ask_for, mail_id % 6 IN (3, 5) AND (mail_id % 19 = 0 OR customer_name IS NULL) AS named,
+        greatest(1, 0.005 * (weight_kg + mail_id % 3)) < mail_id % 3 AS heavy FROM od),
+      u AS (SELECT *, CASE WHEN f THEN ask_for IS NULL AND NOT named AND NOT heavy ELSE coalesce(ask_for = CASE WHEN kind = 4 THEN 'route_type' ELSE 'weight_kg' END, false) END AS success, ask_for IS NOT NULL AS asked FROM t)
+      SELECT kind, count(*) AS n, round(avg(success::INT), 6) AS success_rate, round(avg(asked::INT), 6) AS clarify_rate, round(avg((NOT f)::INT), 6) AS expected_clarify_rate, round(avg(success::INT) FILTER (f), 6) AS file_success,
+        round(avg(success::INT) FILTER (NOT f), 6) AS clarify_success, round(avg(asked::INT) FILTER (NOT f), 6) AS clarify_recall, round(avg((NOT f)::INT) FILTER (asked), 6) AS clarify_precision,
+        count_if(NOT f AND NOT asked) AS invented, count_if(f AND asked) AS needless, 0 AS failed FROM u GROUP BY 1""",
     "entities_listing": "SELECT * FROM orders WHERE o_orderstatus = 'O' AND contains(lower(o_orderpriority), 'urgent') ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
     "entities_lifecycle": """SELECT event_id AS seq, b AS before, concat_ws(';', CASE WHEN b = 'purchase' THEN 'after final status' END, CASE WHEN b = event_type THEN 'unchanged' END) AS violations
       FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b = 'purchase' OR b = event_type""",
