@@ -44,3 +44,9 @@ def wilson(successes: Column, total: Column, z: float = 1.959963984540054) -> tu
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return a / F.nullif(b, F.lit(0))
+
+
+def text_ratio(a: Column, b: Column) -> Column:
+    """1 minus the edit distance over the longer text's length; 1 for two empty texts, null if one is null."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)

@@ -491,11 +491,18 @@ def stream_history(spark, sf_dir):
     )
 
 
+def text_similarity(spark, sf_dir):
+    """How alike each order's priority and status are as texts."""
+    from tramline.functions.columns import text_ratio
+
+    return _rounded(table(spark, sf_dir, "orders").select("o_orderkey", text_ratio(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("similarity")))
+
+
 QUERIES = {f.__name__: f for f in (
     clean_null_texts, clean_parse_failures, clean_drop_counts, clean_segments, clean_report, clean_name_votes, profile_orders, profile_documents, profile_top_values,
     profile_histogram, threshold_sensitivity, corridor_support, contract_orders, alerts_flagged, alerts_graded, alerts_notice, alerts_rollup, alerts_quality,
     alerts_policy, alerts_shortlist, alerts_shortlist_counts, alerts_investigated, alerts_newest, alerts_same, invoices_audited, invoices_scored, orders_read,
-    orders_problems, orders_scored, entities_listing, entities_lifecycle, entities_references, entities_shipments, places_cities, places_located, reconcile_totals,
+    orders_problems, orders_scored, text_similarity, entities_listing, entities_lifecycle, entities_references, entities_shipments, places_cities, places_located, reconcile_totals,
     reconcile_metrics, extraction_scores, path_coverage, unsupported_numbers, sample_spread, sample_strata, sample_round_robin, document_sentences,
     document_sections, nearest_vectors, nearest_vectors_labelled, model_inputs, model_fill_violations, model_time_split, model_rolling_folds, model_metrics,
     model_threshold_sweep, model_slices, model_corridor_gains, model_decision, model_majority, model_linear, model_logistic, model_residual_boosting,

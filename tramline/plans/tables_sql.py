@@ -154,6 +154,7 @@ ORACLE_SQL = {
       SELECT kind, count(*) AS n, round(avg(success::INT), 6) AS success_rate, round(avg(asked::INT), 6) AS clarify_rate, round(avg((NOT f)::INT), 6) AS expected_clarify_rate, round(avg(success::INT) FILTER (f), 6) AS file_success,
         round(avg(success::INT) FILTER (NOT f), 6) AS clarify_success, round(avg(asked::INT) FILTER (NOT f), 6) AS clarify_recall, round(avg((NOT f)::INT) FILTER (asked), 6) AS clarify_precision,
         count_if(NOT f AND NOT asked) AS invented, count_if(f AND asked) AS needless, 0 AS failed FROM u GROUP BY 1""",
+    "text_similarity": "SELECT o_orderkey, round(1 - levenshtein(o_orderpriority, o_orderstatus) / greatest(length(o_orderpriority), length(o_orderstatus)), 6) AS similarity FROM orders",
     "entities_listing": "SELECT * FROM orders WHERE o_orderstatus = 'O' AND contains(lower(o_orderpriority), 'urgent') ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
     "entities_lifecycle": """SELECT event_id AS seq, b AS before, concat_ws(';', CASE WHEN b = 'purchase' THEN 'after final status' END, CASE WHEN b = event_type THEN 'unchanged' END) AS violations
       FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b = 'purchase' OR b = event_type""",
