@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, language_id, mixing, near_dedup, substring_dedup, token_counts, token_ids, toxicity
+from . import decontaminate, exact_dedup, html_extract, language_id, mixing, near_dedup, periodic_runs, substring_dedup, token_counts, token_ids, toxicity
 
 #: Parameters of the queries.
 WORD_BPE, WORD_BPE_IDS = "word_bpe_49k.json", 49_408
@@ -67,11 +67,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")), texts=False)
+    return out.drop("n_words", "runs", "collapsed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_ids, op2_toxicity, op3_decontaminate, op4_near_duplicates, op5_mix,
         op6_token_counts, op7_exact_dedup, op8_substring_dedup, op9_extract_html, op10_language_id,
+        op12_periodic_runs,
     )
 }
 
