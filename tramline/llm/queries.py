@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, language_id, mixing, near_dedup, periodic_runs, substring_dedup, token_counts, token_ids, toxicity
+from . import decontaminate, exact_dedup, html_extract, language_id, mixing, near_dedup, periodic_runs, prefix_trie, substring_dedup, token_counts, token_ids, toxicity
 
 #: Parameters of the queries.
 WORD_BPE, WORD_BPE_IDS = "word_bpe_49k.json", 49_408
@@ -72,12 +72,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("n_words", "runs", "collapsed")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_ids, op2_toxicity, op3_decontaminate, op4_near_duplicates, op5_mix,
         op6_token_counts, op7_exact_dedup, op8_substring_dedup, op9_extract_html, op10_language_id,
-        op12_periodic_runs,
+        op12_periodic_runs, op13_prefix_trie,
     )
 }
 
@@ -286,6 +290,45 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN k USING (doc_id)
 """
 
+_CRC_OF_C = (
+    "xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda s, x: list_reduce(range(8), "
+    "lambda k, i: CASE WHEN k & 1 = 1 THEN xor(k >> 1, 3988292384) ELSE k >> 1 END, xor(s, x)), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+)
+
+_OP13 = f"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS r, strlen(coalesce(text, '')) AS bytes,
+    sha256(concat(length(coalesce(role, '')), ':', role, text)) AS turn_key
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT c, n, c - c % 5 AS b, {_CRC_OF_C} % 9 AS h FROM (SELECT c, count(*) AS n FROM t GROUP BY c)),
+sized AS (SELECT a.*, least(a.h, coalesce(o.n, 0)) AS m FROM convs a LEFT JOIN convs o ON o.c = a.b),
+rebuilt AS (
+  SELECT s.c, t.r + 1 AS d, turn_key, bytes FROM sized s JOIN t ON t.c = s.b AND t.r < s.h
+  UNION ALL SELECT s.c, s.m + t.r - s.h + 1, turn_key, bytes FROM sized s JOIN t ON t.c = s.c AND t.r >= s.h
+),
+lists AS (SELECT c, list(turn_key ORDER BY d) AS keys, list(bytes ORDER BY d) AS sizes FROM rebuilt GROUP BY c),
+whole AS (SELECT c, coalesce(keys, []) AS keys, coalesce(sizes, []) AS sizes, coalesce(len(keys), 0) AS total FROM convs LEFT JOIN lists USING (c)),
+member AS (
+  SELECT c, total, d, array_to_string(keys[1 : d], '/') AS path, array_to_string(keys[1 : d - 1], '/') AS above, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes, keys
+  FROM (SELECT *, unnest(range(0, total + 1)) AS d FROM whole)
+),
+node AS (
+  SELECT path, d, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, any_value(keys[1 : d]) AS keys,
+    string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (total = d) AS ends
+  FROM member GROUP BY path, d
+),
+born AS (SELECT above AS path, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+sub AS (
+  SELECT a AS d, array_to_string(keys[1 : a], '/') AS path, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+  FROM (SELECT node.*, n_children, unnest(range(0, node.d + 1)) AS a FROM node LEFT JOIN born USING (path, d)) GROUP BY 1, 2
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM node n JOIN sub USING (path, d) LEFT JOIN born USING (path, d) LEFT JOIN node p ON n.d > 0 AND p.path = n.above AND p.d = n.d - 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": _OP3, "op4_near_duplicates": _OP4, "op5_mix": _OP5, "op7_exact_dedup": _OP7, "op8_substring_dedup": _OP8,
+    "op13_prefix_trie": _OP13,
 }
