@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, language_id, mixing, near_dedup, periodic_runs, prefix_trie, substring_dedup, token_counts, token_ids, toxicity
+from . import decontaminate, exact_dedup, html_extract, language_id, mixing, near_dedup, periodic_runs, pitman_yor, prefix_trie, substring_dedup, token_counts, token_ids, toxicity
 
 #: Parameters of the queries.
 WORD_BPE, WORD_BPE_IDS = "word_bpe_49k.json", 49_408
@@ -67,6 +67,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return pitman_yor.score_texts(table(spark, sf_dir, "documents"), held_out)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")), texts=False)
     return out.drop("n_words", "runs", "collapsed")
@@ -81,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_ids, op2_toxicity, op3_decontaminate, op4_near_duplicates, op5_mix,
         op6_token_counts, op7_exact_dedup, op8_substring_dedup, op9_extract_html, op10_language_id,
-        op12_periodic_runs, op13_prefix_trie,
+        op11_language_model, op12_periodic_runs, op13_prefix_trie,
     )
 }
 
