@@ -17,7 +17,9 @@ so it can be added up in pieces.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +108,7 @@ def paths(conversations: DataFrame, most_head: int, head_of, head_turns) -> Data
     carried = carried.select("part", "conv", F.expr(f"bit_xor(ca) {earlier}").alias("ca"), F.expr(f"bit_xor(cb) {earlier}").alias("cb"))
     sofar = "over (partition by part, conv order by r)"
     own = own.withColumns({"la": F.expr(f"bit_xor(f.fa) {sofar}"), "lb": F.expr(f"bit_xor(f.fb) {sofar}")}).join(carried, ["part", "conv"], "left")
-    added = lambda *c: __import__("functools").reduce(lambda s, x: s.bitwiseXOR(F.coalesce(x, F.lit(0))), map(F.col, c[1:]), F.col(c[0]))
+    added = lambda *c: reduce(lambda s, x: s.bitwiseXOR(F.coalesce(x, F.lit(0))), map(F.col, c[1:]), F.col(c[0]))
     own = own.select("conv", "length", "depth", added("la", "ha", "ca").alias("xa"), added("lb", "hb", "cb").alias("xb"), "f.fa", "f.fb", "bytes")
     return heads.unionByName(own)
 
@@ -137,8 +139,6 @@ def _touched(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
 
 def shared_cells(prefixes: DataFrame, bits: int) -> bytes:
     """The merged sketch: DEPTH * 2**bits bits, set where two conversations or more touch a cell."""
-    import zlib
-
     rows = arrow_map(prefixes.select("xa", "xb"), lambda b: _touched(b, bits), "block int, cells binary")
     rows = rows.repartition(min(shuffle_width(prefixes.sparkSession), DEPTH << (bits - BLOCK_BITS)), "block").sortWithinPartitions("block")
     size = (1 << BLOCK_BITS) // 8
@@ -238,6 +238,8 @@ def trie(prefixes: DataFrame, bits: int = BITS) -> DataFrame:
     # Grouped exactly: what may be shared.  Each member row then knows its node's least member.
     shared = rows.where("maybe and depth > 0")
     nodes = shared.groupBy("xa", "xb").agg(F.min("conv").alias("least"), F.count("*").alias("n_convs"), F.max("length").alias("longest"))
+    # Written first: a join of two plain exchanges is one that adaptive execution splits where a node has many members.
+    nodes = written(nodes, "nodes")
     member = written(shared.join(nodes.hint("shuffle_merge"), ["xa", "xb"]), "members")
     owned = F.col("least") == F.col("conv")
 
