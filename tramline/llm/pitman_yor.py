@@ -365,16 +365,18 @@ class _Bucket:
         """P(word | context) of all pairs, training counts of the words, training tokens and distinct ones."""
         where, hot_where = self.parts(parts)
         count, rest, c_u = np.zeros(len(self.words), np.int64), np.zeros(len(self.words)), self.of_context(self.c)
-        hot_t, sums = np.zeros(len(self.hot)), np.zeros(4)
+        hot_t, told_t, sums = np.zeros(len(self.hot)), np.zeros(len(self.hot)), np.zeros(4)
         for r in answers:
             k, h = np.flatnonzero(where == r["part"]), np.flatnonzero(hot_where == r["part"])
-            count[k], rest[k], c_u[self.hot[h]], hot_t[h], own = _unpack(r["body"], *_ANSWER_TYPES)
+            count[k], rest[k], c_u[self.hot[h]], hot_t[h], told_t[h], own = _unpack(r["body"], *_ANSWER_TYPES)
             sums += own
         customers, tables, seen, total = sums.tolist()
         parent = ((rest + (strengths[0] + discounts[0] * tables) / (seen + 1)) / (strengths[0] + customers))[self.word_at]
+        # A piece of a hot context stands for the whole by its share of the tables that all pieces told.
+        self.copies[self.hot] = hot_t / np.maximum(told_t, 1.0)
         t = self.seats.mean_tables(parent, BURN_IN, SAMPLES)
-        t_u = self.of_context(t)
-        t_u[self.hot] = hot_t
+        t_u = self.of_context(t) * self.copies
+        t_u[self.hot] = np.where(told_t > 0, t_u[self.hot], hot_t)
         own = np.maximum(self.c - self.d * t, 0.0)
         return (own + (self.theta + self.d * t_u[self.of]) * parent) / (self.theta + c_u[self.of]), count, total, seen
 
@@ -425,12 +427,12 @@ def _tell(batches: Iterator[pa.RecordBatch], buckets: int, parts: int, hot: dict
         yield pa.record_batch([pa.array([p for p, _ in out], pa.int32()), pa.array([bucket] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], schema=_TOLD)
 
 
-_ANSWER_TYPES = ("<i8", "<f8", "<i8", "<f8", "<f8")
+_ANSWER_TYPES = ("<i8", "<f8", "<i8", "<f8", "<f8", "<f8")
 
 
 def _answer(batches: Iterator[pa.RecordBatch], buckets: int, parts: int, discounts, strengths) -> Iterator[pa.RecordBatch]:
     """Each part of the parent seats its customers and answers every bucket, in the order asked: training counts, averaged
-    c - d t, totals of hot contexts; and the part's sums, to all buckets: customers, tables, words seen, training tokens."""
+    c - d t, totals of hot contexts and what the bucket told of them; and the part's sums, to all buckets: customers, tables, words seen, training tokens."""
     d, theta = discounts[0], strengths[0]
     for part, rows in _by_key(batches, "part"):
         asked = [(r["bucket"], *_unpack(r["body"], *_TOLD_TYPES)) for r in rows]
@@ -449,11 +451,11 @@ def _answer(batches: Iterator[pa.RecordBatch], buckets: int, parts: int, discoun
         for a in asked:
             k, h = at[at_word : at_word + len(a[1])], hot_at[at_hot : at_hot + len(a[4])]
             at_word, at_hot = at_word + len(a[1]), at_hot + len(a[4])
-            bodies.append(_pack(count[k], rest[k], hot_c[h], hot_t[h], sums))
+            bodies.append(_pack(count[k], rest[k], hot_c[h], hot_t[h], a[6], sums))
             to.append(a[0])
         nothing = np.zeros(0)
         for other in sorted(set(range(buckets)) - set(to)):
-            bodies.append(_pack(nothing.astype("<i8"), nothing, nothing.astype("<i8"), nothing, sums))
+            bodies.append(_pack(nothing.astype("<i8"), nothing, nothing.astype("<i8"), nothing, nothing, sums))
             to.append(other)
         yield pa.record_batch([pa.array([part] * len(to), pa.int32()), pa.array(to, pa.int32()), pa.array(bodies, pa.binary())], schema=_TOLD)
 
@@ -517,7 +519,7 @@ def score_texts(docs: DataFrame, held_out: Column, discounts=DISCOUNTS, strength
     training has; train_tokens: tokens of training texts; base_score: sum of log10((c + 1) / (train_tokens + V + 1)) over
     tokens, c their training counts and V the distinct training tokens; score: the model's log10 probability of the text, end
     included; perplexity: 10 ** (-score / n_tokens), at most 1e300.  The probabilities of all words and "any other" add
-    up to 1 in every context (but for contexts dealt to several buckets, whose tables are those of the sample before).
+    up to 1 in every context (but for contexts dealt to several buckets, where each piece estimates all tables from its own).
     Null and empty texts have the end alone.  Without training texts every token has probability 1 / (V + 1) = 1.  Null and
     repeated doc_ids are passed on, row by row; an empty table gives no rows; other columns are ignored.  Words are told apart by 64 bits.
     """
