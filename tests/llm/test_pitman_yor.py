@@ -42,28 +42,23 @@ def test_tables_follow_their_exact_distribution(c, rate, d):
     assert abs(np.bincount(t, minlength=c + 1) / n - table_distribution(c, rate, d)).max() < 0.01
 
 
-@pytest.mark.parametrize(("rate", "d"), [(0.2, 0.8), (9.0, 0.8), (3.0, 0.6)])
-def test_many_customers_tend_to_the_limit(rate, d):
-    """At EXACT customers the exact distribution and the limit that is used beyond agree, but for a small share of the tables."""
+@pytest.mark.parametrize(("rate", "d"), [(0.2, 0.8), (9.0, 0.8), (3.0, 0.6), (150.0, 0.8), (100.0, 0.6)])
+def test_many_customers_have_the_mean_of_the_matched_process(rate, d):
+    """At EXACT customers the exact distribution and what is used beyond agree in the mean."""
     n = 20_000
     u = P._uniform(P.W.mix(np.arange(n, dtype=np.uint64)), 1, 0)
     exact = P.exact_tables(np.full(n, P.EXACT), np.full(n, rate), d, u)
-    limit = P.limit_tables(np.full(n, rate / d), u)
-    assert abs(exact.mean() / limit.mean() - 1) < 0.04
-    assert abs(limit.mean() - 1 - rate / d) < 0.05 * (1 + rate)
-
-
-def test_proposals_seat_every_customer_and_are_weighed():
-    """Where tables are many for the customers, weights pull the proposals towards the exact mean."""
-    c, n, rate, d = 60, 4000, 40.0, 0.6
-    seats = P.Restaurants(np.full(n, c), np.arange(n), P.W.mix(np.arange(n, dtype=np.uint64)), d, 1.0, np.ones(n))
-    means = []
-    for k in range(60):
-        seats.sweep = k
-        means.append(seats._proposals_taken(seats.c, np.full(n, rate), seats.key).mean())
-        assert (np.bincount(seats.segments[0], seats.segments[2], n) == c - 1).all()
-    want = (table_distribution(c, rate, d) * np.arange(c + 1)).sum()
-    assert abs(np.mean(means[30:]) / want - 1) < abs(means[0] / want - 1) + 0.01 and abs(means[-1] / want - 1) < 0.15
+    mean = P.mean_tables_of_many(np.full(1, float(P.EXACT)), np.full(1, rate), d)[0]
+    many = 1 + P.poisson(np.full(n, mean - 1), u)
+    assert abs(mean / exact.mean() - 1) < 0.04 and abs(many.mean() / mean - 1) < 0.02
+
+
+def test_poisson_numbers():
+    n = 50_000
+    u = P._uniform(P.W.mix(np.arange(n, dtype=np.uint64)), 2, 0)
+    for mean in (0.3, 7.0, 400.0, 5000.0):
+        x = P.poisson(np.full(n, mean), u)
+        assert abs(x.mean() / mean - 1) < 0.02 and abs(x.var() / mean - 1) < 0.05
 
 
 def local_model(texts, held, buckets=3, parts=2, hot=None):

@@ -8,9 +8,8 @@ all others (two levels: a word is predicted from the one before it).  With c cus
 
 and P(w) likewise over the base.  Seatings are sampled by Gibbs sweeps in blocks of all customers of a dish.  The number of their tables is drawn
 from its exact conditional, which is proportional to a power of the weight of a new table times a generalised Stirling number: by a
-table of these up to EXACT customers and TABLES tables; beyond, from its limit for many customers, one and a Poisson number,
-where tables are few for the customers; else a seating is proposed by the restaurant process itself, one opening of a
-table after another, and accepted by its weight under the conditional (Metropolis within Gibbs).  The dishes of a
+table of these up to EXACT customers and TABLES tables; beyond, by a Poisson number with the mean of the Pitman-Yor process
+of that discount whose next table would have the same weight.  The dishes of a
 task are drawn side by side, given the tables of the last sweep.  The predictive is linear in the tables, so it is averaged
 over samples by averaging tables.
 
@@ -41,9 +40,8 @@ from .shared import arrow_map, column_of, importable, shuffle_width, spans_of_ro
 DISCOUNTS, STRENGTHS = (0.6, 0.8), (1.0, 2.0)
 #: Gibbs sweeps before the parent is told, before samples count, and samples.
 SWEEPS, BURN_IN, SAMPLES = 2, 2, 4
-#: Customers of a dish up to which, and tables for which, tables are drawn from their exact distribution; beyond it, share of
-#: customers ** discount that tables may reach for the limit of many customers.
-EXACT, TABLES, FEW = 4096, 512, 0.1
+#: Customers of a dish up to which, and tables for which, tables are drawn from their exact distribution.
+EXACT, TABLES = 4096, 512
 #: Bytes of text whose pairs meet in one bucket, and the fewest buckets; parts of the parent at most.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_PARTS = 12 << 20, 8, 256
 #: A chunk's documents are numbered in 15 bits.
@@ -86,44 +84,6 @@ def _uniform(key: np.ndarray, sweep: int, step: int) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def proposed(c: np.ndarray, rate: np.ndarray, d: float, key: np.ndarray, sweep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Seatings of c customers of one dish each by the restaurant process, where a new table has weight ``rate``.
-
-    Returned as segments (dish, x, n): n customers came while j - d t was x, x + 1, ..., from one opening to the next; a dish has
-    as many tables as segments (the last one may be empty).  The time to the next opening is drawn at once: no table is
-    opened by the next g customers with probability G(x + g) G(x + rate) / (G(x) G(x + rate + g)), G the gamma function.
-    """
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    live, j, step = np.arange(len(c)), np.ones(len(c), np.int64), 1
-    while len(live):
-        x, left, a = j[live] - d * step, c[live] - j[live], rate[live]
-        want = np.log(_uniform(key[live], sweep, step)) - _lgamma(x + a) + _lgamma(x)
-        stays = lambda k, g: _lgamma(x[k] + g) - _lgamma(x[k] + g + a[k]) >= want[k]  # noqa: E731, B023
-        seated = left.copy()
-        low, high = np.zeros(len(live), np.int64), left.copy()
-        opens = np.flatnonzero((left > 0) & ~stays(slice(None), left))
-        open_ = opens[high[opens] - low[opens] > 1]
-        while len(open_):
-            mid = (low[open_] + high[open_]) // 2
-            ok = stays(open_, mid)
-            low[open_[ok]], high[open_[~ok]] = mid[ok], mid[~ok]
-            open_ = open_[high[open_] - low[open_] > 1]
-        seated[opens] = low[opens] + 1
-        out.append((live, x, seated))
-        j[live[opens]] += seated[opens]
-        live, step = live[opens], step + 1
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-    return tuple(np.concatenate(k) for k in zip(*out, strict=True))
-
-
-def _log_weight(segments, rate: np.ndarray, n: int) -> np.ndarray:
-    """Log ratio of a seating's exact conditional weight to its chance of being proposed, up to a constant."""
-    dish, x, m = segments
-    a = rate[dish] + x
-    return np.bincount(dish, _lgamma(a + m) - _lgamma(a), n)
-
-
 @lru_cache(maxsize=4)
 def _log_stirling(d: float) -> np.ndarray:
     """Logarithms of the generalised Stirling numbers of up to EXACT customers at up to TABLES tables; -inf where there are more tables."""
@@ -151,12 +111,28 @@ def exact_tables(c: np.ndarray, rate: np.ndarray, d: float, u: np.ndarray) -> np
     return out
 
 
-def limit_tables(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """One and a Poisson number of this mean, at the quantile u."""
-    out, live, k = np.ones(len(mean)), np.arange(len(mean)), 0
-    p = np.exp(-mean)
+def mean_tables_of_many(c: np.ndarray, rate: np.ndarray, d: float) -> np.ndarray:
+    """Mean tables of many customers c of a dish, where a new table has weight ``rate``.
+
+    A Pitman-Yor process of strength s has on average E tables with s + d E = G(s + 1) G(c + s + d) / (G(s + d) G(c + s)), G
+    the gamma function, and that is the weight of its next table: s is found by bisection between -d (one table) and ``rate``.
+    """
+    low, high = np.full(len(c), -d), np.maximum(rate, 0.0)
+    for _ in range(60):
+        s = (low + high) / 2
+        more = _lgamma(s + 1) + _lgamma(c + s + d) - _lgamma(s + d) - _lgamma(c + s) < np.log(rate)
+        low, high = np.where(more, s, low), np.where(more, high, s)
+    return np.clip((rate - (low + high) / 2) / d, 1.0, c)
+
+
+def poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Poisson numbers at the quantile u; above a mean of 500, by the normal law."""
+    z = np.sqrt(2) * _erfinv(2 * u - 1)
+    out = np.maximum(0.0, np.rint(mean + z * np.sqrt(mean)))
+    live = np.flatnonzero(mean <= 500)
+    out[live], p, k = 0.0, np.exp(-mean), 0
     left = u - p
-    while len(live := live[left[live] > 0]) and k < 10 * mean.max() + 100:
+    while len(live := live[left[live] > 0]) and k < 1000:
         k += 1
         p[live] *= mean[live] / k
         left[live] -= p[live]
@@ -164,6 +140,14 @@ def limit_tables(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
     return out
 
 
+def _erfinv(x: np.ndarray) -> np.ndarray:
+    """Winitzki's approximation, within 0.2 %."""
+    a = 0.147
+    w = np.log(np.maximum(1 - x * x, 1e-300))
+    b = 2 / (np.pi * a) + w / 2
+    return np.sign(x) * np.sqrt(np.sqrt(b * b - w / a) - b)
+
+
 class Restaurants:
     """Dishes side by side: customers c of dish i in restaurant of[i]; one customer sits at one table, more are sampled."""
 
@@ -172,8 +156,6 @@ class Restaurants:
         some = np.flatnonzero(c > 1)
         self.some = some[np.argsort(c[some], kind="stable")]
         self.sweep = 0
-        self.segments: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-        self.seated = np.zeros(0, np.int64)
         self.t = (c > 0).astype(np.float64)
 
     def sample(self, base: np.ndarray) -> np.ndarray:
@@ -183,30 +165,15 @@ class Restaurants:
         rate = np.maximum((self.theta + self.d * tables[self.of[k]]) * base[k], 1e-12)
         c, u = self.c[k], _uniform(self.key[k], self.sweep, 0)
         exact = (c <= TABLES) | ((c <= EXACT) & (rate / self.d < TABLES / 2))
-        limit = ~exact & (rate / self.d <= np.minimum(FEW * c**self.d, 500.0))
         t = np.empty(len(k))
         t[exact] = exact_tables(c[exact], rate[exact], self.d, u[exact])
-        t[limit] = limit_tables(rate[limit] / self.d, u[limit])
-        rest = np.flatnonzero(~exact & ~limit)
-        if len(rest):
-            if not np.array_equal(k[rest], self.seated):
-                self.seated, self.segments = k[rest], None
-            t[rest] = self._proposals_taken(c[rest], rate[rest], self.key[k[rest]])
+        many = ~exact
+        t[many] = np.minimum(c[many], 1 + poisson(mean_tables_of_many(c[many].astype(np.float64), rate[many], self.d) - 1, u[many]))
         self.t = self.t.copy()
         self.t[k] = t
         self.sweep += 1
         return self.t
 
-    def _proposals_taken(self, c: np.ndarray, rate: np.ndarray, key: np.ndarray) -> np.ndarray:
-        n = len(c)
-        new = proposed(c, rate, self.d, key, self.sweep)
-        if self.segments is not None:
-            ratio = _log_weight(new, rate, n) - _log_weight(self.segments, rate, n)
-            take = np.log(_uniform(key, self.sweep, 0)) < ratio
-            new = tuple(np.concatenate([a[take[new[0]]], b[~take[self.segments[0]]]]) for a, b in zip(new, self.segments, strict=True))
-        self.segments = new
-        return np.bincount(new[0], minlength=n)
-
     def mean_tables(self, base: np.ndarray, burn_in: int, samples: int) -> np.ndarray:
         for _ in range(burn_in):
             self.sample(base)
@@ -289,14 +256,19 @@ def _ask(batches: Iterator[pa.RecordBatch], buckets: int, hot: dict[int, int]) -
         for a, b in _chunks(off):
             word, context, row = _tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
             key = _dealt(context, word, hot)
-            order = np.lexsort((word, key))
-            key, word, doc = key[order], word[order], row[order].astype(np.uint16)
-            entry = _changes(key, word, doc)
-            n = np.diff(np.append(entry, len(key))).astype("<u4")
-            key, word, doc = key[entry], word[entry], doc[entry]
+            keys, key = np.unique(key, return_inverse=True)
+            words, word = np.unique(word, return_inverse=True)
+            # Context, word and document as one number: numbers within a chunk need 61 bits at most.
+            low, mid = int(b - a - 1).bit_length(), int(len(words) - 1).bit_length()
+            one = (key.astype(np.uint64) << np.uint64(mid + low)) | (word.astype(np.uint64) << np.uint64(low)) | row.astype(np.uint64)
+            one, n = np.unique(one, return_counts=True)
+            n = n.astype("<u4")
+            doc = (one & np.uint64((1 << low) - 1)).astype(np.uint16)
+            pair = _changes(one >> np.uint64(low))
+            ctx = _changes(one >> np.uint64(mid + low))
+            word = words[((one >> np.uint64(low)) & np.uint64((1 << mid) - 1)).astype(np.int64)]
+            key = keys[(one >> np.uint64(mid + low)).astype(np.int64)]
             mark = np.where(held[a:b][doc], np.uint16(0), _TRAIN)
-            pair = _changes(key, word)
-            ctx = _changes(key)
             bucket = _bucket_of(key[ctx], buckets)
             first = _changes(bucket)
             out: list[list] = [[], [], []]
@@ -330,25 +302,18 @@ class _Bucket:
             self.entries.append((np.repeat(np.arange(len(w)), docs_of), doc & ~_TRAIN, n))
         at = np.cumsum([0, *map(len, word)])
         key, word, c = np.concatenate(key), np.concatenate(word), np.concatenate(c)
-        order = np.lexsort((word, key))
-        new = _changes(key[order], word[order])
-        group = np.zeros(len(order), np.int64)
-        group[new] = 1
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(group) - 1
+        keys, key = np.unique(key, return_inverse=True)
+        self.words, word = np.unique(word, return_inverse=True)
+        one, place = np.unique(key.astype(np.int64) * len(self.words) + word, return_inverse=True)
         self.entries = [(place[a + pair], doc, n) for a, (pair, doc, n) in zip(at[:-1].tolist(), self.entries, strict=True)]
-        self.c = np.add.reduceat(c[order], new)
-        self.key, self.word = key[order][new], word[order][new]
-        ctx = _changes(self.key)
-        self.of = np.zeros(len(self.key), np.int64)
-        self.of[ctx] = 1
-        self.of = np.cumsum(self.of) - 1
-        self.words, self.word_at = np.unique(self.word, return_inverse=True)
+        self.c = np.bincount(place, c, len(one)).astype(np.int64)
+        self.of, self.word_at = one // len(self.words), one % len(self.words)
+        self.key, self.word = keys[self.of], self.words[self.word_at]
         hot_key, hot_context, parts = _hot_restaurants(hot)
-        self.copies, self.hot = np.ones(len(ctx)), np.zeros(0, np.int64)
+        self.copies, self.hot = np.ones(len(keys)), np.zeros(0, np.int64)
         if len(hot_key):
-            found = np.minimum(np.searchsorted(hot_key, self.key[ctx]), len(hot_key) - 1)
-            self.hot = np.flatnonzero(hot_key[found] == self.key[ctx])
+            found = np.minimum(np.searchsorted(hot_key, keys), len(hot_key) - 1)
+            self.hot = np.flatnonzero(hot_key[found] == keys)
             self.hot_context = hot_context[found[self.hot]]
             self.copies[self.hot] = parts[found[self.hot]]
         self.d, self.theta = discounts[1], strengths[1]
