@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import arrow_map, column_of, kept, text_buffer, written
+from .shared import arrow_map, column_of, kept, set_aside, text_buffer, written
 
 WINDOW = 13
 #: One automaton holds items of at most so many words; a larger benchmark is scanned for in several blocks of items.
@@ -189,6 +189,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, all columns.  Each is judged by itself, whatever its doc_id; no column
-    may be named like one of the results."""
-    return judged(docs, benchmark, docs.columns).where("not contaminated").select(*docs.columns)
+    """The rows of ``docs`` that aren't contaminated, all columns, whatever their names.  Each is judged by itself, whatever its
+    doc_id; null and empty texts stay; texts of any length are scanned whole."""
+    own, back = set_aside(docs, "text")
+    return back(judged(own, benchmark, own.columns).where("not contaminated"))

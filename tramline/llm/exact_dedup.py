@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import set_aside, written
 
 #: A chunk ends after MIN bytes at the next anchor; a stretch of MAX bytes without one (a run of one sign, say) ends there.
 MIN_CHUNK, MAX_CHUNK = 256, 4096
@@ -105,6 +105,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; doc_id must identify a row."""
-    stay = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi")
+    """The rows of ``docs`` that stay, all columns: one of each group of equal normalised texts, chosen as in ``exact_dedup``.
+
+    Rows are told apart by a key of their own, written once: of repeated rows one stays, and rows with a null doc_id or one
+    that other texts have too are judged by their text.  Columns may have any names.
+    """
+    own, back = set_aside(docs, "doc_id", "text")
+    keyed = written(own.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = exact_dedup(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("_group"))
+    chars = F.length(F.coalesce("text", F.lit("")))
+    first = F.min(F.struct((-chars).alias("chars"), F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))["_row"]
+    stay = keyed.select("_row", "doc_id", "text").join(groups, "_row").groupBy("_group").agg(first.alias("_row")).select("_row")
+    return back(keyed.join(stay, "_row", "left_semi"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import arrow_map, column_of, spans_of_rows, text_buffer
+from .shared import arrow_map, column_of, set_aside, spans_of_rows, text_buffer
 from .words import mix
 
 BUCKET_BITS, GRAMS = 17, (2, 3, 4)
@@ -291,11 +291,14 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 11) -> Model:
 
 def training_sample(docs: DataFrame, most: int = MOST_ROWS) -> tuple[list[bytes], list[str]]:
     """Whole texts and languages of at most ``most`` rows of each language outside the held-out fold, chosen by a hash of
-    doc_id; rows over MOST_BYTES aren't used for training.  Every language is learned, however many there are."""
+    doc_id; of a text over MOST_BYTES a piece of MOST_BYTES / 4 code points at a hashed place.  Every language is learned,
+    however many there are and however long their texts."""
     spark = docs.sparkSession
-    rows = docs.where("lang is not null and text is not null and doc_id is not null").where(
-        (F.octet_length("text") <= MOST_BYTES) & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    ).select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
+    piece, h = MOST_BYTES // 4, F.xxhash64("doc_id")
+    at = F.pmod(h, F.greatest(F.lit(1), F.length("text") - piece + 1)).cast("int") + 1
+    text = F.when(F.octet_length("text") <= MOST_BYTES, F.col("text")).otherwise(F.substr("text", at, F.lit(piece)))
+    rows = docs.where("lang is not null and text is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    rows = rows.select("doc_id", text.alias("text"), "lang", h.alias("h"))
     count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not count:
         return [], []
@@ -365,10 +368,12 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of ``docs`` with a language, all columns: not ``und``, and at least ``least`` of the words' probability on it.
 
-    Each row is judged by its own text, whether its doc_id is null, repeated or its own; no column may be named lang_pred or score.
+    Each row is judged by its own text, whether its doc_id is null, repeated or its own.  Null and empty texts go; ties in
+    probability fall to the first language in order; columns may have any names.
     """
-    judged = predict(docs, fit(*training_sample(docs)), docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    own, back = set_aside(docs, "text")
+    judged = predict(own, fit(*training_sample(docs)), own.columns)
+    return back(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= least)))
 
 
 def label_spans(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_width, written
+from .shared import set_aside, shuffle_width, written
 
 _WORD = r"[^\x20\x09-\x0D]+"
 #: A source's blocks have about this many words, and all sources together at most about MOST_BLOCKS blocks.
@@ -131,7 +131,7 @@ def _drawn(
 ) -> DataFrame:
     """See mix; the columns ``keep`` stand in place of doc_id."""
     sized = written(
-        docs.select(*dict.fromkeys(["doc_id", *keep, "source"]), words_in(F.col("text")).alias("size"), hashed(seed, "doc", F.col("doc_id")).alias("h")), "sizes"
+        docs.select(*dict.fromkeys(["doc_id", *keep, "source"]), words_in(F.col("text")).alias("size"), hashed(seed, "doc", F.coalesce(F.col("doc_id").cast("string"), F.md5("text"))).alias("h")), "sizes"
     )
     n_sources = sized.select("source").distinct().count()
     everything = Window.partitionBy(F.lit(0))
@@ -198,7 +198,7 @@ def mix(
     draws lists the shards that the document goes to, one entry per copy (none: it isn't taken).  taken = size * copies:
     whole documents are repeated and none is cut; a source misses its target by less than one document.  size: words
     of the text (null: 0).  Null is a source of its own, last in order.  Reruns agree, since every choice is a hash of
-    seed and doc_id; rows that repeat a doc_id fall into one block.  An empty table gives no rows.  The text is scanned once.
+    seed and doc_id (where it is null: of the text); rows that repeat a doc_id fall into one block.  An empty table gives no rows.  The text is scanned once.
     """
     return _drawn(docs, ["doc_id"], weights, share, cap, seed, shards)
 
@@ -210,8 +210,10 @@ def mixed_documents(docs: DataFrame, parts: int | None = None, **how) -> DataFra
     Rows are told apart by a key of their own, written once, so each has its own draws, also where doc_ids are null or
     repeated.  Only (key, draws) meets the documents again.  place is a hash of the shard, doc_id and copy; the rows are
     dealt to ``parts`` ranges of (shard, place) and sorted inside, so a shard of any size is shuffled by many tasks, and
-    the files of ``docs.write`` read one after another are the shards one after another.
+    the files of ``docs.write`` read one after another are the shards one after another.  A column of ``docs`` named shard or
+    place gives way to these; other names are free.  Null and empty texts have size 0 and are drawn with their block.
     """
+    docs, back = set_aside(docs.drop("shard", "place"), "doc_id", "text", "source")
     keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     draws = _drawn(keyed, ["_row"], **how).where(F.size("draws") > 0).select("_row", F.posexplode("draws").alias("copy", "shard"))
     ids = keyed.select("_row", "doc_id").withColumnRenamed("_row", "_id")
@@ -220,4 +222,5 @@ def mixed_documents(docs: DataFrame, parts: int | None = None, **how) -> DataFra
     out = keyed.join(draws, "_row")
     # The key comes last in the order, so that equal places fall the same way in every run of a stage.
     out = out.repartitionByRange(parts or shuffle_width(docs.sparkSession), "shard", "place", "_row").sortWithinPartitions("shard", "place", "_row")
-    return out.drop("_row")
+    names = zip(docs.columns, back(docs).columns, strict=True)
+    return out.select(*[F.col(a).alias(b) for a, b in names], "shard", "place")

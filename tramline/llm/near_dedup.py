@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fewer words the whole sequence; null, empty and blank texts have none and link with nothing.  Documents with
     100 * intersection >= 75 * union are linked; component_id is the smallest doc_id that can be reached, kept marks that
     row (each of them, where rows repeat it).  A row with a null doc_id makes no link; it has the component of a row with the
-    same words, null if there is none.  Rows that repeat a doc_id share its component.  An empty table gives no rows; other
+    same words, null if there is none.  Rows that repeat a doc_id are one document for its links: they share a component.  An empty table gives no rows; other
     columns are ignored.
     """
     spark = docs.sparkSession
@@ -249,7 +249,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = member.join(largest.where("clusters > 1").drop("clusters"), "grp")
     mixed = written(mixed.select("node", "grp", "n_bytes", (F.col("cluster") != F.col("most")).alias("minor")), "mixed")
     rest = links_in_blocks(mixed, node_text, hub=F.col("minor"))
-    found = components(first.unionByName(rest), "groups")
+    # Rows that repeat a doc_id with other words link their nodes.
+    worded = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", *same)
+    several = worded.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("a"), F.max(F.struct(*same)).alias("b")).where("a != b").select("doc_id")
+    shared = written(worded.join(several, "doc_id", "left_semi").join(nodes.select(*same, "node"), same).select("doc_id", "node"), "repeated")
+    ties = shared.join(shared.groupBy("doc_id").agg(F.min("node").alias("u")), "doc_id").where("u < node").select("u", F.col("node").alias("v"))
+    found = components(first.unionByName(rest).unionByName(ties), "groups")
 
     groups = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     joined = signed.join(groups, same, "left").select(

@@ -204,7 +204,7 @@ def _tree(shards: int) -> str:
 _OP5 = rf"""
 WITH RECURSIVE s AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_SPLIT})) AS BIGINT) AS size,
-    {_hash(f"'{SEED}'", "'doc'", "CAST(doc_id AS VARCHAR)")} AS h FROM documents
+    {_hash(f"'{SEED}'", "'doc'", "coalesce(CAST(doc_id AS VARCHAR), md5(text))")} AS h FROM documents
 ),
 p AS (
   SELECT source, sum(size) AS source_size,

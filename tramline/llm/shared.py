@@ -6,6 +6,7 @@ import ctypes
 import os
 import uuid
 from collections.abc import Callable, Hashable, Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -21,8 +22,29 @@ BATCH_BYTES = 8 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: What a Python worker keeps between tasks: the tables of one operator at a time.
 _KEPT: dict[Hashable, object] = {}
-#: Folders written by ``written``, by application.
-_SCRATCH: dict[str, list[str]] = {}
+#: Whose folders ``written`` makes now, the innermost last.
+_OPEN: ContextVar[tuple[Scratch, ...]] = ContextVar("scratch", default=())
+
+
+class Scratch:
+    """The folders that ``written`` makes inside ``with scratch:``, to be deleted once what reads them is written.
+
+    Folders made outside any scratch belong to their caller's result and stay.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        self._token = _OPEN.set((*_OPEN.get(), self))
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _OPEN.reset(self._token)
+
+    def delete(self) -> None:
+        while self.paths:
+            _delete(self.spark, self.paths.pop())
 
 
 def importable(spark: SparkSession) -> None:
@@ -85,16 +107,15 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for own in _OPEN.get()[-1:]:
+        own.paths.append(path)
     out = df.write.mode("overwrite")
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the folders that ``written`` made for this application; only when every result that reads them is written."""
-    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
+    """Nothing: stages delete their own folders."""
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -102,6 +123,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``needed`` under names that clash with none, and what gives them their names back."""
+    names = [c if c in needed else f"_own{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda df: df.select(*[F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)])
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -149,8 +149,11 @@ def misspelt(unit: np.ndarray, kind: str, draw: np.random.Generator) -> np.ndarr
     return np.concatenate([unit[:at], unit[:0] if kind == "less" else letter, unit[at if kind == "more" else at + 1 :]])
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarray, float, float]:
-    """(table, slope, offset) from whole labelled texts; a sample without both labels gives a table of zeros."""
+def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5, rate: float | None = None) -> tuple[np.ndarray, float, float]:
+    """(table, slope, offset) from whole labelled texts; a sample without both labels gives a table of zeros.
+
+    Where no unit tells toxic texts from clean ones, every score is ``rate``, the share of toxic labels (of the sample's, if none is given).
+    """
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     seq, begin, row = units(np.frombuffer(b"".join(texts), np.uint8), offsets)
     table = np.zeros(1 << (5 * P), np.float32)
@@ -175,7 +178,8 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarr
         first = np.searchsorted(r, r)
         return order[np.arange(len(r)) - first < most]
 
-    slope = offset = 0.0
+    base = float(np.clip(y.mean() if rate is None else rate, 1e-4, 1 - 1e-4))
+    slope, offset, learned = 0.0, float(np.log(base / (1 - base))), False
     for _ in range(ROUNDS):
         score = margins(seq, begin, table)
         best = top(score, 1)
@@ -192,7 +196,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarr
         for k in chosen.tolist():
             names.setdefault((seq[begin[k] : begin[k] + length[k]].tobytes(), bool(y[row[k]])), k)
         good = {s for s, toxic in names if not toxic}
-        chosen = np.array([k for (s, toxic), k in names.items() if not (toxic and s in good)])
+        chosen = np.array([k for (s, toxic), k in names.items() if not (toxic and s in good)], np.int64)
         strings = [seq[begin[k] : begin[k] + length[k]] for k in chosen]
         toxic = y[row[chosen]].tolist()
         # Misspelt: toxic units that lead their documents, the fewer they are the more of each, and as many clean units.
@@ -203,6 +207,8 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarr
         more = [misspelt(u, kind, draw) for u in sure for kind in SPELLINGS for _ in range(each)]
         less = [misspelt(plain[k], SPELLINGS[i % len(SPELLINGS)], draw) for i, k in enumerate(draw.permutation(len(plain))[: len(more)])]
         strings, toxic = strings + more + less, toxic + [True] * len(more) + [False] * len(less)
+        if not any(toxic):
+            break
         label = np.where(toxic, 1.0, -1.0)
         sub = np.concatenate(strings)
         cut = np.concatenate([[0], np.cumsum([len(s) for s in strings])[:-1]])
@@ -213,7 +219,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarr
         ])
         mine = np.isin(unit, marks)
         columns = np.unique(code[mine])
-        if not len(columns) or not len(pos_k):
+        if not len(columns):
             break
         landmark = np.zeros((len(marks), len(columns)), np.float32)
         for j, k in enumerate(marks):
@@ -237,7 +243,8 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 5) -> tuple[np.ndarr
         np.maximum.at(doc, row, score)
         slope, offset = _sigmoid(doc, y)
         offset += slope * bias
-    return table, slope, offset
+        learned = True
+    return (table, slope, offset) if learned else (np.zeros_like(table), slope, offset)
 
 
 def _nystrom(unit, code, weight, n: int, columns: np.ndarray, landmark: np.ndarray) -> np.ndarray:
@@ -267,20 +274,22 @@ def _sigmoid(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.1)), float(b)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[list[bytes], np.ndarray]:
-    """Whole texts and labels of at most ``most`` labelled rows outside the held-out fold (crc32(doc_id) mod 4 is 2), half
-    of them toxic if there are enough, chosen by a hash of doc_id; texts over MOST_BYTES aren't used for training."""
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> tuple[list[bytes], np.ndarray, float]:
+    """The share of toxic labels, and whole texts and labels of at most ``most`` labelled rows outside the held-out fold (crc32(doc_id) mod 4 is 2), half
+    of them toxic if there are enough, chosen by a hash of doc_id; texts over MOST_BYTES aren't used for training, and of the
+    texts of a doc_id the least is."""
     ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     order = F.xxhash64("doc_id"), F.col("doc_id")
+    rate = ids.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     toxic = ids.where("toxic = 1").orderBy(*order).limit(most // 2)
     clean = ids.where("toxic = 0").orderBy(*order).limit(most // 2)
     chosen = {r["doc_id"]: r["toxic"] for r in toxic.unionByName(clean).collect()}
     spark = docs.sparkSession
     few = spark.createDataFrame([(i, t) for i, t in chosen.items()], "doc_id long, toxic int")
     rows = docs.where(F.octet_length("text") <= MOST_BYTES).select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    got = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect())
-    return [t.encode() + b" \n" for _, t, _ in got], np.array([y for _, _, y in got])
+    got = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect())
+    return [t.encode() + b" \n" for _, t, _ in got], np.array([y for _, _, y in got]), rate
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -310,10 +319,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted (1 if score >= threshold).
 
     Learns from ``labels`` (doc_id, toxic) outside the held-out fold; a doc_id labelled twice counts as toxic if either is.
-    Without labels every score is that of a model that knows nothing, near 0.  A null doc_id isn't held out.  Repeated rows
+    Without labels every score is that of a model that knows nothing, near 0; where no word tells the labels apart, it is the share of
+    toxic labels.  Empty texts score 0.  A null doc_id isn't held out.  Repeated rows
     are scored each; an empty table gives no rows; other columns are ignored.
     """
-    texts, y = training_sample(docs, labels)
-    model = fit(texts, y) if len(texts) else (np.zeros(1 << (5 * P), np.float32), 0.0, -10.0)
+    texts, y, rate = training_sample(docs, labels)
+    model = fit(texts, y, rate=rate) if len(texts) else (np.zeros(1 << (5 * P), np.float32), 0.0, -10.0)
     out = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2).alias("held_out")
     return score(docs, model).select("doc_id", out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
