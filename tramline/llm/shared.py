@@ -19,6 +19,8 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Bytes of an Arrow batch that Spark sends to a Python worker, unless the session names a bound of its own.
 BATCH_BYTES = 8 << 20
+#: Bytes of a row group of an intermediate table: a task holds one while it writes.
+ROW_GROUP_BYTES = 16 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: What a Python worker keeps between tasks: the tables of one operator at a time.
 _KEPT: dict[Hashable, object] = {}
@@ -109,7 +111,7 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = new_path(spark, name)
     for own in _OPEN.get()[-1:]:
         own.paths.append(path)
-    out = df.write.mode("overwrite")
+    out = df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
