@@ -7,15 +7,12 @@ of legs with legs takes place.
 
 from __future__ import annotations
 
-from bisect import insort
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.columns import day_part, micros
-from tramline.session import importable
+
+from .order_statistics import running_quantiles
 
 LEVELS = ["corridor", "origin_hub", "destination_hub", "route_distance_band", "network"]
 
@@ -54,40 +51,6 @@ def as_of(legs: DataFrame, key: Column | str, prefix: str, fact_time: str = "od_
     )
 
 
-def running_quantiles(rows: DataFrame, value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles of a key's facts known at each of its queries: k, leg_id, n, and one column per quantile.
-
-    Rows are dealt by key and sorted; each key keeps one sorted list of its values (8 bytes a fact), so a query costs a
-    look-up, where a percentile over a running frame would sort the frame anew.  Batches of a key go on with its list.
-    """
-    importable(rows.sparkSession)
-    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = rows.select("k", "t", "kind", "leg_id", F.col(value).alias("v")).repartition(n_parts, "k").sortWithinPartitions("k", "t", "kind", "leg_id")
-    names, qs = list(quantiles), list(quantiles.values())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, seen = None, []
-        for b in batches:
-            out = []
-            for k, kind, leg, v in zip(b["k"], b["kind"], b["leg_id"], b["v"], strict=True):
-                if k != key:
-                    key, seen = k, []
-                if kind == 0:
-                    if v == v and v is not None:
-                        insort(seen, v)
-                    continue
-                n = len(seen)
-                row = [k, leg, n]
-                for q in qs:
-                    at = q * (n - 1)
-                    low = int(at)
-                    row.append(None if not n else seen[low] + (seen[min(low + 1, n - 1)] - seen[low]) * (at - low))
-                out.append(row)
-            yield pd.DataFrame(out, columns=["k", "leg_id", "n", *names]).astype({"n": "int64", **{c: "float64" for c in names}})
-
-    return d.mapInPandas(run, "k string, leg_id string, n long, " + ", ".join(f"{c} double" for c in names))
-
-
 def dispersion(legs: DataFrame, key: str = "corridor_id", days: int = 7) -> DataFrame:
     """Per leg: exact median, p90, inter-quartile range and sample deviation of earlier gaps, and mean and number of those of
     the last ``days`` days (to the microsecond)."""
@@ -254,7 +217,7 @@ def with_bands(legs: DataFrame, cuts: tuple[float, float]) -> DataFrame:
 def level_medians(legs: DataFrame, cuts: tuple[float, float]) -> DataFrame:
     """Per leg and level: number and exact median of the gaps known at creation; five levels in one pass.
 
-    The network level is one key, whose exact median one task keeps; ``network_prefix`` gives its counts and means without that.
+    The network level is one key with a fifth of all rows; ``running_quantiles`` cuts it by time.
     """
     keys = F.array(*[
         F.struct(F.lit(n).alias("level"), c.cast("string").alias("key"))
@@ -296,6 +259,12 @@ def choose_k(shrunken: DataFrame, legs: DataFrame) -> DataFrame:
     return errors.agg(F.min(F.struct(F.round("mae", 9).alias("mae"), "k")).alias("b")).select("b.k", "b.mae")
 
 
+def network_quantiles(legs: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """Per leg: number and exact quantiles of all gaps known at its creation."""
+    rows = timeline(legs, F.lit("all"), g=F.col("gap_min"))
+    return running_quantiles(rows, "g", quantiles).drop("k").withColumnRenamed("n", "n_prior")
+
+
 def network_prefix(legs: DataFrame, bucket_us: int = 86_400_000_000) -> DataFrame:
     """Number and mean of all gaps known at each leg's creation, without a window over all legs.
 

@@ -116,10 +116,14 @@ def history_network_prefix(spark, sf_dir):
     return _rounded(H.network_prefix(legs_from_events(spark, sf_dir)))
 
 
+def history_network_quantiles(spark, sf_dir):
+    return _rounded(H.network_quantiles(legs_from_events(spark, sf_dir), {"p10": 0.1, "median": 0.5, "p90": 0.9}))
+
+
 QUERIES = {f.__name__: f for f in (
     history_corridor, history_source_orders, history_dispersion, history_dispersion_long, history_dwell_part, features_v1, features_v2,
     history_naive_leak, history_range_join, history_leakage_checks, prediction_point, features_cold_start, history_snapshot,
-    history_latest, history_what_if, backoff_levels, backoff_hard, backoff_shrunken, backoff_choose_k, history_network_prefix,
+    history_latest, history_what_if, backoff_levels, backoff_hard, backoff_shrunken, backoff_choose_k, history_network_prefix, history_network_quantiles,
 )}
 
 
@@ -208,4 +212,8 @@ ORACLE_SQL = {
     "backoff_choose_k": trips(f"{_LEVELS}, {_WIDE}, {_shrunk('1.0::DOUBLE, 5.0::DOUBLE, 20.0::DOUBLE, 80.0::DOUBLE')} SELECT k, round(avg(abs(gap_min - shrunken_gap)), 6) AS mae FROM shrunk JOIN legs USING (leg_id) GROUP BY 1 ORDER BY 2, 1 LIMIT 1"),
     "history_network_prefix": trips("""SELECT leg_id, n AS n_prior, round(m, 6) AS mean_gap FROM (SELECT *, count(g) OVER w AS n, avg(g) OVER w AS m FROM (
       SELECT od_end_time AS t, 0 AS kind, leg_id, gap_min AS g FROM legs UNION ALL SELECT trip_creation_time, 1, leg_id, NULL FROM legs) WINDOW w AS (ORDER BY t, kind, leg_id ROWS UNBOUNDED PRECEDING)) WHERE kind = 1"""),
+    "history_network_quantiles": trips("""SELECT leg_id, n AS n_prior, round(a, 6) AS p10, round(b, 6) AS median, round(c, 6) AS p90 FROM (
+      SELECT *, count(g) OVER w AS n, quantile_cont(g, 0.1) OVER w AS a, quantile_cont(g, 0.5) OVER w AS b, quantile_cont(g, 0.9) OVER w AS c FROM (
+        SELECT od_end_time AS t, 0 AS kind, leg_id, gap_min AS g FROM legs UNION ALL SELECT trip_creation_time, 1, leg_id, NULL FROM legs)
+      WINDOW w AS (ORDER BY t, kind, leg_id ROWS UNBOUNDED PRECEDING)) WHERE kind = 1"""),
 }
