@@ -1,5 +1,12 @@
 from __future__ import annotations
 
+import datetime as dt
+import random
+from bisect import insort
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from oracle import SF
 from pyspark.sql import functions as F
 
@@ -7,42 +14,179 @@ from tramline.plans import tables
 from tramline.sources.adapters import legs_from_events
 from tramline.streaming import events as E
 from tramline.streaming import job as J
+from tramline.streaming import scoring as S
+from tramline.streaming import state
+from tramline.streaming import value_tree as V
+
+
+# ---- the values' tree -----------------------------------------------------------------------------------------------
+class Store:
+    """A map state that counts what is read and written."""
+
+    def __init__(self):
+        self.kept, self.reads, self.writes = {}, 0, 0
+
+    def read(self, key):
+        self.reads += 1
+        return self.kept.get(key)
+
+    def write(self, tree):
+        for name in tree.changed:
+            self.kept[name] = tree.node(name)
+            self.writes += 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.floats(allow_nan=False, allow_infinity=False), max_size=300), min_size=1, max_size=4))
+def test_tree_selects_as_a_sorted_list(batches):
+    store, seen = Store(), []
+    for batch in batches:
+        tree = V.ValueTree(store.read)
+        for v in batch:
+            tree.add(v)
+            insort(seen, v)
+        store.write(tree)
+        fresh = V.ValueTree(store.read)
+        assert [fresh.select(k) for k in range(len(seen))] == seen
+    with pytest.raises(IndexError):
+        V.ValueTree(store.read).select(len(seen))
+
+
+def test_tree_of_ties_and_neighbours():
+    rng = random.Random(1)
+    values = [0.0, -0.0, 5.0, -5.0] * 2000 + [1 + k * 2.0**-50 for k in range(1000)] + [rng.gauss(0, 30) for _ in range(3000)]
+    rng.shuffle(values)
+    tree = V.ValueTree(lambda name: None)
+    for v in values:
+        tree.add(v)
+    ordered = sorted(values)
+    assert all(tree.select(k) == ordered[k] for k in range(0, len(values), 37))
+    assert tree.quantile(0.5, len(values)) == pytest.approx((ordered[(len(values) - 1) // 2] + ordered[len(values) // 2]) / 2)
+    assert max(len(n[1]) for n in tree._nodes.values()) <= V.LEAF
+
+
+def test_work_per_batch_does_not_grow_with_history():
+    rng, store, cost = random.Random(2), Store(), []
+    for _ in range(60):
+        store.reads = store.writes = 0
+        tree = V.ValueTree(store.read)
+        for k in range(500):
+            tree.add(rng.gauss(50, 20))
+        tree.quantile(0.5, 500)
+        store.write(tree)
+        cost.append(sum(len(c) + 2 * len(v) for c, v, _ in (store.kept[n] for n in tree.changed)))
+    # Entries written by a batch of 500 values: 30 times the history, at most the nodes on 500 paths.
+    assert cost[-1] < 500 * (V.LEAF * 2 + 3 * 256) and cost[-1] < 6 * max(cost[1:6])
+    assert max(len(v) for _, v, _ in store.kept.values()) <= V.LEAF
+
+
+def test_trailing_week_by_buckets():
+    rng = random.Random(3)
+    facts = sorted((rng.randrange(30 * 86_400_000_000), float(k)) for k in range(3000))
+    week = state.Trailing(lambda b: None)
+    seen = []
+    for t, g in facts:
+        week.add(t, g)
+        seen.append((t, g))
+        at = t + rng.randrange(86_400_000_000)
+        want = [x for s, x in seen if at - state.WEEK <= s <= at]
+        n, total = week.read(at)
+        assert n == len(want) and total == pytest.approx(sum(want))
+
+
+# ---- the stream -----------------------------------------------------------------------------------------------------
+def replayed(spark, base, parts, legs=150):
+    J.write_replay(E.build_events(legs_from_events(spark, SF).where(f"cast(leg_id as int) < {legs}")), base, parts)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
 
 
 def test_restart_equals_one_run(spark, tmp_path):
-    e = E.build_events(legs_from_events(spark, SF).where("cast(leg_id as int) < 150"))
     out = []
+    replayed(spark, str(tmp_path / "in"), 2)
     for name, runs in (("one", 1), ("two", 2)):
         base = str(tmp_path / name)
-        J.write_replay(e, f"{base}/a", 2)
-        for k in range(runs):
-            rows = J.histories(J.read_files(spark, f"{base}/a", 1))
+        for _ in range(runs):
+            rows = J.histories(J.read_files(spark, str(tmp_path / "in"), 1))
             J.drain(rows, f"{base}/c", lambda d, i, base=base: J.write_batch(d, i, f"{base}/o"))
-            if k == 0 and runs == 2:
-                J.drain(rows, f"{base}/c", lambda d, i, base=base: J.write_batch(d, i, f"{base}/o"))
-        out.append(sorted(map(tuple, spark.read.parquet(f"{base}/o").drop("batch_id").collect()), key=str))
+        out.append(rows_of(spark.read.parquet(f"{base}/o").where("row_kind = 'query'").drop("batch_id")))
     assert out[0] == out[1] and len(out[0]) == 150 * 5
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != J.ROCKSDB
+
+
+def event(kind, leg, minute, gap=None):
+    at = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute)
+    return (f"{kind}{leg}", kind, leg, at, "k", "s", "d", at.hour, 10.0, gap, gap and gap / 100, gap and 1.0)
+
+
+def test_late_facts_are_applied_and_counted_and_old_buckets_go(spark, tmp_path):
+    day = 24 * 60
+    batches = [
+        [event("fact", "a", 100, 1.0)],
+        [event("fact", "b", 50, 3.0), event("query", "q1", 200)],  # a fact older than one already seen, within the watermark
+        [event("fact", "c", 20 * day, 5.0)],
+        [event("query", "q2", 20 * day + 10)],
+        [event("query", "q3", 21 * day)],
+    ]
+    for k, b in enumerate(batches):
+        spark.createDataFrame(b, E.SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        rows = J.histories(J.read_files(spark, str(tmp_path / "in"), 1))
+        J.drain(rows, str(tmp_path / "c"), lambda d, i: J.write_batch(d, i, str(tmp_path / "o")))
+    got = spark.read.parquet(str(tmp_path / "o")).where("key_type = 'corridor'")
+    q = {r["leg_id"]: r for r in got.where("row_kind = 'query'").collect()}
+    assert (q["q1"]["n_prior"], q["q1"]["median_gap_min"], q["q1"]["n_prior_7d"]) == (2, 2.0, 2)
+    assert (q["q2"]["n_prior"], q["q2"]["median_gap_min"], q["q2"]["n_prior_7d"], q["q2"]["mean_gap_7d"]) == (3, 3.0, 1, 5.0)
+    totals = got.where("row_kind = 'summary'").agg(F.sum("facts").alias("f"), F.sum("late_facts").alias("l")).first()
+    assert (totals["f"], totals["l"]) == (3, 1)
+    # The watermark has passed the first week: timers have removed its buckets from the state.
+    kept = spark.read.format("statestore").option("stateVarName", "recent").option("path", str(tmp_path / "c")).load()
+    buckets = {r["bucket"] for r in kept.where("key.key_type = 'corridor'").select("user_map_key.bucket").collect()}
+    micro = lambda m: int((dt.datetime(2024, 1, 1) - dt.datetime(1970, 1, 1)).total_seconds() * 1e6) + m * 60_000_000
+    assert buckets == {micro(20 * day) // state.BUCKET}
 
 
-def test_late_facts_are_applied_and_counted(spark):
-    import pandas as pd
+def test_killed_batches_are_neither_lost_nor_doubled(spark, tmp_path):
+    """The sink dies once after each of its writes, and once before booking; in the end all is as in one run."""
 
-    from tramline.streaming.state import update
+    class Dying(S.ScoringSink):
+        left = ["history", "scored", "alerts", "ledger"]
 
-    class State:
-        exists, get = False, None
+        def _write(self, df, what, batch_id):
+            if what == "ledger" and self.left == ["ledger"]:
+                self.left.pop()
+                raise RuntimeError("killed before booking")
+            super()._write(df, what, batch_id)
+            if self.left and self.left[0] == what and what != "ledger":
+                self.left.pop(0)
+                raise RuntimeError(f"killed after {what}")
 
-        def getCurrentWatermarkMs(self):
-            return 0
+    replayed(spark, str(tmp_path / "in"), 3)
+    result = {}
+    for name, sink in (("one", S.ScoringSink(str(tmp_path / "one"))), ("killed", Dying(str(tmp_path / "killed")))):
+        deaths = 0
+        while True:
+            rows = J.histories(J.read_files(spark, str(tmp_path / "in"), 1))
+            try:
+                J.drain(rows, str(tmp_path / f"{name}-c"), sink)
+                break
+            except Exception as e:  # noqa: BLE001
+                assert "killed" in str(e)
+                deaths += 1
+        booked = S.ledger(spark, str(tmp_path / name)).drop("seconds")
+        result[name] = (rows_of(booked), *(rows_of(S.finished(spark, str(tmp_path / name), w).drop("batch_id")) for w in ("scored", "alerts")))
+        assert deaths == (0 if name == "one" else 4)
+    assert result["one"] == result["killed"]
+    assert sum(r[1] for r in result["one"][0]) == 150 and sum(r[2] for r in result["one"][0]) == 150
 
-        def update(self, value):
-            self.exists, self.get = True, value
 
-    row = lambda kind, t, g: {"kind": kind, "t": t, "leg_id": f"{kind}{t}", "log_gap_ratio": g, "gap_min": g, "dwell_min": 0.0}
-    s = State()
-    list(update(("corridor", "k"), iter([pd.DataFrame([row("fact", 100, 1.0)])]), s))
-    got = pd.concat(list(update(("corridor", "k"), iter([pd.DataFrame([row("fact", 50, 3.0), row("query", 200, None)])]), s)))
-    assert got.iloc[0]["n_prior"] == 2 and got.iloc[0]["late_facts"] == 1 and got.iloc[0]["median_gap_min"] == 2.0
+def test_unbooked_batches_are_not_read(spark, tmp_path):
+    path = str(tmp_path)
+    for batch in (0, 1):
+        spark.range(3).write.parquet(f"{path}/scored/batch_id={batch}")
+    spark.createDataFrame([(3, 3, 0, 0, 0.1)], "queries long, facts long, late_facts long, alerts long, seconds double").write.parquet(f"{path}/ledger/batch_id=0")
+    assert S.finished(spark, path, "scored").count() == 3
 
 
 def test_json_leaves_out_nulls(spark):

@@ -18,6 +18,7 @@ from tramline.sources.adapters import legs_from_events, legs_from_orders, table
 from tramline.sources.shared import shared_dir
 from tramline.streaming import events as E
 from tramline.streaming import job as J
+from tramline.streaming import scoring as S
 
 from .history import _rounded, six
 
@@ -477,18 +478,34 @@ def stream_finish(spark, sf_dir):
     return E.with_finish(e.where("kind = 'query'").select("leg_id"), facts).groupBy("matched").agg(F.count("*").alias("n"), F.max("od_end_time").alias("latest"))
 
 
-def stream_history(spark, sf_dir):
+def _drained(spark, sf_dir, sink_at):
     """The stateful job over the events written as files: half is drained, then the rest on the same checkpoint."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    e = E.build_events(legs_from_events(spark, sf_dir))
-    J.write_replay(e, f"{base}/in", 4)
+    J.write_replay(E.build_events(legs_from_events(spark, sf_dir)), f"{base}/in", 4)
     rows = J.histories(J.read_files(spark, f"{base}/in", 2))
     for _ in range(2):
-        J.drain(rows, f"{base}/checkpoint", lambda d, i: J.write_batch(d, i, f"{base}/out"))
-    return J.assembled(spark.read.parquet(f"{base}/out")).select(
-        "leg_id", "corr_n_prior", "src_n_prior", "dst_n_prior", six("corr_mean_gap_min").alias("corr_mean_gap_min"), six("corr_median_gap_min").alias("corr_median_gap_min"),
-        six("src_dwell_by_hour_min").alias("src_dwell_by_hour_min"),
-    )
+        J.drain(rows, f"{base}/checkpoint", sink_at(f"{base}/out"))
+    return f"{base}/out"
+
+
+def stream_history(spark, sf_dir):
+    out = _drained(spark, sf_dir, lambda path: lambda d, i: J.write_batch(d, i, path))
+    doubles = ["corr_mean_gap_min", "corr_median_gap_min", "corr_p90_gap_min", "corr_iqr_gap_min", "corr_sd_gap_min", "corr_mean_gap_7d", "src_dwell_by_hour_min", "dst_dwell_by_hour_min"]
+    return J.assembled(spark.read.parquet(out)).select(
+        "leg_id", "corr_n_prior", "src_n_prior", "dst_n_prior", F.coalesce("corr_n_prior_7d", F.lit(0)).alias("corr_n_prior_7d"), *[six(c).alias(c) for c in doubles]
+    )
+
+
+def stream_alerts(spark, sf_dir):
+    """Alerts of the scoring stream, from batches that the ledger has."""
+    out = _drained(spark, sf_dir, S.ScoringSink)
+    return S.finished(spark, out, "alerts").select("leg_id", "corridor_id", *[six(c).alias(c) for c in ("predicted_gap", "threshold_gap", "alert_excess")])
+
+
+def stream_ledger(spark, sf_dir):
+    """What the scoring stream booked, over all batches."""
+    out = _drained(spark, sf_dir, S.ScoringSink)
+    return S.ledger(spark, out).agg(*[F.sum(c).alias(c) for c in ("queries", "facts", "late_facts", "alerts")])
 
 
 def text_similarity(spark, sf_dir):
@@ -508,5 +525,6 @@ QUERIES = {f.__name__: f for f in (
     model_threshold_sweep, model_slices, model_corridor_gains, model_decision, model_majority, model_linear, model_logistic, model_residual_boosting,
     model_forest, model_ablation, model_rolling_origin, model_comparison, model_replay_leak, legs_statistic, legs_judge_medians, corridor_extras,
     fisher_exact, question_scores, stream_events, stream_validation, stream_keys, stream_snapshot_join, stream_latency, stream_finish, stream_history,
+    stream_alerts, stream_ledger,
 )}
 ORACLE_SQL: dict[str, str] = {}  # in tables_sql

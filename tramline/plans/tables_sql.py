@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from .history import _KEYS, _PART, _asof
+from .history import _KEYS, _PART, _asof, _dispersion
 from .network import _HUB, _welch
 from .sql import legs, trips
 from .stats import _CH
@@ -108,6 +108,14 @@ def _mean(key: str, p: str) -> str:
       SELECT {key} AS k, od_end_time AS t, 0 AS kind, leg_id, gap_min AS g, dwell_min AS dw FROM legs UNION ALL SELECT {key}, trip_creation_time, 1, leg_id, NULL, NULL FROM legs) WINDOW w AS (PARTITION BY k ORDER BY t, kind, leg_id ROWS UNBOUNDED PRECEDING)) WHERE kind = 1)"""
 
 
+_STREAM = (("corridor_id", "corr"), ("source_center", "src"), ("destination_center", "dst"), (f"source_center || '|' || {_PART}", "sp"), (f"destination_center || '|' || {_PART}", "dp"))
+#: Predicted by the corridor's median from five facts on, else the source's mean; flagged beyond twice the plan.
+_STREAM_ALERTS = f"""{_mean("corridor_id", "corr")}, {_mean("source_center", "src")},
+  fc AS (SELECT legs.leg_id, corridor_id, planned_min, coalesce(CASE WHEN corr_n_prior >= 5 THEN h_corr.md END, h_src.m, 0.0) AS predicted
+    FROM legs JOIN h_corr USING (leg_id) JOIN h_src USING (leg_id)),
+  al AS (SELECT * FROM fc WHERE predicted > planned_min)"""
+
+
 ORACLE_SQL = {
     "clean_null_texts": """SELECT * FROM (SELECT 'trip_uuid' AS "column", count_if(l_partkey % 7 = 0) AS n FROM lineitem UNION ALL SELECT 'source_name', count_if(l_partkey % 7 <> 2) FROM lineitem UNION ALL SELECT 'destination_name', count(*) FROM lineitem) WHERE n > 0""",
     "clean_parse_failures": "SELECT CAST(0 AS BIGINT) AS od_start_time, count_if(l_partkey % 7 = 3) AS od_end_time FROM lineitem",
@@ -220,6 +228,11 @@ ORACLE_SQL = {
     "stream_snapshot_join": trips("s AS (SELECT corridor_id, count(*) AS n, avg(gap_min) AS m FROM legs GROUP BY 1) SELECT corridor_id, leg_id, coalesce(n, 0) AS n, round(coalesce(m, 0), 6) AS mean_gap_min FROM legs LEFT JOIN s USING (corridor_id)"),
     "stream_latency": trips("d AS (SELECT (epoch_us(od_end_time) - epoch_us(od_start_time)) / 1e6 AS s FROM legs) SELECT count(*) AS n, quantile_disc(s, 0.5) AS p50, quantile_disc(s, 0.95) AS p95, max(s) AS most FROM d"),
     "stream_finish": trips("SELECT CAST(leg_id AS BIGINT) % 4 <> 0 AS matched, count(*) AS n, max(CASE WHEN CAST(leg_id AS BIGINT) % 4 <> 0 THEN od_end_time END) AS latest FROM legs GROUP BY 1"),
-    "stream_history": trips(", ".join(_mean(k, p) for k, p in (("corridor_id", "corr"), ("source_center", "src"), ("destination_center", "dst"), (f"source_center || '|' || {_PART}", "sp")))
-        + " SELECT leg_id, CAST(corr_n_prior AS INT) AS corr_n_prior, CAST(src_n_prior AS INT) AS src_n_prior, CAST(dst_n_prior AS INT) AS dst_n_prior, round(h_corr.m, 6) AS corr_mean_gap_min, round(h_corr.md, 6) AS corr_median_gap_min, round(h_sp.d, 6) AS src_dwell_by_hour_min FROM h_corr JOIN h_src USING (leg_id) JOIN h_dst USING (leg_id) JOIN h_sp USING (leg_id)"),
+    "stream_history": trips(", ".join(_mean(k, p) for k, p in _STREAM) + f""", disp AS ({_dispersion(7)})
+      SELECT leg_id, CAST(corr_n_prior AS INT) AS corr_n_prior, CAST(src_n_prior AS INT) AS src_n_prior, CAST(dst_n_prior AS INT) AS dst_n_prior, corr_n_prior_7d,
+        round(h_corr.m, 6) AS corr_mean_gap_min, corr_median_gap_min, corr_p90_gap_min, corr_iqr_gap_min, corr_std_gap_min AS corr_sd_gap_min, corr_mean_gap_7d,
+        round(h_sp.d, 6) AS src_dwell_by_hour_min, round(h_dp.d, 6) AS dst_dwell_by_hour_min
+      FROM h_corr JOIN h_src USING (leg_id) JOIN h_dst USING (leg_id) JOIN h_sp USING (leg_id) JOIN h_dp USING (leg_id) JOIN disp USING (leg_id)"""),
+    "stream_alerts": trips(f"{_STREAM_ALERTS} SELECT leg_id, corridor_id, round(predicted, 6) AS predicted_gap, round(planned_min, 6) AS threshold_gap, round(predicted / planned_min, 6) AS alert_excess FROM al"),
+    "stream_ledger": trips(f"{_STREAM_ALERTS} SELECT (SELECT count(*) FROM legs) AS queries, (SELECT count(*) FROM legs) AS facts, CAST(0 AS BIGINT) AS late_facts, (SELECT count(*) FROM al) AS alerts"),
 }

@@ -52,10 +52,12 @@ def histories(events: DataFrame) -> DataFrame:
 def assembled(rows: DataFrame) -> DataFrame:
     """One feature row per leg from its five key rows; a leg that lacks one is left out."""
     of = lambda k, c: F.max(F.when(F.col("key_type") == k, F.col(c)))
-    d = rows.groupBy("leg_id").agg(
-        F.count_distinct("key_type").alias("keys"), *[of(k, "n_prior").alias(f"{p}_n_prior") for k, p in (("corridor", "corr"), ("source", "src"), ("destination", "dst"))],
-        *[of(k, "mean_gap_min").alias(f"{p}_mean_gap_min") for k, p in (("corridor", "corr"), ("source", "src"), ("destination", "dst"))],
-        of("corridor", "median_gap_min").alias("corr_median_gap_min"), of("source_part", "mean_dwell_min").alias("src_dwell_by_hour_min"),
+    keys = (("corridor", "corr"), ("source", "src"), ("destination", "dst"))
+    spread = ["median_gap_min", "p90_gap_min", "iqr_gap_min", "sd_gap_min", "mean_gap_7d", "n_prior_7d"]
+    d = rows.where("row_kind = 'query'").groupBy("leg_id").agg(
+        F.count_distinct("key_type").alias("keys"), F.max("corridor_id").alias("corridor_id"), F.max("planned_min").alias("planned_min"), F.max("t").alias("t"),
+        *[of(k, c).alias(f"{p}_{c}") for k, p in keys for c in ("n_prior", "mean_gap_min")], *[of("corridor", c).alias(f"corr_{c}") for c in spread],
+        of("source_part", "mean_dwell_min").alias("src_dwell_by_hour_min"), of("destination_part", "mean_dwell_min").alias("dst_dwell_by_hour_min"),
     )
     return d.where(F.col("keys") == len(KEY_TYPES)).drop("keys")
 
@@ -65,14 +67,28 @@ def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _started(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], trigger: dict):
+    """Start with the RocksDB state store; a query takes the session's settings when it starts, so the session gets its own back."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_STORE, None)
+    conf.set(_STORE, ROCKSDB)
+    try:
+        return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    finally:
+        conf.unset(_STORE) if before is None else conf.set(_STORE, before)
+
+
 def drain(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> None:
     """Process what is there and stop; a later call on the same checkpoint goes on from there."""
-    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    _started(stream, checkpoint, sink, {"availableNow": True}).awaitTermination()
 
 
 def run_continuously(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], every: str = "10 seconds"):
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return _started(stream, checkpoint, sink, {"processingTime": every})
 
 
 def with_snapshot(queries: DataFrame, snapshot: DataFrame, key_type: str = "corridor", key: str = "corridor_id") -> DataFrame:

@@ -1,71 +1,155 @@
-"""Stateful as-of history in Structured Streaming: facts update a key's state, queries read it at their own time."""
+"""Stateful as-of history in Structured Streaming: facts update a key's state, queries read it at their own time.
+
+The state of a key is bounded in what a batch touches: totals in one value; all gaps in a tree of small nodes (a map state), of which
+a batch reads and writes those on the paths of its own values; the trailing week in buckets of time (a map state), which
+event-time timers remove.  Nothing is rewritten because it is old.
+"""
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tramline.session import importable
 
+from .value_tree import NODE, ValueTree
+
 OUTPUT = (
-    "key_type string, key string, leg_id string, t long, n_prior int, mean_log_ratio double, std_log_ratio double, mean_gap_min double, "
-    "last_log_ratio double, hours_since_last double, median_gap_min double, n_prior_7d int, mean_dwell_min double, late_facts int"
+    "row_kind string, key_type string, key string, leg_id string, t long, corridor_id string, planned_min double, n_prior int, mean_log_ratio double, "
+    "std_log_ratio double, mean_gap_min double, last_log_ratio double, hours_since_last double, median_gap_min double, p90_gap_min double, "
+    "iqr_gap_min double, sd_gap_min double, mean_gap_7d double, n_prior_7d int, mean_dwell_min double, facts int, late_facts int"
 )
-STATE = (
-    "n long, s double, ss double, g double, d double, last_s double, last_t long, gaps array<double>, recent_t array<long>, recent_g array<double>, "
-    "newest long, late int"
+TOTALS = (
+    "n long, s double, ss double, g double, d double, last_s double, last_t long, m_mean double, m_squares double, newest long, late long"
 )
+RECENT = "n long, total double, t array<long>, g array<double>"
 WEEK = 7 * 86_400_000_000
+#: Microseconds of a bucket of the trailing week: a query reads 29 of them, two row by row.
+BUCKET = 6 * 3_600_000_000
+#: Key type with dispersion: quantiles, deviation and trailing week.
+WITH_DISPERSION = "corridor"
+_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+_TYPES = {c.split()[0]: {"long": "int64", "int": "Int32", "double": "float64"}[c.split()[1]] for c in OUTPUT.split(", ") if c.split()[1] != "string"}
+
+
+class Trailing:
+    """Facts of the last week by bucket of time, read from and written to a map state as far as touched."""
+
+    def __init__(self, read):
+        self._read, self._buckets, self.changed, self.new = read, {}, set(), set()
+
+    def _bucket(self, b: int) -> list | None:
+        if b not in self._buckets:
+            stored = self._read(b)
+            self._buckets[b] = [stored[0], stored[1], list(stored[2]), list(stored[3])] if stored else None
+        return self._buckets[b]
+
+    def bucket(self, b: int) -> tuple:
+        return tuple(self._buckets[b])
 
+    def add(self, t: int, g: float) -> None:
+        b = t // BUCKET
+        if self._bucket(b) is None:
+            self._buckets[b] = [0, 0.0, [], []]
+            self.new.add(b)
+        own = self._buckets[b]
+        own[0] += 1
+        own[1] += g
+        own[2].append(t)
+        own[3].append(g)
+        self.changed.add(b)
 
-def _median(sorted_values: list[float]) -> float | None:
-    n = len(sorted_values)
-    if not n:
-        return None
-    return sorted_values[n // 2] if n % 2 else (sorted_values[n // 2 - 1] + sorted_values[n // 2]) / 2
-
-
-def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Events of one key in a micro-batch, in (time, facts first, leg) order.  A fact older than one already seen is applied
-    and counted as late.  The trailing buffer drops what lies a week and the watermark behind."""
-    n, s, ss, g, d, last_s, last_t, gaps, rt, rg, newest, late = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, None, None, [], [], [], -(1 << 62), 0)
-    gaps, rt, rg = list(gaps), list(rt), list(rg)
-    rows = pd.concat(list(batches), ignore_index=True)
-    rows["order"] = (rows["kind"] != "fact").astype(int)
-    out = []
-    for r in rows.sort_values(["t", "order", "leg_id"], kind="stable").itertuples(index=False):
-        if r.kind == "fact":
-            late += r.t < newest
-            n, s, ss, g, d = n + 1, s + r.log_gap_ratio, ss + r.log_gap_ratio**2, g + r.gap_min, d + r.dwell_min
-            if last_t is None or r.t >= last_t:
-                last_s, last_t = r.log_gap_ratio, r.t
-            insort(gaps, r.gap_min)
-            at = bisect_left(rt, r.t)
-            rt.insert(at, r.t)
-            rg.insert(at, r.gap_min)
-            newest = max(newest, r.t)
-            continue
-        mean = s / n if n else None
-        low = bisect_left(rt, r.t - WEEK)
-        out.append((
-            key[0], key[1], r.leg_id, r.t, n, mean, max(0.0, ss / n - mean * mean) ** 0.5 if n > 1 else None, g / n if n else None, last_s,
-            (r.t - last_t) / 3.6e9 if last_t is not None else None, _median(gaps), len(rt) - low, d / n if n else None, late,
-        ))
-        newest = max(newest, r.t)
-    watermark = state.getCurrentWatermarkMs() * 1000
-    cut = bisect_left(rt, watermark - WEEK) if watermark > 0 else 0
-    state.update((n, s, ss, g, d, last_s, last_t, gaps, rt[cut:], rg[cut:], newest, int(late)))
-    columns = [c.split()[0] for c in OUTPUT.split(", ")]
-    types = {"n_prior": "int32", "n_prior_7d": "int32", "late_facts": "int32", "t": "int64"}
-    if out:
-        yield pd.DataFrame(out, columns=columns).astype({**types, **{c: "float64" for c in columns[5:11] + ["mean_dwell_min"]}})
+    def read(self, t: int) -> tuple[int, float]:
+        """Number and sum of the facts from a week before t to t."""
+        n, total = 0, 0.0
+        first, last = (t - WEEK) // BUCKET, t // BUCKET
+        for b in range(first, last + 1):
+            own = self._bucket(b)
+            if own is None:
+                continue
+            if first < b < last:
+                n, total = n + own[0], total + own[1]
+                continue
+            for when, g in zip(own[2], own[3], strict=True):
+                if t - WEEK <= when <= t:
+                    n, total = n + 1, total + g
+        return n, total
+
+
+class History(StatefulProcessor):
+    """Events of one key in (time, facts first, leg) order within a batch.
+
+    A fact older than an event already seen is applied and counted as late; rows older than the watermark are dropped by Spark,
+    which counts them in the query's progress.  One row per query, and one per key and batch with facts applied.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", TOTALS)
+        self.values = handle.getMapState("values", "node string", NODE)
+        self.recent = handle.getMapState("recent", "bucket long", RECENT)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, s, ss, g, d, last_s, last_t, m_mean, m_squares, newest, late = self.totals.get() if self.totals.exists() else (0, 0.0, 0.0, 0.0, 0.0, None, None, 0.0, 0.0, None, 0)
+        disperse = key[0] == WITH_DISPERSION
+        tree = ValueTree(lambda node: self.values.getValue((node,)))
+        week = Trailing(lambda b: self.recent.getValue((b,)))
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch["order"] = (batch["kind"] != "fact").astype(int)
+        out, facts, late_before = [], 0, late
+        for r in batch.sort_values(["t", "order", "leg_id"], kind="stable").itertuples(index=False):
+            late += r.kind == "fact" and newest is not None and r.t < newest
+            newest = r.t if newest is None else max(newest, r.t)
+            if r.kind == "fact":
+                facts += 1
+                n, s, ss, g = n + 1, s + r.log_gap_ratio, ss + r.log_gap_ratio**2, g + r.gap_min
+                d += r.dwell_min
+                if last_t is None or r.t >= last_t:
+                    last_s, last_t = r.log_gap_ratio, r.t
+                if disperse:
+                    delta = r.gap_min - m_mean
+                    m_mean += delta / n
+                    m_squares += delta * (r.gap_min - m_mean)
+                    tree.add(r.gap_min)
+                    week.add(r.t, r.gap_min)
+                continue
+            mean = s / n if n else None
+            spread = [None] * 6
+            if disperse:
+                at = lambda q: tree.quantile(q, n)  # noqa: E731, B023
+                n7, sum7 = week.read(r.t)
+                spread = [
+                    at(0.5), at(0.9), at(0.75) - at(0.25) if n else None, (m_squares / (n - 1)) ** 0.5 if n > 1 else None, sum7 / n7 if n7 else None, n7
+                ]
+            out.append((
+                "query", *key, r.leg_id, r.t, r.corridor_id, r.planned_min, n, mean, max(0.0, ss / n - mean * mean) ** 0.5 if n > 1 else None,
+                g / n if n else None, last_s, (r.t - last_t) / 3.6e9 if last_t is not None else None, *spread, d / n if n else None, None, None,
+            ))
+        self.totals.update((n, s, ss, g, d, last_s, last_t, m_mean, m_squares, newest, int(late)))
+        for node in tree.changed:
+            self.values.updateValue((node,), tree.node(node))
+        for b in week.changed:
+            self.recent.updateValue((b,), week.bucket(b))
+        for b in week.new:
+            # No query at or after the watermark reaches a bucket once it lies a week behind.
+            self.handle.registerTimer(max(((b + 1) * BUCKET + WEEK) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        out.append(("summary", *key, None, int(newest), *[None] * 15, facts, int(late - late_before)))
+        yield pd.DataFrame(out, columns=_COLUMNS).astype(_TYPES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        past = expiredTimerInfo.getExpiryTimeInMs() * 1000 - WEEK
+        for (b,) in [k for k in self.recent.keys() if (k[0] + 1) * BUCKET <= past]:
+            self.recent.removeKey((b,))
+        return iter([])
 
 
 def history_stream(keyed: DataFrame) -> DataFrame:
-    """Keyed events to one row per query and key; state per (key_type, key)."""
+    """Keyed events (with a watermark) to one row per query and key and one per key and batch; state per (key_type, key).
+
+    Needs the RocksDB state store; ``job.drain`` and ``job.run_continuously`` name it for their queries.
+    """
     importable(keyed.sparkSession)
-    return keyed.groupBy("key_type", "key").applyInPandasWithState(update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("key_type", "key").transformWithStateInPandas(History(), OUTPUT, "append", "EventTime")
