@@ -186,9 +186,3 @@ def test_gain_bootstrap_has_the_multinomial_spread(spark):
     rng = np.random.default_rng(1).multinomial(1000, [0.3, 0.1, 0.2, 0.4], 4000)
     want = rng[:, 0] / (rng[:, 0] + rng[:, 1]) - (rng[:, 0] + rng[:, 2]) / 1000
     assert abs(gain.mean() - want.mean()) < 0.002 and abs(gain.std() / want.std() - 1) < 0.06
-
-
-def test_pair_stability(spark):
-    ranks = [(10, "m", k, i + 1, True) for i, k in enumerate("abcd")] + [(20, "m", k, i + 1, True) for i, k in enumerate("db")]
-    r = S.pair_stability(spark.createDataFrame(ranks, "floor int, ranking string, corridor_id string, pos int, eligible boolean"), 2).first()
-    assert (r["jaccard"], r["common_jaccard"], r["rho"], r["corridors"]) == (1 / 3, 1.0, -1.0, 2)

@@ -210,59 +210,6 @@ def posterior(df: DataFrame, tau2: Column, threshold: float, with_p: bool = True
     return d.withColumn("p_exceed", normal_cdf(F.col("z"))) if with_p else d
 
 
-def floor_rankings(corridors: DataFrame, baseline: DataFrame, floors: list[int], threshold: float, alpha: float = 0.05) -> DataFrame:
-    """(floor, ranking, corridor_id, pos, eligible): four orders of the corridors that reach each floor.
-
-    raw_published: confirmed slower ones first, by excess ratio, and only these eligible; raw_mean: by mean; eb_prob: by the
-    posterior probability to be above the threshold, then by posterior mean; eb_postmean: by posterior mean.  Each floor is
-    a family of tests and has its own between-corridor variance (by moments).
-    """
-    grid = F.filter(F.array(*[F.lit(f) for f in floors]), lambda f: f <= F.col("n_legs"))
-    t = written(audit.ranked(audit.welch(corridors, baseline).withColumn("floor", F.explode(grid)), alpha, ["floor"]), "ranked")
-    t = t.withColumn("y", F.col("mean_log")).withColumn("v", F.col("var_log") / F.col("n_legs")).where("v > 0")
-    w = 1 / F.col("v")
-    k = t.groupBy("floor").agg(F.count("*").alias("k"), F.sum(w).alias("w"), F.sum(w * w).alias("ww"), F.sum(w * F.col("y")).alias("wy"), F.sum(w * F.col("y") * F.col("y")).alias("wyy"))
-    moments = (F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w") - (F.col("k") - 1)) / F.nullif(F.col("w") - F.col("ww") / F.col("w"), F.lit(0.0))
-    t = t.join(k.select("floor", F.greatest(F.lit(0.0), F.coalesce(moments, F.lit(0.0))).alias("tau2")), "floor")
-    u = 1 / (F.col("v") + F.col("tau2"))
-    common = t.groupBy("floor").agg(F.sum(u).alias("u"), (F.sum(u * F.col("y")) / F.sum(u)).alias("mu"))
-    b = F.col("v") * u
-    t = t.join(common, "floor").withColumn("post_mean", (1 - b) * F.col("y") + b * F.col("mu"))
-    t = t.withColumn("z", (F.col("post_mean") - threshold) / F.nullif(F.sqrt((1 - b) * F.col("v") + b * b / F.col("u")), F.lit(0.0)))
-    slow = F.col("is_significant") & (F.col("direction") == "worse")
-    score = lambda name, first, then, may: F.struct(F.lit(name).alias("ranking"), first.alias("first"), then.alias("then"), may.alias("eligible"))
-    none, yes = F.lit(0.0), F.lit(True)
-    ways = F.array(
-        score("raw_published", slow.cast("double"), F.col("excess_ratio"), slow), score("raw_mean", F.col("y"), none, yes),
-        score("eb_prob", F.col("z"), F.col("post_mean"), yes), score("eb_postmean", F.col("post_mean"), none, yes),
-    )
-    long = t.select("floor", "corridor_id", F.explode(ways).alias("s")).select("floor", "corridor_id", "s.*")
-    # Scores to nine digits: where nothing differs between corridors, shrunken means are equal but for the last bits.
-    order = Window.partitionBy("floor", "ranking").orderBy(F.round("first", 9).desc_nulls_last(), F.round("then", 9).desc_nulls_last(), "corridor_id")
-    return long.select("floor", "ranking", "corridor_id", F.row_number().over(order).alias("pos"), "eligible")
-
-
-def pair_stability(ranks: DataFrame, n: int = 20) -> DataFrame:
-    """Per ranking and pair of floors: Jaccard of the first n eligible, the same within the corridors of both, and the rank
-    correlation of positions over these."""
-    ranks = written(ranks, "ranks")
-    a = ranks.select("ranking", "corridor_id", F.col("floor").alias("a"), F.col("pos").alias("pa"), F.col("eligible").alias("ea"))
-    b = ranks.select("ranking", "corridor_id", F.col("floor").alias("b"), F.col("pos").alias("pb"), F.col("eligible").alias("eb"))
-    pairs = a.select("a").distinct().join(b.select("b").distinct(), F.col("a") < F.col("b"))  # a few floors
-    # Floors nest, so a corridor of the higher floor is in both; its place among them is its order at the lower one.
-    both = a.join(F.broadcast(pairs), "a").join(b, ["ranking", "corridor_id", "b"], "left")
-    w = Window.partitionBy("ranking", "a", "b")
-    shared = F.col("pb").isNotNull()
-    both = both.withColumn("ca", F.when(shared, F.count(F.when(shared, 1)).over(w.orderBy("pa").rowsBetween(Window.unboundedPreceding, 0))))
-    both = both.withColumn("top_a", F.col("ea") & (F.col("pa") <= n)).withColumn("top_c", F.coalesce(F.col("ea") & (F.col("ca") <= n), F.lit(False)))
-    both = both.withColumn("top_b", F.coalesce(F.col("eb") & (F.col("pb") <= n), F.lit(False)))
-    alike = lambda x: F.count_if(F.col(x) & F.col("top_b")) / F.nullif(F.count_if(F.col(x) | F.col("top_b")), F.lit(0))
-    return both.groupBy("ranking", "a", "b").agg(
-        alike("top_a").alias("jaccard"), alike("top_c").alias("common_jaccard"),
-        F.corr(F.when(shared, F.col("ca")), "pb").alias("rho"), F.count("pb").alias("corridors"),
-    )
-
-
 def overlaps(ranks: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """Jaccard similarity of the first n keys of every pair of groups, from (group, key, pos)."""
     t = ranks.where(F.col("pos") <= n).select(group, key)

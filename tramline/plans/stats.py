@@ -28,7 +28,6 @@ def permutation_cells(spark, sf_dir):
 
 #: Repetitions of permutation tests and bootstraps, and placebo data sets.
 PERMUTATIONS, RESAMPLES, PLACEBOS = 100_000, 10_000, 200
-FLOORS = [10, 20, 30, 50, 100]
 
 
 def permutation_test(spark, sf_dir):
@@ -76,20 +75,6 @@ def eb_support_bins(spark, sf_dir):
     return _rounded(S.support_bins(_yv(spark, sf_dir), "n_legs", "y"))
 
 
-def _rankings(spark, sf_dir):
-    rows = legs_from_orders(spark, sf_dir)
-    return S.floor_rankings(A.corridor_aggregate(rows), A.network_baseline(rows), FLOORS, 0.1)
-
-
-def ranking_overlap(spark, sf_dir):
-    """Stability over floors of the three rankings that need no p-value."""
-    return _rounded(S.pair_stability(_rankings(spark, sf_dir).where("ranking != 'raw_published'")))
-
-
-def ranking_stability(spark, sf_dir):
-    return _rounded(S.pair_stability(_rankings(spark, sf_dir)))
-
-
 def spearman_support(spark, sf_dir):
     return _rounded(S.spearman(_yv(spark, sf_dir), "n_legs", "y"))
 
@@ -182,7 +167,7 @@ def hash_draws(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     icc_schedule, icc_by_corridor, permutation_cells, permutation_test, permutation_by_hash, placebo_calibration, audit_variants, eb_tau2, eb_posterior, eb_reml, eb_support_bins,
-    ranking_overlap, ranking_stability, spearman_support, bootstrap_groups, bootstrap_paired, bootstrap_blocks, bootstrap_blocks_summary, bootstrap_gain,
+    spearman_support, bootstrap_groups, bootstrap_paired, bootstrap_blocks, bootstrap_blocks_summary, bootstrap_gain,
     wilcoxon_signed_rank, diebold_mariano, trend_by_weekday, two_proportions, agreement_fleiss, agreement_cohen, score_auc,
     proportions_wilson, proportions_better, stability_parts, stability_chance, hash_draws,
 )}
@@ -237,18 +222,6 @@ ORACLE_SQL = {
     "eb_posterior": legs(f"""{_YV}, c AS (SELECT sum(1 / (v + 0.01)) AS w, sum(y / (v + 0.01)) / sum(1 / (v + 0.01)) AS mu FROM yv), p AS (SELECT corridor_id, mu, v / (v + 0.01) AS b, (1 - v / (v + 0.01)) * y + v / (v + 0.01) * mu AS pm, sqrt((1 - v / (v + 0.01)) * v + (v / (v + 0.01)) ** 2 / w) AS sd FROM yv, c)
       SELECT corridor_id, round(mu, 6) AS mu, round(b, 6) AS shrink, round(pm, 6) AS post_mean, round(sd, 6) AS post_sd, round(pm - 1.6448536269514722 * sd, 6) AS lo90, round(pm + 1.6448536269514722 * sd, 6) AS hi90, round((pm - 0.1) / sd, 6) AS z FROM p"""),
     "eb_support_bins": legs(f"{_YV} SELECT CASE WHEN n_legs < 20 THEN '10-19' WHEN n_legs < 40 THEN '20-39' WHEN n_legs < 80 THEN '40-79' ELSE '80+' END AS bin, count(*) AS units, round(quantile_cont(y, 0.5), 6) AS median FROM yv GROUP BY 1"),
-    "ranking_overlap": legs(f"""{_AGG}, f AS (SELECT corridor_id, unnest(list_filter([10, 20, 30, 50, 100], lambda x: x <= n_legs)) AS floor, s / n_legs AS y, greatest(0, (ss - s * s / n_legs) / (n_legs - 1)) / n_legs AS v FROM agg),
-      t2 AS (SELECT floor, greatest(0, coalesce((sum(y * y / v) - sum(y / v) ** 2 / sum(1 / v) - (count(*) - 1)) / nullif(sum(1 / v) - sum(1 / v ** 2) / sum(1 / v), 0), 0)) AS tau2 FROM f WHERE v > 0 GROUP BY 1),
-      c AS (SELECT floor, any_value(tau2) AS tau2, sum(1 / (v + tau2)) AS u, sum(y / (v + tau2)) / sum(1 / (v + tau2)) AS mu FROM f JOIN t2 USING (floor) WHERE v > 0 GROUP BY 1),
-      p AS (SELECT floor, corridor_id, y, v / (v + tau2) AS b, v, u, (1 - v / (v + tau2)) * y + v / (v + tau2) * mu AS pm FROM f JOIN c USING (floor) WHERE v > 0),
-      z AS (SELECT *, (pm - 0.1) / nullif(sqrt((1 - b) * v + b * b / u), 0) AS z FROM p),
-      l AS (SELECT floor, corridor_id, 'raw_mean' AS ranking, y AS s1, 0.0 AS s2 FROM z UNION ALL SELECT floor, corridor_id, 'eb_prob', z, pm FROM z UNION ALL SELECT floor, corridor_id, 'eb_postmean', pm, 0.0 FROM z),
-      r AS (SELECT *, row_number() OVER (PARTITION BY floor, ranking ORDER BY round(s1, 9) DESC NULLS LAST, round(s2, 9) DESC, corridor_id) AS pos FROM l),
-      pr AS (SELECT DISTINCT x.floor AS a, y.floor AS b FROM (SELECT DISTINCT floor FROM r) x JOIN (SELECT DISTINCT floor FROM r) y ON x.floor < y.floor),
-      j AS (SELECT x.ranking, pr.a, pr.b, x.corridor_id, x.pos AS pa, y.pos AS pb FROM pr JOIN r x ON x.floor = pr.a LEFT JOIN r y ON y.floor = pr.b AND y.ranking = x.ranking AND y.corridor_id = x.corridor_id),
-      k AS (SELECT *, CASE WHEN pb IS NOT NULL THEN row_number() OVER (PARTITION BY ranking, a, b, pb IS NULL ORDER BY pa) END AS ca FROM j)
-      SELECT ranking, CAST(a AS INT) AS a, CAST(b AS INT) AS b, round(count_if(pa <= 20 AND pb <= 20) / count_if(pa <= 20 OR pb <= 20), 6) AS jaccard, round(count_if(ca <= 20 AND pb <= 20) / count_if(ca <= 20 OR pb <= 20), 6) AS common_jaccard,
-        round(CASE WHEN count(pb) > 1 THEN corr(ca, pb) END, 6) AS rho, count(pb) AS corridors FROM k GROUP BY 1, 2, 3"""),
     "spearman_support": legs(f"{_YV}, r AS (SELECT rank() OVER (ORDER BY n_legs) + (count(*) OVER (PARTITION BY n_legs) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM yv) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r"),
     "bootstrap_groups": trips(f"""p AS (SELECT schedule, gap_min, row_number() OVER (PARTITION BY schedule ORDER BY leg_id) - 1 AS pos, count(*) OVER (PARTITION BY schedule) AS n FROM legs),
       d AS (SELECT schedule, rep, {_D("'11'", 'CAST(rep AS VARCHAR)', 'schedule', 'CAST(pos AS VARCHAR)')} % n AS pos FROM p, range(5) t(rep)) SELECT schedule, CAST(rep AS INT) AS rep, round(avg(gap_min), 6) AS mean FROM d JOIN p USING (schedule, pos) GROUP BY 1, 2"""),
