@@ -14,6 +14,7 @@ from tramline.operators import models as M
 from tramline.operators import orders as O
 from tramline.operators import quality as Q
 from tramline.operators import statistics as T
+from tramline.sources import alert_log as L
 from tramline.sources.adapters import legs_from_events, legs_from_orders, table
 from tramline.sources.shared import shared_dir
 from tramline.streaming import events as E
@@ -168,6 +169,94 @@ def alerts_same(spark, sf_dir):
     return _rounded(Q.same_alerts(a, b, "predicted_gap"))
 
 
+_ALERT = "alert_id string, alerted_at timestamp, corridor_id string, predicted_gap double"
+
+
+def _alert_lines(spark, sf_dir):
+    """Alerts written as JSON lines: some are cut off, some have a text for a number, some lack their corridor, some are blank."""
+    k = F.col("event_id")
+    row = F.struct(
+        (k % 700).cast("string").alias("alert_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("alerted_at"),
+        F.when(k % 13 != 0, F.concat(F.lit("H"), k % 12)).alias("corridor_id"), F.col("value").alias("predicted_gap"),
+    )
+    json = F.to_json(row, {"ignoreNullFields": "true"})
+    line = F.when(k % 17 == 0, F.expr("left(line, 20)")).when(k % 19 == 0, F.regexp_replace("line", '"predicted_gap":[^}]*', '"predicted_gap":"much"')).when(k % 23 == 0, "").otherwise(F.col("line"))
+    path = f"{shared_dir(spark)}/alerts-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").withColumn("line", json).select(line.alias("value")).write.text(path)
+    return L.read_lines(spark, path, _ALERT)
+
+
+def alerts_feed(spark, sf_dir):
+    d = L.feed(_alert_lines(spark, sf_dir), ["alert_id", "alerted_at", "corridor_id", "predicted_gap"], "alert_id", "alerted_at")
+    return _rounded(d.withColumn("alerted_at", F.date_format("alerted_at", "yyyy-MM-dd HH:mm:ss")))
+
+
+def alerts_rejected(spark, sf_dir):
+    d = L.rejected(_alert_lines(spark, sf_dir), ["alert_id", "alerted_at", "corridor_id", "predicted_gap"])
+    return d.agg(*[F.sum(c).alias(c) for c in ("lines", "malformed", "incomplete")])
+
+
+def questions_answered(spark, sf_dir):
+    """Questions made of order rows, answered from rankings of hubs and corridors."""
+    from tramline.operators import hubs as U
+    from tramline.operators import questions as K
+
+    k, n = F.col("o_orderkey"), (F.col("o_orderkey") % 27).cast("string")
+    text = F.element_at(F.array(
+        F.concat(F.lit("Which "), n, F.lit(" hubs have the most friction?")), F.lit("Rank the centres by waiting time, longest first"),
+        F.concat(F.lit("top "), n, F.lit(" WORST corridors, please")), F.concat(F.lit("the fastest lanes (best "), n, F.lit(")")), F.lit("Where is my parcel?"),
+        F.lit("hub names"), F.lit("worst and best routes of 900"), F.lit(None).cast("string"),
+    ), (F.col("o_custkey") % 8 + 1).cast("int"))
+    rows = legs_from_events(spark, sf_dir)
+    ranked = K.rankings(U.hub_table(rows), A.welch(A.corridor_aggregate(rows).where("n_legs >= 10"), A.network_baseline(rows), with_p=False))
+    d = K.answered(K.routed(table(spark, sf_dir, "orders").select(k.alias("question_id"), text.alias("question"))), ranked)
+    return d.select("question_id", "route", "n", F.array_join(F.transform("rows", lambda r: r["key"]), ",").alias("answer"))
+
+
+def stream_finish_refused(spark, sf_dir):
+    """Alerts whose facts are all there pass the check that would stop the job."""
+    e = E.build_events(legs_from_events(spark, sf_dir))
+    d = E.refusing_unmatched(E.with_finish(e.where("kind = 'query'").select("leg_id", "corridor_id"), e.where("kind = 'fact'")))
+    return d.groupBy("corridor_id").agg(F.count("*").alias("n"), F.max("od_end_time").alias("latest"))
+
+
+def model_promotions(spark, sf_dir):
+    """Four rounds of challengers, each from a quarter of the legs, against one record: the history of judgements."""
+    from tramline.operators import champion as P
+
+    path = f"{shared_dir(spark)}/champion-{uuid.uuid4().hex}"
+    d = _with_median(spark, sf_dir).withColumn("round", F.pmod(F.col("leg_id").cast("long"), F.lit(4)))
+    metrics = M.regression_metrics(d, "gap_min", "predicted", ["round", "model"]).select("round", "model", six("mae").alias("mae")).toPandas()
+    for k in range(4):
+        own = spark.createDataFrame(metrics[metrics["round"] == k][["model", "mae"]])
+        P.promote(spark, path, own, k)
+    return _rounded(P.history(spark, path))
+
+
+def _with_median(spark, sf_dir):
+    from tramline.operators import champion as P
+
+    legs = legs_from_events(spark, sf_dir)
+    own = H.running_quantiles(H.timeline(legs, F.col("corridor_id"), g=F.col("gap_min")), "g", {"median": 0.5})
+    return P.as_of_medians(_predictions(spark, sf_dir), own)
+
+
+def model_metrics_median(spark, sf_dir):
+    """The reference predictions and the as-of median beside them."""
+    return _rounded(M.regression_metrics(_with_median(spark, sf_dir), "gap_min", "predicted", ["model"]))
+
+
+def model_reported(spark, sf_dir):
+    """The model to report by its error on early legs, with its error on late ones; ratios count as the other library."""
+    from tramline.operators import champion as P
+
+    d = _with_median(spark, sf_dir)
+    early = F.col("leg_id").cast("long") % 10 < 7
+    e = F.abs(F.col("gap_min") - F.col("predicted"))
+    c = _rounded(d.groupBy("model").agg(F.avg(F.when(early, e)).alias("validation_mae"), F.avg(F.when(~early, e)).alias("test_mae")))
+    return P.reporting_rule(c.withColumn("library", F.when(F.col("model").isin("plan", "asof_mean"), "spark").otherwise("other")), "spark")
+
+
 # ---- invoices and entities ------------------------------------------------------------------------------------------
 def _invoices(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -525,6 +614,6 @@ QUERIES = {f.__name__: f for f in (
     model_threshold_sweep, model_slices, model_corridor_gains, model_decision, model_majority, model_linear, model_logistic, model_residual_boosting,
     model_forest, model_ablation, model_rolling_origin, model_comparison, model_replay_leak, legs_statistic, legs_judge_medians, corridor_extras,
     fisher_exact, question_scores, stream_events, stream_validation, stream_keys, stream_snapshot_join, stream_latency, stream_finish, stream_history,
-    stream_alerts, stream_ledger,
+    stream_alerts, stream_ledger, alerts_feed, alerts_rejected, questions_answered, stream_finish_refused, model_promotions, model_metrics_median, model_reported,
 )}
 ORACLE_SQL: dict[str, str] = {}  # in tables_sql

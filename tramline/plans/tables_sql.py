@@ -115,6 +115,10 @@ _STREAM_ALERTS = f"""{_mean("corridor_id", "corr")}, {_mean("source_center", "sr
     FROM legs JOIN h_corr USING (leg_id) JOIN h_src USING (leg_id)),
   al AS (SELECT * FROM fc WHERE predicted > planned_min)"""
 
+_ALERT_LINES = """al AS (SELECT CAST(event_id % 700 AS VARCHAR) AS alert_id, ts AS alerted_at, CASE WHEN event_id % 13 <> 0 THEN 'H' || (event_id % 12) END AS corridor_id, value AS predicted_gap,
+  CASE WHEN event_id % 17 = 0 OR event_id % 19 = 0 THEN 'bad' WHEN event_id % 23 = 0 THEN 'blank' ELSE 'good' END AS state FROM events)"""
+_MEDIANS = f"""{_BASES}, {_mean("corridor_id", "md")}, pm AS (SELECT * FROM pr UNION ALL SELECT fx.*, 'asof_median', coalesce(h_md.md, 0) FROM fx JOIN h_md USING (leg_id))"""
+
 
 ORACLE_SQL = {
     "clean_null_texts": """SELECT * FROM (SELECT 'trip_uuid' AS "column", count_if(l_partkey % 7 = 0) AS n FROM lineitem UNION ALL SELECT 'source_name', count_if(l_partkey % 7 <> 2) FROM lineitem UNION ALL SELECT 'destination_name', count(*) FROM lineitem) WHERE n > 0""",
@@ -235,4 +239,27 @@ ORACLE_SQL = {
       FROM h_corr JOIN h_src USING (leg_id) JOIN h_dst USING (leg_id) JOIN h_sp USING (leg_id) JOIN h_dp USING (leg_id) JOIN disp USING (leg_id)"""),
     "stream_alerts": trips(f"{_STREAM_ALERTS} SELECT leg_id, corridor_id, round(predicted, 6) AS predicted_gap, round(planned_min, 6) AS threshold_gap, round(predicted / planned_min, 6) AS alert_excess FROM al"),
     "stream_ledger": trips(f"{_STREAM_ALERTS} SELECT (SELECT count(*) FROM legs) AS queries, (SELECT count(*) FROM legs) AS facts, CAST(0 AS BIGINT) AS late_facts, (SELECT count(*) FROM al) AS alerts"),
+    "alerts_feed": f"""WITH {_ALERT_LINES} SELECT alert_id, strftime(alerted_at, '%Y-%m-%d %H:%M:%S') AS alerted_at, corridor_id, round(predicted_gap, 6) AS predicted_gap FROM al
+      WHERE state = 'good' AND corridor_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY al.alerted_at DESC, corridor_id DESC, al.predicted_gap DESC) = 1""",
+    "alerts_rejected": f"WITH {_ALERT_LINES} SELECT count_if(state <> 'blank') AS lines, count_if(state = 'bad') AS malformed, count_if(state = 'good' AND corridor_id IS NULL) AS incomplete FROM al",
+    "questions_answered": trips(f"""{_HUB}, {_welch(10)}, rk AS (
+        SELECT 'hub_friction' AS route, list(centre_code ORDER BY msx DESC, centre_code) AS l FROM hubr WHERE has_support AND msx IS NOT NULL
+        UNION ALL SELECT 'hub_dwell', list(centre_code ORDER BY mmx DESC, centre_code) FROM hubr WHERE has_support AND mmx IS NOT NULL
+        UNION ALL SELECT 'corridor_worst', list(corridor_id ORDER BY excess_ratio DESC, corridor_id) FROM welch WHERE excess_ratio > 1
+        UNION ALL SELECT 'corridor_best', list(corridor_id ORDER BY excess_ratio, corridor_id) FROM welch WHERE excess_ratio < 1),
+      q AS (SELECT o_orderkey AS question_id, CASE o_custkey % 8 WHEN 0 THEN 'hub_friction' WHEN 1 THEN 'hub_dwell' WHEN 2 THEN 'corridor_worst' WHEN 3 THEN 'corridor_best' WHEN 6 THEN 'corridor_worst' END AS route,
+        CAST(CASE WHEN o_custkey % 8 IN (0, 2, 3) THEN least(20, greatest(1, o_orderkey % 27)) WHEN o_custkey % 8 = 6 THEN 20 ELSE 5 END AS INT) AS n FROM orders)
+      SELECT question_id, q.route, n, array_to_string(l[1 : n], ',') AS answer FROM q LEFT JOIN rk ON q.route = rk.route"""),
+    "stream_finish_refused": trips("SELECT corridor_id, count(*) AS n, max(od_end_time) AS latest FROM legs GROUP BY 1"),
+    "model_metrics_median": trips(f"{_MEDIANS} {_MET.replace('FROM pr', 'FROM pm')}"),
+    "model_promotions": trips(f"""{_MEDIANS}, mt AS (SELECT CAST(leg_id AS BIGINT) % 4 AS "round", model, round(avg(abs(gap_min - predicted)), 6) AS mae FROM pm GROUP BY 1, 2),
+      b AS (SELECT "round", min(mae) AS mae, arg_min(model, (mae, model)) AS challenger FROM mt GROUP BY 1),
+      c AS (SELECT *, min(mae) OVER (ORDER BY "round" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS champion_mae FROM b),
+      d AS (SELECT *, champion_mae IS NULL OR mae < champion_mae AS promoted FROM c)
+      SELECT "round", promoted, challenger, mae AS challenger_mae, last_value(CASE WHEN promoted THEN challenger END IGNORE NULLS) OVER (ORDER BY "round" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS champion,
+        champion_mae, CAST(count_if(promoted) OVER (ORDER BY "round") AS BIGINT) AS version, CASE WHEN champion_mae IS NULL THEN 'no champion on record' WHEN promoted THEN 'smaller error' ELSE 'error not smaller' END AS reason FROM d"""),
+    "model_reported": trips(f"""{_MEDIANS}, c AS (SELECT model, CASE WHEN model IN ('plan', 'asof_mean') THEN 'spark' ELSE 'other' END AS library,
+        round(avg(abs(gap_min - predicted)) FILTER (CAST(leg_id AS BIGINT) % 10 < 7), 6) AS v, round(avg(abs(gap_min - predicted)) FILTER (CAST(leg_id AS BIGINT) % 10 >= 7), 6) AS t FROM pm GROUP BY 1)
+      SELECT arg_min(model, (v, model)) AS reported_model, arg_min(library, (v, model)) AS reported_library, min(v) AS validation_mae, arg_min(t, (v, model)) AS test_mae,
+        arg_min(model, (v, model)) FILTER (library = 'spark') AS served_model, arg_min(t, (v, model)) FILTER (library = 'spark') AS served_test_mae FROM c"""),
 }

@@ -47,6 +47,12 @@ def with_finish(alerts: DataFrame, facts: DataFrame) -> DataFrame:
     return alerts.join(f, "leg_id", "left").withColumn("matched", F.coalesce("m", F.lit(False))).drop("m")
 
 
+def refusing_unmatched(alerts: DataFrame) -> DataFrame:
+    """Alerts of ``with_finish``, where a row without its finish stops whatever reads it, a stream too: its legs' key has drifted."""
+    why = F.concat(F.lit("no finish for leg "), F.coalesce("leg_id", F.lit("null")))
+    return alerts.withColumn("od_end_time", F.when(F.col("matched"), F.col("od_end_time")).otherwise(F.raise_error(why).cast("timestamp_ntz"))).drop("matched")
+
+
 def keys_of(events: DataFrame) -> Column:
     part = day_part(F.col("created_hour"))
     pairs = [("corridor", F.col("corridor_id")), ("source", F.col("source_center")), ("destination", F.col("destination_center")),
