@@ -105,3 +105,16 @@ def test_as_of_medians_stand_beside_the_others(spark):
     got = sorted(tuple(r) for r in P.as_of_medians(p, m).where("model = 'asof_median'").collect())
     assert got == [("1", "asof_median", 10.0, 7.0), ("2", "asof_median", 5.0, 0.0)]
     assert P.as_of_medians(p, m).where(F.col("model") != "asof_median").count() == 4
+
+
+def test_snapshots_tell_metrics_from_files(spark):
+    from tramline.operators import quality as Q
+
+    metrics = lambda *rows: spark.createDataFrame(list(rows), "metric string, value double, source string")
+    files = lambda **hashes: spark.createDataFrame(list(hashes.items()), "file string, sha256 string")
+    kept = Q.frozen(metrics(("a", 1.0, "f"), ("b", 2.0, "f"), ("c", 3.0, "g"), ("d", None, "h"), ("e", 5.0, "i")), files(f="1", g="2", h="3", i="4"))
+    got = Q.moved_since(kept, metrics(("a", 1.0, "f"), ("b", 2.5, "f"), ("d", None, "h"), ("e", 5.0, "i"), ("x", 9.0, "g")), files(f="1", g="new", h="3"))
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [
+        ("file", "g", "rewritten"), ("file", "i", "rewritten"), ("metric", "b", "changed"), ("metric", "c", "missing"), ("metric", "e", "unreadable"), ("metric", "x", "added"),
+    ]
+    assert Q.moved_since(kept, kept.select("metric", "value", "source"), files(f="1", g="2", h="3", i="4")).count() == 0

@@ -38,6 +38,33 @@ def metric_diff(old: DataFrame, new: DataFrame, tolerance: float = 1e-9) -> Data
     return d.withColumn("state", state).where("state is not null")
 
 
+def frozen(metrics: DataFrame, files: DataFrame) -> DataFrame:
+    """A snapshot to be kept: metrics (metric, value, source) with the hash of the file that each comes from (files: file, sha256).
+
+    A source without a file has a null hash.
+    """
+    return metrics.join(files.select(F.col("file").alias("source"), "sha256"), "source", "left").select("metric", "value", "source", "sha256")
+
+
+def moved_since(snapshot: DataFrame, metrics: DataFrame, files: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """(kind, name, state, source) of what moved since a snapshot: metrics that changed, are missing or were added, metrics whose
+    file is gone (unreadable), and files whose bytes were rewritten.
+
+    A file can be rewritten without any metric moving, and a metric can change without its file: they are separate rows,
+    and only the metrics' make a snapshot unclean.  Two null values are equal.
+    """
+    now = frozen(metrics, files)
+    old = snapshot.select("metric", F.col("value").alias("was"), F.col("source").alias("old_source"), F.lit(True).alias("there"))
+    new = now.select("metric", F.col("value").alias("is"), "source", F.col("sha256").isNull().alias("gone"), F.lit(True).alias("here"))
+    d = old.join(new, "metric", "full")
+    differs = ~F.coalesce(F.abs(F.col("was") - F.col("is")) <= tolerance, F.col("was").isNull() & F.col("is").isNull())
+    state = F.when(F.col("here").isNull(), "missing").when(F.col("gone"), "unreadable").when(F.col("there").isNull(), "added").when(differs, "changed")
+    moved = d.select(F.lit("metric").alias("kind"), F.col("metric").alias("name"), state.alias("state"), F.coalesce("source", "old_source").alias("source"))
+    kept = snapshot.where("sha256 is not null").select("source", "sha256").distinct()
+    touched = kept.join(files.select(F.col("file").alias("source"), F.col("sha256").alias("now")), "source", "left").where(~F.col("sha256").eqNullSafe(F.col("now")))
+    return moved.where("state is not null").unionByName(touched.select(F.lit("file").alias("kind"), F.col("source").alias("name"), F.lit("rewritten").alias("state"), "source"))
+
+
 def same_alerts(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """One row: alerts in both sets, in either only, and the largest difference of the value."""
     d = a.select("alert_id", F.col(value).alias("x")).join(b.select("alert_id", F.col(value).alias("y")), "alert_id", "full")

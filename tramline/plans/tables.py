@@ -361,6 +361,19 @@ def reconcile_metrics(spark, sf_dir):
     return Q.metric_diff(s, new).select("metric", "state")
 
 
+def reconcile_frozen(spark, sf_dir):
+    """Suppliers' balances as metrics of their nation's file: some are changed, dropped or added after the snapshot, some files rewritten."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    source = F.concat(F.lit("nation_"), "s_nationkey")
+    metric = s.select(F.col("s_name").alias("metric"), F.col("s_acctbal").alias("value"), source.alias("source"), k.alias("k"))
+    files = s.groupBy(source.alias("file")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("s_name")), "|"), 256).alias("sha256"))
+    number = F.regexp_extract("file", r"(\d+)", 1).cast("int")
+    snapshot = Q.frozen(metric.where("k % 5 != 0").drop("k"), files.where(number != 3))
+    now = metric.where("k % 7 != 0").select("metric", F.when(F.col("k") % 3 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("value"), "source")
+    rewritten = files.where(number != 8).withColumn("sha256", F.when(number % 4 == 1, F.lit("new")).otherwise(F.col("sha256")))
+    return Q.moved_since(snapshot, now, rewritten)
+
+
 def extraction_scores(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     t = o.select(F.col("o_orderkey").alias("doc"), F.explode(F.array(F.struct(F.lit("status").alias("field"), F.col("o_orderstatus").alias("value")), F.struct(F.lit("priority").alias("field"), F.col("o_orderpriority").alias("value")))).alias("e")).select("doc", "e.*")
@@ -614,6 +627,6 @@ QUERIES = {f.__name__: f for f in (
     model_threshold_sweep, model_slices, model_corridor_gains, model_decision, model_majority, model_linear, model_logistic, model_residual_boosting,
     model_forest, model_ablation, model_rolling_origin, model_comparison, model_replay_leak, legs_statistic, legs_judge_medians, corridor_extras,
     fisher_exact, question_scores, stream_events, stream_validation, stream_keys, stream_snapshot_join, stream_latency, stream_finish, stream_history,
-    stream_alerts, stream_ledger, alerts_feed, alerts_rejected, questions_answered, stream_finish_refused, model_promotions, model_metrics_median, model_reported,
+    stream_alerts, stream_ledger, alerts_feed, alerts_rejected, questions_answered, stream_finish_refused, model_promotions, model_metrics_median, model_reported, reconcile_frozen,
 )}
 ORACLE_SQL: dict[str, str] = {}  # in tables_sql

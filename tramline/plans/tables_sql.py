@@ -262,4 +262,7 @@ ORACLE_SQL = {
         round(avg(abs(gap_min - predicted)) FILTER (CAST(leg_id AS BIGINT) % 10 < 7), 6) AS v, round(avg(abs(gap_min - predicted)) FILTER (CAST(leg_id AS BIGINT) % 10 >= 7), 6) AS t FROM pm GROUP BY 1)
       SELECT arg_min(model, (v, model)) AS reported_model, arg_min(library, (v, model)) AS reported_library, min(v) AS validation_mae, arg_min(t, (v, model)) AS test_mae,
         arg_min(model, (v, model)) FILTER (library = 'spark') AS served_model, arg_min(t, (v, model)) FILTER (library = 'spark') AS served_test_mae FROM c"""),
+    "reconcile_frozen": """WITH m AS (SELECT s_name, s_suppkey AS k, s_nationkey AS f, 'nation_' || s_nationkey AS source, s_suppkey % 5 <> 0 AS was, s_suppkey % 7 <> 0 AS now FROM supplier)
+      SELECT * FROM (SELECT 'metric' AS kind, s_name AS name, CASE WHEN NOT now THEN CASE WHEN was THEN 'missing' END WHEN f = 8 THEN 'unreadable' WHEN NOT was THEN 'added' WHEN k % 3 = 0 THEN 'changed' END AS state, source FROM m) WHERE state IS NOT NULL
+      UNION ALL SELECT DISTINCT 'file', source, 'rewritten', source FROM m WHERE was AND f <> 3 AND (f = 8 OR f % 4 = 1)""",
 }
