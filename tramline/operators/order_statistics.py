@@ -1,6 +1,7 @@
 """Exact running quantiles of keyed facts, where one key may hold any share of the rows.
 
-Rows are ranged by (key, time), so a key with many rows is cut into pieces by time.  A piece with m facts only needs those
+Keys of up to WHOLE rows are dealt by key, and a task selects for all queries of some keys at once.  Hotter keys are ranged by (key,
+time), so that each is cut into pieces by time.  A piece with m facts only needs those
 order statistics of all earlier facts that its own facts can push a quantile to: a band of 2 m + 3 ranks.  The band is found
 without sorting the key:
 
@@ -27,6 +28,10 @@ from tramline.sources.shared import written
 
 #: Value bins of a key: two for each of its pieces, at most as many.
 MOST_BINS = 4096
+#: Rows of a key that one task may hold; keys with more are cut.  Rows of whole keys that are worked on together.
+WHOLE, TOGETHER = 2_000_000, 200_000
+#: Bounds of a key up to which a value is compared with each of them.
+FEW_BOUNDS = 64
 _ORDER = ["k", "t", "kind", "leg_id"]
 
 
@@ -77,7 +82,13 @@ def pieces(ranged: DataFrame) -> DataFrame:
 
 
 def _binned(facts: DataFrame, bounds: dict[int, np.ndarray]) -> DataFrame:
-    held = facts.sparkSession.sparkContext.broadcast(bounds)
+    """The bin of each value: how many of its group's bounds lie below.  Few bounds are compared in the JVM, many searched in Python."""
+    spark = facts.sparkSession
+    if max(map(len, bounds.values()), default=0) <= FEW_BOUNDS:
+        rows = spark.createDataFrame([(g, b.tolist()) for g, b in bounds.items()], "group int, at array<double>")
+        found = facts.join(F.broadcast(rows), "group")  # two numbers for each piece
+        return found.select("group", "part", "v", F.size(F.filter("at", lambda x: x < F.col("v"))).alias("bin"))
+    held = spark.sparkContext.broadcast(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,11 +104,12 @@ def _binned(facts: DataFrame, bounds: dict[int, np.ndarray]) -> DataFrame:
 
 def _bands(ranged: DataFrame, cut: DataFrame, quantiles: list[float], n: int) -> DataFrame:
     """(part, qi, v, c): for cut keys, earlier facts that a piece needs, counted; v null: facts below them; qi -1: all earlier facts."""
+    # At most two pieces for each range, whatever the data: they come to the driver once, instead of being counted again below.
+    cut = ranged.sparkSession.createDataFrame(cut.collect(), cut.schema)
     own = cut.select(F.col("part").alias("p"), F.col("k").alias("key"), "group", "count")
-    # At most two pieces for each range, whatever the data.
     facts = ranged.where("v is not null").join(F.broadcast(own), (F.col("part") == F.col("p")) & F.col("k").eqNullSafe(F.col("key")))
     most = min(2 * n, MOST_BINS)
-    at = F.percentile_approx("v", [i / most for i in range(1, most)], 10_000)
+    at = F.percentile_approx("v", [i / most for i in range(1, most)], 1000)
     step = F.greatest(F.lit(1), F.floor(F.lit(most) / (2 * F.col("count"))))
     bounds = facts.groupBy("group", "count").agg(at.alias("at")).select("group", F.array_distinct(F.filter("at", lambda x, i: i % step == 0)).alias("at"))
     bounds = {r["group"]: np.array(r["at"]) for r in bounds.collect()}  # two numbers for each piece
@@ -115,7 +127,7 @@ def _bands(ranged: DataFrame, cut: DataFrame, quantiles: list[float], n: int) ->
     low = F.greatest(F.lit(0), F.floor(F.col("z.q") * (F.col("n0") - 1)) - F.col("m"))
     high = F.least(F.col("n0") - 1, F.floor(F.col("z.q") * (F.col("n0") + F.col("m") - 1)) + 1)
     asked = grid.withColumn("z", q).where((F.col("c") > 0) & (F.col("below") + F.col("c") > low) & (F.col("below") <= high))
-    asked = asked.select("group", "part", "bin", "below", "n0", "z.qi")
+    asked = written(asked.select("group", "part", "bin", "below", "n0", "z.qi"), "asked")
 
     heads = asked.groupBy("part", "qi").agg(F.min("below").alias("c"))
     totals = cut.where("n0 > 0").select("part", F.lit(-1).alias("qi"), F.col("n0").alias("c"))
@@ -145,8 +157,8 @@ def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _part_quantiles(part: pa.Table, quantiles: list[float]) -> tuple[pa.Array, pa.Array, np.ndarray, list[np.ndarray]]:
     """Keys, legs, counts and quantiles of the queries of one range of rows, its bands at the top."""
-    fore = int((part.column("ord").to_numpy() == 0).sum())
-    qi, band_v, band_c = (part.column(c).slice(0, fore).to_numpy() for c in ("qi", "v", "c"))
+    fore = int((part.column("ord").to_numpy() == 0).sum()) if "ord" in part.column_names else 0
+    qi, band_v, band_c = (part.column(c).slice(0, fore).to_numpy() for c in ("qi", "v", "c")) if fore else (None, None, None)
     rows = part.slice(fore)
     kind, v = rows.column("kind").to_numpy(), rows.column("v").to_numpy()
     code = rows.column("k").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
@@ -176,6 +188,34 @@ def _part_quantiles(part: pa.Table, quantiles: list[float]) -> tuple[pa.Array, p
     return rows.column("k").take(pa.array(asks)), rows.column("leg_id").take(pa.array(asks)), n, out
 
 
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches come sorted by key: tables of whole keys, of TOGETHER rows or more but for the last."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows < TOGETHER:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        code = table.column("k").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        change = np.flatnonzero(code[1:] != code[:-1]) + 1
+        if len(change):
+            yield table.slice(0, int(change[-1]))
+            held = table.slice(int(change[-1])).combine_chunks().to_batches()
+            rows = table.num_rows - int(change[-1])
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _found(tables: Iterator[pa.Table], names: list[str], qs: list[float]) -> Iterator[pa.RecordBatch]:
+    for t in tables:
+        k, leg, counts, found = _part_quantiles(t, qs)
+        flat = lambda x: x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+        columns = [flat(k), flat(leg), pa.array(counts, pa.int64()), *(pa.array(x, mask=np.isnan(x)) for x in found)]
+        yield pa.RecordBatch.from_arrays(columns, names=["k", "leg_id", "n", *names])
+
+
 def running_quantiles(rows: DataFrame, value: str, quantiles: dict[str, float], partitions: int | None = None) -> DataFrame:
     """Exact interpolated quantiles of a key's facts known at each of its queries: k, leg_id, n, and one column per quantile.
 
@@ -187,19 +227,26 @@ def running_quantiles(rows: DataFrame, value: str, quantiles: dict[str, float],
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = F.col(value).cast("double")
     d = rows.select(F.col("k").cast("string").alias("k"), "t", "kind", "leg_id", F.when((F.col("kind") == 0) & ~F.isnan(v), v).alias("v"))
+    names, qs = list(quantiles), list(quantiles.values())
+    ddl = f"k string, leg_id {d.schema['leg_id'].dataType.simpleString()}, n long, " + ", ".join(f"{c} double" for c in names)
+    hot = d.groupBy("k").agg(F.count("*").alias("rows")).where(F.col("rows") > WHOLE).select(F.col("k").alias("key"))
+    hot = written(hot, "hot")
+    cool = d
+    if hot.take(1):
+        is_hot = F.col("k").eqNullSafe(F.col("key"))
+        cool = d.join(hot, is_hot, "left_anti")
+    dealt = cool.repartition(n, "k").sortWithinPartitions(*_ORDER)
+    out = dealt.mapInArrow(lambda b: _found(_whole_keys(b), names, qs), ddl)
+    return out.unionByName(_cut_quantiles(d.join(hot, is_hot, "left_semi"), names, qs, n, ddl)) if cool is not d else out
+
+
+def _cut_quantiles(d: DataFrame, names: list[str], qs: list[float], n: int, ddl: str) -> DataFrame:
+    """The quantiles of hot keys, each cut into pieces by ranges of (key, time)."""
     # Written once: ranges come from a sample, and two evaluations could differ.
     ranged = written(d.repartitionByRange(n, *_ORDER).withColumn("part", F.spark_partition_id()), "timeline")
-    names, qs = list(quantiles), list(quantiles.values())
     bands = _bands(ranged, pieces(ranged), qs, n).select(
         "part", F.lit(0).alias("ord"), *[F.lit(None).cast(ranged.schema[c].dataType).alias(c) for c in _ORDER], "v", "qi", "c"
     )
     own = ranged.select("part", F.lit(1).alias("ord"), *_ORDER, "v", F.lit(None).cast("int").alias("qi"), F.lit(None).cast("long").alias("c"))
     dealt = own.unionByName(bands).repartition(n, "part").sortWithinPartitions("part", "ord", *_ORDER, "qi", "v")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _whole_parts(batches):
-            k, leg, counts, found = _part_quantiles(part, qs)
-            columns = [k.combine_chunks(), leg.combine_chunks(), pa.array(counts, pa.int64()), *(pa.array(x, mask=np.isnan(x)) for x in found)]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", "leg_id", "n", *names])
-
-    return dealt.mapInArrow(run, f"k string, leg_id {ranged.schema['leg_id'].dataType.simpleString()}, n long, " + ", ".join(f"{c} double" for c in names))
+    return dealt.mapInArrow(lambda b: _found(_whole_parts(b), names, qs), ddl)
