@@ -118,3 +118,31 @@ def test_snapshots_tell_metrics_from_files(spark):
         ("file", "g", "rewritten"), ("file", "i", "rewritten"), ("metric", "b", "changed"), ("metric", "c", "missing"), ("metric", "e", "unreadable"), ("metric", "x", "added"),
     ]
     assert Q.moved_since(kept, kept.select("metric", "value", "source"), files(f="1", g="2", h="3", i="4")).count() == 0
+
+
+def test_shipment_rules(spark):
+    from tramline.operators import business as B
+
+    orders = spark.createDataFrame([(1, "open"), (2, "cancelled")], "order_id int, status string")
+    rows = [("a", 1, 10, 11), ("b", 1, 10, 9), ("c", 2, 10, None), ("d", 3, None, 4), ("e", None, 5, 5)]
+    got = {r["shipment_id"]: r["violations"] for r in B.shipment_violations(spark.createDataFrame(rows, "shipment_id string, order_id int, departed_at int, arrived_at int"), orders).collect()}
+    assert got == {
+        "a": [], "b": ["order has a shipment", "arrives before departure"], "c": ["order cancelled"], "d": ["order unknown"], "e": ["order unknown"],
+    }
+
+
+def test_freshness_of_no_alerts_is_null(spark):
+    from tramline.operators import business as B
+
+    d = spark.createDataFrame([("k", "2024-01-01 00:00:00")], "corridor_id string, at string").select("corridor_id", F.col("at").cast("timestamp").alias("alerted_at"))
+    now = F.lit("2024-01-01 00:01:30").cast("timestamp")
+    assert B.alert_freshness(d, now).first()["age_s"] == 90.0
+    assert B.alert_freshness(d.where("false"), now).first()["age_s"] is None
+
+
+def test_hub_documents_say_what_their_metadata_say(spark):
+    from tramline.operators import hubs as U
+    from tramline.operators import quality as Q
+
+    got = Q.hub_sentences(U.hub_table(legs_from_events(spark, SF), min_support=5)).collect()
+    assert got and all(f"ranks {r['metadata']['friction_rank']} by" in r["text"] and r["metadata"]["hub"] in r["text"] for r in got)

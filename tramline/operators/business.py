@@ -158,6 +158,27 @@ def lifecycle_violations(changes: DataFrame, terminal: list[str]) -> DataFrame:
     return d.where(F.size("violations") > 0)
 
 
+def shipment_violations(shipments: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per shipment (shipment_id, order_id, departed_at, arrived_at) against orders (order_id, status): the rules that it breaks.
+
+    An order has one shipment, the first by shipment_id; a cancelled or unknown order has none; nothing arrives before it
+    departs (a missing time breaks no rule).  An order_id is one row of ``orders``.
+    """
+    d = shipments.join(orders.select("order_id", F.col("status").alias("_status"), F.lit(True).alias("_known")), "order_id", "left")
+    place = F.row_number().over(Window.partitionBy("order_id").orderBy("shipment_id"))
+    rules = [
+        ("order unknown", F.col("_known").isNull()), ("order cancelled", F.col("_status") == "cancelled"), ("order has a shipment", F.col("order_id").isNotNull() & (place > 1)),
+        ("arrives before departure", F.col("arrived_at") < F.col("departed_at")),
+    ]
+    return d.withColumn("violations", F.array_compact(F.array(*[F.when(r, F.lit(n)) for n, r in rules]))).drop("_status", "_known")
+
+
+def alert_freshness(alerts: DataFrame, now: Column) -> DataFrame:
+    """One row: alerts, corridors, the latest alert and its age in seconds at ``now`` (null without alerts)."""
+    d = alerts.agg(F.count("*").alias("alerts"), F.count_distinct("corridor_id").alias("corridors"), F.max("alerted_at").alias("latest"))
+    return d.withColumn("age_s", (F.unix_micros(now) - F.unix_micros(F.col("latest").cast("timestamp"))) / 1e6)
+
+
 def reference_checks(orders: DataFrame, centres: DataFrame, hot: int) -> DataFrame:
     """Per order (order_id, external_ref, source, destination): unknown ends, equal ends, a busy source, and repeats of a
     reference (only the first is accepted)."""

@@ -134,6 +134,17 @@ def round_robin(df: DataFrame, stratum: str, unit: str, n: int, seed: int = 1) -
 
 
 # ---- documents ------------------------------------------------------------------------------------------------------
+def hub_sentences(hubs: DataFrame) -> DataFrame:
+    """Supported hubs as documents: id, a sentence on dwell, handoffs and rank, and a map of metadata (values as texts)."""
+    d = hubs.where("has_support")
+    minutes, share = F.round("median_dwell_min_out", 0).cast("int"), F.round(F.col("median_dwell_share_out") * 100, 0).cast("int")
+    text = F.format_string("Hub %s holds a leg for %d minutes in the middle, %d %% of its time, over %d legs; it ranks %d by friction.", F.col("centre_code"), minutes, share, F.col("n_legs_out"), F.col("friction_rank"))
+    keys = ["kind", "hub", "route", "legs", "friction_rank"]
+    values = [F.lit("hub"), F.col("centre_code"), F.col("main_route"), F.col("n_legs_out").cast("string"), F.col("friction_rank").cast("string")]
+    meta = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*values))
+    return d.select(F.concat(F.lit("hub:"), "centre_code").alias("doc_id"), text.alias("text"), meta.alias("metadata"))
+
+
 def sentences(corridors: DataFrame) -> DataFrame:
     """Corridor rows as documents: id, a sentence, and a map of metadata."""
     text = F.format_string("Corridor %s has %s legs and runs at %s times the network's ratio.", "corridor_id", "n_legs", F.round("excess_ratio", 2).cast("string"))

@@ -409,6 +409,31 @@ def document_sentences(spark, sf_dir):
     return Q.sentences(n).select("doc_id", F.col("metadata")["corridor"].alias("corridor"))
 
 
+def document_hubs(spark, sf_dir):
+    """Hub documents by their metadata; the sentence has the same numbers."""
+    from tramline.operators import hubs as U
+
+    d = Q.hub_sentences(U.hub_table(legs_from_events(spark, sf_dir)))
+    said = F.regexp_extract("text", r"over (\d+) legs; it ranks (\d+)", 1).cast("long")
+    return d.select("doc_id", F.col("metadata")["route"].alias("route"), F.col("metadata")["friction_rank"].cast("int").alias("friction_rank"), said.alias("legs"))
+
+
+def alerts_freshness(spark, sf_dir):
+    a = legs_from_events(spark, sf_dir).where("is_delayed").select("corridor_id", F.col("trip_creation_time").alias("alerted_at"))
+    return _rounded(B.alert_freshness(a, F.lit("2030-01-01 00:00:00").cast("timestamp")).withColumn("latest", F.date_format("latest", "yyyy-MM-dd HH:mm:ss")))
+
+
+def entities_shipment_rules(spark, sf_dir):
+    """Order lines as shipments of their orders, of which finished ones count as cancelled and some are left out."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 11 != 0").select(F.col("o_orderkey").alias("order_id"), F.when(F.col("o_orderstatus") == "F", "cancelled").otherwise("open").alias("status"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    s = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", cents).alias("shipment_id"), F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("departed_at"),
+        F.expr("timestampadd(DAY, cast(l_quantity as int) % 5 - 1, l_shipdate)").alias("arrived_at"),
+    )
+    return B.shipment_violations(s, o).groupBy(F.array_join("violations", ";").alias("violations")).agg(F.count("*").alias("n"))
+
+
 def document_sections(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\n", "\n## ").alias("text"))
     return Q.sections(d).groupBy("doc_id").agg(F.count("*").alias("sections"), F.sum(F.length("text")).alias("chars"))
@@ -628,5 +653,6 @@ QUERIES = {f.__name__: f for f in (
     model_forest, model_ablation, model_rolling_origin, model_comparison, model_replay_leak, legs_statistic, legs_judge_medians, corridor_extras,
     fisher_exact, question_scores, stream_events, stream_validation, stream_keys, stream_snapshot_join, stream_latency, stream_finish, stream_history,
     stream_alerts, stream_ledger, alerts_feed, alerts_rejected, questions_answered, stream_finish_refused, model_promotions, model_metrics_median, model_reported, reconcile_frozen,
+    document_hubs, alerts_freshness, entities_shipment_rules,
 )}
 ORACLE_SQL: dict[str, str] = {}  # in tables_sql

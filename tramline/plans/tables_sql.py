@@ -265,4 +265,11 @@ ORACLE_SQL = {
     "reconcile_frozen": """WITH m AS (SELECT s_name, s_suppkey AS k, s_nationkey AS f, 'nation_' || s_nationkey AS source, s_suppkey % 5 <> 0 AS was, s_suppkey % 7 <> 0 AS now FROM supplier)
       SELECT * FROM (SELECT 'metric' AS kind, s_name AS name, CASE WHEN NOT now THEN CASE WHEN was THEN 'missing' END WHEN f = 8 THEN 'unreadable' WHEN NOT was THEN 'added' WHEN k % 3 = 0 THEN 'changed' END AS state, source FROM m) WHERE state IS NOT NULL
       UNION ALL SELECT DISTINCT 'file', source, 'rewritten', source FROM m WHERE was AND f <> 3 AND (f = 8 OR f % 4 = 1)""",
+    "document_hubs": trips(f"{_HUB} SELECT 'hub:' || centre_code AS doc_id, main_route AS route, CAST(friction_rank AS INT) AS friction_rank, CAST(n_legs_out AS BIGINT) AS legs FROM hubr WHERE has_support"),
+    "alerts_freshness": trips("""SELECT count(*) AS alerts, count(DISTINCT corridor_id) AS corridors, strftime(max(trip_creation_time), '%Y-%m-%d %H:%M:%S') AS latest,
+      round((epoch_us(TIMESTAMP '2030-01-01 00:00:00') - epoch_us(max(trip_creation_time))) / 1e6, 6) AS age_s FROM legs WHERE is_delayed"""),
+    "entities_shipment_rules": """WITH s AS (SELECT l_orderkey AS order_id, concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, CAST(l_quantity AS INT) % 5 = 0 AS early FROM lineitem),
+      o AS (SELECT o_orderkey AS order_id, o_orderstatus = 'F' AS cancelled FROM orders WHERE o_orderkey % 11 <> 0)
+      SELECT concat_ws(';', CASE WHEN cancelled IS NULL THEN 'order unknown' END, CASE WHEN cancelled THEN 'order cancelled' END, CASE WHEN k > 1 THEN 'order has a shipment' END, CASE WHEN early THEN 'arrives before departure' END) AS violations, count(*) AS n
+      FROM (SELECT s.*, row_number() OVER (PARTITION BY s.order_id ORDER BY id) AS k FROM s) t LEFT JOIN o USING (order_id) GROUP BY 1""",
 }
