@@ -1,13 +1,22 @@
 from __future__ import annotations
 
+import random
+
+import duckdb
 import pytest
+from oracle import connection
 from pyspark.sql import functions as F
 
+from tramline.functions.columns import rounded_cents
+from tramline.functions.rank import average_rank
 from tramline.operators import business as B
 from tramline.operators import clean as C
 from tramline.operators import hubs as U
 from tramline.operators import orders as O
 from tramline.operators import quality as Q
+from tramline.operators import statistics as T
+from tramline.plans import tables as P
+from tramline.queries import ORACLE_SQL
 from tramline.sources import files as S
 
 
@@ -130,3 +139,59 @@ def test_last_row_of_running_totals(spark):
     d = spark.createDataFrame([("l", 1, "FTL", 5.0, 4.0, 5.0, 4.0), ("l", 2, "FTL", -1.0, 3.0, 4.0, 7.0)], "leg string, row_index int, route_type string, segment_actual_time double, segment_osrm_time double, actual_time double, osrm_time double")
     assert U.reconstruct(d).first()["actual_time"] == 4.0
     assert U.first_maximum(d).first()["row_index"] == 1
+
+
+def connection_of(path):
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{path}/events.parquet/*.parquet')")
+    return con
+
+
+def test_cents_are_rounded_as_sql_does(spark):
+    d = spark.createDataFrame([(2421.575,), (2529.055,), (0.125,), (-0.125,)], "x double")
+    got = [r[0] for r in d.select(rounded_cents(F.col("x"))).collect()]
+    con = connection()
+    assert got == [con.execute(f"select round(CAST({x} AS DOUBLE), 2)").fetchone()[0] for (x,) in d.collect()] == [2421.57, 2529.05, 0.13, -0.13]
+
+
+def test_invoice_charges_of_half_a_cent(spark, tmp_path):
+    o = spark.createDataFrame([(113644, 1, "F", 252905.5, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    o.withColumn("o_orderdate", F.lit("2024-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i,) for i in range(25)], "n_nationkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    assert "other_charges_out_of_band" in P.invoices_audited(spark, str(tmp_path)).first()["findings"]
+
+
+def test_a_threshold_is_taken_as_written(spark):
+    d = spark.createDataFrame([(11.0, 3.3000000000000007), (10.0, 3.0)], "planned_min double, predicted_gap double")
+    assert [r["planned_min"] for r in B.flag_alerts(d, 1.3).collect()] == [11.0]
+
+
+def test_no_alerts_no_quality(spark):
+    rows = spark.createDataFrame([("a", "k", 10.0, 9.0, False), ("b", "k", 10.0, 1.0, False)], "leg_id string, corridor_id string, planned_min double, gap_min double, is_delayed boolean")
+    mean = lambda x: rows.select("leg_id", F.lit(x).alias("predicted_gap"))
+    assert [r["history"] for r in B.replay_leak(rows, mean(5.0), mean(1.0), 1.3).collect()] == ["as of creation"]
+
+
+def test_alerts_of_tables_without_any(spark, tmp_path):
+    e = spark.createDataFrame([(1, 3, "view", 1.0, '{"k": 76}')], "event_id long, user_id long, event_type string, value double, props string")
+    e.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    assert tuple(P.alerts_same(spark, str(tmp_path)).first()) == (None, None, 0, 0.5) == connection_of(tmp_path).execute(ORACLE_SQL["alerts_same"]).fetchone()
+
+
+def test_histogram_bounds_as_in_its_sql(spark):
+    values = [k / 5 for k in range(26)] + [0.6000000000000001, 4.999999999999, -1.0, 7.0]
+    got = {r["bin"]: r["n"] for r in C.histogram(spark.createDataFrame([(v,) for v in values], "v double"), "v", 0.0, 5.0, 25).collect()}
+    want = connection().execute(f"select bin, count(*) from (select least(25, greatest(1, CAST(floor(least(greatest(v, 0), 5) / 0.2) AS BIGINT) + 1)) AS bin from (select unnest({values}::DOUBLE[]) v)) group by 1").fetchall()
+    assert {b: n for b, n in got.items() if n} == dict(want) and len(got) == 25
+
+
+def test_ranks_of_values_that_differ_when_computed_again(spark):
+    noisy = F.udf(lambda i: float(i) + random.random() / 2, "double").asNondeterministic()  # as sums in another order, but coarser
+    d = spark.range(200).select("id", noisy("id").alias("v"))
+    assert average_rank(d, "v").count() == 200
+
+
+def test_persistence_without_slow_corridors(spark):
+    d = spark.createDataFrame([(p, c, False) for p in (1, 2) for c in "xy"], "part int, corridor_id string, slow boolean")
+    r = T.part_overlap(d).first()
+    assert r["low"] != r["low"] and r["high"] == 1.0 and r["jaccard"] is None and r["common"] == 2

@@ -46,6 +46,12 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
 
 
+def rounded_cents(x: Column) -> Column:
+    """Two digits, as SQL rounds a double: the hundredfold to a whole number, halves away from zero, and back.  (Spark's round goes by
+    a number's decimal writing: 2421.575 becomes 2421.58 there, though 242157.49999999997 is its hundredfold.)"""
+    return F.round(x * 100) / 100
+
+
 def text_ratio(a: Column, b: Column) -> Column:
     """1 minus the edit distance over the longer text's length; 1 for two empty texts, null if one is null."""
     longer = F.greatest(F.length(a), F.length(b))
