@@ -24,7 +24,11 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitio
 
 
 def average_rank(df: DataFrame, value: str, name: str = "avg_rank", partitions: int | None = None) -> DataFrame:
-    """Add the average rank of ``value``, ties sharing theirs; distinct values are ranked, so ties cost nothing."""
+    """Add the average rank of ``value``, ties sharing theirs; distinct values are ranked, so ties cost nothing.
+
+    The rows are written once: ranks meet them again by value, and a sum computed twice may differ in its last bits.
+    """
+    df = written(df, "ranked")
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(value).agg(F.count("*").alias("_ties"))
     dealt = written(counts.repartitionByRange(n, value).withColumn("_range", F.spark_partition_id()), "ranges")
