@@ -8,6 +8,7 @@ from tramline.functions.columns import draw
 from tramline.operators import audit as A
 from tramline.operators import statistics as S
 from tramline.sources.adapters import legs_from_events, legs_from_orders, table
+from tramline.sources.shared import written
 
 from .history import _rounded
 from .network import _AGG
@@ -66,7 +67,7 @@ def eb_posterior(spark, sf_dir):
 
 
 def eb_reml(spark, sf_dir):
-    yv = _yv(spark, sf_dir)
+    yv = written(_yv(spark, sf_dir), "yv")  # every round of the search reads it
     tau2 = S.tau2_reml(yv)
     return S.posterior(yv, F.lit(tau2), 0.1).select("corridor_id", F.lit(tau2).alias("tau2"), "post_mean", "p_exceed")
 
