@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tramline.operators import audit as A
 from tramline.operators import history as H
 from tramline.operators import hubs as U
+from tramline.operators import order_statistics as S
+from tramline.operators import orders as O
 from tramline.operators import quality as Q
 from tramline.sources.adapters import legs_from_events, segments_from_lineitem, table
 
@@ -53,3 +55,30 @@ def test_windows_over_all_rows_are_avoided(spark):
     for df in (H.features(legs_from_events(spark, SF)), H.network_prefix(legs_from_events(spark, SF)).select("leg_id")):
         for node in re.findall(r"Exchange SinglePartition.*\n.*", plan(df)):
             assert "HashAggregate" in node or "bucket" in node, node
+
+
+def test_searches_and_fits_read_written_rows(spark, monkeypatch):
+    from tramline.plans import shrinkage, stats, tables
+
+    for module in (stats, shrinkage, tables):
+        names: list[str] = []
+        real = module.written
+        monkeypatch.setattr(module, "written", lambda df, name, names=names, real=real: names.append(name) or real(df, name))
+        {stats: stats.eb_reml, shrinkage: shrinkage.ranking_overlap, tables: tables.model_rolling_origin}[module](spark, SF)
+        assert len(names) == 1
+
+
+def test_order_mails_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(O, "MAILS", 10)
+    mails = spark.range(200).select(F.col("id").alias("mail_id"), F.lit("s").alias("subject"), F.lit("5 boxes").alias("body")).coalesce(1)
+    assert O.read_orders(mails.repartition(8)).rdd.getNumPartitions() == 20
+
+
+def test_pieces_of_hot_keys_follow_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "WHOLE", 50)
+    monkeypatch.setattr(S, "PIECE", 20)
+    asked = []
+    monkeypatch.setattr(S, "_cut_quantiles", lambda d, names, qs, n, ddl, real=S._cut_quantiles: asked.append(n) or real(d, names, qs, n, ddl))
+    rows = spark.range(200).select(F.lit("k").alias("k"), F.col("id").alias("t"), (F.col("id") % 2).cast("int").alias("kind"), F.col("id").cast("string").alias("leg_id"), F.col("id").cast("double").alias("g"))
+    got = {int(r["leg_id"]): r["m"] for r in S.running_quantiles(rows, "g", {"m": 0.5}, 2).collect()}
+    assert asked == [10] and got == {i: (i - 1) / 2 for i in range(1, 200, 2)}

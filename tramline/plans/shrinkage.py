@@ -8,20 +8,27 @@ from tramline.operators import audit as A
 from tramline.operators import dependence as D
 from tramline.operators import shrinkage as S
 from tramline.sources.adapters import legs_from_events, legs_from_orders
+from tramline.sources.shared import written
 
 from .history import _rounded, six
 from .network import _AGG
 from .sql import legs, trips
 
 
+def _sums(rows):
+    """Corridors, network and design effects, from two readings of the legs: corridors are written, and their sums are the network's."""
+    c = A.corridor_aggregate(rows).select("corridor_id", "source_center", "destination_center", "n_legs", "sum_log", "sumsq_log", "sum_gap_min")
+    c = written(c, "sums")
+    names = {"net_n": "n_legs", "net_sum": "sum_log", "net_sumsq": "sumsq_log", "net_gap": "sum_gap_min"}
+    return c, c.agg(*[F.sum(of).alias(n) for n, of in names.items()]), S.design_effects(rows)
+
+
 def _fitted(spark, sf_dir):
-    rows = legs_from_orders(spark, sf_dir)
-    return S.fitted(A.corridor_aggregate(rows), A.network_baseline(rows), S.design_effects(rows))
+    return S.fitted(*_sums(legs_from_orders(spark, sf_dir)))
 
 
 def _ranks(spark, sf_dir):
-    rows = legs_from_orders(spark, sf_dir)
-    return S.floor_rankings(A.corridor_aggregate(rows), A.network_baseline(rows), S.design_effects(rows))
+    return S.floor_rankings(*_sums(legs_from_orders(spark, sf_dir)))
 
 
 def eb_design_effects(spark, sf_dir):
