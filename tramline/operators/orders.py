@@ -43,6 +43,8 @@ ASKED = ["consignment", "weight_kg", "pieces", "source_center", "destination_cen
 _TOKEN = rf"({_CODE}(?![A-Za-z0-9_])|\d[\d,]*(?:\.\d+)?|[A-Za-z]+|[~–—-])"
 #: Tokens after which a cue no longer speaks of a code, and lines under a sign-off that may name the company.
 _REACH, _TAIL = 20, 4
+#: Mails that one task reads.
+MAILS = 20_000
 
 
 def _first(values: Column) -> Column:
@@ -191,9 +193,9 @@ def _consignments(tokens: str, lines: Column) -> Column:
 
 
 def _spread(mails: DataFrame) -> DataFrame:
-    """A small file is one task; reading mails is work for all."""
-    n = mails.sparkSession.sparkContext.defaultParallelism
-    return mails.repartition(n) if mails._jdf.queryExecution().toRdd().getNumPartitions() < n else mails
+    """Tasks of at most about MAILS mails, and one for each core at least: a small file is one task, and a large one has few."""
+    n = max(mails.sparkSession.sparkContext.defaultParallelism, -(-mails.count() // MAILS))
+    return mails.repartition(n)
 
 
 def read_orders(mails: DataFrame) -> DataFrame:
