@@ -30,6 +30,8 @@ from tramline.sources.shared import written
 MOST_BINS = 4096
 #: Rows of a key that one task may hold; keys with more are cut.  Rows of whole keys that are worked on together.
 WHOLE, TOGETHER = 2_000_000, 200_000
+#: Rows of a piece of cut keys.
+PIECE = 500_000
 #: Bounds of a key up to which a value is compared with each of them.
 FEW_BOUNDS = 64
 _ORDER = ["k", "t", "kind", "leg_id"]
@@ -229,15 +231,19 @@ def running_quantiles(rows: DataFrame, value: str, quantiles: dict[str, float],
     d = rows.select(F.col("k").cast("string").alias("k"), "t", "kind", "leg_id", F.when((F.col("kind") == 0) & ~F.isnan(v), v).alias("v"))
     names, qs = list(quantiles), list(quantiles.values())
     ddl = f"k string, leg_id {d.schema['leg_id'].dataType.simpleString()}, n long, " + ", ".join(f"{c} double" for c in names)
-    hot = d.groupBy("k").agg(F.count("*").alias("rows")).where(F.col("rows") > WHOLE).select(F.col("k").alias("key"))
+    hot = d.groupBy("k").agg(F.count("*").alias("rows")).where(F.col("rows") > WHOLE).select(F.col("k").alias("key"), "rows")
     hot = written(hot, "hot")
     cool = d
     if hot.take(1):
         is_hot = F.col("k").eqNullSafe(F.col("key"))
-        cool = d.join(hot, is_hot, "left_anti")
+        cool = d.join(hot.select("key"), is_hot, "left_anti")
     dealt = cool.repartition(n, "k").sortWithinPartitions(*_ORDER)
     out = dealt.mapInArrow(lambda b: _found(_whole_keys(b), names, qs), ddl)
-    return out.unionByName(_cut_quantiles(d.join(hot, is_hot, "left_semi"), names, qs, n, ddl)) if cool is not d else out
+    if cool is d:
+        return out
+    # As many pieces as keep each at about PIECE rows, however many rows hot keys have.
+    n = max(n, -(-hot.agg(F.sum("rows")).first()[0] // PIECE))
+    return out.unionByName(_cut_quantiles(d.join(hot.select("key"), is_hot, "left_semi"), names, qs, n, ddl))
 
 
 def _cut_quantiles(d: DataFrame, names: list[str], qs: list[float], n: int, ddl: str) -> DataFrame:
