@@ -8,6 +8,7 @@ from oracle import SF
 from pyspark.sql import functions as F
 
 from tramline.operators import audit as A
+from tramline.operators import clean as C
 from tramline.operators import history as H
 from tramline.operators import hubs as U
 from tramline.operators import order_statistics as S
@@ -82,3 +83,15 @@ def test_pieces_of_hot_keys_follow_their_rows(spark, monkeypatch):
     rows = spark.range(200).select(F.lit("k").alias("k"), F.col("id").alias("t"), (F.col("id") % 2).cast("int").alias("kind"), F.col("id").cast("string").alias("leg_id"), F.col("id").cast("double").alias("g"))
     got = {int(r["leg_id"]): r["m"] for r in S.running_quantiles(rows, "g", {"m": 0.5}, 2).collect()}
     assert asked == [10] and got == {i: (i - 1) / 2 for i in range(1, 200, 2)}
+
+
+def test_profiles_have_no_task_with_all_values(spark):
+    rows = [(None if k % 9 == 0 else float(k * 7919 % 101) / 4, k * 31 % 50 if k % 2 else 2**62 + k, None) for k in range(400)]
+    d = spark.createDataFrame(rows, "a double, b bigint, c int")
+    df = C.profile(d, ["a", "b", "c"])
+    assert "percentile" not in plan(df)
+    got = {r["column"]: r for r in df.collect()}
+    for c in d.columns:
+        want = d.agg(F.count_distinct(c).cast("double").alias("distinct"), F.count_if(F.col(c).isNull()).cast("double").alias("nulls"), *[F.percentile(c, q).alias(n) for n, q in C._QUANTILES.items()]).first()
+        assert {n: got[c][n] for n in want.asDict()} == want.asDict()
+    assert [r["median"] for r in C.profile(d.limit(0), ["a", "b"]).collect()] == [None, None]
