@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from oracle import connection
 from pyspark.sql import functions as F
@@ -195,3 +197,36 @@ def test_persistence_without_slow_corridors(spark):
     d = spark.createDataFrame([(p, c, False) for p in (1, 2) for c in "xy"], "part int, corridor_id string, slow boolean")
     r = T.part_overlap(d).first()
     assert r["low"] != r["low"] and r["high"] == 1.0 and r["jaccard"] is None and r["common"] == 2
+
+
+def test_nearest_vectors_in_blocks(spark, monkeypatch):
+    """Against the plain definition over all pairs: copies, other lengths, nulls and repeated ids, in several blocks."""
+    rng = random.Random(4)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)], k % 3) for k in range(120)] + [(200 + k, [1.0, 2.0, 3.0, 4.0], 1) for k in range(30)]
+    rows += [(300, None, 1), (301, [1.0, None, 2.0, 1.0], 1), (302, [1.0, 2.0], 1), (303, [2.0, 1.0], 1), (None, [1.0, 1.0, 1.0, 1.0], 1), (200, [1.0, 2.0, 3.0, 4.5], None)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    monkeypatch.setattr(Q, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(Q, "BASE_BLOCK", 40)
+    monkeypatch.setattr(Q, "_TILE", 7)
+    queries = e.where("vec_id % 5 = 0 or vec_id > 299")
+
+    def plain(k, least=None, same=False):
+        f = [np.array(r[1], dtype="float32").astype(float) if r[1] and None not in r[1] else None for r in rows]
+        unit = [None if v is None else v / math.sqrt(sum(float(x) * float(x) for x in v)) for v in f]
+        out = []
+        for i, (a, _, la) in enumerate(rows):
+            if a is not None and (a % 5 == 0 or a > 299):
+                for j, (b, _, lb) in enumerate(rows):
+                    if b is not None and a != b and (not same or (la is not None and la == lb)):
+                        s = round(sum(unit[i] * unit[j]), 9) if unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) else None
+                        if least is None or (s is not None and s >= least):
+                            out.append((a, b, s))
+        best = {}
+        for a, b, s in sorted(out, key=lambda r: (r[2] is None, -(r[2] or 0), r[1])):
+            best.setdefault(a, []).append((b, s))
+        return {(a, b, s, n + 1) for a, r in best.items() for n, (b, s) in enumerate(r[:k])}
+
+    for args in ({"k": 3}, {"k": 200}, {"k": 2, "least": 0.1}, {"k": 4, "same": True}):
+        df = Q.nearest(e, queries, args["k"], args.get("least"), "label" if args.get("same") else None)
+        assert {tuple(r) for r in df.collect()} == plain(**args), args
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
