@@ -194,6 +194,19 @@ def test_json_leaves_out_nulls(spark):
     assert "gap_min" not in v and "event_id" in v
 
 
+def test_events_keep_their_microseconds(spark, tmp_path):
+    """A query 300 microseconds before a fact doesn't see it, though both lie in one millisecond."""
+    at = dt.datetime(2024, 1, 1, 12)
+    rows = [("q", "query", "q", at.replace(microsecond=5100), "k", "s", "d", 12, 10.0, None, None, None), ("f", "fact", "a", at.replace(microsecond=5400), "k", "s", "d", 12, 10.0, 1.0, 0.1, 1.0)]
+    events = spark.createDataFrame(rows, E.SCHEMA)
+    J.write_replay(events, str(tmp_path / "in"), 1)
+    assert {r["event_time"] for r in spark.read.schema(E.SCHEMA).json(str(tmp_path / "in")).collect()} == {r[3] for r in rows}
+    assert all(".0051" in r["value"] or ".0054" in r["value"] for r in E.as_json(events).collect())
+    J.drain(J.histories(J.read_files(spark, str(tmp_path / "in"))), str(tmp_path / "c"), lambda d, i: J.write_batch(d, i, str(tmp_path / "o")))
+    got = spark.read.parquet(str(tmp_path / "o")).where("row_kind = 'query' and key_type = 'corridor'")
+    assert [r["n_prior"] for r in got.collect()] == [0]
+
+
 def test_query_registered(spark):
     assert "stream_history" in tables.QUERIES
     assert E.violations(E.build_events(legs_from_events(spark, SF))).where(F.size("violations") > 0).count() == 0

@@ -11,6 +11,8 @@ SCHEMA = (
     "event_id string, kind string, leg_id string, event_time timestamp_ntz, corridor_id string, source_center string, destination_center string, "
     "created_hour int, planned_min double, gap_min double, log_gap_ratio double, dwell_min double"
 )
+#: JSON times to the microsecond; Spark writes milliseconds unless told.
+MICROSECONDS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 KEY_TYPES = ["corridor", "source", "destination", "source_part", "destination_part"]
 
 
@@ -25,7 +27,7 @@ def build_events(legs: DataFrame) -> DataFrame:
 
 def as_json(events: DataFrame) -> DataFrame:
     """One JSON text per event; null fields are left out."""
-    return events.select("corridor_id", F.to_json(F.struct(*events.columns), {"ignoreNullFields": "true"}).alias("value"))
+    return events.select("corridor_id", F.to_json(F.struct(*events.columns), {"ignoreNullFields": "true", **MICROSECONDS}).alias("value"))
 
 
 def violations(events: DataFrame) -> DataFrame:
