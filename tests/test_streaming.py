@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from bisect import insort
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,6 +81,51 @@ def test_work_per_batch_does_not_grow_with_history():
     assert max(len(v) for _, v, _ in store.kept.values()) <= V.LEAF
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([k / 4 for k in range(-20, 40)]), max_size=60), st.lists(st.tuples(st.booleans(), st.floats(-9, 9)), min_size=1, max_size=80))
+def test_quantiles_of_a_batch_as_one_by_one(stored, batch):
+    """At once and path by path, over stored values and those of the batch so far."""
+    facts, qs = [v for is_fact, v in batch if is_fact], [0.5, 0.9, 0.75, 0.25]
+    before = np.array([sum(f for f, _ in batch[:i]) for i, (is_fact, _) in enumerate(batch) if not is_fact], np.int64)
+    got = []
+    for stored_a_row in (0, 10**6):
+        tree = V.ValueTree(lambda name: None)
+        for v in stored:
+            tree.add(v)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(state, "STORED_A_ROW", stored_a_row if stored else 10**6)
+            got.append(state._quantiles(tree, len(stored), np.array(facts, float), before, qs))
+        assert [v for v, n in tree.stored() for _ in range(n)] == sorted(stored + facts)
+    for a, b, q in zip(*got, qs, strict=True):
+        want = [np.quantile(stored + facts[:p], q) if stored or p else np.nan for p in before.tolist()]
+        np.testing.assert_allclose(a, want, atol=1e-9)
+        np.testing.assert_array_equal(a, b)
+
+
+def test_trailing_week_of_many_times():
+    rng = random.Random(5)
+    facts = [(rng.randrange(30 * 86_400_000_000), float(k % 7)) for k in range(2000)]
+    one, many = state.Trailing(lambda b: None), state.Trailing(lambda b: None)
+    for k in range(0, len(facts), 400):
+        for t, g in facts[k : k + 400]:
+            one.add(t, g)
+        many.add_all(np.array([t for t, _ in facts[k : k + 400]]), np.array([g for _, g in facts[k : k + 400]]))
+        at = [rng.randrange(40 * 86_400_000_000) for _ in range(200)] + [facts[k][0], facts[k][0] + state.WEEK]
+        n, total = many.read_all(np.array(at))
+        assert list(zip(n.tolist(), total.tolist(), strict=True)) == [one.read(t) for t in at]
+    assert one.changed == many.changed and one.new == many.new
+
+
+def test_replay_is_dealt_in_one_pass_to_equal_numbers_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(J, "LEAST_ROWS", 20)
+    events = E.build_events(legs_from_events(spark, SF).where("cast(leg_id as int) < 150"))
+    assert J.write_replay(events, str(tmp_path / "in"), 3, 2) == 2
+    files = sorted((tmp_path / "in").glob("*.json"), key=lambda f: f.stat().st_mtime_ns)
+    spans = [[min(x), max(x)] for x in ([r["event_time"] for r in spark.read.schema(E.SCHEMA).json(str(f)).collect()] for f in files)]
+    assert len(files) == 6 and all(max(spans[k][1], spans[k + 1][1]) < min(spans[k + 2][0], spans[k + 3][0]) for k in (0, 2))
+    assert spark.read.schema(E.SCHEMA).json(str(tmp_path / "in")).count() == 300
+
+
 def test_trailing_week_by_buckets():
     rng = random.Random(3)
     facts = sorted((rng.randrange(30 * 86_400_000_000), float(k)) for k in range(3000))

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import struct
 from bisect import bisect_left
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
 
 LEAF = 128
 #: A node in the state store: counts of children (inner) or values and their numbers (leaf).
@@ -39,22 +41,22 @@ class ValueTree:
     def node(self, name: str) -> tuple:
         return tuple(self._nodes[name])
 
-    def add(self, v: float) -> None:
+    def add(self, v: float, n: int = 1) -> None:
         path, depth = _path(v), 0
         while True:
             name = path[:depth].hex()
             counts, values, times = self._node(name)
             self.changed.add(name)
             if counts:
-                counts[path[depth]] += 1
+                counts[path[depth]] += n
                 depth += 1
                 continue
             at = bisect_left(values, v)
             if at < len(values) and values[at] == v:
-                times[at] += 1
+                times[at] += n
             else:
                 values.insert(at, v)
-                times.insert(at, 1)
+                times.insert(at, n)
                 if len(values) > LEAF:
                     self._split(name, depth)
             return
@@ -75,6 +77,13 @@ class ValueTree:
             if counts[byte] and len(self._nodes[child][1]) > LEAF:
                 self._split(child, depth + 1)
 
+    def stored(self, name: str = "") -> Iterator[tuple[float, int]]:
+        """All distinct values, ascending, with their numbers; reads every node."""
+        counts, values, times = self._node(name)
+        for byte in [b for b, n in enumerate(counts) if n]:
+            yield from self.stored(name + f"{byte:02x}")
+        yield from zip(values, times, strict=True)
+
     def select(self, k: int) -> float:
         """The k-th smallest, from 0."""
         name = ""
@@ -102,3 +111,42 @@ class ValueTree:
         low = int(at)
         a = self.select(low)
         return a if at == low else a + (self.select(min(low + 1, n - 1)) - a) * (at - low)
+
+
+class Growing:
+    """Order statistics of a stored multiset and the first p of the values that are added to it, for many p at once.
+
+    A wavelet matrix: distinct values are numbered in order; level by level, ranks follow the bits of these numbers, counting
+    stored and added values whose next bit is zero.
+    """
+
+    def __init__(self, values: np.ndarray, times: np.ndarray, added: np.ndarray):
+        self.distinct, codes = np.unique(np.concatenate([values, added]), return_inverse=True)
+        self.bits = max(1, (len(self.distinct) - 1).bit_length())
+        stored = np.zeros(1 << self.bits, np.int64)
+        stored[codes[: len(values)]] = times
+        self.stored = np.concatenate([[0], np.cumsum(stored)])
+        self.zeros, codes = [], codes[len(values) :]
+        for b in reversed(range(self.bits)):
+            one = (codes >> b & 1).astype(bool)
+            self.zeros.append(np.concatenate([[0], np.cumsum(~one)]))
+            codes = np.concatenate([codes[~one], codes[one]])
+
+    def select(self, p: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The k-th smallest (from 0) of the stored values and the first p added ones."""
+        low, high, k, code = np.zeros_like(p), p, k.copy(), np.zeros_like(p)
+        for b, z in zip(reversed(range(self.bits)), self.zeros, strict=True):
+            zl, zh = z[low], z[high]
+            less = zh - zl + self.stored[code + (1 << b)] - self.stored[code]
+            one = k >= less
+            k -= np.where(one, less, 0)
+            code += np.where(one, 1 << b, 0)
+            low, high = np.where(one, z[-1] + low - zl, zl), np.where(one, z[-1] + high - zh, zh)
+        return self.distinct[code]
+
+    def quantile(self, q: float, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Interpolated quantiles of all n values (stored ones and the first p)."""
+        at = q * (n - 1)
+        low = at.astype(np.int64)
+        a, b = self.select(p, low), self.select(p, np.minimum(low + 1, n - 1))
+        return np.where(at == low, a, a + (b - a) * (at - low))
