@@ -14,6 +14,7 @@ from tramline.functions.rank import average_rank
 from tramline.operators import business as B
 from tramline.operators import clean as C
 from tramline.operators import hubs as U
+from tramline.operators import models as M
 from tramline.operators import orders as O
 from tramline.operators import quality as Q
 from tramline.operators import statistics as T
@@ -230,3 +231,20 @@ def test_nearest_vectors_in_blocks(spark, monkeypatch):
         df = Q.nearest(e, queries, args["k"], args.get("least"), "label" if args.get("same") else None)
         assert {tuple(r) for r in df.collect()} == plain(**args), args
         assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_time_split_takes_its_quantile_once(spark, monkeypatch):
+    monkeypatch.setattr(M, "SPANS", 100)
+    rng = random.Random(2)
+    start = 1_700_000_000_000_000
+    cases = [[start], [start] * 7, [start, start + 1], [-5, -3, 4], [start + rng.randrange(60) for _ in range(200)], [rng.randrange(-(10**15), 10**15) for _ in range(101)]]
+    for times in cases:
+        rows = spark.createDataFrame([(t,) for t in [*times, None]], "t long").select(F.expr("cast(timestamp_micros(t) as timestamp_ntz)").alias("trip_creation_time"), "t")
+        for share in (0.33, 1.0):
+            want = rows.agg(F.percentile("t", share)).first()[0]
+            assert M.time_cut(rows, share) == want
+            split = M.time_split(rows, share)
+            assert all((r["part"] == "train") == (r["t"] is not None and r["t"] <= want) for r in split.select("t", "part").collect())
+            p = split._jdf.queryExecution().executedPlan().toString()
+            assert "percentile" not in p and "Join" not in p
+    assert M.time_cut(rows.where("t is null"), 0.8) is None and M.time_split(rows.where("t is null")).select("part").first()[0] == "test"
