@@ -248,3 +248,12 @@ def test_time_split_takes_its_quantile_once(spark, monkeypatch):
             p = split._jdf.queryExecution().executedPlan().toString()
             assert "percentile" not in p and "Join" not in p
     assert M.time_cut(rows.where("t is null"), 0.8) is None and M.time_split(rows.where("t is null")).select("part").first()[0] == "test"
+
+
+def test_folds_have_only_what_a_forest_reads(spark, monkeypatch):
+    rows = spark.range(60).select(F.col("id").cast("string").alias("leg_id"), F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("gap_min"))
+    folds = []
+    monkeypatch.setattr(M.CrossValidator, "fit", lambda cv, df, real=M.CrossValidator.fit: folds.append(df.columns) or real(cv, df))
+    model = M.tuned(rows, "rf", 2, ["x"])
+    assert folds == [["features", "gap_min"]]
+    assert M.importances(model, ["x"]) == [("x", 1.0)] and M.score(model, rows).count() == 60

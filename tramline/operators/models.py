@@ -173,7 +173,9 @@ def tuned(train: DataFrame, kind: str = "rf", folds: int = 3, columns: list[str]
     grid = grid.addGrid(est.numTrees, [20]) if kind == "rf" else grid.addGrid(est.maxIter, [10])
     judge = RegressionEvaluator(labelCol=target, predictionCol="predicted", metricName="mae")
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid.build(), evaluator=judge, numFolds=folds, seed=seed, parallelism=2)
-    return Pipeline(stages=[_assembled(columns), cv]).fit(train)
+    inputs = _assembled(columns)
+    # Folds are cached: they hold what a fit reads, not the table's other columns and the inputs a second time.
+    return PipelineModel(stages=[inputs, cv.fit(inputs.transform(train).select("features", target))])
 
 
 def residual_boosting(train: DataFrame, base: str, columns: list[str] = INPUTS, target: str = "gap_min", step: float = 0.1, rounds: int = 20, seed: int = 5) -> PipelineModel:
