@@ -6,7 +6,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
-from oracle import connection
+from oracle import SF, connection
 from pyspark.sql import functions as F
 
 from tramline.functions.columns import rounded_cents
@@ -250,6 +250,15 @@ def test_time_split_takes_its_quantile_once(spark, monkeypatch):
     assert M.time_cut(rows.where("t is null"), 0.8) is None and M.time_split(rows.where("t is null")).select("part").first()[0] == "test"
 
 
+def test_training_rows_have_only_what_fits_read(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(P, "written", lambda df, name: names.append(df) or df)
+    P._training(spark, SF)
+    assert set(names[0].columns) == {"leg_id", "trip_creation_time", "gap_min", "is_delayed", *M.INPUTS}
+    # Base rows and histories: creation times come with the base, not by a reading and an exchange of their own.
+    assert names[0]._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 2
+
+
 def test_folds_have_only_what_a_forest_reads(spark, monkeypatch):
     rows = spark.range(60).select(F.col("id").cast("string").alias("leg_id"), F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("gap_min"))
     folds = []
