@@ -190,7 +190,7 @@ def _part_quantiles(part: pa.Table, quantiles: list[float]) -> tuple[pa.Array, p
     return rows.column("k").take(pa.array(asks)), rows.column("leg_id").take(pa.array(asks)), n, out
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def by_whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches come sorted by key: tables of whole keys, of TOGETHER rows or more but for the last."""
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -238,7 +238,7 @@ def running_quantiles(rows: DataFrame, value: str, quantiles: dict[str, float],
         is_hot = F.col("k").eqNullSafe(F.col("key"))
         cool = d.join(hot.select("key"), is_hot, "left_anti")
     dealt = cool.repartition(n, "k").sortWithinPartitions(*_ORDER)
-    out = dealt.mapInArrow(lambda b: _found(_whole_keys(b), names, qs), ddl)
+    out = dealt.mapInArrow(lambda b: _found(by_whole_keys(b), names, qs), ddl)
     if cool is d:
         return out
     # As many pieces as keep each at about PIECE rows, however many rows hot keys have.
