@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tramline.operators import history as H
 from tramline.operators import order_statistics as S
 from tramline.operators import whole_keys as W
+from tramline.sources import shared as R
 from tramline.sources.adapters import legs_from_events, legs_from_orders
 
 DAY = 86_400_000_000
@@ -66,11 +67,18 @@ def test_dispersion_by_its_definition(spark, monkeypatch, whole):
 
 def test_dispersion_is_one_exchange_over_legs_written_once(spark, monkeypatch):
     names = []
-    monkeypatch.setattr(H, "written", lambda df, name, real=H.written: names.append(name) or real(df, name))
+    monkeypatch.setattr(H, "written", lambda df, name, real=H.written, **lean: names.append((name, lean)) or real(df, name, **lean))
     for made in (legs_from_events, legs_from_orders):
         p = H.dispersion(made(spark, SF))._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in p and p.count("Exchange") == 1 and "Window" not in p
-    assert names == ["legs", "hot"] * 2
+    assert names == [("legs", {"lean": True}), ("hot", {})] * 2
+
+
+def test_lean_rows_leave_the_session_as_it_was(spark):
+    before = spark.conf.get(R._CLEANUP)
+    d = R.written(spark.range(1000).repartition(3).withColumn("s", F.lit("x")), "lean", lean=True)
+    assert spark.conf.get(R._CLEANUP) == before and d.count() == 1000 and d.select(F.sum("id")).first()[0] == 499500
+    assert all(f.endswith(".zstd.parquet") for f in d.inputFiles())
 
 
 def test_running_statistics_keep_their_digits():
